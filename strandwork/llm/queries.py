@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import records
-from strandwork.llm.common import documents
+from strandwork.llm import packing, records, sharding
+from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,15 @@ def tokenizer_path() -> str:
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write_token_records(documents(spark, sf_dir), tokenizer_path(), end_id=2)
     return records.read_token_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(packing.token_pieces(documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=2048), "pieces")
+    return packing.pack(pieces, 2048)
+
+
+@query
+def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = documents(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    return sharding.assign_shards(digest, sharding.even_tree(16), sharding.even_tree(17))
