@@ -7,8 +7,17 @@ import re
 
 import numpy as np
 
-#: White space next to white space (and two format characters that some engines count as such): there a blank may not start a token.
-_ADJACENT = re.compile(r"[\s᠎​]{2}|^\s|\s$")
+#: White space beyond ASCII, and format characters that some engines count as such.
+_WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_NARROW = [x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (f" {c}", f"{c} ")]
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut at its blanks if each stands between two visible characters, else the text alone."""
+    pieces = text.split(" ")
+    if "" in pieces or any(x in text for x in _NARROW) or not text.isascii() and _WIDE.search(text):
+        return [text]
+    return pieces
 
 
 class PieceEncoder:
@@ -20,38 +29,48 @@ class PieceEncoder:
     The memo stops to grow at `entries`; ids are the same with or without it.
     """
 
-    def __init__(self, path: str, entries: int = 300_000) -> None:
+    def __init__(self, path: str, entries: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         self.entries = entries
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece behind a blank. One call takes all; a token that starts with a blank starts a piece."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        starts = np.flatnonzero(self.blank[ids])
+        if len(starts) != len(pieces):
+            return self._encode([f" {p}" for p in pieces])
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        cuts = [*(starts * size).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        memo, cut = self.memo, []
-        rare: dict[str, bytes] = {}
+        memo, heads, flat, cuts = self.memo, [], [], [0]
         for text in texts:
-            pieces = [text] if _ADJACENT.search(text) else text.split(" ")
-            cut.append(pieces)
-            if len(pieces) > 1:
-                rare.update(dict.fromkeys(p for p in pieces[1:] if p not in memo))
-        if rare:
-            rare = dict(zip(rare, self._encode([f" {p}" for p in rare]), strict=True))
+            head, *pieces = pieces_of(text)
+            heads.append(head)
+            flat += pieces
+            cuts.append(len(flat))
+        parts = list(map(memo.get, flat))
+        if gaps := [i for i, x in enumerate(parts) if x is None]:
+            rare = [*{flat[i] for i in gaps}]
+            rare = dict(zip(rare, self._encode_pieces(rare), strict=True))
+            for i in gaps:
+                parts[i] = rare[flat[i]]
             if len(memo) < self.entries:
                 memo.update(rare)
-        heads = self._encode([pieces[0] for pieces in cut])
-        out = []
-        for head, pieces in zip(heads, cut, strict=True):
-            parts = [memo[p] if p in memo else rare[p] for p in pieces[1:]]
-            out.append(np.frombuffer(b"".join([head, *parts]), self.dtype))
-        return out
+        return [np.frombuffer(head + b"".join(parts[a:b]), self.dtype) for head, a, b in zip(self._encode(heads), cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
