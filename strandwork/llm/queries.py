@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import packing, records, sharding
+from strandwork.llm import flac, packing, records, sharding, simhash
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = documents(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     return sharding.assign_shards(digest, sharding.even_tree(16), sharding.even_tree(17))
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(documents(spark, sf_dir), words=4), "prints")
+    return simhash.near_groups(prints, radius=4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(flac.text_media(documents(spark, sf_dir)))
