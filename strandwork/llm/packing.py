@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import partitions, slices, stored, texts_of
+from strandwork.llm.common import SLICE_BYTES, partitions, slices, stored, texts_of
 from strandwork.llm.tokens import encoder
 
 #: Pieces that one task packs; some MB of memory.
@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             keys, out = batch.column("doc_id").to_pylist(), []
             for key, ids in zip(keys, encode.encode(texts_of(batch)), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import crc32c_many, fresh_path, masked, slices, stored, texts_of
+from strandwork.llm.common import SLICE_BYTES, crc32c_many, fresh_path, masked, slices, stored, texts_of
 from strandwork.llm.tokens import encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
@@ -83,7 +83,7 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int, folde
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"
         files, at, n_records, n_tokens = None, 0, 0, 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             if files is None:
                 store, root = filesystem(folder)
                 store.create_dir(root, recursive=True)
@@ -129,14 +129,14 @@ def read_at(path: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]
         return out
 
 
-def read_token_records(manifest: DataFrame, read_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, shard, record, start, n_tokens, ids_crc32 and ids of every record, checked and in order of the shards.
+def read_token_records(manifest: DataFrame, with_ids: bool = True, read_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, shard, record, start, n_tokens, ids_crc32 and, if asked for, ids of every record, checked and in order of the shards.
 
     start counts the ids of all records before; it comes from the manifest (one row for each file)
     and the running count inside the file.
     """
     bases = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    schema = "doc_id long, shard int, record long, start long, n_tokens long, ids_crc32 long, ids array<int>"
+    schema = "doc_id long, shard int, record long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
@@ -154,11 +154,13 @@ def read_token_records(manifest: DataFrame, read_bytes: int = 4 << 20) -> DataFr
                     if (counts != index["n_tokens"][at:end]).any():
                         raise ValueError("the index does not fit its records")
                     starts = start + np.cumsum(counts) - counts
-                    flat = np.concatenate([x for _, x in found]).astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({
+                    columns = {
                         "doc_id": pa.array([k for k, _ in found], pa.int64()), "shard": pa.array(np.full(end - at, row["shard"], np.int32)), "record": pa.array(np.arange(at, end)), "start": pa.array(starts), "n_tokens": pa.array(counts),
-                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for _, x in found], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat)),
-                    })
+                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for _, x in found], pa.int64()),
+                    }
+                    if with_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate([x for _, x in found]).astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(columns)
                     start, at = start + int(counts.sum()), end
 
     n = manifest.count()

@@ -9,27 +9,33 @@ import numpy as np
 
 #: White space beyond ASCII, and format characters that some engines count as such.
 _WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_NARROW = [x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (f" {c}", f"{c} ")]
+_NARROW = [x for c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (f" {c}", f"{c} ", f"\n{c}", f"{c}\n")] + [" \n", "\n ", "\n\n", "  "]
+#: Marks a piece without a leading blank; texts that hold it are not cut.
+BARE = "\x01"
+#: Characters of a piece that the memo keeps, at most.
+LONG = 64
 
 
 def pieces_of(text: str) -> list[str]:
-    """The text cut at its blanks if each stands between two visible characters, else the text alone."""
-    pieces = text.split(" ")
-    if "" in pieces or any(x in text for x in _NARROW) or not text.isascii() and _WIDE.search(text):
-        return [text]
-    return pieces
+    """The text cut at its blanks and line ends if each stands alone between visible characters, else the text as one bare piece.
+
+    Pieces behind a blank come without it, others behind BARE, line ends as they are.
+    """
+    if text[:1] == " " or text[-1:] == " " or BARE in text or any(x in text for x in _NARROW) or not text.isascii() and _WIDE.search(text):
+        return [BARE + text]
+    return (BARE + text.replace("\n", f" \n {BARE}")).split(" ")
 
 
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, with a memo for each blank-delimited piece.
 
-    A byte-level BPE of this family cuts the text before it merges, and always cuts before a blank
-    that stands between two visible characters. So the ids of a text are those of its pieces, each
-    with its leading blank, put together. Texts with other white space are encoded in one go.
+    A byte-level BPE of this family cuts the text before it merges. It always cuts before a blank that
+    stands between two visible characters, and on both sides of such a line end. So the ids of a text are
+    those of its pieces, each with its leading blank, put together. Texts with other white space are encoded in one go.
     The memo stops to grow at `entries`; ids are the same with or without it.
     """
 
-    def __init__(self, path: str, entries: int = 500_000) -> None:
+    def __init__(self, path: str, entries: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,38 +45,39 @@ class PieceEncoder:
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         self.entries = entries
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"\n": self._encode(["\n"])[0]}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece behind a blank. One call takes all; a token that starts with a blank starts a piece."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        starts = np.flatnonzero(self.blank[ids])
-        if len(starts) != len(pieces):
-            return self._encode([f" {p}" for p in pieces])
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        cuts = [*(starts * size).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece. One call takes all that stand behind a blank; there a token that starts with a blank starts a piece."""
+        bare = [p for p in pieces if p[:1] == BARE]
+        out = dict(zip(bare, self._encode([p[1:] for p in bare]), strict=True)) if bare else {}
+        if behind := [p for p in pieces if p[:1] != BARE]:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(behind)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) != len(behind):
+                return out | dict(zip(behind, self._encode([f" {p}" for p in behind]), strict=True))
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            cuts = [*(starts * size).tolist(), len(raw)]
+            out |= {p: raw[a:b] for p, a, b in zip(behind, cuts, cuts[1:], strict=False)}
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        memo, heads, flat, cuts = self.memo, [], [], [0]
+        memo, flat, cuts = self.memo, [], [0]
         for text in texts:
-            head, *pieces = pieces_of(text)
-            heads.append(head)
-            flat += pieces
+            flat += pieces_of(text)
             cuts.append(len(flat))
         parts = list(map(memo.get, flat))
         if gaps := [i for i, x in enumerate(parts) if x is None]:
-            rare = [*{flat[i] for i in gaps}]
-            rare = dict(zip(rare, self._encode_pieces(rare), strict=True))
+            rare = self._encode_pieces([*{flat[i] for i in gaps}])
             for i in gaps:
                 parts[i] = rare[flat[i]]
             if len(memo) < self.entries:
-                memo.update(rare)
-        return [np.frombuffer(head + b"".join(parts[a:b]), self.dtype) for head, a, b in zip(self._encode(heads), cuts, cuts[1:], strict=False)]
+                memo.update((p, x) for p, x in rare.items() if len(p) <= LONG)
+        return [np.frombuffer(b"".join(parts[a:b]), self.dtype) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
