@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import flac, packing, records, sharding, simhash
+from strandwork.llm import flac, packing, quality, records, sharding, simhash
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,19 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_features(flac.text_media(documents(spark, sf_dir)))
+
+
+def fold(modulus: int):
+    """crc32 of the doc_id as text, modulo: what deals documents out to folds."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def judged(scored: DataFrame, modulus: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (fold(modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit_quality(docs.filter(fold(5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(5) != 0))
+    return judged(quality.score(docs, model), 5, 0)
