@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import flac, packing, quality, records, sharding, simhash
+from strandwork.llm import flac, packing, quality, records, sharding, simhash, toxicity
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,10 @@ def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs.filter(fold(5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(5) != 0))
     return judged(quality.score(docs, model), 5, 0)
+
+
+@query
+def op7_toxicity_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs.filter(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(4) != 2), corpus=docs)
+    return judged(toxicity.score(docs, model), 4, 2)
