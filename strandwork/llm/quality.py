@@ -48,18 +48,18 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([features(t) for t in texts_of(batch)], np.float64).reshape(batch.num_rows, len(FEATURES))
 
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """Features of the rows whose id has the least hashes, `most` rows at most: a bounded sample that no order decides."""
+def _sample(base: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
+    """Features of the texts whose ids have the least hashes, `most` ids at most: a bounded sample that no order decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(_rows(batch).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["x"])
 
-    n = rows.count()
-    # twice the share that is wanted, so that the sort that ends it holds few rows
-    share = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, 2 * most / max(1, n)) * (1 << 20)))
-    chosen = share.orderBy(F.xxhash64("doc_id")).limit(most) if n > most else rows
-    found = chosen.select("text").mapInArrow(run, "x array<double>").toPandas()
+    n = ids.count()
+    if n > most:
+        # twice the share that is wanted, so that the sort that ends it holds few rows
+        ids = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, 2 * most / n) * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(most)
+    found = base.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text").mapInArrow(run, "x array<double>").toPandas()
     return np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
 
 
@@ -77,8 +77,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not known[1] or not known[0]:
         return {"flat": 0.5}
     prior = float(min(0.98, max(0.02, known[0])))
-    positive = _sample(base.join(marks.filter("label = 1"), "doc_id", "left_semi"), sample)
-    unlabelled = _sample(base, sample)
+    positive = _sample(base, base.select("doc_id").join(marks.filter("label = 1"), "doc_id", "left_semi"), sample)
+    unlabelled = _sample(base, base.select("doc_id"), sample)
     centre, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-6
     scale = lambda x: np.clip((x - centre) / spread, -6, 6)
     weights, risk = fit.nonnegative_pu(scale(positive), scale(unlabelled), prior)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm import fit
-from strandwork.llm.common import slices, texts_of
+from strandwork.llm.common import slices, stored, texts_of
 
 #: Labelled texts that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
@@ -150,7 +150,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     n = marks.count()
     if n > sample:
         marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(2 * sample / n * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(sample)
-    chosen = base.join(marks, "doc_id").withColumn("key", F.xxhash64("text"))
+    # at most `sample` labels go to all tasks, and as many texts come back
+    chosen = stored(base.join(F.broadcast(marks), "doc_id").withColumn("key", F.xxhash64("text")), "labelled")
     # one row for each text: the others of a copy have a doc_id that is not the least of its key
     firsts = chosen.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     chosen = chosen.join(firsts.select("doc_id"), "doc_id", "left_semi").select("text", "label")
