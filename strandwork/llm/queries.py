@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import flac, packing, quality, records, sharding, simhash, toxicity
+from strandwork.llm import flac, langid, packing, quality, records, sharding, simhash, toxicity
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,10 @@ def op7_toxicity_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs.filter(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(4) != 2), corpus=docs)
     return judged(toxicity.score(docs, model), 4, 2)
+
+
+@query
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.text_model(documents(spark, sf_dir))
+    found = langid.identify(langid.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")), model)
+    return found.select("page_id", "host", "declared", "lang_id", F.round("confidence", 6).alias("confidence"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"))
