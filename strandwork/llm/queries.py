@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import flac, langid, packing, quality, records, sharding, simhash, toxicity
+from strandwork.llm import flac, langid, mixing, packing, quality, records, sharding, simhash, toxicity
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,13 @@ def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.text_model(documents(spark, sf_dir))
     found = langid.identify(langid.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")), model)
     return found.select("page_id", "host", "declared", "lang_id", F.round("confidence", 6).alias("confidence"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"))
+
+
+# The mix that the query and the pipeline ask for.
+MIX_TARGETS = {"en": 0.6, "fr": 0.15, "de": 0.15, "es": 0.1}
+
+
+@query
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixing.apply_mix(docs, mixing.fit_mix(docs, MIX_TARGETS)).select("doc_id", "n_tokens", "posterior", "rate", "copies")
