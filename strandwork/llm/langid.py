@@ -121,7 +121,8 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     by_suffix = suffixes.select("suffix", smoothed(F.array(*(F.lit(float(x)) for x in top / top.sum()))).alias("suffix_prior"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", smoothed(F.col("suffix_prior")).alias("domain_prior"))
     by_host = hosts.join(by_domain, ["domain", "suffix"]).select("host", "domain", "suffix", F.col("soft").alias("host_soft"), "domain_prior")
-    channel = sums(keyed, "declared").crossJoin(F.broadcast(sums(keyed).withColumnRenamed("soft", "all_soft"))).select("declared", F.zip_with("soft", "all_soft", lambda x, a: F.log((x + 0.5) / (a + 0.5 * n))).alias("channel"))
+    everyone = F.array(*(F.lit(float(x)) for x in top))
+    channel = sums(keyed, "declared").select("declared", F.zip_with("soft", everyone, lambda x, a: F.log((x + 0.5) / (a + 0.5 * n))).alias("channel"))
     rows = keyed.join(by_host, ["host", "domain", "suffix"]).join(channel, "declared")
     own = F.zip_with("host_soft", "soft", lambda a, x: F.greatest(a - x, F.lit(0.0)))
     rows = rows.withColumn("_own", own)

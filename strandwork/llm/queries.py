@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import flac, langid, mixing, packing, quality, records, sharding, simhash, toxicity
+from strandwork.llm import cws, flac, langid, mixing, packing, quality, records, sharding, simhash, toxicity
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ MIX_TARGETS = {"en": 0.6, "fr": 0.15, "de": 0.15, "es": 0.1}
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mixing.apply_mix(docs, mixing.fit_mix(docs, MIX_TARGETS)).select("doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
+@query
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_likeness(documents(spark, sf_dir))
