@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandwork.llm.common import stored
 
 # The letters that a text's domain is told by.
-LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíñóöùúüß"
+LETTERS = "ehkqtuwzäçéèñóüß"
 #: Share of the letters' log likelihood that counts, as neighbours depend on each other.
 TEMPER = 0.25
 
@@ -29,6 +29,10 @@ class Mix:
     totals: np.ndarray | None = None
     targets: np.ndarray | None = None
 
+    @property
+    def shares(self) -> list[str]:
+        return [f"_p{k}" for k in range(len(self.domains))]
+
 
 def _text(text_col: str) -> Column:
     return F.lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -38,43 +42,44 @@ def _count(text: Column, ch: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(ch), F.lit("")))) / F.lit(len(ch.encode()))
 
 
-def letter_counts(text: Column) -> list[Column]:
-    return [_count(text, ch).alias(f"_c{i}") for i, ch in enumerate(LETTERS)]
+def n_tokens(text: Column) -> Column:
+    """Tokens of a text: one more than its blanks and line ends; empty texts have none."""
+    return F.when(text == "", F.lit(0.0)).otherwise(_count(text, " ") + _count(text, "\n") + 1.0)
+
 
+def domain_features(docs: DataFrame, id_col: str = "doc_id", domain_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """id, domain, _n (tokens) and _c0, _c1, ... (how often each of LETTERS occurs) of every row, written to the shared folder.
 
-def n_tokens(text_col: str) -> Column:
-    """Tokens of a text: one more than its blanks and line ends; null and empty texts have none."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.when(text == "", F.lit(0.0)).otherwise(_count(text, " ") + _count(text, "\n") + 1.0)
+    It is the only pass over the texts; null texts count as empty.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), _text(text_col).alias("_text"))
+    return stored(rows.select("id", "domain", n_tokens(F.col("_text")).alias("_n"), *(_count(F.col("_text"), ch).alias(f"_c{i}") for i, ch in enumerate(LETTERS))), "features")
 
 
-def fit_domains(labelled: DataFrame, domain_col: str, text_col: str) -> Mix:
+def fit_domains(features: DataFrame) -> Mix:
     """A multinomial classifier of letters from the rows whose domain is known: one grouped sum over all of them."""
-    sums = labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).alias("_domain"), _text(text_col).alias("_text")).select("_domain", *letter_counts(F.col("_text")))
-    found = sums.groupBy("_domain").agg(F.count("*").alias("n"), *(F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(LETTERS)))).orderBy("_domain").collect()
+    found = features.filter("domain IS NOT NULL").groupBy("domain").agg(F.count("*").alias("n"), *(F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(LETTERS)))).orderBy("domain").collect()
     if not found:
         return Mix([], np.zeros(0), np.zeros((len(LETTERS), 0)))
     counts = np.array([[r[f"_c{i}"] for r in found] for i in range(len(LETTERS))]) + 1.0
     n = np.array([r["n"] for r in found], float)
-    return Mix([r["_domain"] for r in found], np.log(n / n.sum()), np.log(counts / counts.sum(0)))
+    return Mix([r["domain"] for r in found], np.log(n / n.sum()), np.log(counts / counts.sum(0)))
 
 
-def posteriors(docs: DataFrame, mix: Mix, text_col: str) -> DataFrame:
-    """The rows with _n, their tokens, and _p0, _p1, ...: the probability of each domain by the whole text."""
+def posteriors(features: DataFrame, mix: Mix) -> DataFrame:
+    """id, _n and _p0, _p1, ...: the probability of each domain by the whole text."""
     d = len(mix.domains)
-    rows = docs.withColumns({"_n": n_tokens(text_col), "_text": _text(text_col)})
-    rows = rows.withColumns({f"_c{i}": c for i, c in enumerate(letter_counts(F.col("_text")))}).drop("_text")
-    logs = {}
+    logs = []
     for k in range(d):
         total: Column = F.lit(float(mix.prior[k]))
         for i in range(len(LETTERS)):
             total = total + F.col(f"_c{i}") * float(TEMPER * mix.logp[i, k])
-        logs[f"_l{k}"] = total
-    rows = rows.withColumns(logs).drop(*(f"_c{i}" for i in range(len(LETTERS))))
-    top = F.greatest(*(F.col(x) for x in logs)) if d > 1 else F.col("_l0")
-    rows = rows.withColumn("_top", top).withColumns({f"_e{k}": F.exp(F.col(f"_l{k}") - F.col("_top")) for k in range(d)}).drop("_top", *logs)
+        logs.append(total.alias(f"_l{k}"))
+    rows = features.select("id", "_n", *logs)
+    top = F.greatest(*(F.col(f"_l{k}") for k in range(d))) if d > 1 else F.col("_l0")
+    rows = rows.withColumn("_top", top).select("id", "_n", *(F.exp(F.col(f"_l{k}") - F.col("_top")).alias(f"_e{k}") for k in range(d)))
     whole = sum((F.col(f"_e{k}") for k in range(1, d)), F.col("_e0"))
-    return rows.withColumn("_whole", whole).withColumns({f"_p{k}": F.col(f"_e{k}") / F.col("_whole") for k in range(d)}).drop("_whole", *(f"_e{k}" for k in range(d)))
+    return rows.withColumn("_whole", whole).select("id", "_n", *((F.col(f"_e{k}") / F.col("_whole")).alias(f"_p{k}") for k in range(d)))
 
 
 def rate(mix: Mix) -> Column:
@@ -89,59 +94,46 @@ def rate(mix: Mix) -> Column:
     return r
 
 
-def fit_mix(docs: DataFrame, targets: dict[str, float], domain_col: str = "lang", text_col: str = "text", budget: float | None = None, rounds: int = 40, tolerance: float = 2e-4, pull: float = 1e-4) -> Mix:
-    """Rates for which the expected tokens of each domain meet its target.
+def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 40, tolerance: float = 2e-4, pull: float = 1e-4) -> tuple[DataFrame, Mix]:
+    """id, n_tokens, posterior, rate and copies of every row of domain_features, and the fitted mix.
 
-    Rows with a domain label train the classifier; every row, labelled or not, gets the posterior of its own
-    text. Rates r minimise the squared relative misses of the domains' expected tokens, sum of r n p, plus a pull towards 1, by
-    projected gradient steps in the metric of tokens: a step moves a row against its posteriors' mix
-    of misses, which are one aggregate of as many numbers as domains over all rows; the rates themselves
+    Rows with a domain train the classifier; every row, labelled or not, gets the posterior of its own
+    text. Rates r minimise the squared misses of the domains' expected tokens, sum of r n p, each over its target, plus a pull towards 1,
+    by projected gradient steps in the metric of tokens: a step moves a row against its posteriors' mix
+    of relative misses, which are one aggregate of as many numbers as domains over all rows; the rates themselves
     are never shuffled or collected. targets gives weights (any scale; domains it does not name get 0);
     budget the tokens of the mix, else the most that the scarcest named domain allows without rates over 1 on average.
+    copies is the rate rounded up or down by a hash of the id, so it is the same in every run and its mean is the rate.
+    Null ids share a hash, null texts have no tokens and the prior's posterior, repeated rows equal copies; without
+    any labelled row or token every rate is 1.
     """
-    mix = fit_domains(docs, domain_col, text_col)
+    mix = fit_domains(features)
     mix.pull = pull
     d = len(mix.domains)
     if not d:
-        return mix
+        return features.select("id", F.col("_n").cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), mix
     weights = np.array([float(targets.get(x, 0.0)) for x in mix.domains])
     if not weights.sum() > 0 or (weights < 0).any():
         raise ValueError(f"targets name no domain of {mix.domains}")
     weights /= weights.sum()
-    held = stored(posteriors(docs.select(text_col), mix, text_col).drop(text_col), "posteriors")
-    p = [F.col(f"_p{k}") for k in range(d)]
+    held = stored(posteriors(features, mix), "posteriors")
+    p = [F.col(x) for x in mix.shares]
     cross = held.agg(F.sum("_n").alias("n"), *(F.sum(F.col("_n") * x).alias(f"s{k}") for k, x in enumerate(p)), *(F.sum(F.col("_n") * p[a] * p[b]).alias(f"x{a}_{b}") for a in range(d) for b in range(a, d))).first()
     n = cross["n"] or 0.0
-    if not n:
-        return mix
-    sums = np.array([cross[f"s{k}"] for k in range(d)])
-    total = budget if budget is not None else float(min(sums[k] / weights[k] for k in range(d) if weights[k] > 0))
-    goal = weights * total
-    scale = np.maximum(goal, total / (100 * d))
-    curve = np.array([[cross[f"x{min(a, b)}_{max(a, b)}"] for b in range(d)] for a in range(d)]) * n / np.outer(scale, scale)
-    mix.step, mix.targets = 1.0 / (float(np.linalg.eigvalsh(curve).max()) + pull), goal
-    # starting rates of 1 have the totals `sums`
-    for _ in range(rounds):
-        if (np.abs(sums - goal) <= tolerance * scale).all():
-            break
-        mix.gradients.append(n * (sums - goal) / scale**2)
-        row = held.withColumn("_r", rate(mix)).agg(*(F.sum(F.col("_r") * F.col("_n") * x) for x in p)).first()
-        sums = np.array([float(v) for v in row])
-    mix.totals = sums
-    return mix
-
-
-def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with n_tokens, posterior, rate and copies: how often the mix takes the row.
-
-    copies is the rate rounded up or down by a hash of the row's id, so it is the same in every run and its mean is
-    the rate. Null ids share a hash, null texts have no tokens and the prior's posterior, repeated rows equal copies;
-    without any labelled row or token every rate is 1.
-    """
-    d = len(mix.domains)
-    if not d:
-        return docs.withColumns({"n_tokens": n_tokens(text_col).cast("long"), "posterior": F.array().cast("array<double>"), "rate": F.lit(1.0), "copies": F.lit(1).cast("long")})
-    rows = posteriors(docs, mix, text_col).withColumn("rate", rate(mix))
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.withColumns({"n_tokens": F.col("_n").cast("long"), "posterior": F.array(*(F.col(f"_p{k}") for k in range(d))), "copies": F.floor(F.col("rate") + share)})
-    return rows.drop("_n", *(f"_p{k}" for k in range(d)))
+    if n:
+        sums = np.array([cross[f"s{k}"] for k in range(d)])
+        total = budget if budget is not None else float(min(sums[k] / weights[k] for k in range(d) if weights[k] > 0))
+        goal = weights * total
+        scale = np.maximum(goal, total / (100 * d))
+        curve = np.array([[cross[f"x{min(a, b)}_{max(a, b)}"] for b in range(d)] for a in range(d)]) / np.sqrt(np.outer(scale, scale))
+        mix.step, mix.targets = 1.0 / (float(np.linalg.eigvalsh(curve).max()) + pull), goal
+        # rates start at 1, where the totals are `sums`
+        for _ in range(rounds):
+            if (np.abs(sums - goal) <= tolerance * scale).all():
+                break
+            mix.gradients.append((sums - goal) / scale)
+            sums = np.array([float(v) for v in held.agg(*(F.sum(rate(mix) * F.col("_n") * x) for x in p)).first()])
+        mix.totals = sums
+    share = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    rows = held.withColumn("rate", rate(mix))
+    return rows.select("id", F.col("_n").cast("long").alias("n_tokens"), F.array(*p).alias("posterior"), "rate", F.floor(F.col("rate") + share).alias("copies")), mix

@@ -90,8 +90,8 @@ MIX_TARGETS = {"en": 0.6, "fr": 0.15, "de": 0.15, "es": 0.1}
 
 @query
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return mixing.apply_mix(docs, mixing.fit_mix(docs, MIX_TARGETS)).select("doc_id", "n_tokens", "posterior", "rate", "copies")
+    rates, _ = mixing.mix_rates(mixing.domain_features(documents(spark, sf_dir)), MIX_TARGETS)
+    return rates.withColumnRenamed("id", "doc_id")
 
 
 @query

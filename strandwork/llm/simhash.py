@@ -119,81 +119,91 @@ class Union:
 
 
 def _links(values: np.ndarray, shard: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join the values of each shard into the same sets as all links do; at most one for each value.
+    """Pairs of row numbers that join the rows of each shard into the same sets as all links do; at most one for each row.
 
-    Roles: 0 both node and query, 1 node, 2 query.
+    Rows come in order of shard, role and value. Roles: 0 both node and query, 1 node, 2 query. Rows of equal value are
+    one node and one query.
     """
-    is_node = role < 2
-    forest = Forest(values[is_node], shard[is_node])
-    sets, number = Union(len(values)), np.flatnonzero(is_node)
-    node_shard = shard[is_node]
-    firsts = np.flatnonzero(np.concatenate([[True], node_shard[1:] != node_shard[:-1]]))
-    sizes = np.diff([*firsts, len(node_shard)])
-    asks = np.flatnonzero(role != 1)
-    at = np.searchsorted(node_shard[firsts], shard[asks])
-    held = (at < len(firsts)) & (node_shard[firsts[np.minimum(at, len(firsts) - 1)]] == shard[asks])
+    n = len(values)
+    sets = Union(n)
+    new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (role[1:] != role[:-1]) | (values[1:] != values[:-1])])
+    firsts = np.flatnonzero(new)
+    sets.merge(np.arange(n), firsts[np.cumsum(new) - 1])
+    role_, shard_ = role[firsts], shard[firsts]
+    number = firsts[role_ < 2]
+    node_shard = shard[number]
+    forest = Forest(values[number], node_shard)
+    roots = np.flatnonzero(np.concatenate([[True], node_shard[1:] != node_shard[:-1]]))
+    sizes = np.diff([*roots, len(node_shard)])
+    asks = firsts[role_ != 1]
+    at = np.searchsorted(node_shard[roots], shard[asks])
+    held = (at < len(roots)) & (node_shard[roots[np.minimum(at, len(roots) - 1)]] == shard[asks])
     asks, at = asks[held], at[held]
     load = np.cumsum(sizes[at])
     cut = 0
     while cut < len(asks):
         end = max(cut + 1, int(np.searchsorted(load, (load[cut - 1] if cut else 0) + FRONTIER, side="right")))
         mine = asks[cut:end]
-        for who, node in forest.search(values[mine], firsts[at[cut:end]], radius):
+        for who, node in forest.search(values[mine], roots[at[cut:end]], radius):
             sets.merge(mine[who], number[node])
         cut = end
-    ends = sets.roots(np.arange(len(values)))
-    some = np.flatnonzero(values[ends] != values)
-    return values[some], values[ends[some]]
+    ends = sets.roots(np.arange(n))
+    some = np.flatnonzero(ends != np.arange(n))
+    return some, ends[some]
 
 
-def link_forest(distinct: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """a, b: links that join the distinct fingerprints (column fp) exactly as all pairs within the radius do.
+def link_forest(prints: DataFrame, radius: int, bands: tuple[str, ...] = ("fp",), id_col: str = "fp", blocks: int | None = None) -> DataFrame:
+    """a, b: links between ids that join them exactly as all pairs do whose values in some band lie within the radius.
 
-    Two fingerprints within the radius agree on at least blocks - radius of their blocks of bits. So every choice
-    of that many blocks deals the fingerprints out to shards by their bits there, and near pairs meet in some
+    Two values within the radius agree on at least blocks - radius of their blocks of bits. So every choice
+    of that many blocks deals the values out to shards by their bits there, and near pairs meet in some
     shard. Each shard's BK-trees go to the tasks that hold its queries, and to no others: what
     a task gets does not grow with the corpus, as it would if all trees went to all tasks. A shard of more
-    than TREE_NODES fingerprints is dealt out over several trees and its queries visit each of them.
+    than TREE_NODES rows is dealt out over several trees and its queries visit each of them.
     """
-    n = distinct.count()
+    n = prints.count()
     blocks = blocks or next((b for b in range(radius + 2, 65) if 64 * (b - radius) // b >= min(48, max(1, n).bit_length() - 5)), radius + 2)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)))).alias("k")).select("fp", "k.*")
+    ways = [F.struct(F.lit(k * len(masks) + i).alias("way"), F.col(band).bitwiseAND(F.lit(m)).alias("bits"), F.col(band).alias("value")) for k, band in enumerate(bands) for i, m in enumerate(signed)]
+    keyed = prints.select(F.col(id_col).alias("id"), F.explode(F.array(*ways)).alias("k")).select("id", "k.*")
     large = keyed.groupBy("way", "bits").count().filter(F.col("count") > TREE_NODES).select("way", "bits", F.ceil(F.col("count") / TREE_NODES).cast("int").alias("trees"))
-    dealt = keyed.join(large, ["way", "bits"], "left").select("way", "bits", "fp", F.coalesce("trees", F.lit(1)).alias("trees"), F.pmod(F.xxhash64("fp"), F.coalesce("trees", F.lit(1))).cast("int").alias("own"))
-    rows = dealt.select("way", "bits", "fp", F.explode(F.when(F.col("trees") == 1, F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("role")))).otherwise(F.concat(F.array(F.struct(F.col("own").alias("tree"), F.lit(1).alias("role"))), F.expr("transform(sequence(0, trees - 1), t -> struct(t AS tree, 2 AS role))")))).alias("t"))
-    rows = rows.select("way", "bits", "t.tree", "t.role", "fp").repartition("way", "bits", "tree").sortWithinPartitions("way", "bits", "tree", "role", "fp")
+    dealt = keyed.join(large, ["way", "bits"], "left").select("way", "bits", "value", "id", F.coalesce("trees", F.lit(1)).alias("trees"), F.pmod(F.xxhash64("value"), F.coalesce("trees", F.lit(1))).cast("int").alias("own"))
+    rows = dealt.select("way", "bits", "value", "id", F.explode(F.when(F.col("trees") == 1, F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("role")))).otherwise(F.concat(F.array(F.struct(F.col("own").alias("tree"), F.lit(1).alias("role"))), F.expr("transform(sequence(0, trees - 1), t -> struct(t AS tree, 2 AS role))")))).alias("t"))
+    rows = rows.select("way", "bits", "t.tree", "t.role", "value", "id").repartition("way", "bits", "tree").sortWithinPartitions("way", "bits", "tree", "role", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def emit(table: np.ndarray) -> pa.RecordBatch:
+        for table in runs(batches, 3):
             new = np.concatenate([[True], (table[1:, :3] != table[:-1, :3]).any(1)])
             shard = np.cumsum(new)
             crowd = np.bincount(shard)[shard] > 1
             table, shard = table[crowd], shard[crowd]
-            a, b = _links(table[:, 4].view(np.uint64), shard, table[:, 3], radius) if len(table) else (np.zeros(0, np.uint64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        n = 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1))
-                n += batch.num_rows
-            if n >= FOREST_ROWS:
-                table = np.concatenate(held)
-                starts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(1))
-                if len(starts):
-                    cut = int(starts[-1]) + 1
-                    yield emit(table[:cut].copy())
-                    table = table[cut:]
-                held, n = [table], len(table)
-        if n:
-            yield emit(np.concatenate(held))
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            if len(table):
+                a, b = _links(np.ascontiguousarray(table[:, 4]).view(np.uint64), shard, table[:, 3], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(table[a, 5]), pa.array(table[b, 5])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[np.ndarray]:
+    """Sorted rows of numbers in tables of about FOREST_ROWS; a run of equal first n_keys columns is never cut."""
+    held: list[np.ndarray] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1))
+            n += batch.num_rows
+        if n >= FOREST_ROWS:
+            table = np.concatenate(held)
+            starts = np.flatnonzero((table[1:, :n_keys] != table[:-1, :n_keys]).any(1))
+            if len(starts):
+                cut = int(starts[-1]) + 1
+                yield table[:cut]
+                table = table[cut:].copy()
+            held, n = [table], len(table)
+    if n:
+        yield np.concatenate(held)
 
 
 def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -208,3 +218,111 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     member = stored(named.join(names, "component").select("fp", "component_id"), "members")
     return prints.join(member, "fp", "left")
+
+
+#: Documents of one side that are held against each other at once, and the fewest shingles at which sets can be near but unequal.
+BLOCK_DOCS, LEAST_SHINGLES = 256, 4
+
+
+def word_prints(docs: DataFrame, words: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, set (a digest of the set of shingles), n_shingles, f0, f1, ... and shingles of every row.
+
+    f0, f1, ... are SimHashes of the set of words, each by hashes of its own; shingles holds the sorted 32-bit hashes of
+    the runs of `words` words. Null texts count as empty and have no shingle.
+    """
+    schema = "doc_id long, set string, n_shingles int, " + ", ".join(f"f{k} long" for k in range(bands)) + ", shingles binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_hexdigest, xxh64_intdigest
+
+        for batch in slices(batches, "text"):
+            out = []
+            for text in texts_of(batch):
+                wide = np.unique(shingle_hashes(text, words))
+                digest = xxh3_128_hexdigest(wide.tobytes())
+                single = np.array([xxh64_intdigest(w, 42) for w in {*text.encode().lower().split()}], np.uint64)
+                prints = []
+                for k in range(bands):
+                    # the splitmix64 finaliser gives each band hashes of its own
+                    h = single + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
+                    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                    prints.append(fingerprint(h ^ h >> np.uint64(31)))
+                out.append((digest, len(wide), *np.array(prints, np.uint64).view(np.int64).tolist(), np.unique(wide.astype(np.uint32)).tobytes()))
+            kinds = [pa.string(), pa.int32(), *[pa.int64()] * bands, pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "set", "n_shingles", *(f"f{k}" for k in range(bands)), "shingles"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+def _near(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of numbers that join the sets as all pairs do whose Jaccard similarity reaches the bound."""
+    flat = np.concatenate(sets)
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, inverse = np.unique(flat, return_inverse=True)
+    mask = np.zeros(int(inverse.max()) + 1, bool)
+    union = Union(len(sets))
+    for i in range(len(sets) - 1):
+        mine = inverse[starts[i] : starts[i] + sizes[i]]
+        mask[mine] = True
+        shared = np.add.reduceat(mask[inverse[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        mask[mine] = False
+        hit = np.flatnonzero(shared >= similarity * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9) + i + 1
+        union.merge(np.full(len(hit), i), hit)
+    ends = union.roots(np.arange(len(sets)))
+    some = np.flatnonzero(ends != np.arange(len(sets)))
+    return some, ends[some]
+
+
+def verified_links(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that join the ids of each component as all its pairs of the similarity do.
+
+    members has id, component and shingles. A component is dealt out over blocks of about BLOCK_DOCS; each pair of blocks is
+    one unit of work, so that none holds more than two blocks, however large the component is.
+    """
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
+    rows = dealt.select("component", "id", "own", "shingles", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, ids, sets = None, [], []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                a, b = _near(sets, similarity)
+                names = np.array(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+        for batch in batches:
+            for component, i, j, key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, i, j) != unit:
+                    yield from emit()
+                    unit, ids, sets = (component, i, j), [], []
+                ids.append(key)
+                sets.append(np.frombuffer(raw, np.uint32))
+        yield from emit()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 4, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and group_id, the least doc_id of the row's group, for every row with a doc_id.
+
+    Documents whose sets of word shingles are equal are one class. Classes link if the Jaccard similarity of their sets
+    reaches the bound, and a group is what links reach. SimHashes of the sets of words find the candidates: at a similarity of 0.8
+    over five words at most some 2 in 100 words differ, about 4 of 64 bits of a band, so that one of four bands
+    lies within 5 bits in over 997 of 1000 cases; BK-trees find all classes within the radius and components of these
+    are held against each other exactly. A set of fewer than LEAST_SHINGLES shingles is near to equal sets only.
+    Null texts count as empty; all empty texts are one class. Rows that repeat a doc_id count as one document.
+    """
+    prints = stored(word_prints(docs, words, bands, id_col, text_col).filter("doc_id IS NOT NULL"), "wordprints")
+    names = [f"f{k}" for k in range(bands)]
+    classes = stored(prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(x).alias(x) for x in names)), "classes")
+    found = graph.components(link_forest(classes.filter(F.col("n_shingles") >= LEAST_SHINGLES), radius, tuple(names), "id"))
+    wanted = classes.select("set", "id").join(found, "id")
+    sets = prints.select("set", F.col("doc_id").alias("id"), "shingles").join(wanted, ["set", "id"]).dropDuplicates(["id", "set"])
+    groups = graph.components(verified_links(sets.select("id", "component", "shingles"), similarity))
+    named = classes.select("set", "id").join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("group_id"))
+    return prints.select("doc_id", "set").join(named, "set").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
