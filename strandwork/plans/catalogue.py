@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandwork.functions import codec, distance
+from strandwork.operators import align, assemble, build, digraph, generate, kmers, traverse
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -24,20 +27,327 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-SEQ = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
+SEQ = "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')"
+READS = f"reads AS (SELECT doc_id AS group_key, {SEQ} AS seq FROM documents)"
+
+
+def edges_sql(k1: int, keys: str = "group_key") -> str:
+    """CTEs reads, occ and e(keys, src, dst, multiplicity)."""
+    head = f"{keys}, " if keys else ""
+    return f"""{READS},
+    occ AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - {k1} + 1), lambda i: substr(seq, i, {k1 + 1}))) AS kmer FROM reads WHERE length(seq) > {k1}),
+    e AS (SELECT {head}substr(kmer, 1, {k1}) AS src, substr(kmer, 2, {k1}) AS dst, count(*) AS multiplicity FROM occ GROUP BY ALL)"""
+
+
+def degrees_sql(table: str, keys: str = "group_key") -> str:
+    """CTE d(keys, id, out_deg, in_deg, n_out, n_in) of an edge table."""
+    head = f"{keys}, " if keys else ""
+    return f"""d AS (SELECT {head}id, CAST(sum(o) AS BIGINT) AS out_deg, CAST(sum(i) AS BIGINT) AS in_deg, CAST(sum(x) AS BIGINT) AS n_out, CAST(sum(y) AS BIGINT) AS n_in FROM (
+        SELECT {head}src AS id, multiplicity AS o, 0 AS i, 1 AS x, 0 AS y FROM {table} UNION ALL SELECT {head}dst, 0, multiplicity, 0, 1 FROM {table}) GROUP BY ALL)"""
+
+
+FLAGS = "(n_out > 1 OR n_in > 1) AS is_branch, (out_deg > 0 AND in_deg = 0) AS is_source, (out_deg = 0 AND in_deg > 0) AS is_sink"
+EVENT_PAIRS = "p AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst, count(*) AS multiplicity FROM p WHERE dst IS NOT NULL GROUP BY ALL)"
+PART_PAIRS = "e AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS multiplicity FROM lineitem GROUP BY ALL)"
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """group_key, read_id, seq: the bases of each document's text."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("group_key"), F.col("doc_id").alias("read_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
-
-
-@query(f"""
-    WITH s AS (SELECT {SEQ} AS seq FROM documents),
-    e AS (SELECT unnest(list_transform(range(1, length(seq) - 2), lambda i: substr(seq, i, 4))) AS kmer FROM s WHERE length(seq) > 3)
-    SELECT substr(kmer, 1, 3) AS src, substr(kmer, 2, 3) AS dst, count(*) AS multiplicity FROM e GROUP BY ALL
-""")
-def debruijn_edges_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir).filter(F.length("seq") > 3)
-    k = r.select(F.explode(F.expr("transform(sequence(1, length(seq) - 3), i -> substring(seq, i, 4))")).alias("kmer"))
-    return k.groupBy(F.substring("kmer", 1, 3).alias("src"), F.substring("kmer", 2, 3).alias("dst")).agg(F.count("*").alias("multiplicity"))
+    return kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions between a user's consecutive events."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    pairs = rows.select(F.col("event_type").alias("src"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst"))
+    return digraph.from_pairs(pairs.filter("dst IS NOT NULL"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to their suppliers."""
+    return digraph.from_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query(f"WITH {READS} SELECT group_key, seq, length(seq) AS n FROM reads")
+def seq_normalize(spark, sf_dir):
+    return reads(spark, sf_dir).select("group_key", "seq", F.length("seq").cast("long").alias("n"))
+
+
+@query(f"WITH {READS} SELECT group_key, {', '.join(f'''length(seq) - length(replace(seq, '{b}', '')) AS n_{b.lower()}''' for b in 'ACGT')} FROM reads")
+def base_composition(spark, sf_dir):
+    return reads(spark, sf_dir).select("group_key", *((F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("long").alias(f"n_{b.lower()}") for b in "ACGT"))
+
+
+@query(f"WITH {READS} SELECT group_key, i - 1 AS pos, substr(seq, i, 8) AS mer FROM (SELECT group_key, seq, unnest(range(1, length(seq) - 6)) AS i FROM reads WHERE length(seq) >= 8)")
+def kmer_positions_k8(spark, sf_dir):
+    return kmers.mers(reads(spark, sf_dir), 8).select("group_key", F.col("pos").cast("long").alias("pos"), "mer")
+
+
+@query(f"WITH {READS}, m AS (SELECT DISTINCT unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) >= 12) SELECT mer, list_reduce(list_transform(range(1, 13), lambda i: CAST(strpos('ACGT', substr(mer, i, 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS mer_id FROM m")
+def mer_encode(spark, sf_dir):
+    return kmers.mers(reads(spark, sf_dir), 12).select("mer").distinct().select("mer", codec.mer_encode(F.col("mer")).alias("mer_id"))
+
+
+@query("SELECT p_partkey AS mer_id, list_aggregate(list_transform(range(9, -1, -1), lambda i: substr('ACGT', CAST((p_partkey >> (2 * i)) & 3 AS BIGINT) + 1, 1)), 'string_agg', '') AS mer FROM part")
+def mer_decode(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mer_id"), codec.mer_decode(F.col("p_partkey"), 10).alias("mer"))
+
+
+@query(f"WITH {READS} SELECT group_key, seq, length(seq) % 4 AS header, 1 + CAST(ceil(length(seq) / 4.0) AS BIGINT) AS n_bytes FROM reads")
+def packed_round_trip(spark, sf_dir):
+    rows = reads(spark, sf_dir).withColumn("packed", codec.pack(F.col("seq")))
+    return rows.select("group_key", codec.unpack(F.col("packed")).alias("seq"), F.conv(F.substring(F.hex("packed"), 1, 2), 16, 10).cast("long").alias("header"), F.octet_length("packed").cast("long").alias("n_bytes"))
+
+
+@query(f"WITH {READS} SELECT group_key, substr(seq, 1, 12) || substr(substr(seq, 10, 12), 4) AS merged FROM reads")
+def merge_overlap(spark, sf_dir):
+    return reads(spark, sf_dir).select("group_key", codec.merge_overlap(F.substring("seq", 1, 12), F.substring("seq", 10, 12), 3).alias("merged"))
+
+
+@query(f"WITH {edges_sql(3, '')} SELECT src, dst FROM e")
+def debruijn_edges(spark, sf_dir):
+    return kmers.edges(reads(spark, sf_dir), 3, multi=False, grouped=False).select("src", "dst")
+
+
+@query(f"WITH {edges_sql(3, '')} SELECT src, dst, multiplicity FROM e")
+def debruijn_edges_multi(spark, sf_dir):
+    return kmers.edges(reads(spark, sf_dir), 3, grouped=False)
+
+
+@query(f"WITH {edges_sql(8)} SELECT * FROM e")
+def debruijn_edges_k8(spark, sf_dir):
+    return kmers.edges(reads(spark, sf_dir), 8)
+
+
+@query(f"WITH {edges_sql(8)}, {degrees_sql('e')} SELECT group_key, id, out_deg, in_deg, n_out, n_in FROM d")
+def vertex_degrees(spark, sf_dir):
+    return digraph.degrees(kmers.edges(reads(spark, sf_dir), 8))
+
+
+@query(f"WITH {edges_sql(8)}, {degrees_sql('e')} SELECT group_key, id, {FLAGS} FROM d")
+def vertex_flags(spark, sf_dir):
+    return digraph.flags(kmers.edges(reads(spark, sf_dir), 8)).select("group_key", "id", "is_branch", "is_source", "is_sink")
+
+
+@query(f"WITH {edges_sql(8)}, {degrees_sql('e')}, f AS (SELECT *, {FLAGS} FROM d) SELECT group_key, count(*) FILTER (is_source) AS n_sources, count(*) FILTER (is_sink) AS n_sinks, max(id) FILTER (is_source) AS last_source, max(id) FILTER (is_sink) AS last_sink FROM f GROUP BY ALL")
+def sources_sinks(spark, sf_dir):
+    return digraph.sources_and_sinks(kmers.edges(reads(spark, sf_dir), 8))
+
+
+@query(f"WITH {edges_sql(3)} SELECT DISTINCT group_key, seq AS mer FROM reads r WHERE length(seq) = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.group_key = r.group_key AND (e.src = r.seq OR e.dst = r.seq))")
+def isolated_mers(spark, sf_dir):
+    return kmers.isolated(reads(spark, sf_dir), 3)
+
+
+@query(f"WITH {EVENT_PAIRS} SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS successors FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY ALL")
+def adjacency_lists(spark, sf_dir):
+    return digraph.adjacency(events(spark, sf_dir)).select("id", F.array_join("successors", ",").alias("successors"))
+
+
+@query(f"WITH {PART_PAIRS} SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS successors FROM e GROUP BY ALL")
+def adjacency_multiples(spark, sf_dir):
+    return digraph.adjacency(parts(spark, sf_dir), repeat=False).select("id", F.array_join(F.col("successors").cast("array<string>"), ",").alias("successors"))
+
+
+@query(f"WITH {PART_PAIRS} SELECT src, dst, CAST(unnest(range(multiplicity)) AS INTEGER) AS number FROM e")
+def adjacency_iterator(spark, sf_dir):
+    return digraph.neighbours(parts(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT o_custkey % 50 AS src, o_orderkey % 40 AS dst, count(*) AS multiplicity FROM orders GROUP BY ALL),
+    o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1)
+    SELECT coalesce(o.id, i.id) || ';b;' || coalesce(t, '') || ';' || coalesce(f, '') || ';' AS value FROM o FULL JOIN i ON o.id = i.id""")
+def vertex_text(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 40).alias("dst"))
+    return digraph.vertex_text(digraph.vertices(digraph.from_pairs(pairs)))
+
+
+@query("""WITH e AS (SELECT o_custkey % 50 AS src, o_orderkey % 40 AS dst, count(*) AS multiplicity FROM orders GROUP BY ALL)
+    SELECT id, CAST(sum(o) AS BIGINT) AS n_to, CAST(sum(i) AS BIGINT) AS n_from FROM (SELECT src AS id, multiplicity AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, multiplicity FROM e) GROUP BY ALL""")
+def vertex_text_parsed(spark, sf_dir):
+    return digraph.parse_vertex_text(vertex_text(spark, sf_dir)).select("id", F.size("to").cast("long").alias("n_to"), F.size("from").cast("long").alias("n_from"))
+
+
+@query(f"WITH {PART_PAIRS}, g AS (SELECT p_partkey AS src, s_suppkey AS dst FROM part, supplier WHERE p_partkey % 7 = s_suppkey % 7 AND s_suppkey <= 10) SELECT src, dst, multiplicity - CASE WHEN g.src IS NULL THEN 0 ELSE 1 END AS multiplicity FROM e LEFT JOIN g USING (src, dst) WHERE multiplicity > CASE WHEN g.src IS NULL THEN 0 ELSE 1 END")
+def remove_edge(spark, sf_dir):
+    p, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
+    gone = p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") % 7).alias("k")).join(s.filter("s_suppkey <= 10").select(F.col("s_suppkey").alias("dst"), (F.col("s_suppkey") % 7).alias("k")), "k").select("src", "dst")
+    return digraph.remove_edges(parts(spark, sf_dir), gone)
+
+
+@query(f"WITH {EVENT_PAIRS} SELECT src, dst, 2 * multiplicity AS multiplicity FROM e")
+def merge_vertices(spark, sf_dir):
+    return digraph.add_edges(events(spark, sf_dir), events(spark, sf_dir))
+
+
+@query(f"WITH {PART_PAIRS}, a AS (SELECT src, dst FROM e), b AS (SELECT src, dst FROM e WHERE multiplicity > 1), x AS (SELECT src AS id FROM a UNION SELECT dst FROM a), bad AS (SELECT src, dst FROM a EXCEPT SELECT src, dst FROM b) SELECT id, NOT EXISTS (SELECT 1 FROM bad WHERE bad.src = x.id) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.dst = x.id) AS equal FROM x")
+def vertex_set_equality(spark, sf_dir):
+    e = parts(spark, sf_dir)
+    return digraph.equal_vertices(e, e.filter("multiplicity > 1"))
+
+
+@query(f"WITH {edges_sql(8)} SELECT * FROM e WHERE multiplicity >= ceil(3 / 2.0)")
+def coverage_filter_c3(spark, sf_dir):
+    return build.covered(kmers.edges(reads(spark, sf_dir), 8), 3)
+
+
+@query(f"WITH {edges_sql(8)}, {degrees_sql('e')} SELECT group_key, id, CASE WHEN n_out > 1 OR n_in > 1 THEN 'branch' ELSE 'chain' END AS kind FROM d")
+def branch_chain_partition(spark, sf_dir):
+    return build.partition_kinds(kmers.edges(reads(spark, sf_dir), 8)).select("group_key", "id", "kind")
+
+
+@query(f"""WITH {edges_sql(12)}, {degrees_sql('e')}, f AS (SELECT group_key, count(*) FILTER (out_deg > 0 AND in_deg = 0) AS n_sources, count(*) FILTER (out_deg = 0 AND in_deg > 0) AS n_sinks FROM d GROUP BY ALL)
+    SELECT *, CASE WHEN n_sources = 1 AND n_sinks = 1 THEN 'ok' WHEN n_sources > 1 THEN 'multi_source' WHEN n_sinks > 1 THEN 'multi_sink' ELSE 'no_end' END AS status FROM f""")
+def wellformed_groups(spark, sf_dir):
+    return build.well_formed(kmers.edges(reads(spark, sf_dir), 12))
+
+
+@query(f"WITH {edges_sql(8)} SELECT group_key, src AS id, CASE WHEN count(DISTINCT dst) = 1 THEN max(dst) END AS tail, CAST(sum(multiplicity) AS BIGINT) AS tail_count FROM e GROUP BY ALL")
+def tail_successor(spark, sf_dir):
+    return digraph.tails(kmers.edges(reads(spark, sf_dir), 8))
+
+
+@query()
+def chain_contract_k8(spark, sf_dir):
+    rows = traverse.contract(kmers.edges(reads(spark, sf_dir), 8))
+    from strandwork.operators.contract import spell_chains
+
+    return spell_chains(rows).drop("vertices")
+
+
+@query()
+def chain_contract_match(spark, sf_dir):
+    return traverse.contract(kmers.edges(reads(spark, sf_dir), 8), must_match=True).drop("vertices")
+
+
+@query(f"""WITH RECURSIVE {EVENT_PAIRS}, r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+    SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY ALL""")
+def strong_components_events(spark, sf_dir):
+    return traverse.components(events(spark, sf_dir))
+
+
+@query()
+def strong_components_k8(spark, sf_dir):
+    return traverse.components(kmers.edges(reads(spark, sf_dir), 8))
+
+
+@query(f"WITH {edges_sql(12)} SELECT group_key, CAST(sum(multiplicity) AS BIGINT) AS n_edges FROM e GROUP BY ALL")
+def euler_edge_counts_k12(spark, sf_dir):
+    paths = traverse.euler_paths(kmers.edges(reads(spark, sf_dir), 12))
+    return paths.groupBy("group_key").agg((F.count("*") - F.count_distinct("path_id")).alias("n_edges"))
+
+
+@query()
+def euler_paths_k12(spark, sf_dir):
+    return traverse.euler_paths(kmers.edges(reads(spark, sf_dir), 12))
+
+
+@query("""SELECT * FROM (VALUES ('A', 'B', 1), ('B', 'C', 1), ('C', 'D', 2), ('D', 'E', 2), ('E', 'F', 1), ('F', 'C', 1), ('E', 'G', 1)) t(src, dst, multiplicity)""")
+def rectify_single_fixture(spark, sf_dir):
+    rows = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "D", 6), ("D", "E", 5), ("E", "G", 3), ("E", "F", 3), ("F", "C", 3)], "src string, dst string, multiplicity long")
+    return assemble.rectified(rows, 3).withColumn("multiplicity", F.col("multiplicity").cast("int"))
+
+
+@query()
+def rectify_single_docs(spark, sf_dir):
+    return assemble.rectified(kmers.edges(reads(spark, sf_dir), 8), 2)
+
+
+@query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
+def assemble_roundtrip_k12(spark, sf_dir):
+    return assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12).select("group_key", "seq", "status")
+
+
+@query()
+def assemble_basic_k3(spark, sf_dir):
+    return assemble.assemble_slices(reads(spark, sf_dir))
+
+
+@query()
+def assemble_reads_cov(spark, sf_dir):
+    return assemble.assemble_reads(generate.split_reads(reads(spark, sf_dir), 30, 60, 6), 12, coverage=3)
+
+
+def split_sql(merge_tail: bool) -> str:
+    stop = "b > length(seq) - 5" if merge_tail else "b >= length(seq)"
+    return f"""WITH {READS}, s AS (SELECT group_key, seq, c AS copy, j, sum(5 + ((((j + 1009 * c + 104729 * (group_key % 10007)) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % 11) OVER (PARTITION BY group_key, c ORDER BY j) AS b
+        FROM (SELECT *, unnest(range(0, length(seq) // 5 + 1)) AS j FROM (SELECT *, unnest(range(6)) AS c FROM reads WHERE length(seq) > 0))),
+    t AS (SELECT *, {stop} AS stop, lag(b, 1, 0) OVER w AS start, lag({stop}, 1, false) OVER w AS before FROM s WINDOW w AS (PARTITION BY group_key, copy ORDER BY j))
+    SELECT group_key, CAST(copy AS INTEGER) AS copy, CAST(j AS INTEGER) AS read_id, CAST(start AS BIGINT) AS start, substr(seq, CAST(start + 1 AS BIGINT), CAST(CASE WHEN stop THEN length(seq) ELSE b - start END AS BIGINT)) AS seq FROM t WHERE NOT before"""
+
+
+@query(split_sql(True))
+def split_reads(spark, sf_dir):
+    return generate.split_reads(reads(spark, sf_dir), 5, 15, 6)
+
+
+@query(split_sql(False))
+def split_reads_untrimmed(spark, sf_dir):
+    return generate.split_reads(reads(spark, sf_dir), 5, 15, 6, merge_tail=False)
+
+
+@query("SELECT s_suppkey AS seed, 20 AS n_a, 20 AS n_c, 20 AS n_t, 21 AS n_g, 81 AS n FROM supplier")
+def generate_sequence(spark, sf_dir):
+    params = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(*(F.lit(25).alias(f"{b}_pct") for b in "actg"), F.lit(81).alias("length"), F.col("s_suppkey").alias("seed"))
+    count = lambda b: (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("int")
+    return generate.sequences(params).select("seed", *(count(b.upper()).alias(f"n_{b}") for b in "actg"), F.length("seq").alias("n"))
+
+
+@query(f"WITH {READS} SELECT group_key, hamming(substr(seq, 1, 40), substr(seq, 11, 40)) AS distance FROM reads WHERE length(seq) >= 50")
+def hamming_pairs(spark, sf_dir):
+    rows = reads(spark, sf_dir).filter(F.length("seq") >= 50)
+    return rows.select("group_key", distance.hamming(F.lower(F.substring("seq", 1, 40)), F.substring("seq", 11, 40)).cast("long").alias("distance"))
+
+
+NAME_PAIRS = "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS {} FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey"
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nation.select("n_regionkey", F.col("n_name").alias("a")).join(nation.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey").select("a", "b")
+
+
+@query(NAME_PAIRS.format("distance"))
+def levenshtein_pairs(spark, sf_dir):
+    return name_pairs(spark, sf_dir).withColumn("distance", distance.levenshtein(F.col("a"), F.col("b")).cast("long"))
+
+
+@query(NAME_PAIRS.format("cost"))
+def pairwise_cost(spark, sf_dir):
+    return name_pairs(spark, sf_dir).withColumn("cost", distance.pairwise("a", "b")["cost"].cast("long"))
+
+
+CONTIGS = f"""{READS}, c AS (SELECT group_key, 0 AS ordinal, substr(seq, 21, 10) AS contig, substr(seq, 1, 60) AS main FROM reads WHERE length(seq) >= 60 UNION ALL SELECT group_key, 1, reverse(substr(seq, 31, 12)), substr(seq, 1, 60) FROM reads WHERE length(seq) >= 60)"""
+BEST = "w AS (SELECT group_key, ordinal, contig, main, unnest(range(0, length(main) - length(contig) + 1)) AS o FROM c), b AS (SELECT group_key, ordinal, contig, main, arg_min(o, hamming(contig, substr(main, o + 1, length(contig))) * 1000 + o) AS o, min(hamming(contig, substr(main, o + 1, length(contig)))) AS distance FROM w GROUP BY ALL)"
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two contigs for each document of at least 60 bases: a part of its first 60, and a reversed one."""
+    r = reads(spark, sf_dir).filter(F.length("seq") >= 60)
+    pair = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("seq", 21, 10).alias("contig")), F.struct(F.lit(1).alias("ordinal"), F.reverse(F.substring("seq", 31, 12)).alias("contig")))
+    return r.select("group_key", F.substring("seq", 1, 60).alias("main"), F.explode(pair).alias("c")).select("group_key", "c.*", "main")
+
+
+@query(f"WITH {CONTIGS}, {BEST} SELECT group_key, ordinal, contig, CAST(o AS INTEGER) AS offset, CAST(distance AS INTEGER) AS distance FROM b")
+def window_align(spark, sf_dir):
+    return align.window_align(contigs(spark, sf_dir))
+
+
+@query(f"WITH {CONTIGS}, {BEST} SELECT group_key, main || chr(10) || string_agg(repeat(' ', o) || contig, chr(10) ORDER BY length(contig) DESC, ordinal) AS text FROM b GROUP BY group_key, main")
+def align_layout(spark, sf_dir):
+    return align.render(contigs(spark, sf_dir))
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, arg_min(l_quantity, l_orderkey * 100 + l_linenumber) AS weight FROM lineitem GROUP BY ALL")
+def weighted_edges_part_supplier(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return digraph.weighted(rows.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal")))
+
+
+@query(f"WITH {EVENT_PAIRS} SELECT src, dst, multiplicity FROM e")
+def event_transitions(spark, sf_dir):
+    return events(spark, sf_dir)
+
+
+@query(f"WITH {PART_PAIRS}, {degrees_sql('e', '')} SELECT id, out_deg, in_deg, n_out, n_in FROM d")
+def degrees_part_supplier(spark, sf_dir):
+    return digraph.degrees(parts(spark, sf_dir))
