@@ -118,8 +118,8 @@ class Union:
             self.parent = self.parent[self.parent]
 
 
-def _links(values: np.ndarray, shard: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that join the rows of each shard into the same sets as all links do; at most one for each row.
+def _links(values: np.ndarray, shard: np.ndarray, role: np.ndarray, radius: int) -> np.ndarray:
+    """The first row number of each row's set: what all links within the shards join.
 
     Rows come in order of shard, role and value. Roles: 0 both node and query, 1 node, 2 query. Rows of equal value are
     one node and one query.
@@ -147,9 +147,7 @@ def _links(values: np.ndarray, shard: np.ndarray, role: np.ndarray, radius: int)
         for who, node in forest.search(values[mine], roots[at[cut:end]], radius):
             sets.merge(mine[who], number[node])
         cut = end
-    ends = sets.roots(np.arange(n))
-    some = np.flatnonzero(ends != np.arange(n))
-    return some, ends[some]
+    return sets.roots(np.arange(n))
 
 
 def link_forest(prints: DataFrame, radius: int, bands: tuple[str, ...] = ("fp",), id_col: str = "fp", blocks: int | None = None) -> DataFrame:
@@ -180,10 +178,15 @@ def link_forest(prints: DataFrame, radius: int, bands: tuple[str, ...] = ("fp",)
             crowd = np.bincount(shard)[shard] > 1
             table, shard = table[crowd], shard[crowd]
             if len(table):
-                a, b = _links(np.ascontiguousarray(table[:, 4]).view(np.uint64), shard, table[:, 3], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(table[a, 5]), pa.array(table[b, 5])], ["a", "b"])
+                ends = _links(np.ascontiguousarray(table[:, 4]).view(np.uint64), shard, table[:, 3], radius)
+                # the least id stands for a set, so that most shards name the same one
+                least = np.full(len(table), np.iinfo(np.int64).max)
+                np.minimum.at(least, ends, table[:, 5])
+                pairs = np.unique(np.stack([table[:, 5], least[ends]], 1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[np.ndarray]:
