@@ -95,7 +95,7 @@ def restore(token: str, model: list[float]) -> str:
     return max((v + model[(a * SYMBOLS + b) * SYMBOLS], out) for (a, b), (v, out) in best.items())[1]
 
 
-def readings(text: str, memo: dict[str, tuple[str, ...]], model: list[float], entries: int = 300_000) -> set[str]:
+def readings(text: str, memo: dict[str, tuple[str, ...]], model: list[float], entries: int = 120_000) -> set[str]:
     """All words of a text, each as it stands without its marks and, if it may be disguised, as restored."""
     text = text.lower()
     words: set[str] = set()
@@ -217,7 +217,7 @@ def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col:
                     v = worth.get(w)
                     if v is None:
                         v = max((values[f] for f in word_features(w) if f in values), default=0.0)
-                        if len(worth) < 300_000:
+                        if len(worth) < 120_000:
                             worth[w] = v
                     if v:
                         seen.append(v)
