@@ -90,7 +90,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def tails(edges: DataFrame) -> DataFrame:
     """id, tail (the only successor, null if there are several) and tail_count, the edges out."""
     keys = _keys(edges)
-    return edges.groupBy(*keys, F.col("src").alias("id")).agg(F.when(F.count_distinct("dst") == 1, F.max("dst")).alias("tail"), F.sum("multiplicity").alias("tail_count"))
+    return edges.groupBy(*keys, F.col("src").alias("id")).agg(F.when(F.count("*") == 1, F.max("dst")).alias("tail"), F.sum("multiplicity").alias("tail_count"))
 
 
 def equal_vertices(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def vertex_text(vertex_rows: DataFrame, both: bool = True, payload: str | None =
 def parse_vertex_text(lines: DataFrame, multi: bool = True) -> DataFrame:
     """id, to, from (arrays in order, each neighbour once without multi) and payload of lines in that form; malformed numbers give null."""
     parts = F.split("value", ";", 5)
-    both = F.element_at(parts, 2) == "b"
+    both = F.coalesce(F.get(parts, 1) == "b", F.lit(False))
 
     def ids(text: Column) -> Column:
         found = F.sort_array(F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.try_cast("long")))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.codec import mer_encode
 
+#: Windows of one chunk of a read.
+CHUNK = 96
+
 
 def normalise(texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """reads(group_key, read_id, seq): the bases of each text, upper case, other characters left out; one read a text."""
@@ -27,16 +30,26 @@ def only_bases(reads: DataFrame, strict: bool = False) -> DataFrame:
     return reads.filter(fits)
 
 
+def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
+    """cols, pos (from 0) and mer of every window of `width` bases.
+
+    A substring is found by counting from the start of its string, so reads are first cut into
+    overlapping chunks of CHUNK windows: long reads then cost no more for each window than short ones.
+    """
+    cut = F.expr(f"transform(sequence(0, cast((length(seq) - {width}) div {CHUNK} AS int)), c -> struct(c * {CHUNK} AS base, substring(seq, c * {CHUNK} + 1, {CHUNK + width - 1}) AS chunk))")
+    chunks = long_enough(reads, width).select(*cols, F.explode(cut).alias("c")).select(*cols, "c.*")
+    inside = F.expr(f"transform(sequence(1, length(chunk) - {width - 1}), i -> substring(chunk, i, {width}))")
+    return chunks.select(*cols, "base", F.posexplode(inside).alias("at", "mer")).select(*cols, (F.col("base") + F.col("at")).alias("pos"), "mer")
+
+
 def mers(reads: DataFrame, length: int) -> DataFrame:
     """group_key, read_id, pos (from 0) and mer of every window of `length` bases."""
-    windows = F.expr(f"transform(sequence(1, length(seq) - {length - 1}), i -> substring(seq, i, {length}))")
-    return long_enough(reads, length).select("group_key", "read_id", F.posexplode(windows).alias("pos", "mer"))
+    return _windows(reads, length, "group_key", "read_id")
 
 
 def occurrences(reads: DataFrame, k1: int) -> DataFrame:
     """group_key and kmer (k1 + 1 bases) of every edge occurrence, one row each: the only explosion of a plan."""
-    windows = F.expr(f"transform(sequence(1, length(seq) - {k1}), i -> substring(seq, i, {k1 + 1}))")
-    return reads.filter(F.length("seq") > k1).select("group_key", F.explode(windows).alias("kmer"))
+    return _windows(reads, k1 + 1, "group_key").select("group_key", F.col("mer").alias("kmer"))
 
 
 def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True) -> DataFrame:

@@ -58,8 +58,9 @@ def strong_components(edges: Edges) -> dict:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == number[v]:
-                    at = held.index(v)
-                    members, held = held[at:], held[:at]
+                    members = []
+                    while not members or members[-1] != v:
+                        members.append(held.pop())
                     inside.difference_update(members)
                     out.update(dict.fromkeys(members, min(members)))
             elif w not in number:
@@ -121,7 +122,7 @@ def trails(edges: Edges, start: object = None) -> list[list]:
                 left[v, w] -= 1
                 stack.append((w, False))
             elif links.get(v):
-                stack.append((links[v].pop(0), True))
+                stack.append((links[v].pop(), True))
             else:
                 walk.append(stack.pop())
         walk.reverse()

@@ -52,7 +52,14 @@ PART_PAIRS = "e AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS multi
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    """The bases of each document, dealt out by document.
+
+    Bases are a tenth of what their k-mers take, so they are shuffled once and k-mers are then counted, and graphs built, in
+    place: every later grouping has the document among its keys. The count of partitions is the session's, which
+    AQE would else melt down to the bytes of the bases.
+    """
+    rows = kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_key")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
