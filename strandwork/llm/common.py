@@ -9,9 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.shared import fresh_path, shared_dir, stored
+from strandwork.shared import fresh_path, shared_dir, stored  # noqa: F401
 
-__all__ = ["fresh_path", "shared_dir", "stored"]
 
 #: Rows of one Arrow batch; with whole texts in it a batch stays at a few MB.
 ARROW_ROWS = 512
@@ -56,7 +55,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 #: Reversed polynomial of CRC-32C.
 CASTAGNOLI = 0x82F63B78
-_BLOCK = 1024
+_BLOCK = 256
 _tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -78,31 +77,30 @@ def _crc32c_tables() -> tuple[np.ndarray, np.ndarray]:
     return _tables
 
 
-def crc32c_many(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """CRC-32C of consecutive records of the byte array.
+def crc32c_many(records: list[bytes], block: int = _BLOCK) -> np.ndarray:
+    """CRC-32C of each record.
 
-    A CRC is linear, so that of a block is the exclusive or of one table entry for each byte;
-    each record's first block is the short one and its blocks are then chained.
+    A CRC is linear: that of a block is the exclusive or of one table entry for each byte, and zeros in front add
+    nothing. So records are filled up in front to whole blocks, all blocks advance byte by byte together,
+    and each record's blocks are then chained.
     """
     effect, start = _crc32c_tables()
-    lengths = np.asarray(lengths, np.int64)
+    lengths = np.fromiter(map(len, records), np.int64, len(records))
     out = np.zeros(len(lengths), np.uint32)
-    if not len(lengths) or not lengths.sum():
-        return out
-    ends = np.cumsum(lengths)
-    behind = (np.repeat(ends, lengths) - 1 - np.arange(len(data), dtype=np.int64)) % _BLOCK
-    values = effect[behind, data]
-    n_blocks = -(-lengths // _BLOCK)
-    heads = lengths - (n_blocks - 1) * _BLOCK
     some = lengths > 0
-    sizes = np.full(int(n_blocks.sum()), _BLOCK, np.int64)
+    if not some.any():
+        return out
+    fill = bytes(block)
+    rows = np.frombuffer(b"".join(x for r in records for x in (fill[: -len(r) % block], r)), np.uint8).reshape(-1, block).T.copy()
+    blocks = np.zeros(rows.shape[1], np.uint32)
+    for i in range(block):
+        blocks ^= effect[block - 1 - i].take(rows[i])
+    n_blocks = -(-lengths // block)
     firsts = (np.cumsum(n_blocks) - n_blocks)[some]
-    sizes[firsts] = heads[some]
-    blocks = np.bitwise_xor.reduceat(values, np.cumsum(sizes) - sizes)
-    state = start[heads[some]] ^ blocks[firsts]
+    state = start[(lengths - (n_blocks - 1) * block)[some]] ^ blocks[firsts]
     left, at = n_blocks[some] - 1, firsts + 1
     live = np.flatnonzero(left > 0)
-    far = [effect[_BLOCK - 1 - i] for i in range(4)]
+    far = [effect[block - 1 - i] for i in range(4)]
     while len(live):
         s = state[live]
         state[live] = far[0][s & 255] ^ far[1][(s >> 8) & 255] ^ far[2][(s >> 16) & 255] ^ far[3][s >> 24] ^ blocks[at[live]]

@@ -38,26 +38,23 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The records of the payloads, and where each one starts."""
     sizes = np.array([len(p) for p in payloads], np.int64)
-    heads = sizes.astype("<u8").view(np.uint8)
-    head_crc = masked(crc32c_many(heads, np.full(len(sizes), 8)))
-    body_crc = masked(crc32c_many(np.frombuffer(b"".join(payloads), np.uint8), sizes))
-    raw = heads.tobytes()
-    out = b"".join(x for i, p in enumerate(payloads) for x in (raw[8 * i : 8 * i + 8], int(head_crc[i]).to_bytes(4, "little"), p, int(body_crc[i]).to_bytes(4, "little")))
+    heads = [len(p).to_bytes(8, "little") for p in payloads]
+    head_crc, body_crc = (masked(crc32c_many(x, n)).astype("<u4").tobytes() for x, n in ((heads, 8), (payloads, 256)))
+    out = b"".join(x for i, (h, p) in enumerate(zip(heads, payloads, strict=True)) for x in (h, head_crc[4 * i : 4 * i + 4], p, body_crc[4 * i : 4 * i + 4]))
     return out, np.cumsum(sizes + FRAME) - (sizes + FRAME)
 
 
 def unframe(data: bytes, starts: np.ndarray) -> list[bytes]:
     """Payloads of the records that start there; raises on a wrong length or checksum."""
-    view = np.frombuffer(data, np.uint8)
-    heads = view[starts[:, None] + np.arange(12)]
-    sizes = np.ascontiguousarray(heads[:, :8]).view("<u8").ravel().astype(np.int64)
-    if (np.ascontiguousarray(heads[:, 8:]).view("<u4").ravel() != masked(crc32c_many(np.ascontiguousarray(heads[:, :8]).ravel(), np.full(len(starts), 8)))).any():
+    at = starts.tolist()
+    heads = [data[s : s + 8] for s in at]
+    if b"".join(data[s + 8 : s + 12] for s in at) != masked(crc32c_many(heads, 8)).astype("<u4").tobytes():
         raise ValueError("a record's length is damaged")
-    if len(starts) and (starts + sizes + FRAME > len(data)).any():
+    sizes = [int.from_bytes(h, "little") for h in heads]
+    if any(s + n + FRAME > len(data) for s, n in zip(at, sizes, strict=True)):
         raise ValueError("a record is cut short")
-    payloads = [data[s + 12 : s + 12 + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    found = np.array([int.from_bytes(data[s + 12 + n : s + FRAME + n], "little") for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)], np.uint32)
-    if (found != masked(crc32c_many(np.frombuffer(b"".join(payloads), np.uint8), sizes))).any():
+    payloads = [data[s + 12 : s + 12 + n] for s, n in zip(at, sizes, strict=True)]
+    if b"".join(data[s + 12 + n : s + FRAME + n] for s, n in zip(at, sizes, strict=True)) != masked(crc32c_many(payloads)).astype("<u4").tobytes():
         raise ValueError("a record's payload is damaged")
     return payloads
 
