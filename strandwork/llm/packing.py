@@ -103,9 +103,10 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
     If the two meet, the packing is certified. Else every share gives up its loosest bins - a share without
     a certificate those with any room, a certified one those with a fiftieth of room and its loosest bin -
     and these documents are dealt out anew to fewer tasks, until one task held them all.
-    Lengths must lie in 1..capacity. Nulls and repeats in other columns pass through; an empty table gives none.
+    Lengths must lie in 1..capacity. Nulls and repeats in other columns pass through; an empty table gives none;
+    columns of the rows that have the name of a new one are replaced.
     """
-    spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset", "settled", "certified")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("settled", T.BooleanType()), T.StructField("certified", T.BooleanType())])
     names = pieces.columns
 

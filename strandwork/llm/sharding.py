@@ -59,7 +59,7 @@ def assign_shards(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None
     Slots count the rows of a shard from 0 without a gap. A row's slot is its number among the rows of its
     shard in its input split plus the rows of that shard in the splits before, so no task ever holds
     a whole shard: only counts of shards by splits meet. Repeated rows get a slot each; nulls are
-    keys or values like any other; an empty table stays empty.
+    keys or values like any other; an empty table stays empty; columns that have the name of a new one are replaced.
     """
     place = tree_place(F.col(key_col), tree)
     placed = docs.withColumn("_place", place)
