@@ -43,10 +43,10 @@ def _samples(k: int, logs: list[str]) -> list[Column]:
     mean the same term at the same quantised weight, which happens with the generalised Jaccard similarity.
     """
     low = F.lit((1 << 32) - 1)
-    one, two = F.xxhash64("term", F.lit(2 * k)), F.xxhash64("term", F.lit(2 * k + 1))
+    one, two, three = (F.xxhash64("term", F.lit(3 * k + i)) for i in range(3))
     r = -F.log((F.shiftrightunsigned(one, 32) + 0.5) * (one.bitwiseAND(low) + 0.5) / float(1 << 64))
     c = F.log(-F.log((F.shiftrightunsigned(two, 32) + 0.5) * (two.bitwiseAND(low) + 0.5) / float(1 << 64)))
-    b = F.shiftrightunsigned(one.bitwiseXOR(two), 11) / float(1 << 53)
+    b = F.shiftrightunsigned(three, 11) / float(1 << 53)
     return [c - r * (F.floor(F.col(x) / r + b) - b + 1.0) for x in logs]
 
 

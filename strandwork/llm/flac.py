@@ -356,15 +356,13 @@ def _frames(bits: _Bits, at: np.ndarray, end: np.ndarray, sizes: np.ndarray, wid
 def _integrate(x: np.ndarray, order: int) -> np.ndarray:
     """Undoes `order` differences; the first `order` samples are given."""
     x = x.copy()
-    warm = x[:, :order].copy()
-    levels = [warm]
+    levels = [x[:, :order].copy()]
     for _ in range(order - 1):
         levels.append(np.diff(levels[-1], axis=1))
+    rest = x[:, order:]
     for level in reversed(levels):
-        start = level.shape[1] - 1
-        x[:, start] = level[:, start]
-        x[:, start:] = np.cumsum(x[:, start:], axis=1)
-        x[:, :start] = level[:, :start]
+        rest = level[:, -1:] + np.cumsum(rest, axis=1)
+    x[:, order:] = rest
     return x
 
 
@@ -425,7 +423,7 @@ def pcm_blocks(media: DataFrame, media_col: str = "media") -> DataFrame:
     a damaged one an error, repeated rows a set of blocks each.
     """
     rest = [c for c in media.columns if c != media_col and c not in ("block", "sample_offset", "n_samples", "pcm")]
-    fields = media.select(*rest).schema.add("block", "int").add("sample_offset", "long").add("n_samples", "int").add("pcm", "binary")
+    fields = media.select(*rest).schema.add("block", "integer").add("sample_offset", "long").add("n_samples", "integer").add("pcm", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, media_col, BATCH_BYTES):

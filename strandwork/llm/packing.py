@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from strandwork.llm.common import SLICE_BYTES, partitions, slices, stored, texts_of
 from strandwork.llm.tokens import encoder
 
-#: Pieces that one task packs; some MB of memory.
-PIECES_EACH = 40_000
+#: Pieces that one task packs: some tens of MB, and about a second.
+PIECES_EACH = 200_000
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -95,14 +95,14 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return max(int((-(-(f @ histogram) // unit)).max()) for f, unit in dual_feasible(capacity))
 
 
-def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_each: int = PIECES_EACH, fan_in: int = 8, max_rounds: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_each: int = PIECES_EACH, max_rounds: int = 12) -> DataFrame:
     """The rows with sequence_id and offset: best-fit decreasing in partitions, repacked while the bound leaves a gap.
 
     Each task packs a share of the rows and bounds its bins by the dual-feasible functions. The bins of
     all shares are held against the bound of all rows (counts of each length, at most capacity + 1 of them).
-    If the two meet, the packing is certified. Else every share gives up its loosest bins - a share without
-    a certificate those with any room, a certified one those with a fiftieth of room and its loosest bin -
-    and these documents are dealt out anew to fewer tasks, until one task held them all.
+    If the two meet, the packing is certified. Else shares without a certificate give up all their documents, certified ones
+    those in bins with a fiftieth of room and in their loosest bin. These are dealt out anew to as few tasks
+    as their number allows, until one task held them all or a round no longer settles many of them.
     Lengths must lie in 1..capacity. Nulls and repeats in other columns pass through; an empty table gives none;
     columns of the rows that have the name of a new one are replaced.
     """
@@ -123,7 +123,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
             bins, places = best_fit_decreasing(sizes, capacity)
             fill = np.bincount(bins, weights=sizes).astype(np.int64)
             certified = len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-            loose = fill < (capacity - capacity // 50 if certified else capacity)
+            loose = fill < capacity - capacity // 50 if certified else np.ones(len(fill), bool)
             loose[np.argmin(fill)] |= fill.min() < capacity
             yield rows.assign(sequence_id=(tag << 48) + (TaskContext.get().partitionId() << 24) + bins, offset=places, settled=last | ~loose[bins], certified=certified)
 
@@ -135,9 +135,9 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
     n, bound, settled, n_settled = int(counts.sum()), lower_bound(counts, capacity), [], 0
     if not n:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    parts, left = partitions(n, pieces_each), pieces
+    parts, left, n_left, n_before = partitions(n, pieces_each), pieces, n, 2 * n
     for tag in range(max_rounds):
-        last = parts == 1 or tag == max_rounds - 1
+        last = parts == 1 or tag == max_rounds - 1 or n_left > 0.9 * n_before
         done = stored(left.repartition(parts).mapInPandas(share(tag, last), schema), f"pack{tag}")
         used = {r["settled"]: (r["b"], r["n"]) for r in done.groupBy("settled", "sequence_id").agg(F.count("*").alias("n")).groupBy("settled").agg(F.count("*").alias("b"), F.sum("n").alias("n")).collect()}
         n_settled += used.get(True, (0, 0))[0]
@@ -146,7 +146,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
             break
         settled.append(done.filter("settled"))
         left = done.filter("not settled").select(*names)
-        parts = min(partitions(used[False][1], pieces_each), max(1, parts // fan_in))
+        n_left, n_before = used[False][1], n_left
+        parts = partitions(n_left, pieces_each)
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
