@@ -15,7 +15,7 @@ from strandwork.shared import fresh_path, shared_dir, stored  # noqa: F401
 #: Rows of one Arrow batch; with whole texts in it a batch stays at a few MB.
 ARROW_ROWS = 512
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from strandwork.llm.common import slices, stored, texts_of
 #: Nodes of one shard tree at most; a shard with more fingerprints gets several trees.
 TREE_NODES = 8192
 #: Rows of trees that are searched together, and (query, node) pairs that are looked at together.
-FOREST_ROWS, FRONTIER = 1 << 18, 1 << 21
+FOREST_ROWS, FRONTIER = 1 << 16, 1 << 18
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
