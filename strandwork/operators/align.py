@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions import distance
+from strandwork.operators.kmers import CHUNK
 
 #: Share of the main sequence's length from which on a contig is aligned as a whole.
 NEAR_FULL = 0.85
@@ -21,7 +22,10 @@ def window_align(rows: DataFrame) -> DataFrame:
 
     rows has group_key, ordinal, contig and main. Empty contigs and those longer than main have no window and are left out.
     """
-    at = rows.filter((F.length("contig") > 0) & (F.length("contig") <= F.length("main"))).select("group_key", "ordinal", "contig", F.explode(F.expr("transform(sequence(0, length(main) - length(contig)), o -> struct(o AS offset, substring(main, o + 1, length(contig)) AS window))")).alias("w"))
+    some = rows.filter((F.length("contig") > 0) & (F.length("contig") <= F.length("main")))
+    # as in kmers: chunks first, so that a window far into main costs no more than one at its start
+    chunks = some.select("group_key", "ordinal", "contig", F.explode(F.expr(f"transform(sequence(0, cast((length(main) - length(contig)) div {CHUNK} AS int)), c -> struct(c * {CHUNK} AS base, substring(main, c * {CHUNK} + 1, {CHUNK} + length(contig) - 1) AS chunk))")).alias("c")).select("group_key", "ordinal", "contig", "c.*")
+    at = chunks.select("group_key", "ordinal", "contig", F.explode(F.expr("transform(sequence(0, length(chunk) - length(contig)), o -> struct(base + o AS offset, substring(chunk, o + 1, length(contig)) AS window))")).alias("w"))
     scored = at.select("group_key", "ordinal", "contig", F.struct(distance.hamming(F.col("contig"), F.col("w.window")).alias("distance"), F.col("w.offset").alias("offset")).alias("s"))
     best = scored.groupBy("group_key", "ordinal", "contig").agg(F.min("s").alias("s"))
     return best.select("group_key", "ordinal", "contig", "s.offset", "s.distance")

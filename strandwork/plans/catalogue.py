@@ -105,9 +105,9 @@ def packed_round_trip(spark, sf_dir):
     return rows.select("group_key", codec.unpack(F.col("packed")).alias("seq"), F.conv(F.substring(F.hex("packed"), 1, 2), 16, 10).cast("long").alias("header"), F.octet_length("packed").cast("long").alias("n_bytes"))
 
 
-@query(f"WITH {READS} SELECT group_key, substr(seq, 1, 12) || substr(substr(seq, 10, 12), 4) AS merged FROM reads")
+@query(f"WITH {READS} SELECT group_key, seq || substr(reverse(seq), 4) AS merged FROM reads")
 def merge_overlap(spark, sf_dir):
-    return reads(spark, sf_dir).select("group_key", codec.merge_overlap(F.substring("seq", 1, 12), F.substring("seq", 10, 12), 3).alias("merged"))
+    return reads(spark, sf_dir).select("group_key", codec.merge_overlap(F.col("seq"), F.reverse("seq"), 3).alias("merged"))
 
 
 @query(f"WITH {edges_sql(3, '')} SELECT src, dst FROM e")
@@ -174,10 +174,9 @@ def vertex_text_parsed(spark, sf_dir):
     return digraph.parse_vertex_text(vertex_text(spark, sf_dir)).select("id", F.size("to").cast("long").alias("n_to"), F.size("from").cast("long").alias("n_from"))
 
 
-@query(f"WITH {PART_PAIRS}, g AS (SELECT p_partkey AS src, s_suppkey AS dst FROM part, supplier WHERE p_partkey % 7 = s_suppkey % 7 AND s_suppkey <= 10) SELECT src, dst, multiplicity - CASE WHEN g.src IS NULL THEN 0 ELSE 1 END AS multiplicity FROM e LEFT JOIN g USING (src, dst) WHERE multiplicity > CASE WHEN g.src IS NULL THEN 0 ELSE 1 END")
+@query(f"WITH {PART_PAIRS}, g AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) SELECT src, dst, multiplicity - coalesce(n, 0) AS multiplicity FROM e LEFT JOIN g USING (src, dst) WHERE multiplicity > coalesce(n, 0)")
 def remove_edge(spark, sf_dir):
-    p, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
-    gone = p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") % 7).alias("k")).join(s.filter("s_suppkey <= 10").select(F.col("s_suppkey").alias("dst"), (F.col("s_suppkey") % 7).alias("k")), "k").select("src", "dst")
+    gone = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return digraph.remove_edges(parts(spark, sf_dir), gone)
 
 
@@ -299,10 +298,9 @@ def generate_sequence(spark, sf_dir):
     return generate.sequences(params).select("seed", *(count(b.upper()).alias(f"n_{b}") for b in "actg"), F.length("seq").alias("n"))
 
 
-@query(f"WITH {READS} SELECT group_key, hamming(substr(seq, 1, 40), substr(seq, 11, 40)) AS distance FROM reads WHERE length(seq) >= 50")
+@query(f"WITH {READS} SELECT group_key, hamming(seq, reverse(seq)) AS distance FROM reads WHERE seq <> ''")
 def hamming_pairs(spark, sf_dir):
-    rows = reads(spark, sf_dir).filter(F.length("seq") >= 50)
-    return rows.select("group_key", distance.hamming(F.lower(F.substring("seq", 1, 40)), F.substring("seq", 11, 40)).cast("long").alias("distance"))
+    return reads(spark, sf_dir).filter("seq <> ''").select("group_key", distance.hamming(F.lower("seq"), F.reverse("seq")).cast("long").alias("distance"))
 
 
 NAME_PAIRS = "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS {} FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey"
@@ -323,15 +321,15 @@ def pairwise_cost(spark, sf_dir):
     return name_pairs(spark, sf_dir).withColumn("cost", distance.pairwise("a", "b")["cost"].cast("long"))
 
 
-CONTIGS = f"""{READS}, c AS (SELECT group_key, 0 AS ordinal, substr(seq, 21, 10) AS contig, substr(seq, 1, 60) AS main FROM reads WHERE length(seq) >= 60 UNION ALL SELECT group_key, 1, reverse(substr(seq, 31, 12)), substr(seq, 1, 60) FROM reads WHERE length(seq) >= 60)"""
-BEST = "w AS (SELECT group_key, ordinal, contig, main, unnest(range(0, length(main) - length(contig) + 1)) AS o FROM c), b AS (SELECT group_key, ordinal, contig, main, arg_min(o, hamming(contig, substr(main, o + 1, length(contig))) * 1000 + o) AS o, min(hamming(contig, substr(main, o + 1, length(contig)))) AS distance FROM w GROUP BY ALL)"
+CONTIGS = f"""{READS}, c AS (SELECT group_key, 0 AS ordinal, substr(seq, 21, 10) AS contig, seq AS main FROM reads WHERE length(seq) >= 60 UNION ALL SELECT group_key, 1, reverse(substr(seq, 31, 12)), seq FROM reads WHERE length(seq) >= 60)"""
+BEST = "w AS (SELECT group_key, ordinal, contig, main, unnest(range(0, length(main) - length(contig) + 1)) AS o FROM c), b AS (SELECT group_key, ordinal, contig, main, arg_min(o, hamming(contig, substr(main, o + 1, length(contig))) * 1000000 + o) AS o, min(hamming(contig, substr(main, o + 1, length(contig)))) AS distance FROM w GROUP BY ALL)"
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two contigs for each document of at least 60 bases: a part of its first 60, and a reversed one."""
+    """Two contigs for each document of at least 60 bases against all its bases: a part of them, and a reversed one."""
     r = reads(spark, sf_dir).filter(F.length("seq") >= 60)
     pair = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("seq", 21, 10).alias("contig")), F.struct(F.lit(1).alias("ordinal"), F.reverse(F.substring("seq", 31, 12)).alias("contig")))
-    return r.select("group_key", F.substring("seq", 1, 60).alias("main"), F.explode(pair).alias("c")).select("group_key", "c.*", "main")
+    return r.select("group_key", F.col("seq").alias("main"), F.explode(pair).alias("c")).select("group_key", "c.*", "main")
 
 
 @query(f"WITH {CONTIGS}, {BEST} SELECT group_key, ordinal, contig, CAST(o AS INTEGER) AS offset, CAST(distance AS INTEGER) AS distance FROM b")
