@@ -133,6 +133,14 @@ def parse_vertex_text(lines: DataFrame, multi: bool = True) -> DataFrame:
     return lines.select(F.get(parts, 0).try_cast("long").alias("id"), ids(F.coalesce(F.get(parts, 2), F.lit(""))).alias("to"), F.when(both, ids(F.coalesce(F.get(parts, 3), F.lit("")))).otherwise(F.array().cast("array<bigint>")).alias("from"), F.when(both, F.get(parts, 4)).otherwise(F.get(parts, 3)).alias("payload"))
 
 
+def edges_of_vertices(parsed: DataFrame) -> DataFrame:
+    """Edges of rows id, to, from: each to-neighbour is one edge out of the id. A vertex's predecessors repeat others' successors and are used only where the source has no row."""
+    out = parsed.select(F.col("id").alias("src"), F.explode("to").alias("dst"))
+    into = parsed.select(F.explode("from").alias("src"), F.col("id").alias("dst"))
+    alone = into.join(parsed.select(F.col("id").alias("src")).distinct(), "src", "left_anti")
+    return from_pairs(out.unionByName(alone))
+
+
 def display(vertex_rows: DataFrame) -> DataFrame:
     """id and a readable line of its neighbours."""
     return vertex_rows.select("id", F.concat(F.lit("vertex "), F.col("id").cast("string"), F.lit(" to ["), F.array_join(F.col("out_nbrs").cast("array<string>"), " "), F.lit("] from ["), F.array_join(F.col("in_nbrs").cast("array<string>"), " "), F.lit("]")).alias("line"))

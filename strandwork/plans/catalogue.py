@@ -174,6 +174,11 @@ def vertex_text_parsed(spark, sf_dir):
     return digraph.parse_vertex_text(vertex_text(spark, sf_dir)).select("id", F.size("to").cast("long").alias("n_to"), F.size("from").cast("long").alias("n_from"))
 
 
+@query("SELECT o_custkey % 50 AS src, o_orderkey % 40 AS dst, count(*) AS multiplicity FROM orders GROUP BY ALL")
+def vertex_text_edges(spark, sf_dir):
+    return digraph.edges_of_vertices(digraph.parse_vertex_text(vertex_text(spark, sf_dir)))
+
+
 @query(f"WITH {PART_PAIRS}, g AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) SELECT src, dst, multiplicity - coalesce(n, 0) AS multiplicity FROM e LEFT JOIN g USING (src, dst) WHERE multiplicity > coalesce(n, 0)")
 def remove_edge(spark, sf_dir):
     gone = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))

@@ -99,7 +99,10 @@ def test_vertex_text(spark, tmp_path):
     assert "7;t;8,9,9;" in {r["value"] for r in digraph.vertex_text(v, both=False).collect()}
     assert "vertex 7 to [8 9 9] from [3]" in {r["line"] for r in digraph.display(v).collect()}
     digraph.vertex_text(v).write.text(str(tmp_path / "v"))
-    assert files.read_vertex_text(spark, str(tmp_path / "v")).count() == 4
+    again = files.read_vertex_text(spark, str(tmp_path / "v"))
+    assert again.count() == 4
+    assert {tuple(r) for r in digraph.edges_of_vertices(again).collect()} == {(7, 8, 1), (7, 9, 2), (3, 7, 1)}
+    assert {tuple(r) for r in digraph.edges_of_vertices(again.filter("id = 7")).collect()} == {(7, 8, 1), (7, 9, 2), (3, 7, 1)}
 
 
 def test_coverage_thresholds(spark):
