@@ -22,8 +22,12 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandwork-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors."""
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors.
+
+    rows, an estimate, keeps a table of short rows to one file for each 100,000 of them (and four more) where the
+    session has many more partitions: every file costs its task several file system calls.
+    """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // 100_000 + 4)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
