@@ -113,7 +113,7 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
         own = F.aggregate("soft", F.lit(0.0), lambda s, x: s + x)
         return F.zip_with("soft", above, lambda x, p: (x + STRENGTH * p) / (own + STRENGTH))
 
-    hosts = stored(sums(keyed, "host", "domain", "suffix"), "hosts")
+    hosts = stored(sums(keyed, "host", "domain", "suffix"), "hosts", evidence.count())
     domains = sums(hosts, "domain", "suffix")
     suffixes = sums(domains, "suffix")
     whole = next((r for r in suffixes.agg(*(F.sum(F.col("soft")[i]) for i in range(n))).collect() if r[0] is not None), None)

@@ -215,11 +215,12 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
     Equal fingerprints are one node, so copies cost nothing beyond their row. Null doc_ids belong to a component but
     do not name it; repeated rows stay; an empty table stays empty.
     """
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    linked = graph.components(link_forest(classes.select("fp"), radius))
+    n = prints.count()
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", n)
+    linked = graph.components(link_forest(classes.select("fp"), radius), n)
     named = classes.join(linked, classes["fp"] == linked["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = stored(named.join(names, "component").select("fp", "component_id"), "members")
+    member = stored(named.join(names, "component").select("fp", "component_id"), "members", n)
     return prints.join(member, "fp", "left")
 
 
@@ -321,11 +322,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     Null texts count as empty; all empty texts are one class. Rows that repeat a doc_id count as one document.
     """
     prints = stored(word_prints(docs, words, bands, id_col, text_col).filter("doc_id IS NOT NULL"), "wordprints")
-    names = [f"f{k}" for k in range(bands)]
-    classes = stored(prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(x).alias(x) for x in names)), "classes")
-    found = graph.components(link_forest(classes.filter(F.col("n_shingles") >= LEAST_SHINGLES), radius, tuple(names), "id"))
+    names, n = [f"f{k}" for k in range(bands)], prints.count()
+    classes = stored(prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(x).alias(x) for x in names)), "classes", n)
+    found = graph.components(link_forest(classes.filter(F.col("n_shingles") >= LEAST_SHINGLES), radius, tuple(names), "id"), n)
     wanted = classes.select("set", "id").join(found, "id")
     sets = prints.select("set", F.col("doc_id").alias("id"), "shingles").join(wanted, ["set", "id"]).dropDuplicates(["id", "set"])
-    groups = graph.components(verified_links(sets.select("id", "component", "shingles"), similarity))
+    groups = graph.components(verified_links(sets.select("id", "component", "shingles"), similarity), n)
     named = classes.select("set", "id").join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("group_id"))
     return prints.select("doc_id", "set").join(named, "set").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
