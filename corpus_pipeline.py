@@ -33,14 +33,14 @@ def drop_undecided_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     source = F.col("source")
     evidence = docs.select(key.alias("key"), source.alias("host"), source.alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
     found = langid.identify(evidence, langid.text_model(docs))
-    rejected = stored(found.filter((F.col("n_trigrams") == 0) | (F.col("confidence") < DECIDED)).select("key").distinct(), "rejected")
+    rejected = stored(found.filter((F.col("n_trigrams") == 0) | (F.col("confidence") < DECIDED)).select("key").distinct(), "rejected", docs.count())
     return docs.withColumn("_key", key).join(rejected.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id; rows without a doc_id stay."""
     bounded_arrow(spark)
-    others = stored(simhash.near_duplicates(docs).filter("doc_id <> group_id").select("doc_id"), "others")
+    others = stored(simhash.near_duplicates(docs).filter("doc_id <> group_id").select("doc_id"), "others", docs.count())
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -49,7 +49,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = F.xxhash64("doc_id", "text")
     rates, _ = mixing.mix_rates(mixing.domain_features(docs.withColumn("_key", key), "_key"), MIX_TARGETS)
     # most rows are taken once: only the others' keys are looked up
-    changed = stored(rates.filter("copies <> 1").select(F.col("id").alias("_key"), F.col("copies").alias("_copies")).distinct(), "copies")
+    changed = stored(rates.filter("copies <> 1").select(F.col("id").alias("_key"), F.col("copies").alias("_copies")).distinct(), "copies", docs.count())
     taken = docs.withColumn("_key", key).join(changed, "_key", "left")
     return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))).select(*docs.columns)
 
