@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     are held against each other exactly. A set of fewer than LEAST_SHINGLES shingles is near to equal sets only.
     Null texts count as empty; all empty texts are one class. Rows that repeat a doc_id count as one document.
     """
-    prints = stored(word_prints(docs, words, bands, id_col, text_col).filter("doc_id IS NOT NULL"), "wordprints")
+    prints = stored(word_prints(docs, words, bands, id_col, text_col).filter("doc_id IS NOT NULL"), "wordprints", 5 * docs.count())
     names, n = [f"f{k}" for k in range(bands)], prints.count()
     classes = stored(prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(x).alias(x) for x in names)), "classes", n)
     found = graph.components(link_forest(classes.filter(F.col("n_shingles") >= LEAST_SHINGLES), radius, tuple(names), "id"), n)
