@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -226,15 +227,44 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 #: Documents of one side that are held against each other at once, and the fewest shingles at which sets can be near but unequal.
 BLOCK_DOCS, LEAST_SHINGLES = 256, 4
+#: Rows of the sample that tells common shingles, how many of these are kept, and rows of one of them that meet in one task.
+COMMON_SAMPLE, COMMON_KEPT, COMMON_BLOCK = 8_000, 100_000, 8_192
 
 
-def word_prints(docs: DataFrame, words: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set (a digest of the set of shingles), n_shingles, f0, f1, ... and shingles of every row.
+def common_shingles(docs: DataFrame, words: int, n: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the shingles that several rows of a sample hold, and in how many of the n rows they are likely to be."""
+    share = min(1.0, COMMON_SAMPLE / max(1, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch)]
+            h, m = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(m)], ["h", "m"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = sample.mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).filter("m > 1").orderBy(F.desc("m"), "h").limit(COMMON_KEPT).collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    m = np.array([r["m"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], np.ceil(m[order] / share).astype(np.int64)
+
+
+def _spread(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many rows each of the hashes is likely to be; 0 for those that are not common."""
+    if not len(common[0]):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    return np.where(common[0][at] == hashes, common[1][at], 0)
+
+
+def word_prints(docs: DataFrame, words: int, bands: int, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> DataFrame:
+    """doc_id, set (a digest of the set of shingles), n_shingles, f0, f1, ..., shingles and rare of every row.
 
     f0, f1, ... are SimHashes of the set of words, each by hashes of its own; shingles holds the sorted 32-bit hashes of
-    the runs of `words` words. Null texts count as empty and have no shingle.
+    the runs of `words` words, rare the 64-bit ones of the rarest: as many as cannot all be missing from a set of the similarity,
+    so that any two such sets share one. Null texts count as empty and have no shingle.
     """
-    schema = "doc_id long, set string, n_shingles int, " + ", ".join(f"f{k} long" for k in range(bands)) + ", shingles binary"
+    schema = "doc_id long, set string, n_shingles int, " + ", ".join(f"f{k} long" for k in range(bands)) + ", shingles binary, rare binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest, xxh64_intdigest
@@ -252,9 +282,10 @@ def word_prints(docs: DataFrame, words: int, bands: int, id_col: str = "doc_id",
                     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
                     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
                     prints.append(fingerprint(h ^ h >> np.uint64(31)))
-                out.append((digest, len(wide), *np.array(prints, np.uint64).view(np.int64).tolist(), np.unique(wide.astype(np.uint32)).tobytes()))
-            kinds = [pa.string(), pa.int32(), *[pa.int64()] * bands, pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "set", "n_shingles", *(f"f{k}" for k in range(bands)), "shingles"])
+                rare = wide[np.argsort(_spread(wide, common), kind="stable")[: len(wide) - math.ceil(similarity * len(wide) - 1e-9) + 1]]
+                out.append((digest, len(wide), *np.array(prints, np.uint64).view(np.int64).tolist(), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes()))
+            kinds = [pa.string(), pa.int32(), *[pa.int64()] * bands, pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "set", "n_shingles", *(f"f{k}" for k in range(bands)), "shingles", "rare"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
@@ -311,22 +342,95 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def shared_rare(members: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """a, b: all pairs of ids of unequal component that share a rare shingle and may by size and place reach the similarity.
+
+    members has id, component, n_shingles and rare. In the order of rarity the first shingle that two sets share leaves room for only
+    so many more, which most pairs fail. A common shingle's rows are dealt out over blocks, each pair
+    of blocks one unit of work; a unit of one component only gives nothing.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "rare"):
+            out = []
+            for key, component, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = np.frombuffer(raw, np.uint64)
+                blocks = -(-_spread(hashes, common) // COMMON_BLOCK)
+                place = np.repeat(np.arange(len(hashes)), np.maximum(blocks, 1))
+                blocks = np.maximum(blocks, 1)
+                other = np.arange(len(place)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                own = (key * 0x9E3779B97F4A7C15 >> 20) % (1 << 40) % blocks[place]
+                unit = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(np.uint64)
+                keys = hashes[place] ^ unit * np.uint64(0xBF58476D1CE4E5B9)
+                out.append(np.stack([keys.view(np.int64), np.full(len(place), component), n << 32 | place, np.full(len(place), key)]))
+            table = np.concatenate(out, 1)
+            for at in range(0, table.shape[1], FOREST_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + FOREST_ROWS]) for c in table], ["key", "component", "place", "id"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 1):
+            first = np.flatnonzero(np.concatenate([[True], table[1:, 0] != table[:-1, 0]]))
+            sizes = np.diff([*first, len(table)])
+            mixed = np.minimum.reduceat(table[:, 1], first) != np.maximum.reduceat(table[:, 1], first)
+            table, end = table[np.repeat(mixed, sizes)], np.repeat(np.cumsum(sizes[mixed]), sizes[mixed])
+            n, place = table[:, 2] >> 32, table[:, 2] & 0xFFFFFFFF
+            live, step, found = np.arange(len(table)), 1, [np.zeros((0, 2), np.int64)]
+            while len(live := live[live + step < end[live]]):
+                x, y = live, live + step
+                room = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+                hit = (table[x, 1] != table[y, 1]) & (room >= similarity / (1 + similarity) * (n[x] + n[y]) - 1e-6)
+                x, y = table[x[hit], 3], table[y[hit], 3]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                step += 1
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = members.select("id", "component", "n_shingles", "rare").mapInArrow(deal, "key long, component long, place long, id long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs a, b whose sets (id, shingles) have a Jaccard similarity that reaches the bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x"):
+            hit = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(hit))
+
+    one, two = (sets.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 4, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and group_id, the least doc_id of the row's group, for every row with a doc_id.
 
     Documents whose sets of word shingles are equal are one class. Classes link if the Jaccard similarity of their sets
-    reaches the bound, and a group is what links reach. SimHashes of the sets of words find the candidates: at a similarity of 0.8
-    over five words at most some 2 in 100 words differ, about 4 of 64 bits of a band, so that one of four bands
-    lies within 5 bits in over 997 of 1000 cases; BK-trees find all classes within the radius and components of these
-    are held against each other exactly. A set of fewer than LEAST_SHINGLES shingles is near to equal sets only.
+    reaches the bound, and a group is what links reach. Candidates come twice. SimHashes of the sets of words find edits that are
+    scattered over a text: BK-trees give all classes within the radius, and components of these are held against each other exactly.
+    Of classes that are then still apart, all pairs that share one of their rarest shingles are compared (see word_prints):
+    no pair of the similarity is missed, whether words are put in, left out or exchanged.
+    A set of fewer than LEAST_SHINGLES shingles is near to equal sets only.
     Null texts count as empty; all empty texts are one class. Rows that repeat a doc_id count as one document.
     """
-    prints = stored(word_prints(docs, words, bands, id_col, text_col).filter("doc_id IS NOT NULL"), "wordprints", 5 * docs.count())
+    n_docs = docs.count()
+    common = common_shingles(docs, words, n_docs, id_col, text_col)
+    prints = stored(word_prints(docs, words, bands, id_col, text_col, similarity, common).filter("doc_id IS NOT NULL"), "wordprints", 5 * n_docs)
     names, n = [f"f{k}" for k in range(bands)], prints.count()
     classes = stored(prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(x).alias(x) for x in names)), "classes", n)
-    found = graph.components(link_forest(classes.filter(F.col("n_shingles") >= LEAST_SHINGLES), radius, tuple(names), "id"), n)
+    large = classes.filter(F.col("n_shingles") >= LEAST_SHINGLES)
+    found = graph.components(link_forest(large, radius, tuple(names), "id"), n)
     wanted = classes.select("set", "id").join(found, "id")
     sets = prints.select("set", F.col("doc_id").alias("id"), "shingles").join(wanted, ["set", "id"]).dropDuplicates(["id", "set"])
-    groups = graph.components(verified_links(sets.select("id", "component", "shingles"), similarity), n)
+    links = stored(verified_links(sets.select("id", "component", "shingles"), similarity), "links", n)
+    linked = large.select("set", "id").join(graph.components(links, n), "id", "left").select("set", "id", F.coalesce("component", "id").alias("component"))
+    members = prints.select("set", F.col("doc_id").alias("id"), "n_shingles", "rare").join(linked, ["set", "id"])
+    pairs = stored(shared_rare(members, similarity, common), "pairs", n)
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = prints.select("set", F.col("doc_id").alias("id"), "shingles").join(large.select("set", "id").join(asked, "id"), ["set", "id"]).dropDuplicates(["id", "set"])
+    groups = graph.components(links.unionByName(similar_pairs(pairs, sets, similarity)), n)
     named = classes.select("set", "id").join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("group_id"))
     return prints.select("doc_id", "set").join(named, "set").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))

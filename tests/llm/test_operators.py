@@ -267,6 +267,28 @@ def test_large_shards_get_several_trees(spark, monkeypatch):
     assert dict(want)[1002] == 1001 and {c for d, c in want if d < 1000} == {0}
 
 
+@pytest.mark.parametrize("block", [8192, 16])
+def test_texts_with_runs_put_in_or_left_out_are_near(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "COMMON_BLOCK", block, raising=False)
+    rng = random.Random(4)
+    stock = [f"s{rng.randrange(10**6)}" for _ in range(30)]
+    texts = []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 40, 104, 300]))]
+        n = len(w) - 4
+        run = [f"z{rng.randrange(10**6)}" for _ in range(n // 4)]
+        cut = n - -(-4 * n // 5)
+        twin = [w + run, run + w, w[: len(w) - cut], w[cut:], w[: len(w) // 2] + run[: max(0, len(run) - 5)] + w[len(w) // 2 :]][i % 5]
+        tail = stock if i % 2 else []
+        texts += [w + tail, twin + tail]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = dict(map(tuple, simhash.near_duplicates(rows).collect()))
+    near = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert sum(near) >= 25
+    assert found == {i: i - 1 if i % 2 and near[i // 2] else i for i in range(80)}
+
+
 def test_large_components_are_held_against_each_other_in_blocks(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
