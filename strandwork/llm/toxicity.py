@@ -28,10 +28,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = "._-*~'`^=:;,/\\#%&·​"
 #: Log probabilities of the channel: a letter as it is, in leetspeak, repeated, and a separator put in.
 AS_IS, SWAPPED, REPEATED, SEPARATED = 0.0, -1.5, -0.7, -0.5
+#: A blank put into a word (between single characters it counts as a separator); what means itself: a digit beside a letter, one
+#: that is not, another mark of LEET.
+SPACED, DIGIT_IN_WORD, DIGIT, MARK = -3.0, -7.0, -4.0, -2.0
+#: Letters of a piece that begins where a word may: more than the longest beginning that is a feature.
+PIECE = 12
 
 _EDGE = re.compile(r"^[^\w$@!|+€£¡]+|[^\w$@!|+€£¡]+$")
 _RUN = re.compile(r"([^\w\s])\1\1+")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _DISGUISED = re.compile("[0-9@$!|+(€£¡" + re.escape(SEPARATORS) + r"]|(.)\1\1")
 
 
@@ -70,46 +74,133 @@ def language_model(docs: DataFrame, text_col: str = "text") -> list[float]:
     return np.log(p3).ravel().tolist()
 
 
-def restore(token: str, model: list[float]) -> str:
-    """The likeliest letters behind a disguised token: Viterbi over its lattice.
+def decode(text: str, model: list[float]) -> tuple[list[str], list[str]]:
+    """The likeliest words behind a run of disguised tokens, and their pieces from each place where an edge may be: Viterbi over its lattice.
 
-    Position by position the lattice lets a character stand for itself, for a letter of LEET, or for
-    nothing (a repeated letter, a separator). A path's score is the channel's plus that of the language model;
-    a state is the last two symbols, and the best path to each is kept.
+    Position by position the lattice lets a character stand for itself, for a letter of LEET, for
+    nothing (a repeated letter, a separator, a blank), or for the edge of a word (whatever is no letter). A path's score is the
+    channel's plus that of the language model; a state is the last two symbols, and the best path to each is kept. Where
+    the path drops a blank or a separator, the rest of the word is a piece: the model may have missed an edge there.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for ch in token:
+    for i, ch in enumerate(text):
         options: list[tuple[str, int, float]] = []
         if ch.isalpha():
             options.append((ch, ord(ch) - 96 if "a" <= ch <= "z" else OTHER, AS_IS))
         options += [(x, ord(x) - 96, SWAPPED) for x in LEET.get(ch, "")]
-        skip = REPEATED if ch == before else SEPARATED if ch in SEPARATORS else None if options else 0.0
-        new: dict[tuple[int, int], tuple[float, str]] = {s: (v + skip, out) for s, (v, out) in best.items()} if skip is not None else {}
+        skip = REPEATED if ch == before else None
+        beside = text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha()
+        edge = None if ch.isalpha() else (DIGIT_IN_WORD if beside else DIGIT) if ch.isdigit() else MARK
+        if ch == " ":
+            lone = text[max(0, i - 2) : i - 1] in ("", " ") and text[i + 2 : i + 3] in ("", " ")
+            skip, edge = (SEPARATED, SEPARATED) if lone else (SPACED, 0.0)
+        elif ch in SEPARATORS:
+            skip = edge = SEPARATED
+        elif not options:
+            skip = edge = 0.0
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {s: (v + skip, out if options else (out, "\n")) for s, (v, out) in best.items()} if skip is not None else {}
         for (a, b), (v, out) in best.items():
             for x, c, cost in options:
                 score = v + cost + model[(a * SYMBOLS + b) * SYMBOLS + c]
                 if (b, c) not in new or new[b, c][0] < score:
-                    new[b, c] = score, out + x
+                    new[b, c] = score, (out, x)
+            if edge is not None:
+                state, score = ((b, 0), v + edge + model[(a * SYMBOLS + b) * SYMBOLS]) if b else ((a, 0), v + edge)
+                if state not in new or new[state][0] < score:
+                    new[state] = score, (out, " ")
         best, before = new, ch
-    return max((v + model[(a * SYMBOLS + b) * SYMBOLS], out) for (a, b), (v, out) in best.items())[1]
+    path = max(((v + model[(a * SYMBOLS + b) * SYMBOLS] if b else v, out) for (a, b), (v, out) in best.items()), key=lambda x: x[0])[1]
+    letters = []
+    while path:
+        path, x = path
+        letters.append(x)
+    words, pieces = [], []
+    for parts in (w.split("\n") for w in "".join(reversed(letters)).split(" ")):
+        word, at = "".join(parts), 0
+        if word:
+            words.append(word)
+        for part in parts[:-1]:
+            at += len(part)
+            pieces.append(word[at : at + PIECE])
+    return words, [x for x in pieces if len(x) > 2]
+
+
+def restore(token: str, model: list[float]) -> str:
+    """The likeliest words behind a disguised token, with blanks between them."""
+    return " ".join(decode(token, model)[0])
+
+
+def open_edges(model: list[float]) -> bytes:
+    """1 at (last two symbols of a word, first two of the next) if a blank between them is likelier put in than an edge.
+
+    The choice at a blank changes these trigrams only, so it is that of the lattice wherever words have two letters.
+    """
+    m = np.array(model).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    joined = m[:, :, :, None] + m[None, :, :, :] + SPACED
+    apart = m[:, :, 0][:, :, None, None] + m[:, 0, :][None, :, :, None] + m[0][None, None, :, :]
+    return (joined > apart).astype(np.uint8).tobytes()
+
+
+def _symbol(ch: str) -> int:
+    return ord(ch) - 96 if "a" <= ch <= "z" else OTHER
 
 
-def readings(text: str, memo: dict[str, tuple[str, ...]], model: list[float], entries: int = 120_000) -> set[str]:
-    """All words of a text, each as it stands without its marks and, if it may be disguised, as restored."""
-    text = text.lower()
+def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, bool, int, int]:
+    """A token's words, what is left of it without outer marks, whether that is one character, its first and last two symbols."""
+    bare = _EDGE.sub("", _RUN.sub("", token))
+    plain = "".join(ch for ch in bare if ch.isalpha())
+    words = [plain] if plain else []
+    found = [plain]
+    if _DISGUISED.search(bare):
+        found, pieces = decode(bare, model)
+        words += found + pieces
+        found = found or [""]
+    head, tail = found[0], found[-1]
+    lead = (_symbol(head[0]) * SYMBOLS + (_symbol(head[1]) if len(head) > 1 else 0)) if head else -1
+    end = ((_symbol(tail[-2]) if len(tail) > 1 else 0) * SYMBOLS + _symbol(tail[-1])) if tail else -1
+    return tuple({w for w in words if w}), bare, len(bare) == 1 and (bare.isalpha() or bare in LEET), lead, end
+
+
+def readings(text: str, memo: dict[str, tuple], model: list[float], entries: int = 120_000) -> set[str]:
+    """All words of a text: each as it stands without its marks, as restored if it may be disguised, and those of runs of tokens.
+
+    A run goes on where two tokens are single characters or where a blank is likelier put in than the edge of a word; the
+    lattice then decides on all of the run together.
+    """
+    edges = memo.get("")
+    if edges is None:
+        edges = memo[""] = open_edges(model)
     words: set[str] = set()
-    for token in {*text.split(), *(m[0].replace(" ", "") for m in _SPACED.finditer(text))}:
+    run: list[str] = []
+    lone, end = False, -1
+
+    def close() -> None:
+        whole = " ".join(run)
+        found = memo.get(whole)
+        if found is None:
+            found = tuple(x for part in decode(whole, model) for x in part)
+            if len(memo) < entries and len(whole) <= 64:
+                memo[whole] = found
+        words.update(found)
+
+    for token in text.lower().split():
         found = memo.get(token)
         if found is None:
-            bare = _EDGE.sub("", _RUN.sub("", token))
-            plain = "".join(ch for ch in bare if ch.isalpha())
-            found = (plain,) if plain else ()
-            if plain and len(bare) < 64 and _DISGUISED.search(bare):
-                found = tuple({plain, restore(bare, model)})
+            found = _token(token, model)
             if len(memo) < entries and len(token) <= 64:
                 memo[token] = found
-        words.update(found)
+        more, bare, single, lead, tail = found
+        words.update(more)
+        if run and (lone and single or end >= 0 and lead >= 0 and edges[end * SYMBOLS * SYMBOLS + lead]):
+            run.append(bare)
+        else:
+            if len(run) > 1:
+                close()
+            run = [bare]
+        lone, end = single, tail
+    if len(run) > 1:
+        close()
     words.discard("")
     return words
 

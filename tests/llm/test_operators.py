@@ -332,6 +332,15 @@ def test_restore_undoes_disguises(spark):
     assert toxicity.readings("", memo, model) == set() and toxicity.readings("12 555-0100", memo, model) == set()
 
 
+def test_blanks_and_separators_are_noise_or_edges(spark):
+    text = "you are a moron and you stupid idiot keep that worthless trash in a river of stone said the man to me " * 30
+    model = toxicity.language_model(spark.createDataFrame([(text,)], "text string"))
+    cases = {"you are a m o r o n": "moron", "y o u s t u p i d": "stupid", "you,idiot": "idiot", "worthless/trash": "trash", "i  d  i  o  t": "idiot", "i. d. i. o. t.": "idiot", "a mo ron": "moron", "1 d 1 0 t": "idiot", "river" * 14 + ",1d10t": "idiot", "mo\nron": "moron"}
+    for shown, word in cases.items():
+        assert word in toxicity.readings(shown, {}, model), (shown, toxicity.readings(shown, {}, model))
+    assert toxicity.readings("the man said to me", {}, model) == {"the", "man", "said", "to", "me"}
+
+
 def test_disguised_words_score_like_plain_ones(spark):
     rng = random.Random(1)
     words = "river stone paper light morning water garden letter window".split()
