@@ -19,6 +19,8 @@ from strandwork.llm.common import slices, stored, texts_of
 SAMPLE = 20_000
 #: Word features that the model keeps at most.
 KEPT = 5_000
+#: Smoothed log odds that a feature needs: four times as frequent in toxic texts as in clean ones.
+LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
 SYMBOLS, OTHER = 28, 27
 
@@ -259,16 +261,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
             yield pa.RecordBatch.from_arrays([pa.array(tally), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], ["f", "clean", "toxic"])
 
     counts = chosen.mapInArrow(emit, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # the clearest by toxic * log odds, so that chance hits of rare words come last
-    seen = counts.filter("toxic >= 3 AND toxic > clean OR f = ''").orderBy(F.when(F.col("f") == "", 1e18).otherwise(F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))).desc(), "f").limit(KEPT + 1).collect()
-    held = {r["f"]: (r["clean"], r["toxic"]) for r in seen}
-    n_clean, n_toxic = held.pop("", (0, 0))
+    counts = stored(counts.filter("toxic >= 3 OR f = ''"), "features")
+    whole = counts.filter("f = ''").first()
+    n_clean, n_toxic = (whole["clean"], whole["toxic"]) if whole else (0, 0)
     if not n_clean or not n_toxic:
         return {"flat": float(n_toxic / max(1, n_clean + n_toxic)), "language": model}
 
     def odds(clean: int, toxic: int) -> float:
         return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
+    # the clearest by toxic * log odds, so that chance hits of rare words come last
+    clear = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) + math.log((n_clean + 1) / (n_toxic + 1))
+    seen = counts.filter("f <> ''").filter(clear >= LEAST_ODDS).orderBy((F.col("toxic") * clear).desc(), "f").limit(KEPT).collect()
+    held = {r["f"]: (r["clean"], r["toxic"]) for r in seen}
+
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(model)
         for batch in slices(batches, "text"):

@@ -352,6 +352,15 @@ def test_disguised_words_score_like_plain_ones(spark):
     assert s[1] > 0.5 and s[3] > 0.5 and s[2] < 0.3 and s[4] < 0.3
 
 
+def test_features_of_rare_toxic_labels_count_by_their_odds(spark):
+    rng = random.Random(2)
+    words = "river stone paper light morning water garden letter window".split()
+    rows = [(i, " ".join(rng.choices(words, k=20)) + f" n{i}" + (" idiot" if i % 50 == 0 or i % 25 == 1 else ""), int(i % 50 == 0)) for i in range(1500)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model["values"]["=idiot"] > 2 and "=river" not in model["values"]
+
+
 def test_pu_risk_separates_without_negatives():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.7
