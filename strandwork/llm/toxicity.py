@@ -150,6 +150,8 @@ def _symbol(ch: str) -> int:
 
 def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, bool, int, int]:
     """A token's words, what is left of it without outer marks, whether that is one character, its first and last two symbols."""
+    if len(token) > 1 and token.isalpha() and token.isascii() and not _DISGUISED.search(token):
+        return (token,), token, False, _symbol(token[0]) * SYMBOLS + _symbol(token[1]), _symbol(token[-2]) * SYMBOLS + _symbol(token[-1])
     bare = _EDGE.sub("", _RUN.sub("", token))
     plain = "".join(ch for ch in bare if ch.isalpha())
     words = [plain] if plain else []
@@ -178,6 +180,10 @@ def readings(text: str, memo: dict[str, tuple], model: list[float], entries: int
     lone, end = False, -1
 
     def close() -> None:
+        if all(len(x) > 1 and x.isalpha() for x in run):
+            # open_edges has decided
+            words.add("".join(run))
+            return
         whole = " ".join(run)
         found = memo.get(whole)
         if found is None:
@@ -186,10 +192,11 @@ def readings(text: str, memo: dict[str, tuple], model: list[float], entries: int
                 memo[whole] = found
         words.update(found)
 
+    mine: dict[str, tuple] = {}
     for token in text.lower().split():
-        found = memo.get(token)
+        found = memo.get(token) or mine.get(token)
         if found is None:
-            found = _token(token, model)
+            found = mine[token] = _token(token, model)
             if len(memo) < entries and len(token) <= 64:
                 memo[token] = found
         more, bare, single, lead, tail = found
