@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import stored
 
-# The letters that a text's domain is told by.
-LETTERS = "ehkqtuwzäçéèñóüß"
+# The letters that a text's domain is told by: the alphabet and the accented letters of western Europe.
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíñóöùúüß"
 #: Share of the letters' log likelihood that counts, as neighbours depend on each other.
 TEMPER = 0.25
 

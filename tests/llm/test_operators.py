@@ -398,6 +398,13 @@ def test_predecessors_across_parts(spark):
     assert out == {-5: (20, 21), 1: (-5, -4), 3: (1, 2), 7: (3, 4), 9: (7, 8), 20: (9, 10)}
 
 
+def test_mixing_tells_domains_by_any_letter(spark):
+    rows = [(i, "fox vina gala " * 5, "a") for i in range(5)] + [(10 + i, "jormp broo dyl " * 5, "b") for i in range(5)] + [(20, "vanilla", None), (21, "romp", None)]
+    rates, mix = mixing.mix_rates(mixing.domain_features(spark.createDataFrame(rows, "doc_id long, text string, lang string")), {"a": 1.0, "b": 1.0})
+    found = {r["id"]: r["posterior"] for r in rates.collect()}
+    assert mix.domains == ["a", "b"] and found[20][0] > 0.7 and found[21][1] > 0.7
+
+
 def test_mixing_without_labels_or_targets(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     rates, _ = mixing.mix_rates(mixing.domain_features(docs), {"en": 1.0})
