@@ -6,6 +6,8 @@ documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from strandwork.llm.queries import MIX_TARGETS, fold, tokenizer_path
 TOXIC = 0.3
 #: Confidence in the fused language below which no language is decided.
 DECIDED = 0.5
+#: Share of texts that are expected to be in none of the corpus's languages.
+OTHER = 0.01
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +31,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undecided_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose fused evidence (text, declared lang, source as host) decides on a language; texts without letters go."""
+    """Rows whose fused evidence (text, declared lang, source as host) decides on a language; texts without letters go.
+
+    The posterior knows the corpus's own languages only, so another one stands against them: all trigrams are equally likely in it.
+    Where that explains the text better than every language does, weighed by OTHER, the text is in none of them.
+    """
     bounded_arrow(spark)
     key = F.xxhash64("doc_id", "text", "lang", "source")
     source = F.col("source")
     evidence = docs.select(key.alias("key"), source.alias("host"), source.alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
     found = langid.identify(evidence, langid.text_model(docs))
-    rejected = stored(found.filter((F.col("n_trigrams") == 0) | (F.col("confidence") < DECIDED)).select("key").distinct(), "rejected", docs.count())
+    other = F.lit(math.log(OTHER)) - F.col("n_trigrams") * F.lit(langid.TEMPER * math.log(langid.BINS))
+    rejected = stored(found.filter((F.col("n_trigrams") == 0) | (other > F.array_max("loglik")) | (F.col("confidence") < DECIDED)).select("key").distinct(), "rejected", docs.count())
     return docs.withColumn("_key", key).join(rejected.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -30,6 +32,15 @@ def test_clean_documents_keep_their_language(spark, docs):
     assert {r["doc_id"] for r in corpus_pipeline.drop_undecided_language(spark, odd, SF).collect()} == {2}
 
 
+def test_texts_of_no_language_of_the_corpus_go(spark, docs):
+    rng = random.Random(6)
+    odd = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "すべての人間は、生まれながらにして自由であり", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق"]
+    odd += [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(12)) for _ in range(5)] + [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(20)) for _ in range(5)]
+    more = spark.createDataFrame([(10**9 + i, x, "en" if i % 2 else None, "s", len(x)) for i, x in enumerate(odd)], docs.schema)
+    left = {r["doc_id"] for r in corpus_pipeline.drop_undecided_language(spark, docs.unionByName(more), SF).collect()}
+    assert not [k for k in left if k >= 10**9] and len(left) == docs.filter("text rlike '[A-Za-z]'").select("doc_id").distinct().count()
+
+
 def test_one_of_each_group_stays(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     rows = {r["doc_id"]: set(simhash.shingle_hashes(r["text"] or "", 5).tolist()) for r in docs.collect()}
