@@ -179,6 +179,22 @@ def vertex_text_edges(spark, sf_dir):
     return digraph.edges_of_vertices(digraph.parse_vertex_text(vertex_text(spark, sf_dir)))
 
 
+@query(f"""WITH {PART_PAIRS}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1)
+    SELECT coalesce(o.id, i.id) || ';b;' || coalesce(t, '') || ';' || coalesce(f, '') || ';' AS value FROM o FULL JOIN i ON o.id = i.id""")
+def vertex_text_whole(spark, sf_dir):
+    return digraph.vertex_text(digraph.vertices(parts(spark, sf_dir)))
+
+
+@query(f"WITH {PART_PAIRS} SELECT id, CAST(sum(o) AS BIGINT) AS n_to, CAST(sum(i) AS BIGINT) AS n_from FROM (SELECT src AS id, multiplicity AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, multiplicity FROM e) GROUP BY ALL")
+def vertex_text_whole_parsed(spark, sf_dir):
+    return digraph.parse_vertex_text(vertex_text_whole(spark, sf_dir)).select("id", F.size("to").cast("long").alias("n_to"), F.size("from").cast("long").alias("n_from"))
+
+
+@query(f"WITH {PART_PAIRS} SELECT src, dst, multiplicity FROM e")
+def vertex_text_whole_edges(spark, sf_dir):
+    return digraph.edges_of_vertices(digraph.parse_vertex_text(vertex_text_whole(spark, sf_dir)))
+
+
 @query(f"WITH {PART_PAIRS}, g AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) SELECT src, dst, multiplicity - coalesce(n, 0) AS multiplicity FROM e LEFT JOIN g USING (src, dst) WHERE multiplicity > coalesce(n, 0)")
 def remove_edge(spark, sf_dir):
     gone = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))

@@ -258,3 +258,11 @@ def test_streaming_counts_equal_batch_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("edge_counts").collect()} == {tuple(r) for r in kmers.edges(rows, 3).collect()}
+
+
+def test_vertex_text_runs_over_a_whole_graph(spark):
+    folder = "/root/testdata/sf0.001"
+    pairs = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("stack(2, l_partkey, l_suppkey) AS id").distinct()
+    from strandwork.plans import catalogue
+
+    assert catalogue.QUERIES["vertex_text_whole"](spark, folder).count() == pairs.count() > 50
