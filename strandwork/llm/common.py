@@ -48,6 +48,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         yield batch.slice(at)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """slices, and small consecutive ones put together up to about `most` bytes."""
+    held, room = [], most
+    for part in slices(batches, column, most):
+        size = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and size > room:
+            yield pa.concat_batches(held)
+            held, room = [], most
+        held.append(part)
+        room -= size
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Whole texts; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import SLICE_BYTES, partitions, slices, stored, texts_of
+from strandwork.llm.common import SLICE_BYTES, gathered, partitions, stored
 from strandwork.llm.tokens import encoder
 
 #: Pieces that one task packs: some tens of MB, and about a second.
@@ -31,10 +31,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in slices(batches, "text", 4 * SLICE_BYTES):
+        for batch in gathered(batches, "text", 8 * SLICE_BYTES):
             keys, out = batch.column("doc_id").to_pylist(), []
-            for key, ids in zip(keys, encode.encode(texts_of(batch)), strict=True):
-                ids = np.append(ids, end_id).astype("<u4")
+            flat, counts = encode.encode(batch.column("text"))
+            ends = np.cumsum(counts)
+            # every text's end id is put in at once
+            flat = np.insert(flat.astype("<u4"), ends, end_id)
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            for key, begin, end in zip(keys, [0, *ends], ends, strict=False):
+                ids = flat[begin:end]
                 first = len(ids) % capacity or capacity
                 for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity), strict=True)):
                     out.append((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].tolist()] * with_ids)))

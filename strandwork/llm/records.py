@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import SLICE_BYTES, crc32c_many, fresh_path, masked, slices, stored, texts_of
+from strandwork.llm.common import SLICE_BYTES, crc32c_many, fresh_path, gathered, masked, stored
 from strandwork.llm.tokens import encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
@@ -63,15 +63,18 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int, folde
     """Encodes each text, appends end_id and writes the ids in ascending id order; returns the manifest.
 
     Null texts count as empty (one record with end_id), null ids come first, rows with equal ids are
-    ordered by text and each has its record; other columns are left out; an empty table gives no files.
+    ordered by a digest of the text and each has its record, and may lie in several files; other columns are left out; an empty table gives no files.
     Every attempt of a task writes files of its own name and the manifest names those of the attempt
     that counted, so a lost executor leaves unused files at most. One manifest row for each file.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "records")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    dealt = base.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # ids that many rows share are cut by the texts' digests, and equal rows by where they lie
+    order = ["doc_id", "_digest", "_row"]
+    dealt = base.withColumns({"_digest": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
@@ -80,16 +83,17 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int, folde
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"
         files, at, n_records, n_tokens = None, 0, 0, 0
-        for batch in slices(batches, "text", 4 * SLICE_BYTES):
+        for batch in gathered(batches, "text", 8 * SLICE_BYTES):
             if files is None:
                 store, root = filesystem(folder)
                 store.create_dir(root, recursive=True)
                 files = [store.open_output_stream(f"{root}/{name}.{kind}") for kind in ("rec", "idx")]
             keys = batch.column("doc_id").to_pylist()
-            ids = encode.encode(texts_of(batch))
-            out, starts = frame([bytes([flag + (k is None)]) + (k or 0).to_bytes(8, "little", signed=True) + x.tobytes() + end for k, x in zip(keys, ids, strict=True)])
+            ids, counts = encode.encode(batch.column("text"))
+            raw, ends = memoryview(ids).cast("B"), (np.cumsum(counts) * ids.itemsize).tolist()
+            out, starts = frame([b"".join((bytes([flag + (k is None)]), (k or 0).to_bytes(8, "little", signed=True), raw[a:b], end)) for k, a, b in zip(keys, [0, *ends], ends, strict=False)])
             index = np.zeros(len(keys), INDEX)
-            index["doc_id"], index["offset"], index["n_tokens"] = [k or 0 for k in keys], starts + at, [len(x) + 1 for x in ids]
+            index["doc_id"], index["offset"], index["n_tokens"] = [k or 0 for k in keys], starts + at, counts + 1
             files[0].write(out)
             files[1].write(index.tobytes())
             at, n_records, n_tokens = at + len(out), n_records + len(keys), n_tokens + int(index["n_tokens"].sum())

@@ -158,12 +158,17 @@ def test_crc32c_known_value():
     assert int(common.masked(np.array([0xE3069283], np.uint32))[0]) == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def test_pieces_give_the_ids_of_whole_texts():
-    e = tokens.PieceEncoder(tokenizer_path(), entries=5)
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     rng = random.Random(2)
-    texts = ["", " ", "\n", "a\n", "a  b", "a \n b", "a\tb c", "x y z", "don't we'll <|endoftext|> 12 345", "\x01a b", "é ü 漢字 🙂 x", *("".join(rng.choice("ab .,\n\t'1é ") for _ in range(40)) for _ in range(300))]
-    for _ in range(2):
-        assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["", " ", "\n", "a\n", "a  b", "a \n b", "a\tb c", "x y z", "don't we'll <|endoftext|> 12 345", "\x01a b", "é ü 漢字 🙂 x", "it's. he'll, x's! o'. Ünd;", *("".join(rng.choice("ab .,\n\t'1é ") for _ in range(40)) for _ in range(300))]
+    texts += ["<|endoftext|>", "<|endoftext|> a", "a<|endoftext|>b c", "x <|endoftext|><|endoftext|> y <|endoftext|>", "a <|endoftext|> b", "word.<|endoftext|>, word"]
+    texts += [" ".join(texts), "a b " + "x, y. " * 50]
+    for part in (1 << 20, 30):
+        monkeypatch.setattr(tokens, "PART", part)
+        e = tokens.PieceEncoder(tokenizer_path(), entries=5)
+        for _ in range(2):
+            flat, counts = e.encode(texts)
+            assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_records_seek_and_find_damage(spark, docs, tmp_path):
@@ -189,6 +194,14 @@ def test_null_ids_come_first_in_records(spark, tmp_path):
     assert [r["doc_id"] for r in out] == [None, 1, 5, 5]
 
 
+def test_a_hot_id_is_cut_over_files(spark, tmp_path):
+    rows = spark.createDataFrame([(None, f"text {i} " * 20) for i in range(200)] + [(7, "same " * 40)] * 200, "doc_id long, text string").repartition(4)
+    manifest = records.write_token_records(rows, tokenizer_path(), 2, folder=f"file://{tmp_path}/h", shard_bytes=4_000)
+    out = records.read_token_records(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None] * 200 + [7] * 200
+    assert max(r["n_records"] for r in manifest.collect()) < 100
+
+
 def least_bins(sizes, capacity):
     """By trying all ways."""
     best = len(sizes)
