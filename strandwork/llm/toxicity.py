@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm import fit
-from strandwork.llm.common import slices, stored, texts_of
+from strandwork.llm.common import gathered, slices, stored, texts_of
 
 #: Labelled texts that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
-#: Word features that the model keeps at most.
-KEPT = 5_000
+#: Bytes of text that a Python worker reads at once.
+READ_BYTES = 4 << 20
 #: Smoothed log odds that a feature needs: four times as frequent in toxic texts as in clean ones.
 LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
@@ -38,6 +39,9 @@ PIECE = 12
 
 _EDGE = re.compile(r"^[^\w$@!|+€£¡]+|[^\w$@!|+€£¡]+$")
 _RUN = re.compile(r"([^\w\s])\1\1+")
+_THRICE = re.compile(r"(.)\1\1")
+#: Some of the marks that _EDGE takes off.
+PLAIN_MARKS = ".,;:?\"'()[]{}-"
 _DISGUISED = re.compile("[0-9@$!|+(€£¡" + re.escape(SEPARATORS) + r"]|(.)\1\1")
 
 
@@ -76,31 +80,31 @@ def language_model(docs: DataFrame, text_col: str = "text") -> list[float]:
     return np.log(p3).ravel().tolist()
 
 
-def decode(text: str, model: list[float]) -> tuple[list[str], list[str]]:
-    """The likeliest words behind a run of disguised tokens, and their pieces from each place where an edge may be: Viterbi over its lattice.
-
-    Position by position the lattice lets a character stand for itself, for a letter of LEET, for
-    nothing (a repeated letter, a separator, a blank), or for the edge of a word (whatever is no letter). A path's score is the
-    channel's plus that of the language model; a state is the last two symbols, and the best path to each is kept. Where
-    the path drops a blank or a separator, the rest of the word is a piece: the model may have missed an edge there.
-    """
+def arcs(text: str, i: int) -> tuple[list[tuple[str, int, float]], float | None, float | None]:
+    """What the lattice lets the character there be: letters (with symbol and cost), nothing and the edge of a word (cost, if it may)."""
+    ch, before = text[i], text[i - 1 : i]
+    options: list[tuple[str, int, float]] = []
+    if ch.isalpha():
+        options.append((ch, _symbol(ch), AS_IS))
+    options += [(x, _symbol(x), SWAPPED) for x in LEET.get(ch, "")]
+    skip = REPEATED if ch == before else None
+    beside = before.isalpha() or text[i + 1 : i + 2].isalpha()
+    edge = None if ch.isalpha() else (DIGIT_IN_WORD if beside else DIGIT) if ch.isdigit() else MARK
+    if ch == " ":
+        lone = text[max(0, i - 2) : i - 1] in ("", " ") and text[i + 2 : i + 3] in ("", " ")
+        skip, edge = (SEPARATED, SEPARATED) if lone else (SPACED, 0.0)
+    elif ch in SEPARATORS:
+        skip = edge = SEPARATED
+    elif not options:
+        skip = edge = 0.0
+    return options, skip, edge
+
+
+def best_path(text: str, model: list[float]) -> tuple[float, str]:
+    """Score and letters of the likeliest path: " " where it takes an edge, a line end where it drops a mark or blank."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    before = ""
-    for i, ch in enumerate(text):
-        options: list[tuple[str, int, float]] = []
-        if ch.isalpha():
-            options.append((ch, ord(ch) - 96 if "a" <= ch <= "z" else OTHER, AS_IS))
-        options += [(x, ord(x) - 96, SWAPPED) for x in LEET.get(ch, "")]
-        skip = REPEATED if ch == before else None
-        beside = text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha()
-        edge = None if ch.isalpha() else (DIGIT_IN_WORD if beside else DIGIT) if ch.isdigit() else MARK
-        if ch == " ":
-            lone = text[max(0, i - 2) : i - 1] in ("", " ") and text[i + 2 : i + 3] in ("", " ")
-            skip, edge = (SEPARATED, SEPARATED) if lone else (SPACED, 0.0)
-        elif ch in SEPARATORS:
-            skip = edge = SEPARATED
-        elif not options:
-            skip = edge = 0.0
+    for i in range(len(text)):
+        options, skip, edge = arcs(text, i)
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {s: (v + skip, out if options else (out, "\n")) for s, (v, out) in best.items()} if skip is not None else {}
         for (a, b), (v, out) in best.items():
             for x, c, cost in options:
@@ -111,14 +115,25 @@ def decode(text: str, model: list[float]) -> tuple[list[str], list[str]]:
                 state, score = ((b, 0), v + edge + model[(a * SYMBOLS + b) * SYMBOLS]) if b else ((a, 0), v + edge)
                 if state not in new or new[state][0] < score:
                     new[state] = score, (out, " ")
-        best, before = new, ch
-    path = max(((v + model[(a * SYMBOLS + b) * SYMBOLS] if b else v, out) for (a, b), (v, out) in best.items()), key=lambda x: x[0])[1]
+        best = new
+    score, path = max(((v + model[(a * SYMBOLS + b) * SYMBOLS] if b else v, out) for (a, b), (v, out) in best.items()), key=lambda x: x[0])
     letters = []
     while path:
         path, x = path
         letters.append(x)
+    return score, "".join(reversed(letters))
+
+
+def decode(text: str, model: list[float]) -> tuple[list[str], list[str]]:
+    """The likeliest words behind a run of disguised tokens, and their pieces from each place where an edge may be: Viterbi over its lattice.
+
+    Position by position the lattice lets a character stand for itself, for a letter of LEET, for
+    nothing (a repeated letter, a separator, a blank), or for the edge of a word (whatever is no letter). A path's score is the
+    channel's plus that of the language model; a state is the last two symbols, and the best path to each is kept. Where
+    the path drops a blank or a separator, the rest of the word is a piece: the model may have missed an edge there.
+    """
     words, pieces = [], []
-    for parts in (w.split("\n") for w in "".join(reversed(letters)).split(" ")):
+    for parts in (w.split("\n") for w in best_path(text, model)[1].split(" ")):
         word, at = "".join(parts), 0
         if word:
             words.append(word)
@@ -148,10 +163,18 @@ def _symbol(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else OTHER
 
 
-def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, bool, int, int]:
-    """A token's words, what is left of it without outer marks, whether that is one character, its first and last two symbols."""
-    if len(token) > 1 and token.isalpha() and token.isascii() and not _DISGUISED.search(token):
-        return (token,), token, False, _symbol(token[0]) * SYMBOLS + _symbol(token[1]), _symbol(token[-2]) * SYMBOLS + _symbol(token[-1])
+def _ends(head: str, tail: str, single: bool) -> int:
+    """One number of the first two symbols of head and the last two of tail, each with 1 added and 0 where there are none, and of single."""
+    lead = 1 + _symbol(head[0]) * SYMBOLS + (_symbol(head[1]) if len(head) > 1 else 0) if head else 0
+    end = 1 + (_symbol(tail[-2]) if len(tail) > 1 else 0) * SYMBOLS + _symbol(tail[-1]) if tail else 0
+    return (lead << 10 | end) << 1 | single
+
+
+def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, int]:
+    """A token's words, what is left of it without outer marks, and its _ends, where single means that one character is left."""
+    bare = token.strip(PLAIN_MARKS)
+    if len(bare) > 1 and bare.isalpha() and not _THRICE.search(bare):
+        return (bare,), bare, _ends(bare, bare, False)
     bare = _EDGE.sub("", _RUN.sub("", token))
     plain = "".join(ch for ch in bare if ch.isalpha())
     words = [plain] if plain else []
@@ -160,58 +183,73 @@ def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, bool,
         found, pieces = decode(bare, model)
         words += found + pieces
         found = found or [""]
-    head, tail = found[0], found[-1]
-    lead = (_symbol(head[0]) * SYMBOLS + (_symbol(head[1]) if len(head) > 1 else 0)) if head else -1
-    end = ((_symbol(tail[-2]) if len(tail) > 1 else 0) * SYMBOLS + _symbol(tail[-1])) if tail else -1
-    return tuple({w for w in words if w}), bare, len(bare) == 1 and (bare.isalpha() or bare in LEET), lead, end
+    return tuple({w for w in words if w}), bare, _ends(found[0], found[-1], len(bare) == 1 and (bare.isalpha() or bare in LEET))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def readings(text: str, memo: dict[str, tuple], model: list[float], entries: int = 120_000) -> set[str]:
-    """All words of a text: each as it stands without its marks, as restored if it may be disguised, and those of runs of tokens.
+class Reader:
+    """Words of texts: each token as it stands without its marks, as restored if it may be disguised, and those of runs of tokens.
 
     A run goes on where two tokens are single characters or where a blank is likelier put in than the edge of a word; the
-    lattice then decides on all of the run together.
+    lattice then decides on all of the run together. The texts of a batch are cut into tokens at once and every
+    distinct token is read once; the memo stops to grow at `entries`, words are the same with or without it.
     """
-    edges = memo.get("")
-    if edges is None:
-        edges = memo[""] = open_edges(model)
-    words: set[str] = set()
-    run: list[str] = []
-    lone, end = False, -1
-
-    def close() -> None:
-        if all(len(x) > 1 and x.isalpha() for x in run):
-            # open_edges has decided
-            words.add("".join(run))
-            return
-        whole = " ".join(run)
-        found = memo.get(whole)
-        if found is None:
-            found = tuple(x for part in decode(whole, model) for x in part)
-            if len(memo) < entries and len(whole) <= 64:
-                memo[whole] = found
-        words.update(found)
-
-    mine: dict[str, tuple] = {}
-    for token in text.lower().split():
-        found = memo.get(token) or mine.get(token)
+
+    def __init__(self, model: list[float], entries: int = 200_000) -> None:
+        self.model, self.edges, self.entries = model, np.frombuffer(open_edges(model), np.uint8).astype(bool), entries
+        self.memo: dict[str, tuple] = {}
+
+    def _held(self, key: str, read: Callable[[str, list[float]], tuple]) -> tuple:
+        found = self.memo.get(key)
         if found is None:
-            found = mine[token] = _token(token, model)
-            if len(memo) < entries and len(token) <= 64:
-                memo[token] = found
-        more, bare, single, lead, tail = found
-        words.update(more)
-        if run and (lone and single or end >= 0 and lead >= 0 and edges[end * SYMBOLS * SYMBOLS + lead]):
-            run.append(bare)
-        else:
-            if len(run) > 1:
-                close()
-            run = [bare]
-        lone, end = single, tail
-    if len(run) > 1:
-        close()
-    words.discard("")
-    return words
+            found = read(key, self.model)
+            if len(self.memo) < self.entries and len(key) <= 64:
+                self.memo[key] = found
+        return found
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Numbers of a text and of a word for each pair of them, each pair once and in order, and the words."""
+        lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        # marks behind a word are nothing to it: fewer distinct tokens without them
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(lowered, r"(\pL)[.,;:?]+(\s|$)", r"\1\2"))
+        coded = lists.flatten().dictionary_encode()
+        which = np.asarray(coded.indices)
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+        infos = [self._held(t, _token) for t in coded.dictionary.to_pylist()]
+        numbers: dict[str, int] = {}
+        size = np.fromiter((len(x[0]) for x in infos), np.int64, len(infos))
+        words = np.array([numbers.setdefault(w, len(numbers)) for x in infos for w in x[0]], np.int64)
+        n = size[which]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[which] - ends + n, n)
+        texts_, words_ = [np.repeat(owner, n)], [words[at]]
+        if len(which) > 1:
+            code = np.fromiter((x[2] for x in infos), np.int64, len(infos))[which]
+            single, lead, tail = code & 1, code[1:] >> 11, code[:-1] >> 1 & 1023
+            goes_on = (single[:-1] & single[1:] > 0) | (tail > 0) & (lead > 0) & self.edges[np.maximum(tail - 1, 0) * SYMBOLS**2 + np.maximum(lead - 1, 0)]
+            goes_on &= owner[1:] == owner[:-1]
+            turn = np.diff(np.concatenate([[False], goes_on, [False]]).astype(np.int8))
+            for a, b in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True):
+                run = [infos[k][1] for k in which[a : b + 1].tolist()]
+                # where all are plain, the edges have decided
+                found = ("".join(run),) if all(len(x) > 1 and x.isalpha() for x in run) else self._held(" ".join(run), _run)
+                words_.append(np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int64))
+                texts_.append(np.full(len(found), owner[a]))
+        pairs = _distinct(np.concatenate(texts_) * max(1, len(numbers)) + np.concatenate(words_))
+        return pairs // max(1, len(numbers)), pairs % max(1, len(numbers)), [*numbers]
+
+
+def _run(text: str, model: list[float]) -> tuple[str, ...]:
+    return tuple(x for part in decode(text, model) for x in part)
+
+
+def readings(text: str, model: list[float]) -> set[str]:
+    """All words of one text."""
+    return {*Reader(model).read(pa.array([text]))[2]}
 
 
 def word_features(word: str) -> list[str]:
@@ -219,29 +257,39 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in range(3, min(7, len(word) + 1)))]
 
 
-_memos: dict[int, dict] = {}
+_readers: dict[int, Reader] = {}
 
 
-def _memo(model: list[float]) -> dict:
-    """One memo for each Python worker and language model."""
-    key = hash(tuple(model[::97]))
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = {}
-    return _memos[key]
+def _reader(model: list[float]) -> Reader:
+    """One reader for each Python worker and language model."""
+    key = hash(tuple(model))
+    if key not in _readers:
+        _readers.clear()
+        _readers[key] = Reader(model)
+    return _readers[key]
 
 
-def _shape(values: list[float], n_words: int) -> list[float]:
-    top = sorted(values, reverse=True)[:2] + [0.0, 0.0]
-    return [top[0], top[1], math.log1p(sum(v > 2 for v in values)), math.log1p(sum(v > 2 for v in values)) / math.log(3 + n_words)]
+def shapes(n: int, owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of n texts, from its words' values: the two largest, and how many are large, also against all of them."""
+    out = np.zeros((n, 4))
+    some = values != 0
+    order = np.lexsort((-values[some], owner[some]))
+    mine, v = owner[some][order], values[some][order]
+    first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+    out[mine[first], 0] = np.maximum(v[first], 0)
+    second = first[(first + 1 < len(mine)) & (mine[np.minimum(first + 1, len(mine) - 1)] == mine[first])] + 1 if len(mine) else first
+    out[mine[second], 1] = np.maximum(v[second], 0)
+    large = np.log1p(np.bincount(owner[values > 2], minlength=n))
+    out[:, 2], out[:, 3] = large, large / np.log(3 + np.bincount(owner, minlength=n))
+    return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
     """A model from labelled documents and a character language model of all of the corpus.
 
     Of the labelled texts (copies once, `sample` of them at most) those of both labels that hold a word or
-    beginning are counted by grouped aggregation. The log odds of the KEPT clearest features that at least three toxic texts hold
-    score a text's words, each text of the fit without its own share in the counts; a logistic regression
+    beginning are counted by grouped aggregation. The log odds of the features that at least three toxic texts hold, and LEAST_ODDS
+    more often than clean ones, score a text's words, each text of the fit without its own share in the counts; a logistic regression
     on the two largest, and on how many are large, gives probabilities. Null labels are left out, null texts
     count as empty, repeated label rows once (the largest label); with one label only every score is that label's share.
     """
@@ -258,14 +306,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     model = language_model(base if corpus is None else corpus.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(model)
-        for batch in slices(batches, "text"):
-            tally: dict[str, list[int]] = {"": [0, 0]}
-            for text, label in zip(texts_of(batch), batch.column("label").to_pylist(), strict=True):
-                tally[""][label > 0] += 1
-                for f in {f for w in readings(text, memo, model) for f in word_features(w)}:
-                    tally.setdefault(f, [0, 0])[label > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(tally), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], ["f", "clean", "toxic"])
+        reader = _reader(model)
+        for batch in gathered(batches, "text", READ_BYTES):
+            toxic = (np.asarray(batch.column("label")) > 0).astype(np.int64)
+            owner, word, words = reader.read(batch.column("text"))
+            numbers: dict[str, int] = {}
+            lists = [[numbers.setdefault(f, len(numbers)) for f in word_features(w)] for w in words]
+            flat, size = np.array([x for fs in lists for x in fs], np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+            n = size[word]
+            at = np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[word] - np.cumsum(n) + n, n)
+            # a text counts once for each of its features
+            pairs = _distinct(np.repeat(owner, n) * max(1, len(numbers)) + flat[at])
+            of, f = pairs // max(1, len(numbers)), pairs % max(1, len(numbers))
+            held = np.bincount(f, minlength=len(numbers))
+            bad = np.bincount(f[toxic[of] > 0], minlength=len(numbers))
+            n_toxic = int(toxic.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(["", *numbers]), pa.array([len(toxic) - n_toxic, *(held - bad).tolist()], pa.int64()), pa.array([n_toxic, *bad.tolist()], pa.int64())], ["f", "clean", "toxic"])
 
     counts = chosen.mapInArrow(emit, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = stored(counts.filter("toxic >= 3 OR f = ''"), "features")
@@ -277,20 +333,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     def odds(clean: int, toxic: int) -> float:
         return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
-    # the clearest by toxic * log odds, so that chance hits of rare words come last
+    # of at most `sample` texts: what is common and clear in them is as bounded as they are
     clear = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) + math.log((n_clean + 1) / (n_toxic + 1))
-    seen = counts.filter("f <> ''").filter(clear >= LEAST_ODDS).orderBy((F.col("toxic") * clear).desc(), "f").limit(KEPT).collect()
-    held = {r["f"]: (r["clean"], r["toxic"]) for r in seen}
+    held = {r["f"]: (r["clean"], r["toxic"]) for r in counts.filter("f <> ''").filter(clear >= LEAST_ODDS).collect()}
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(model)
-        for batch in slices(batches, "text"):
-            labels_, rows = batch.column("label").to_pylist(), []
-            for text, label in zip(texts_of(batch), labels_, strict=True):
-                words = readings(text, memo, model)
-                own = int(label > 0)
-                rows.append(_shape([max((odds(held[f][0] - 1 + own, held[f][1] - own) for f in word_features(w) if f in held), default=0.0) for w in words], len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array([int(v > 0) for v in labels_], pa.int32())], ["x", "y"])
+        reader = _reader(model)
+        for batch in gathered(batches, "text", READ_BYTES):
+            own = (np.asarray(batch.column("label")) > 0).astype(np.int64)
+            owner, word, words = reader.read(batch.column("text"))
+            # a word's value without a clean text that holds it, and without a toxic one
+            worth = np.array([[max((odds(max(0, held[f][0] - 1 + k), held[f][1] - k) for f in word_features(w) if f in held), default=0.0) for k in (0, 1)] for w in words]).reshape(-1, 2)
+            x = shapes(len(own), owner, worth[word, own[owner]])
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(own, pa.int32())], ["x", "y"])
 
     found = chosen.mapInArrow(shape, "x array<double>, y int").toPandas()
     return {"language": model, "values": {f: odds(*v) for f, v in held.items()}, "weights": fit.logistic(np.stack(found["x"].to_numpy()), found["y"].to_numpy(np.float64))}
@@ -305,31 +360,29 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The rows with a score column, which must not be one of theirs."""
+    """The rows with a score column; one of that name is replaced."""
+    docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     names = [*docs.columns, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        language, values = model["language"], model.get("values", {})
-        memo = _memo(language)
-        worth: dict[str, float] = {}
-        for batch in slices(batches, text_col):
-            rows = []
-            for text in texts_of(batch, text_col) if values else ():
-                words, seen = readings(text, memo, language), []
+        values = model.get("values", {})
+        reader, worth = _reader(model["language"]), {}
+        for batch in gathered(batches, text_col, READ_BYTES):
+            if values:
+                owner, word, words = reader.read(batch.column(text_col))
+                found = []
                 for w in words:
                     v = worth.get(w)
                     if v is None:
                         v = max((values[f] for f in word_features(w) if f in values), default=0.0)
                         if len(worth) < 120_000:
                             worth[w] = v
-                    if v:
-                        seen.append(v)
-                rows.append(_shape(seen, len(words)))
-            if values:
-                found = fit.sigmoid(np.column_stack([np.array(rows), np.ones(len(rows))]) @ model["weights"])
+                    found.append(v)
+                x = shapes(batch.num_rows, owner, np.array(found, np.float64)[word])
+                scores = fit.sigmoid(np.column_stack([x, np.ones(len(x))]) @ model["weights"])
             else:
-                found = np.full(batch.num_rows, model["flat"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(found, 9))], names)
+                scores = np.full(batch.num_rows, model["flat"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(scores, 9))], names)
 
     return docs.mapInArrow(run, schema)

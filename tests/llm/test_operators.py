@@ -339,10 +339,9 @@ def test_restore_undoes_disguises(spark):
     model = toxicity.language_model(spark.createDataFrame([(text,)], "text string"))
     for token in ("1d10t", "i.d.i.o.t", "idiiiiot", "id1ot", "m0r0n", "l-o-s-e-r", "5tup1d", "tr@sh", "$tupid"):
         assert toxicity.restore(token, model) in ("idiot", "moron", "loser", "stupid", "trash"), token
-    memo = {}
-    assert "idiot" in toxicity.readings("you i d i o t !", memo, model)
-    assert "idiot" in toxicity.readings("You IDIOT!!!", memo, model)
-    assert toxicity.readings("", memo, model) == set() and toxicity.readings("12 555-0100", memo, model) == set()
+    assert "idiot" in toxicity.readings("you i d i o t !", model)
+    assert "idiot" in toxicity.readings("You IDIOT!!!", model)
+    assert toxicity.readings("", model) == set() and toxicity.readings("12 555-0100", model) == set()
 
 
 def test_blanks_and_separators_are_noise_or_edges(spark):
@@ -350,8 +349,31 @@ def test_blanks_and_separators_are_noise_or_edges(spark):
     model = toxicity.language_model(spark.createDataFrame([(text,)], "text string"))
     cases = {"you are a m o r o n": "moron", "y o u s t u p i d": "stupid", "you,idiot": "idiot", "worthless/trash": "trash", "i  d  i  o  t": "idiot", "i. d. i. o. t.": "idiot", "a mo ron": "moron", "1 d 1 0 t": "idiot", "river" * 14 + ",1d10t": "idiot", "mo\nron": "moron"}
     for shown, word in cases.items():
-        assert word in toxicity.readings(shown, {}, model), (shown, toxicity.readings(shown, {}, model))
-    assert toxicity.readings("the man said to me", {}, model) == {"the", "man", "said", "to", "me"}
+        assert word in toxicity.readings(shown, model), (shown, toxicity.readings(shown, model))
+    assert toxicity.readings("the man said to me", model) == {"the", "man", "said", "to", "me"}
+
+
+def test_viterbi_takes_the_best_of_all_paths(spark):
+    model = toxicity.language_model(spark.createDataFrame([("you are a moron and you stupid idiot keep that trash " * 5,)], "text string"))
+    size = toxicity.SYMBOLS
+
+    def scores(text):
+        """All paths' scores by brute force."""
+        paths = [((0, 0), 0.0)]
+        for i in range(len(text)):
+            options, skip, edge = toxicity.arcs(text, i)
+            grown = [(s, v + skip) for s, v in paths] if skip is not None else []
+            for (a, b), v in paths:
+                grown += [((b, c), v + cost + model[(a * size + b) * size + c]) for _, c, cost in options]
+                if edge is not None:
+                    grown.append((((b, 0), v + edge + model[(a * size + b) * size]) if b else ((a, 0), v + edge)))
+            paths = grown
+        return [v + model[(a * size + b) * size] if b else v for (a, b), v in paths]
+
+    rng = random.Random(3)
+    for text in ["1d10t", "m o r", "a mo r0n", "i.d!", "tt 1|", *("".join(rng.choice("id10t mo.!|") for _ in range(8)).strip() for _ in range(40))]:
+        if text:
+            assert abs(toxicity.best_path(text, model)[0] - max(scores(text))) < 1e-9, text
 
 
 def test_disguised_words_score_like_plain_ones(spark):
@@ -363,6 +385,8 @@ def test_disguised_words_score_like_plain_ones(spark):
     probe = spark.createDataFrame([(1, "river 1d1ot stone"), (2, "river stone garden"), (3, "i d i o t river"), (4, None)], "doc_id long, text string")
     s = {r["doc_id"]: r["score"] for r in toxicity.score(probe, model).collect()}
     assert s[1] > 0.5 and s[3] > 0.5 and s[2] < 0.3 and s[4] < 0.3
+    clash = toxicity.scored_rows(probe.selectExpr("doc_id", "text", "'x' AS score"), model).collect()
+    assert {r["doc_id"]: r["score"] for r in clash} == s
 
 
 def test_features_of_rare_toxic_labels_count_by_their_odds(spark):
