@@ -25,32 +25,44 @@ def even_tree(n_shards: int, racks: int = 2, shards_each: int = 4) -> list[Shard
     return [Shard(s // (racks * shards_each), s // shards_each % racks, s) for s in range(n_shards)]
 
 
+def _children(tree: list[Shard]) -> list[list[list[tuple[int, float, int]]]]:
+    """For each level the lists of its nodes' children: (number, weight of the whole subtree, which list of the next level is its own)."""
+    weights: list[dict[tuple[int, ...], float]] = [{}, {}, {}]
+    for s in tree:
+        for level, node in enumerate(((s.region,), (s.region, s.rack), (s.region, s.rack, s.shard))):
+            weights[level][node] = weights[level].get(node, 0.0) + s.weight
+    live = [sorted(n for n, w in level.items() if w > 0) for level in weights]
+    parents = [[()], *live[:2]]
+    return [[[(n[-1], weights[k][n], live[k].index(n)) for n in live[k] if n[:-1] == up] for up in parents[k]] for k in range(3)]
+
+
 def tree_place(key: Column, tree: list[Shard]) -> Column:
-    """struct(draw, region, rack, shard): where the key's descent ends.
-
-    A shard's draw is exponential with its weight as the rate, from a hash of the key and the shard's own
-    place. A rack's draw is the least of its shards', a region's the least of its racks', so each is exponential
-    with the node's whole weight as its rate: descent takes the least draw at every level. When
-    a shard's weight grows (or it is new) only its own draw falls, and keys move into it alone;
-    when it shrinks keys move out of it alone. Nothing moves inside or between other subtrees.
-    Shards of weight 0 get no keys; a null key is a key like any other.
+    """struct(region, rack, shard): where the key's descent ends.
+
+    At every level each child of the node that was reached draws an exponential number whose rate is the weight of the
+    child's whole subtree, from a hash of the key and the child's own path; the descent goes on in the child with the least draw. So a
+    key costs as many draws as the nodes on its way have children, however many shards there are. A child's draw depends on nothing but its
+    path and weight: where a weight changes, the draws of the nodes above that shard change and no others, so that
+    keys go into (or out of) those subtrees alone; between and inside all others nothing moves. A shard that comes in a region
+    of its own takes keys into itself alone. Shards and subtrees of weight 0 get no keys; a null key is a key like any other.
     """
     if not any(s.weight > 0 for s in tree) or any(s.weight < 0 for s in tree):
         raise ValueError("weights must not be negative, and one must be positive")
 
-    def draw(s: Shard) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(s.region), F.lit(s.rack), F.lit(s.shard)), 11)
-        return F.struct((-F.log((bits + 0.5) / float(1 << 53)) / s.weight).alias("draw"), F.lit(s.region).alias("region"), F.lit(s.rack).alias("rack"), F.lit(s.shard).alias("shard"))
+    levels = _children(tree)
+    node = lambda number, weight, own: F.struct(F.lit(number).alias("number"), F.lit(weight).alias("weight"), F.lit(own).alias("own"))
+    lists = F.array(*(F.array(*(F.array(*(node(*child) for child in children)) for children in level)) for level in levels))
+    leaves = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(leaf, ("region", "rack", "shard"), strict=True))) for leaf in sorted((s.region, s.rack, s.shard) for s in tree if s.weight > 0)))
+
+    def descend(at: Column, level: Column) -> Column:
+        def draw(child: Column) -> Column:
+            seed = F.xxhash64(at["seed"], child["number"])
+            return F.struct((-F.log((F.shiftrightunsigned(seed, 11) + 0.5) / float(1 << 53)) / child["weight"]).alias("draw"), child["own"].alias("own"), seed.alias("seed"))
 
-    def least(nodes: list[Column]) -> Column:
-        return F.array_min(F.array(*nodes)) if len(nodes) > 1 else nodes[0]
+        return F.array_min(F.transform(F.get(level, at["own"]), draw))
 
-    live = [s for s in tree if s.weight > 0]
-    regions = []
-    for region in sorted({s.region for s in live}):
-        inside = [s for s in live if s.region == region]
-        regions.append(least([least([draw(s) for s in inside if s.rack == rack]) for rack in sorted({s.rack for s in inside})]))
-    return least(regions)
+    start = F.struct(F.lit(0.0).alias("draw"), F.lit(0).alias("own"), F.xxhash64(key).alias("seed"))
+    return F.aggregate(lists, start, descend, lambda at: F.get(leaves, at["own"]))
 
 
 def assign_shards(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None, key_col: str = "doc_id") -> DataFrame:

@@ -407,15 +407,42 @@ def test_pu_risk_separates_without_negatives():
     assert ((score > 0.5) == y).mean() > 0.95 and risk[-1] < risk[0]
 
 
-def test_weights_move_keys_only_into_or_out_of_their_shard(spark):
+def placed(key, tree):
+    """A key's region, rack and shard, one draw after the other."""
+    import math
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    seed, node = xxh64_intdigest(struct.pack("<q", key), 42), ()
+    for level in range(3):
+        weights = {}
+        for t in tree:
+            path = (t.region, t.rack, t.shard)
+            if path[:level] == node and t.weight > 0:
+                weights[path[level]] = weights.get(path[level], 0) + t.weight
+        hashes = {c: xxh64_intdigest(struct.pack("<i", c), xxh64_intdigest(struct.pack("<Q", seed), 42)) for c in weights}
+        child = min(weights, key=lambda c: -math.log(((hashes[c] >> 11) + 0.5) / 2**53) / weights[c])
+        seed, node = hashes[child], (*node, child)
+    return node
+
+
+def test_descent_equals_brute_force_and_moves_stay_in_changed_subtrees(spark):
     keys = spark.range(4000)
     tree = [sharding.Shard(s // 8, s // 4 % 2, s, 1 + s % 3) for s in range(16)]
-    heavier = [sharding.Shard(t.region, t.rack, t.shard, t.weight * (2 if t.shard == 5 else 1)) for t in tree]
-    lighter = [sharding.Shard(t.region, t.rack, t.shard, 0.0 if t.shard == 5 else t.weight) for t in tree]
-    rows = keys.select(*(sharding.tree_place(F.col("id"), t)["shard"].alias(n) for n, t in (("a", tree), ("b", heavier), ("c", lighter)))).collect()
-    assert {r["b"] for r in rows if r["a"] != r["b"]} == {5}
-    assert {r["a"] for r in rows if r["a"] != r["c"]} == {5}
-    share = np.bincount([r["a"] for r in rows], minlength=16) / 4000
+    changed = {2.0: "b", 0.5: "c", 0.0: "d"}
+    trees = {"a": tree, **{n: [sharding.Shard(t.region, t.rack, t.shard, t.weight * (f if t.shard == 5 else 1)) for t in tree] for f, n in changed.items()}, "e": [*tree, sharding.Shard(2, 0, 16, 2.0)]}
+    rows = [{n: tuple(r[n]) for n in trees} | {"id": r["id"]} for r in keys.select("id", *(sharding.tree_place(F.col("id"), t).alias(n) for n, t in trees.items())).collect()]
+    for r in rows[:600]:
+        assert all(r[n] == placed(r["id"], t) for n, t in trees.items())
+    for n in "bcd":
+        moved = [r for r in rows if r["a"] != r[n]]
+        # shard 5 is in rack 1 of region 0: what moves, goes into (or out of) it, its rack or its region
+        into, out = (n, "a") if n == "b" else ("a", n)
+        assert moved and all(r[into][0] == 0 for r in moved)
+        assert all(r[into][1] == 1 for r in moved if r[out][0] == 0) and all(r[into][2] == 5 for r in moved if r[out][:2] == (0, 1))
+    assert {r["e"][2] for r in rows if r["a"] != r["e"]} == {16} and all(r["d"][2] != 5 for r in rows)
+    share = np.bincount([r["a"][2] for r in rows], minlength=16) / 4000
     want = np.array([t.weight for t in tree]) / sum(t.weight for t in tree)
     assert np.abs(share - want).max() < 0.02
     with pytest.raises(ValueError, match="weights"):

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tests.llm.test_operators import placed
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(entry.LLM_QUERIES)
@@ -179,6 +180,18 @@ def test_op9_law_of_keys(spark, small):
     assert any(r["grown_shard"] == 16 for r in out.values())
 
 
+def test_op9_places_by_brute_force(spark, small):
+    from strandwork.llm import sharding
+
+    out = {r["doc_id"]: r for r in found(spark, "op9_hash_tree_shards")}
+    for key, _ in small:
+        assert placed(key, sharding.even_tree(16))[2] == out[key]["shard"] and placed(key, sharding.even_tree(17))[2] == out[key]["grown_shard"]
+    slots = defaultdict(list)
+    for r in out.values():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_op10_totals_meet_the_targets(spark):
     from strandwork.llm.queries import MIX_TARGETS
 
