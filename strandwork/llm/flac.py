@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import slices, texts_of
+from strandwork.llm.common import slices
 
 #: Samples of a frame, and of one Rice partition.
 BLOCK, PARTITION = 1024, 64
 #: Bytes of payload that are encoded or decoded together.
 BATCH_BYTES = 1 << 19
 RATE = 8000
+#: Points of a SEEKTABLE, big-endian: first sample of a frame, its place behind the first frame's start, its samples; and how many a table takes.
+POINT, MOST_POINTS = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]), 800_000
 #: Order, precision and shift of the written linear predictors.
 LPC_ORDER, LPC_BITS = 4, 10
 
@@ -163,30 +165,49 @@ def _encode_rows(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     return out
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload, whose bytes are two's-complement samples; lengths are positive multiples of 64.
+def encode(payloads: list[bytes | memoryview], sizes: list[int] | None = None) -> list[bytes]:
+    """A FLAC stream for each payload, whose bytes are two's-complement samples.
 
-    The stream has STREAMINFO and a SEEKTABLE with one point for each eighth frame.
+    sizes (else those of the payloads) must be positive multiples of 64: a shorter payload counts as filled up with zeros.
+    The stream has STREAMINFO and a SEEKTABLE with a point for each frame, or for each few of them where a table can't hold more.
+    Frames are made in groups of about BATCH_BYTES, so that a long payload takes little more than its stream.
     """
-    by_size: dict[int, list[tuple[int, int]]] = {}
-    for i, p in enumerate(payloads):
-        if not p or len(p) % PARTITION:
+    sizes = [len(p) for p in payloads] if sizes is None else sizes
+    frames: list[list[bytes]] = [[b""] * -(-n // BLOCK) for n in sizes]
+    group: list[tuple[int, int]] = []
+
+    def flush() -> None:
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for i, number in group:
+            by_size.setdefault(min(BLOCK, sizes[i] - number * BLOCK), []).append((i, number))
+        for size, members in by_size.items():
+            x = np.zeros((len(members), size), np.int64)
+            for row, (i, number) in zip(x, members, strict=True):
+                held = np.frombuffer(payloads[i], np.int8)[number * BLOCK : number * BLOCK + size]
+                row[: len(held)] = held
+            for (i, number), frame in zip(members, _encode_rows(x, np.array([number for _, number in members])), strict=True):
+                frames[i][number] = frame
+        group.clear()
+
+    for i, (p, n) in enumerate(zip(payloads, sizes, strict=True)):
+        if not n or n % PARTITION or n < len(p):
             raise ValueError(f"payloads take positive multiples of {PARTITION} bytes")
-        for number, start in enumerate(range(0, len(p), BLOCK)):
-            by_size.setdefault(min(BLOCK, len(p) - start), []).append((i, number))
-    frames: list[dict[int, bytes]] = [{} for _ in payloads]
-    for size, members in by_size.items():
-        x = np.stack([np.frombuffer(payloads[i], np.int8, size, number * BLOCK) for i, number in members]).astype(np.int64)
-        for (i, number), frame in zip(members, _encode_rows(x, np.array([number for _, number in members])), strict=True):
-            frames[i][number] = frame
+        for number in range(len(frames[i])):
+            group.append((i, number))
+            if len(group) * BLOCK >= BATCH_BYTES:
+                flush()
+    flush()
     out = []
-    for p, mine in zip(payloads, frames, strict=True):
-        sizes = [len(mine[k]) for k in range(len(mine))]
-        starts = np.cumsum([0, *sizes])
-        points = range(0, len(sizes), 8)
-        info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(p, usedforsecurity=False).digest()
-        table = b"".join((k * BLOCK).to_bytes(8, "big") + int(starts[k]).to_bytes(8, "big") + min(BLOCK, len(p) - k * BLOCK).to_bytes(2, "big") for k in points)
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(mine[k] for k in range(len(mine))))
+    for p, n, mine in zip(payloads, sizes, frames, strict=True):
+        lengths = np.fromiter(map(len, mine), np.int64, len(mine))
+        points = np.arange(0, len(mine), 1 + len(mine) // MOST_POINTS)
+        table = np.zeros(len(points), POINT)
+        table["sample"], table["offset"], table["samples"] = points * BLOCK, (np.cumsum(lengths) - lengths)[points], np.minimum(BLOCK, n - points * BLOCK)
+        digest = hashlib.md5(p, usedforsecurity=False)
+        digest.update(bytes(n - len(p)))
+        info = BLOCK.to_bytes(2, "big") * 2 + int(lengths.min()).to_bytes(3, "big") + int(lengths.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | n).to_bytes(8, "big") + digest.digest()
+        out.append(b"".join([b"fLaC\x00", len(info).to_bytes(3, "big"), info, b"\x83", table.nbytes.to_bytes(3, "big"), table.tobytes(), *mine]))
+        mine.clear()
     return out
 
 
@@ -221,30 +242,53 @@ _SIZES = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 f
 _WIDTHS = {1: 8, 2: 12, 4: 16}
 
 
-def _headers(data: bytes, begin: int, end: int, found: list[tuple], owner: int) -> None:
-    """Finds a stream's frames: each ends where a header with the next number and a right CRC-8 begins, or with the stream.
+def _search(data: bytes, begin: int) -> np.ndarray:
+    """Where frames start from a place on: each ends where a header with the next number and a right CRC-8 begins, or with the stream.
 
     Sync codes inside a frame's body are told apart by the checksums; CRC-16 is verified for all frames afterwards.
     """
-    number, at = 0, begin
+    starts, at, end = [], begin, len(data)
+    number = None
     while at < end:
         head = _header(data, at, end)
-        if head is None or head[0] != number:
-            raise DamagedStream(f"no frame {number} at byte {at - begin}")
-        follow = at + head[4]
-        while True:
-            follow = data.find(b"\xff\xf8", follow, end)
-            if follow < 0:
-                follow = end
+        if head is None or number is not None and head[0] != number:
+            raise DamagedStream(f"no frame at byte {at}")
+        starts.append(at)
+        number, at = head[0] + 1, at + head[4]
+        while (at := data.find(b"\xff\xf8", at, end)) >= 0:
+            after = _header(data, at, end)
+            if after is not None and after[0] == number:
                 break
-            after = _header(data, follow, end)
-            if after is not None and after[0] == number + 1:
-                break
-            follow += 1
-        found.append((owner, at, follow, *head))
-        at, number = follow, number + 1
+            at += 1
+        else:
+            break
+    return np.array(starts, np.int64)
 
 
+def _headers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number, samples, bits of a sample, channel code and length of the header of each frame; raises where a CRC-8 is wrong.
+
+    raw needs 16 bytes behind the last frame.
+    """
+    b2, b3, lead = raw[starts + 2].astype(np.int64), raw[starts + 3].astype(np.int64), raw[starts + 4].astype(np.int64)
+    code, width = b2 >> 4, np.array([_WIDTHS.get(k, 0) for k in range(8)])[b3 >> 1 & 7]
+    extra = _EXTRA[lead]
+    number = np.where(extra == 0, lead, lead & (0x3F >> extra))
+    for k in range(int(extra.max(initial=0))):
+        number = np.where(extra > k, number << 6 | raw[starts + 5 + k] & 63, number)
+    at = starts + 5 + extra
+    size = np.array([_SIZES.get(k, 0) for k in range(16)])[code]
+    one, two = raw[at].astype(np.int64), raw[at + 1].astype(np.int64)
+    size = np.where(code == 6, one + 1, np.where(code == 7, (one << 8 | two) + 1, size))
+    at = at + np.where(code == 6, 1, np.where(code == 7, 2, 0)) + np.array([{12: 1, 13: 2, 14: 2}.get(k, 0) for k in range(16)])[b2 & 15]
+    wrong = (raw[starts] != 0xFF) | (raw[starts + 1] != 0xF8) | (b3 & 1 > 0) | (size == 0) | (width == 0) | (at + 3 > ends) | (extra > 6)
+    if wrong.any() or (crc8(raw, starts, at) != raw[at]).any():
+        raise DamagedStream("a frame's header is damaged")
+    return number, size, width, b3 >> 4, at + 1 - starts
+
+
+#: Bytes behind the first one of a coded number.
+_EXTRA = np.array([0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1 if lead >= 0xC0 else 7 for lead in range(256)])
 _crc8_row: list[int] = [int(v) for v in _crc_effect(8, 0x07, 1)[0]]
 
 
@@ -270,43 +314,123 @@ def _header(data: bytes, at: int, end: int) -> tuple[int, int, int, int, int] |
     return number, size, width, data[at + 3] >> 4, k + 1 - at
 
 
+def layout(stream: bytes) -> tuple[bytes, np.ndarray, int]:
+    """A stream's STREAMINFO, the points of its SEEKTABLE (none without one) and where its first frame starts."""
+    if stream[:4] != b"fLaC" or len(stream) < 42:
+        raise DamagedStream("no stream marker")
+    at, last, info, table = 4, False, None, np.zeros(0, POINT)
+    while not last:
+        if at + 4 > len(stream):
+            raise DamagedStream("the metadata are cut short")
+        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if at + 4 + size > len(stream):
+            raise DamagedStream("the metadata are cut short")
+        if kind == 0:
+            info = bytes(stream[at + 4 : at + 4 + size])
+        elif kind == 3:
+            table = np.frombuffer(stream, POINT, size // POINT.itemsize, at + 4)
+            # points of all ones only hold a place
+            table = table[table["sample"] != np.uint64(2**64 - 1)]
+        at += 4 + size
+    if info is None or len(info) < 34:
+        raise DamagedStream("no STREAMINFO")
+    return info, table, at
+
+
+def _starts(stream: bytes, info: bytes, table: np.ndarray, first: int) -> np.ndarray:
+    """Where the frames start: by the SEEKTABLE if it names them all, else by search."""
+    size, total = int.from_bytes(info[2:4], "big"), int.from_bytes(info[13:18], "big") & (1 << 36) - 1
+    if size and len(table) and len(table) == -(-total // size):
+        starts = table["offset"].astype(np.int64) + first
+        if starts[0] == first and (np.diff(starts) > 0).all() and starts[-1] < len(stream):
+            return starts
+    return _search(bytes(stream), first)
+
+
+def blocks(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Groups of frames, decoded: numbers of stream and block, samples before the block, samples in it, and these.
+
+    A group takes about BATCH_BYTES of the streams, however long they are. Raises DamagedStream where a CRC-8, CRC-16, count or MD5 is wrong.
+    """
+    infos, starts, ends, owner = [], [], [], []
+    for i, s in enumerate(streams):
+        info, table, first = layout(s)
+        infos.append(info)
+        mine = _starts(s, info, table, first) if first < len(s) else np.zeros(0, np.int64)
+        starts.append(mine)
+        ends.append(np.append(mine[1:], len(s))[: len(mine)])
+        owner.append(np.full(len(mine), i))
+    starts, ends, owner = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, ends, owner))
+    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    seen, digests = np.zeros(len(streams), np.int64), [hashlib.md5(usedforsecurity=False) for _ in streams]
+    cuts = np.flatnonzero(np.diff(np.cumsum(ends - starts) // BATCH_BYTES, prepend=0))
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owner)], strict=True):
+        if a == b:
+            continue
+        mine = owner[a:b]
+        # the frames of a stream that are in the group lie side by side
+        heads = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        tails = np.append(heads[1:], len(mine)) - 1
+        data = b"".join(memoryview(streams[mine[h]])[starts[a + h] : ends[a + t]] for h, t in zip(heads, tails, strict=True))
+        at = np.cumsum(ends[a:b] - starts[a:b]) - (ends[a:b] - starts[a:b])
+        end = at + ends[a:b] - starts[a:b]
+        raw = np.frombuffer(data + bytes(32), np.uint8)
+        found, sizes, widths, channels, head = _headers(raw, at, end)
+        if (found != number[a:b]).any():
+            raise DamagedStream("a frame is not the next one")
+        if channels.any():
+            raise DamagedStream("more than one channel")
+        if (end - at < head + 3).any() or (crc16(raw, at, end - 2) != (raw[end - 2].astype(np.uint16) << 8 | raw[end - 1])).any():
+            raise DamagedStream("a frame's CRC-16 is wrong")
+        grid = _frames(_Bits(data), (at + head) * 8, (end - 2) * 8, sizes, widths)
+        samples = [row[:n] for row, n in zip(grid, sizes, strict=True)]
+        before = np.cumsum(sizes) - sizes
+        offsets = seen[mine] + before - before[heads][np.searchsorted(mine[heads], mine)]
+        for h, t in zip(heads, tails, strict=True):
+            i = mine[h]
+            seen[i] += int(sizes[h : t + 1].sum())
+            digests[i].update(np.concatenate(samples[h : t + 1]).astype(_kind(infos[i])).tobytes())
+        yield mine, number[a:b], offsets, sizes, samples
+    for i, info in enumerate(infos):
+        if seen[i] != int.from_bytes(info[13:18], "big") & (1 << 36) - 1 or digests[i].digest() != info[18:34]:
+            raise DamagedStream("the samples do not fit the stream's count or MD5")
+
+
+def _kind(info: bytes) -> str:
+    return "i1" if (int.from_bytes(info[12:14], "big") >> 4 & 31) < 8 else "<i2"
+
+
 def decode(streams: list[bytes]) -> list[np.ndarray]:
     """The samples of each stream; raises DamagedStream where a CRC-8, CRC-16, count or MD5 is wrong."""
-    data, found, infos, base = b"".join(streams), [], [], 0
-    for owner, s in enumerate(streams):
-        if s[:4] != b"fLaC" or len(s) < 42:
-            raise DamagedStream("no stream marker")
-        at, last, info = 4, False, None
-        while not last:
-            last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
-            if kind == 0:
-                info = s[at + 4 : at + 4 + size]
-            at += 4 + size
-        if info is None:
-            raise DamagedStream("no STREAMINFO")
-        infos.append(info)
-        _headers(data, base + at, base + len(s), found, owner)
-        base += len(s)
-    totals = [int.from_bytes(i[13:18], "big") & (1 << 36) - 1 for i in infos]
-    if not found:
-        return [np.zeros(0, np.int64) for _ in streams]
-    owner, starts, ends, _, sizes, widths, channels, head = np.array(found, np.int64).T
-    raw = np.frombuffer(data, np.uint8)
-    if channels.any():
-        raise DamagedStream("more than one channel")
-    if (crc16(raw, starts, ends - 2) != (raw[ends - 2].astype(np.uint16) << 8 | raw[ends - 1])).any():
+    out: list[list[np.ndarray]] = [[] for _ in streams]
+    for owner, _, _, _, samples in blocks(streams):
+        for i, x in zip(owner, samples, strict=True):
+            out[i].append(x)
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
+
+def read_at(stream: bytes, sample: int, count: int) -> np.ndarray:
+    """The samples from `sample` on, `count` or as many as there are: only the frames behind the SEEKTABLE's last point before them are decoded."""
+    info, table, first = layout(stream)
+    total = int.from_bytes(info[13:18], "big") & (1 << 36) - 1
+    stop = min(sample + count, total)
+    if not 0 <= sample < stop:
+        return np.zeros(0, np.int64)
+    point = int(np.searchsorted(table["sample"].astype(np.int64), sample, side="right")) - 1
+    behind = int(np.searchsorted(table["sample"].astype(np.int64), stop))
+    begin = first + (int(table["offset"][point]) if point >= 0 else 0)
+    until = first + int(table["offset"][behind]) if behind < len(table) else len(stream)
+    offset = int(table["sample"][point]) if point >= 0 else 0
+    data = bytes(stream[begin:until])
+    starts = _search(data, 0)
+    ends = np.append(starts[1:], len(data))
+    raw = np.frombuffer(data + bytes(32), np.uint8)
+    _, sizes, widths, channels, head = _headers(raw, starts, ends)
+    if channels.any() or (crc16(raw, starts, ends - 2) != (raw[ends - 2].astype(np.uint16) << 8 | raw[ends - 1])).any():
         raise DamagedStream("a frame's CRC-16 is wrong")
-    samples = _frames(_Bits(data), (starts + head) * 8, (ends - 2) * 8, sizes, widths)
-    out = []
-    cuts = np.searchsorted(owner, np.arange(len(streams) + 1))
-    for i, (total, info) in enumerate(zip(totals, infos, strict=True)):
-        own = [samples[f, : sizes[f]] for f in range(cuts[i], cuts[i + 1])]
-        x = np.concatenate(own) if own else np.zeros(0, np.int64)
-        width = (int.from_bytes(info[12:14], "big") >> 4 & 31) + 1
-        if len(x) != total or hashlib.md5(x.astype("i1" if width <= 8 else "<i2").tobytes(), usedforsecurity=False).digest() != info[18:34]:
-            raise DamagedStream("the samples do not fit the stream's count or MD5")
-        out.append(x)
-    return out
+    grid = _frames(_Bits(data), (starts + head) * 8, (ends - 2) * 8, sizes, widths)
+    x = np.concatenate([row[:n] for row, n in zip(grid, sizes, strict=True)])
+    return x[sample - offset : stop - offset]
 
 
 def _frames(bits: _Bits, at: np.ndarray, end: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -416,11 +540,12 @@ def _rice(bits: _Bits, x: np.ndarray, frames: np.ndarray, at: np.ndarray, end: n
 
 
 def pcm_blocks(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Each stream's samples in blocks: the other columns, block, sample_offset, n_samples and pcm.
+    """Each stream's samples in blocks, one behind the other: the other columns, block, sample_offset, n_samples and pcm.
 
     sample_offset counts the samples before the block, so a reader seeks to sample s in the block whose
-    offset is the largest up to s. pcm holds two's-complement samples of a byte. A null stream gives no block,
-    a damaged one an error, repeated rows a set of blocks each.
+    offset is the largest up to s. pcm holds two's-complement samples, of a byte where the stream's have at most 8 bits, else of two. A
+    null stream gives no block, a damaged one an error, repeated rows a set of blocks each; columns that have the name of a new
+    one are replaced. A long stream is decoded frame group by frame group.
     """
     rest = [c for c in media.columns if c != media_col and c not in ("block", "sample_offset", "n_samples", "pcm")]
     fields = media.select(*rest).schema.add("block", "integer").add("sample_offset", "long").add("n_samples", "integer").add("pcm", "binary")
@@ -428,62 +553,88 @@ def pcm_blocks(media: DataFrame, media_col: str = "media") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, media_col, BATCH_BYTES):
             streams = batch.column(media_col).to_pylist()
-            some = [i for i, s in enumerate(streams) if s is not None]
-            rows, blocks = [], []
-            for i, x in zip(some, decode([streams[i] for i in some]), strict=True):
-                for block, at in enumerate(range(0, len(x), BLOCK)):
-                    rows.append(i)
-                    blocks.append((block, at, min(BLOCK, len(x) - at), x[at : at + BLOCK].astype(np.int8).tobytes()))
-            if rows:
-                kept = batch.select(rest).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, t) for v, t in zip(zip(*blocks, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True))], [*rest, "block", "sample_offset", "n_samples", "pcm"])
-
-    return media.mapInArrow(run, fields)
+            some = np.array([i for i, s in enumerate(streams) if s is not None], np.int64)
+            held = [s for s in streams if s is not None]
+            kinds = [_kind(layout(s)[0]) for s in held]
+            for owner, block, offset, size, samples in blocks(held):
+                kept = batch.select(rest).take(pa.array(some[owner]))
+                pcm = [x.astype(kinds[i]).tobytes() for i, x in zip(owner, samples, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(block, pa.int32()), pa.array(offset), pa.array(size, pa.int32()), pa.array(pcm, pa.binary())], fields.names)
 
-
-def payload_of(text: str) -> bytes:
-    raw = text.encode()
-    return raw + bytes(max(PARTITION, -(-len(raw) // PARTITION) * PARTITION) - len(raw))
+    return media.select(*rest, media_col).mapInArrow(run, fields)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each text's bytes, filled up with zeros to a multiple of 64, as a FLAC stream."""
+    """doc_id, n_bytes and media: each text's bytes, filled up with zeros to a multiple of 64, as a FLAC stream.
+
+    Null texts count as empty, repeated rows stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
-            texts = texts_of(batch)
-            payloads = [payload_of(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(encode(payloads), pa.binary())], ["doc_id", "n_bytes", "media"])
+            texts = batch.column("text").cast(pa.large_binary())
+            at, raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist(), memoryview(texts.buffers()[2] or b"")
+            sizes = [b - a for a, b in zip(at, at[1:], strict=False)]
+            media = encode([raw[a:b] for a, b in zip(at, at[1:], strict=False)], [max(PARTITION, -(-n // PARTITION) * PARTITION) for n in sizes])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Digest and features of every stream, from its bytes decoded: the rows with payload and media columns and feature.
+def block_features(rows: DataFrame) -> DataFrame:
+    """Digest and features of every stream from its PCM blocks of bytes, which must come one behind the other as pcm_blocks gives them.
 
-    feature holds whole numbers: samples, the sum of their sizes, changes of sign about the mean, the
-    largest sample and the frames. Null streams give nulls.
+    The other columns, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes) and feature: samples, the sum of their sizes,
+    changes of sign, the largest sample and the blocks, as whole numbers. Only one block's state is held.
     """
-    rest = [c for c in media.columns if c != media_col]
-    fields = media.select(*rest).schema
-    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
+    rest = [c for c in rows.columns if c not in ("block", "sample_offset", "n_samples", "pcm")]
+    fields = rows.select(*rest).schema
+    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("feature", "string")):
         fields = fields.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, media_col, BATCH_BYTES):
-            streams = batch.column(media_col).to_pylist()
-            decoded = iter(decode([s for s in streams if s is not None]))
-            rows = []
-            for s in streams:
-                if s is None:
-                    rows.append((None,) * 6)
+        kept, state = None, None
+        for batch in batches:
+            pcm, first = batch.column("pcm"), np.asarray(batch.column("block")) == 0
+            at = np.frombuffer(pcm.buffers()[1], np.int32)[pcm.offset : pcm.offset + len(pcm) + 1]
+            raw, offsets = memoryview(pcm.buffers()[2] or b""), np.asarray(batch.column("sample_offset"))
+            heads = np.flatnonzero(first)
+            done, out = [], []
+            for a, b in zip([0, *heads.tolist()], [*heads.tolist(), len(pcm)], strict=True):
+                if a == b:
                     continue
-                x = next(decoded)
-                payload = x.astype(np.int8).tobytes()
-                above = x * len(x) >= x.sum()
-                feature = f"samples={len(x)} energy={int(np.abs(x).sum())} crossings={int((above[1:] != above[:-1]).sum())} peak={int(np.abs(x).max())} frames={-(-len(x) // BLOCK)}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(s), hashlib.sha256(s).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], fields.names)
-
-    return media.mapInArrow(run, fields)
+                if first[a]:
+                    if state is not None:
+                        done.append(kept)
+                        out.append(state)
+                    kept, state = batch.select(rest).slice(a, 1), [0, hashlib.sha256(), b"", 0, 0, 0, 0, 0]
+                data = raw[at[a] : at[b]]
+                x = np.frombuffer(data, np.int8).astype(np.int64)
+                if offsets[a] != state[0]:
+                    raise ValueError("a block is not the next one")
+                below = np.concatenate([[state[7]], x < 0])
+                state[0] += len(x)
+                state[1].update(data)
+                state[2] = (state[2] + bytes(data[-64:]))[-64:]
+                size = np.abs(x)
+                state[3] += int(size.sum())
+                state[4] += int((below[1:] != below[:-1]).sum())
+                state[5] = max(state[5], int(size.max()))
+                state[6] += int(b - a)
+                state[7] = int(x[-1] < 0)
+            if done:
+                yield finished(done, out)
+        if state is not None:
+            yield finished([kept], [state])
+
+    def finished(done: list[pa.RecordBatch], out: list[list]) -> pa.RecordBatch:
+        columns = pa.Table.from_batches(done).combine_chunks().columns
+        new = [(n, sha.hexdigest(), zlib.crc32(tail), f"samples={n} energy={energy} crossings={turns} peak={peak} blocks={number}") for n, sha, tail, energy, turns, peak, number, _ in out]
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in columns), *(pa.array(v, t) for v, t in zip(zip(*new, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True))], fields.names)
+
+    return rows.mapInArrow(run, fields)
+
+
+def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """The rows with media_bytes and media_sha256 of the stored stream and the digest and features of its decoded blocks; null streams give no row."""
+    return block_features(pcm_blocks(media.withColumns({"media_bytes": F.octet_length(media_col).cast("long"), "media_sha256": F.sha2(media_col, 256)}), media_col))

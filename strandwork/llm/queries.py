@@ -51,7 +51,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.text_media(documents(spark, sf_dir)))
+    media = stored(flac.text_media(documents(spark, sf_dir)), "media")
+    return flac.media_features(media)
 
 
 def fold(modulus: int):

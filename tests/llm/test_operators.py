@@ -71,18 +71,25 @@ def plain_frame(body, size):
     return x
 
 
+def payload_of(text):
+    raw = text.encode()
+    return raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+
+
 def payloads():
     rng = random.Random(4)
     texts = ["", "x", "the river and the stone " * 60, "é漢🙂" * 40, "".join(chr(rng.randrange(32, 127)) for _ in range(3000))]
-    return [flac.payload_of(t) for t in texts] + [bytes(range(256)) * 5, bytes([0x80] * 64), bytes(rng.randrange(256) for _ in range(1088))]
+    return [payload_of(t) for t in texts] + [bytes(range(256)) * 5, bytes([0x80] * 64), bytes(rng.randrange(256) for _ in range(1088))]
 
 
 def test_flac_frames_read_bit_by_bit():
     for payload, stream in zip(payloads(), flac.encode(payloads()), strict=True):
-        found = []
-        flac._headers(stream, 4 + 38 + 4 + int.from_bytes(stream[43:46], "big"), len(stream), found, 0)
+        info, table, first = flac.layout(stream)
+        starts = flac._search(stream, first)
+        assert starts.tolist() == (table["offset"].astype(int) + first).tolist()
+        ends = np.append(starts[1:], len(stream))
         x = []
-        for _, begin, end, number, size, width, channels, head in found:
+        for begin, end, number, size, width, channels, head in zip(starts.tolist(), ends.tolist(), *flac._headers(np.frombuffer(stream + bytes(32), np.uint8), starts, ends), strict=True):
             assert (width, channels, number) == (8, 0, len(x) // flac.BLOCK)
             assert plain_crc(stream[begin : begin + head - 1], 8, 0x07) == stream[begin + head - 1]
             assert plain_crc(stream[begin : end - 2], 16, 0x8005) == int.from_bytes(stream[end - 2 : end], "big")
@@ -90,6 +97,44 @@ def test_flac_frames_read_bit_by_bit():
         assert bytes(v & 255 for v in x) == payload
 
 
+def test_seeks_by_the_table(monkeypatch):
+    rng = random.Random(5)
+    payload = bytes(rng.randrange(256) for _ in range(20_032))
+    whole = np.frombuffer(payload, np.int8)
+    for most in (800_000, 6):
+        monkeypatch.setattr(flac, "MOST_POINTS", most)
+        stream = flac.encode([payload])[0]
+        assert (flac.decode([stream])[0] == whole).all()
+        damaged = bytearray(stream)
+        damaged[-600] ^= 1
+        for at, n in [(0, 64), (1023, 2), (5000, 3000), (19_968, 64), (20_000, 500), (30_000, 5)]:
+            assert flac.read_at(stream, at, n).tolist() == whole[at : at + n].tolist()
+        # what lies behind is not read
+        assert flac.read_at(bytes(damaged), 100, 50).tolist() == whole[100:150].tolist()
+        with pytest.raises(flac.DamagedStream):
+            flac.read_at(bytes(damaged), 20_000, 5)
+
+
+def test_a_long_text_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+from strandwork.llm import flac
+import numpy as np
+text = np.random.default_rng(1).integers(97, 123, 12 << 20, dtype=np.uint8).tobytes()
+flac.decode(flac.encode([text[: 1 << 20]]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+media = flac.encode([memoryview(text)])[0]
+n = sum(int(size.sum()) for _, _, _, size, _ in flac.blocks([media]))
+assert n == len(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1])
+    assert grown < 100
+
+
 def test_flac_round_trip_and_damage():
     streams = flac.encode(payloads())
     assert [x.astype(np.int8).tobytes() for x in flac.decode(streams)] == payloads()
@@ -149,7 +194,7 @@ def test_pcm_blocks_seek(spark):
     media = flac.text_media(rows)
     blocks = sorted(flac.pcm_blocks(media).filter("doc_id = 1").collect(), key=lambda r: r["block"])
     assert [r["sample_offset"] for r in blocks] == [1024 * i for i in range(5)]
-    assert b"".join(bytes(r["pcm"]) for r in blocks) == flac.payload_of("a" * 5000)
+    assert b"".join(bytes(r["pcm"]) for r in blocks) == payload_of("a" * 5000)
     assert flac.pcm_blocks(spark.createDataFrame([(1, None)], "doc_id long, media binary")).count() == 0
 
 
