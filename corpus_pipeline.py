@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.llm import langid, mixing, packing, simhash, toxicity
-from strandwork.llm.common import bounded_arrow, stored
+from strandwork.llm.common import bounded_arrow, free_name, stored
 from strandwork.llm.queries import MIX_TARGETS, fold, tokenizer_path
 
 #: Scores from which on a text counts as toxic.
@@ -27,40 +27,48 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose restored text scores below TOXIC."""
     bounded_arrow(spark)
     model = toxicity.fit_toxicity(docs.filter(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(4) != 2), corpus=docs)
-    return toxicity.scored_rows(docs, model, score_col="_toxicity").filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    score = free_name(docs.columns, "toxicity")
+    return toxicity.scored_rows(docs, model, score_col=score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def drop_undecided_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose fused evidence (text, declared lang, source as host) decides on a language; texts without letters go.
 
     The posterior knows the corpus's own languages only, so another one stands against them: all trigrams are equally likely in it.
-    Where that explains the text better than every language does, weighed by OTHER, the text is in none of them.
+    Where that explains the text better than every language does, weighed by OTHER, the text is in none of them. Every row takes its own
+    evidence along, so that rows need no key.
     """
     bounded_arrow(spark)
-    key = F.xxhash64("doc_id", "text", "lang", "source")
     source = F.col("source")
-    evidence = docs.select(key.alias("key"), source.alias("host"), source.alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
-    found = langid.identify(evidence, langid.text_model(docs))
+    row = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+    evidence = docs.select(row, source.alias("host"), source.alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
+    found = langid.identify(evidence, langid.text_model(docs), keep_text=True)
     other = F.lit(math.log(OTHER)) - F.col("n_trigrams") * F.lit(langid.TEMPER * math.log(langid.BINS))
-    rejected = stored(found.filter((F.col("n_trigrams") == 0) | (other > F.array_max("loglik")) | (F.col("confidence") < DECIDED)).select("key").distinct(), "rejected", docs.count())
-    return docs.withColumn("_key", key).join(rejected.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
+    decided = found.filter((F.col("n_trigrams") > 0) & (other <= F.array_max("loglik")) & (F.col("confidence") >= DECIDED))
+    return decided.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id; rows without a doc_id stay."""
+    """Of each group of near duplicates one row: that of the least doc_id, by row and not by id.
+
+    Rows that repeat an id are judged by their own texts; of rows that agree in id and text one stays; rows without an id come last.
+    """
     bounded_arrow(spark)
-    others = stored(simhash.near_duplicates(docs).filter("doc_id <> group_id").select("doc_id"), "others", docs.count())
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    judged, key, n = simhash.near_duplicates(docs), free_name(docs.columns, "key"), docs.count()
+    judged = stored(judged.groupBy("key").agg(F.first("stays").alias("stays"), F.count("*").alias("m")).filter("m > 1 or not stays"), "judged", n)
+    keyed = docs.withColumn(key, simhash.row_key())
+    single = keyed.join(judged.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
+    repeated = judged.filter("stays").select(F.col("key").alias(key))
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(keyed.join(repeated, key).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(key + "_row")).select(key + "_row.*"))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix to MIX_TARGETS takes them."""
-    key = F.xxhash64("doc_id", "text")
-    rates, _ = mixing.mix_rates(mixing.domain_features(docs.withColumn("_key", key), "_key"), MIX_TARGETS)
-    # most rows are taken once: only the others' keys are looked up
-    changed = stored(rates.filter("copies <> 1").select(F.col("id").alias("_key"), F.col("copies").alias("_copies")).distinct(), "copies", docs.count())
-    taken = docs.withColumn("_key", key).join(changed, "_key", "left")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))).select(*docs.columns)
+    """Rows as often as the mix to MIX_TARGETS takes them; every row takes its own rate along, so that rows need no key."""
+    features = mixing.domain_features(docs, F.concat_ws(":", F.col("doc_id"), F.md5("text")), keep=docs.columns)
+    rates, _ = mixing.mix_rates(features, MIX_TARGETS)
+    return rates.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.shared import fresh_path, shared_dir, stored  # noqa: F401
+from strandwork.shared import fresh_path, release, shared_dir, stored  # noqa: F401
 
 
 #: Rows of one Arrow batch; with whole texts in it a batch stays at a few MB.
@@ -29,6 +29,25 @@ def bounded_arrow(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, once for each Python worker; whatever the worker kept for another key before is dropped."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as make it new (whatever the case) among the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(n_rows: int, rows_each: int) -> int:
     return max(1, -(-n_rows // rows_each))
 

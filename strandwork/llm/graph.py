@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import stored
+from strandwork.llm.common import release, stored
 
 
 def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60)
     (the large- and small-star steps of Kiveris et al. 2014), and keeps each edge once; the rounds grow with the
     logarithm of the ids and end when the edges no longer change. Edges with a null end and loops are left out.
     Only pairs of numbers are shuffled; minima are aggregated before the shuffle, and AQE splits the
-    joins of an id with many edges. A round's edges are written to the shared folder; rows estimates their number.
+    joins of an id with many edges. A round's edges are written to the shared folder, and deleted when the next round's are; rows
+    estimates their number. An empty table gives none.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("k")).filter("k and u <> v").select("u", "v").distinct(), "edges", rows)
     mark = None
@@ -27,7 +28,8 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60)
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = stored(small.filter("u <> v").distinct(), "edges", rows)
+        old, now = now, stored(small.filter("u <> v").distinct(), "edges", rows)
+        release(old)
         before, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

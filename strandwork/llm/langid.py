@@ -14,6 +14,8 @@ from strandwork.llm.common import slices, stored, texts_of
 
 #: Bins of letter trigrams.
 BINS = 1 << 13
+#: Languages that a model tells at most.
+LANGS = 256
 #: Share of the text's log likelihood that counts: a letter is in three trigrams, and neighbours depend on each other.
 TEMPER = 0.2
 #: Rows' worth that a prior weighs at each level below the one above it.
@@ -43,14 +45,18 @@ def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
     """Languages and log P(bin | language): smoothed counts over every text whose language is declared.
 
     Tasks add up their texts and hand on one row for each language and bin; rows with a null
-    language or text add nothing.
+    language or text add nothing. The model tells the LANGS most frequent languages at most, so that its size is bounded whatever
+    the column holds; rarer ones are none of its languages.
     """
+    base = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    langs = sorted(r["lang"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()) or ["und"]
+    known = set(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             langs, texts = batch.column("lang").to_pylist(), texts_of(batch)
-            for lang in set(langs):
+            for lang in known.intersection(langs):
                 bins, _ = trigram_bins([t for t, x in zip(texts, langs, strict=True) if x == lang])
                 total.setdefault(lang, np.zeros(BINS, np.int64))
                 total[lang] += np.bincount(bins, minlength=BINS)
@@ -58,20 +64,22 @@ def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[some])], ["lang", "bin", "n"])
 
-    base = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    found = base.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in found}) or ["und"]
+    number = {lang: k for k, lang in enumerate(langs)}
     counts = np.full((BINS, len(langs)), 0.1)
-    for r in found:
-        counts[r["bin"], langs.index(r["lang"])] += r["n"]
+    for r in base.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"], number[r["lang"]]] += r["n"]
     return langs, np.log(counts / counts.sum(0))
 
 
-def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows with the text column replaced by n_trigrams and loglik, the tempered log likelihood of the whole text by language."""
+def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The rows with n_trigrams and loglik, the tempered log likelihood of the whole text by language, for the text column (or besides it).
+
+    Columns that have the name of a new one are replaced; null texts count as empty.
+    """
     langs, logp = model
     table = logp.astype(np.float32)
-    rest = [c for c in rows.columns if c != text_col]
+    rows = rows.drop(*(c for c in ("n_trigrams", "loglik") if c != text_col))
+    rest = [c for c in rows.columns if keep_text or c != text_col]
     schema = rows.select(*rest).schema.add("n_trigrams", T.LongType()).add("loglik", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +149,6 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), F.when(declared != "", declared).alias("declared"), visible.alias("text"))
 
 
-def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
     """Evidence rows with text to rows with lang_id, confidence and posterior; likelihoods are written to the shared folder."""
-    return fuse(stored(likelihoods(evidence, model), "likelihoods"), model[0])
+    return fuse(stored(likelihoods(evidence, model, keep_text=keep_text), "likelihoods"), model[0])

@@ -10,19 +10,26 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import stored
 
-# The letters that a text's domain is told by: the alphabet and the accented letters of western Europe.
+#: Letters that are counted one by one: the alphabet and the accented letters of western Europe. All other characters make two more
+#: features: by how many bytes those beyond ASCII are longer than they are characters, and how many others there are.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíñóöùúüß"
-#: Share of the letters' log likelihood that counts, as neighbours depend on each other.
-TEMPER = 0.25
+N_FEATURES = len(LETTERS) + 2
+#: Shares of the log likelihood that may count (neighbouring letters depend on each other); the one that fits held-out labels best does.
+TEMPERS = (0.02, 0.05, 0.1, 0.25, 0.5, 1.0)
+#: Parts of the rows: each is scored by a classifier that has not seen its labels.
+FOLDS = 2
+#: Name of the domains that the targets do not name.
+REST = "(other)"
 
 
 @dataclass
 class Mix:
-    """A fitted mix: the classifier's weights by domain and letter, and the gradient steps that give the rates."""
+    """A fitted mix: the classifiers' weights by fold, feature and domain, and the gradient steps that give the rates."""
 
     domains: list[str]
     prior: np.ndarray
     logp: np.ndarray
+    temper: float = 1.0
     pull: float = 1e-4
     step: float = 0.0
     gradients: list[np.ndarray] = field(default_factory=list)
@@ -43,43 +50,88 @@ def _count(text: Column, ch: str) -> Column:
 
 
 def n_tokens(text: Column) -> Column:
-    """Tokens of a text: one more than its blanks and line ends; empty texts have none."""
-    return F.when(text == "", F.lit(0.0)).otherwise(_count(text, " ") + _count(text, "\n") + 1.0)
+    """Tokens of a text: its runs of characters that are no white space."""
+    return F.regexp_count(text, F.lit(r"\S+")).cast("double")
 
 
-def domain_features(docs: DataFrame, id_col: str = "doc_id", domain_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """id, domain, _n (tokens) and _c0, _c1, ... (how often each of LETTERS occurs) of every row, written to the shared folder.
+def domain_features(docs: DataFrame, id_col: str | Column = "doc_id", domain_col: str = "lang", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id, domain, _n (tokens), _fold and _c0, _c1, ... (counts of LETTERS and of all other characters) of every row, written to the shared folder.
 
-    It is the only pass over the texts; null texts count as empty.
+    It is the only pass over the texts; null texts count as empty. The columns of `keep` are held in a struct column, row.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), _text(text_col).alias("_text"))
-    return stored(rows.select("id", "domain", n_tokens(F.col("_text")).alias("_n"), *(_count(F.col("_text"), ch).alias(f"_c{i}") for i, ch in enumerate(LETTERS))), "features")
+    rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(domain_col).alias("domain"), _text(text_col).alias("_text"), *([F.struct(*keep).alias("row")] if keep else []))
+    rest = [x for x in rows.columns if x != "_text"]
+    fold = F.pmod(F.xxhash64(F.md5("_text")), F.lit(FOLDS)).cast("int")
+    size, octets = F.length("_text"), F.octet_length("_text")
+    counted = rows.select(*rest, n_tokens(F.col("_text")).alias("_n"), fold.alias("_fold"), *(_count(F.col("_text"), ch).alias(f"_c{i}") for i, ch in enumerate(LETTERS)), (octets - size).alias("_longer"), size.alias("_size"))
+    known = sum((F.col(f"_c{i}") for i in range(1, len(LETTERS))), F.col("_c0"))
+    accented = sum((F.col(f"_c{i}") for i, ch in enumerate(LETTERS) if not ch.isascii()), F.lit(0.0))
+    more = [(F.col("_longer") - accented).alias(f"_c{len(LETTERS)}"), (F.col("_size") - known).alias(f"_c{len(LETTERS) + 1}")]
+    return stored(counted.select(*(x for x in counted.columns if x not in ("_longer", "_size")), *more), "features")
 
 
-def fit_domains(features: DataFrame) -> Mix:
-    """A multinomial classifier of letters from the rows whose domain is known: one grouped sum over all of them."""
-    found = features.filter("domain IS NOT NULL").groupBy("domain").agg(F.count("*").alias("n"), *(F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(LETTERS)))).orderBy("domain").collect()
-    if not found:
-        return Mix([], np.zeros(0), np.zeros((len(LETTERS), 0)))
-    counts = np.array([[r[f"_c{i}"] for r in found] for i in range(len(LETTERS))]) + 1.0
-    n = np.array([r["n"] for r in found], float)
-    return Mix([r["domain"] for r in found], np.log(n / n.sum()), np.log(counts / counts.sum(0)))
+def _named(targets: dict[str, float]) -> Column:
+    """A row's domain where the targets name it, REST for any other, null for none."""
+    return F.when(F.col("domain").isin(*targets), F.col("domain")).when(F.col("domain").isNotNull(), F.lit(REST))
+
+
+def fit_domains(features: DataFrame, targets: dict[str, float]) -> Mix:
+    """Multinomial classifiers from the rows whose domain is known, one for each fold by the labels of the others: one grouped sum over all rows.
+
+    The share of their log likelihood that counts is the one of TEMPERS under which the held-out labels are likeliest.
+    """
+    known = features.withColumn("domain", _named(targets)).filter("domain IS NOT NULL")
+    found = known.groupBy("domain", "_fold").agg(F.count("*").alias("n"), *(F.sum(f"_c{i}").alias(f"_c{i}") for i in range(N_FEATURES))).collect()
+    domains = sorted({r["domain"] for r in found})
+    if not domains:
+        return Mix([], np.zeros((FOLDS, 0)), np.zeros((FOLDS, N_FEATURES, 0)))
+    counts, n = np.ones((FOLDS, N_FEATURES, len(domains))), np.full((FOLDS, len(domains)), 0.5)
+    for r in found:
+        others = [f for f in range(FOLDS) if f != r["_fold"]]
+        counts[others, :, domains.index(r["domain"])] += [r[f"_c{i}"] for i in range(N_FEATURES)]
+        n[others, domains.index(r["domain"])] += r["n"]
+    mix = Mix(domains, np.log(n / n.sum(1, keepdims=True)), np.log(counts / counts.sum(1, keepdims=True)))
+    if len(domains) > 1:
+        rows, fits = _log_likelihoods(known, mix), []
+        own = F.array_position(F.array(*(F.lit(x) for x in domains)), F.col("domain")).cast("int")
+        for temper in TEMPERS:
+            logs = F.array(*(F.col(f"_b{k}") + F.col(f"_l{k}") * temper for k in range(len(domains))))
+            top = F.array_max(logs)
+            whole = F.aggregate(F.transform(logs, lambda x, top=top: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)
+            fits.append(F.avg(F.element_at(logs, own) - top - F.log(whole)).alias(f"fit{temper}".replace(".", "_")))
+        mix.temper = TEMPERS[int(np.argmax(list(rows.agg(*fits).first())))]
+    return mix
+
+
+def _log_likelihoods(features: DataFrame, mix: Mix) -> DataFrame:
+    """The rows' other columns, the log prior (_b0, ...) and log likelihood (_l0, ...) of each domain by the fold's classifier."""
+
+    def by_fold(values: list[Column]) -> Column:
+        chosen = values[-1]
+        for f in range(FOLDS - 1):
+            chosen = F.when(F.col("_fold") == f, values[f]).otherwise(chosen)
+        return chosen
+
+    columns = []
+    for k in range(len(mix.domains)):
+        sums = []
+        for f in range(FOLDS):
+            total: Column = F.lit(0.0)
+            for i in range(N_FEATURES):
+                total = total + F.col(f"_c{i}") * float(mix.logp[f, i, k])
+            sums.append(total)
+        columns += [by_fold([F.lit(float(mix.prior[f, k])) for f in range(FOLDS)]).alias(f"_b{k}"), by_fold(sums).alias(f"_l{k}")]
+    return features.select(*(x for x in features.columns if not x.startswith("_c")), *columns)
 
 
 def posteriors(features: DataFrame, mix: Mix) -> DataFrame:
-    """id, _n and _p0, _p1, ...: the probability of each domain by the whole text."""
-    d = len(mix.domains)
-    logs = []
-    for k in range(d):
-        total: Column = F.lit(float(mix.prior[k]))
-        for i in range(len(LETTERS)):
-            total = total + F.col(f"_c{i}") * float(TEMPER * mix.logp[i, k])
-        logs.append(total.alias(f"_l{k}"))
-    rows = features.select("id", "_n", *logs)
+    """The rows' other columns and _p0, _p1, ...: the probability of each domain by the whole text."""
+    d, rest = len(mix.domains), [x for x in features.columns if not x.startswith("_c")]
+    rows = _log_likelihoods(features, mix).select(*rest, *((F.col(f"_b{k}") + F.col(f"_l{k}") * mix.temper).alias(f"_l{k}") for k in range(d)))
     top = F.greatest(*(F.col(f"_l{k}") for k in range(d))) if d > 1 else F.col("_l0")
-    rows = rows.withColumn("_top", top).select("id", "_n", *(F.exp(F.col(f"_l{k}") - F.col("_top")).alias(f"_e{k}") for k in range(d)))
+    rows = rows.withColumn("_top", top).select(*rest, *(F.exp(F.col(f"_l{k}") - F.col("_top")).alias(f"_e{k}") for k in range(d)))
     whole = sum((F.col(f"_e{k}") for k in range(1, d)), F.col("_e0"))
-    return rows.withColumn("_whole", whole).select("id", "_n", *((F.col(f"_e{k}") / F.col("_whole")).alias(f"_p{k}") for k in range(d)))
+    return rows.withColumn("_whole", whole).select(*rest, *((F.col(f"_e{k}") / F.col("_whole")).alias(f"_p{k}") for k in range(d)))
 
 
 def rate(mix: Mix) -> Column:
@@ -95,10 +147,10 @@ def rate(mix: Mix) -> Column:
 
 
 def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 40, tolerance: float = 2e-4, pull: float = 1e-4) -> tuple[DataFrame, Mix]:
-    """id, n_tokens, posterior, rate and copies of every row of domain_features, and the fitted mix.
+    """id, n_tokens, posterior, rate and copies (and row) of every row of domain_features, and the fitted mix.
 
-    Rows with a domain train the classifier; every row, labelled or not, gets the posterior of its own
-    text. Rates r minimise the squared misses of the domains' expected tokens, sum of r n p, each over its target, plus a pull towards 1,
+    Rows with a domain train the classifiers, each of which scores rows that it has not seen; domains that the targets do not name
+    are one. Every row, labelled or not, gets the posterior of its own text. Rates r minimise the squared misses of the domains' expected tokens, sum of r n p, each over its target, plus a pull towards 1,
     by projected gradient steps in the metric of tokens: a step moves a row against its posteriors' mix
     of relative misses, which are one aggregate of as many numbers as domains over all rows; the rates themselves
     are never shuffled or collected. targets gives weights (any scale; domains it does not name get 0);
@@ -107,16 +159,16 @@ def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | No
     Null ids share a hash, null texts have no tokens and the prior's posterior, repeated rows equal copies; without
     any labelled row or token every rate is 1.
     """
-    mix = fit_domains(features)
+    mix = fit_domains(features, targets)
     mix.pull = pull
-    d = len(mix.domains)
+    d, own = len(mix.domains), [x for x in features.columns if x == "row"]
     if not d:
-        return features.select("id", F.col("_n").cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), mix
+        return features.select("id", *own, F.col("_n").cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), mix
     weights = np.array([float(targets.get(x, 0.0)) for x in mix.domains])
     if not weights.sum() > 0 or (weights < 0).any():
         raise ValueError(f"targets name no domain of {mix.domains}")
     weights /= weights.sum()
-    held = stored(posteriors(features, mix), "posteriors")
+    held = stored(posteriors(features.drop("row"), mix), "posteriors")
     p = [F.col(x) for x in mix.shares]
     cross = held.agg(F.sum("_n").alias("n"), *(F.sum(F.col("_n") * x).alias(f"s{k}") for k, x in enumerate(p)), *(F.sum(F.col("_n") * p[a] * p[b]).alias(f"x{a}_{b}") for a in range(d) for b in range(a, d))).first()
     n = cross["n"] or 0.0
@@ -135,5 +187,5 @@ def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | No
             sums = np.array([float(v) for v in held.agg(*(F.sum(rate(mix) * F.col("_n") * x) for x in p)).first()])
         mix.totals = sums
     share = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    rows = held.withColumn("rate", rate(mix))
-    return rows.select("id", F.col("_n").cast("long").alias("n_tokens"), F.array(*p).alias("posterior"), "rate", F.floor(F.col("rate") + share).alias("copies")), mix
+    rows = (posteriors(features, mix) if own else held).withColumn("rate", rate(mix))
+    return rows.select("id", *own, F.col("_n").cast("long").alias("n_tokens"), F.array(*p).alias("posterior"), "rate", F.floor(F.col("rate") + share).alias("copies")), mix

@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in gathered(batches, "text", 8 * SLICE_BYTES):
+        for batch in gathered(batches, "text", 4 * SLICE_BYTES):
             keys, out = batch.column("doc_id").to_pylist(), []
             flat, counts = encode.encode(batch.column("text"))
             ends = np.cumsum(counts)

@@ -83,7 +83,7 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int, folde
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"
         files, at, n_records, n_tokens = None, 0, 0, 0
-        for batch in gathered(batches, "text", 8 * SLICE_BYTES):
+        for batch in gathered(batches, "text", 4 * SLICE_BYTES):
             if files is None:
                 store, root = filesystem(folder)
                 store.create_dir(root, recursive=True)

@@ -8,16 +8,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import graph
-from strandwork.llm.common import slices, stored, texts_of
+from strandwork.llm.common import release, slices, stored, texts_of
 
 #: Nodes of one shard tree at most; a shard with more fingerprints gets several trees.
 TREE_NODES = 8192
 #: Rows of trees that are searched together, and (query, node) pairs that are looked at together.
 FOREST_ROWS, FRONTIER = 1 << 16, 1 << 18
+#: Ids that link to one id at most, but for twice as many where digests are uneven.
+STAR = 1024
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -151,6 +153,22 @@ def _links(values: np.ndarray, shard: np.ndarray, role: np.ndarray, radius: int)
     return sets.roots(np.arange(n))
 
 
+def stars(ids: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Pairs that join the ids of each set (a number below their count) to its least one, so that most shards name the same.
+
+    A set of more than STAR ids is dealt out by the ids' digests: ids link to the least of their part, and these to the least of all.
+    """
+    parts = 1 << np.ceil(np.log2(np.maximum(np.bincount(sets, minlength=len(ids)) / STAR, 1))).astype(np.int64)[sets]
+    part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
+    _, own = np.unique(np.stack([sets, part], 1), axis=0, return_inverse=True)
+    near, least = (np.full(len(ids), np.iinfo(np.int64).max) for _ in range(2))
+    np.minimum.at(near, own.ravel(), ids)
+    np.minimum.at(least, sets, ids)
+    near, least = near[own.ravel()], least[sets]
+    pairs = np.unique(np.concatenate([np.stack([ids, near], 1), np.stack([near, least], 1)]), axis=0)
+    return pairs[pairs[:, 0] != pairs[:, 1]]
+
+
 def link_forest(prints: DataFrame, radius: int, bands: tuple[str, ...] = ("fp",), id_col: str = "fp", blocks: int | None = None) -> DataFrame:
     """a, b: links between ids that join them exactly as all pairs do whose values in some band lie within the radius.
 
@@ -180,11 +198,7 @@ def link_forest(prints: DataFrame, radius: int, bands: tuple[str, ...] = ("fp",)
             table, shard = table[crowd], shard[crowd]
             if len(table):
                 ends = _links(np.ascontiguousarray(table[:, 4]).view(np.uint64), shard, table[:, 3], radius)
-                # the least id stands for a set, so that most shards name the same one
-                least = np.full(len(table), np.iinfo(np.int64).max)
-                np.minimum.at(least, ends, table[:, 5])
-                pairs = np.unique(np.stack([table[:, 5], least[ends]], 1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                pairs = stars(table[:, 5], ends)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -225,12 +239,19 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
     return prints.join(member, "fp", "left")
 
 
-#: Documents of one side that are held against each other at once, and the fewest shingles at which sets can be near but unequal.
-BLOCK_DOCS, LEAST_SHINGLES = 256, 4
+#: The fewest shingles at which sets can be near but unequal.
+LEAST_SHINGLES = 4
+#: Rarest shingles by which near sets are joined first, and ids that are broadcast at most to pick rows out of a large table.
+LEADING, BROADCAST_IDS = 4, 1 << 20
 #: Rows of the sample that tells common shingles, how many of these are kept, and rows of one of them that meet in one task.
 COMMON_SAMPLE, COMMON_KEPT, COMMON_BLOCK = 8_000, 100_000, 8_192
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits of SHA-256 of a row's id and whole text: equal for rows that agree in both."""
+    return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256), 1, 32))
+
+
 def common_shingles(docs: DataFrame, words: int, n: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of the shingles that several rows of a sample hold, and in how many of the n rows they are likely to be."""
     share = min(1.0, COMMON_SAMPLE / max(1, n))
@@ -257,95 +278,49 @@ def _spread(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
     return np.where(common[0][at] == hashes, common[1][at], 0)
 
 
-def word_prints(docs: DataFrame, words: int, bands: int, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> DataFrame:
-    """doc_id, set (a digest of the set of shingles), n_shingles, f0, f1, ..., shingles and rare of every row.
+def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> DataFrame:
+    """row (a number of its own), doc_id, key (see row_key), set, n, fp, shingles, rare and leading of every row.
 
-    f0, f1, ... are SimHashes of the set of words, each by hashes of its own; shingles holds the sorted 32-bit hashes of
-    the runs of `words` words, rare the 64-bit ones of the rarest: as many as cannot all be missing from a set of the similarity,
-    so that any two such sets share one. Null texts count as empty and have no shingle.
+    set is a digest of the set of shingles and n its size; fp the SimHash of the set of words; shingles holds the sorted 32-bit hashes
+    of the runs of `words` words, rare the 64-bit ones of the rarest: as many as cannot all be missing from a set of the similarity,
+    so that any two such sets share one; leading the LEADING first of these. Null texts count as empty and have no shingle.
     """
-    schema = "doc_id long, set string, n_shingles int, " + ", ".join(f"f{k} long" for k in range(bands)) + ", shingles binary, rare binary"
+    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, leading array<long>"
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_hexdigest, xxh64_intdigest
+        from xxhash import xxh3_128_digest, xxh64_intdigest
 
         for batch in slices(batches, "text"):
             out = []
             for text in texts_of(batch):
                 wide = np.unique(shingle_hashes(text, words))
-                digest = xxh3_128_hexdigest(wide.tobytes())
                 single = np.array([xxh64_intdigest(w, 42) for w in {*text.encode().lower().split()}], np.uint64)
-                prints = []
-                for k in range(bands):
-                    # the splitmix64 finaliser gives each band hashes of its own
-                    h = single + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
-                    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-                    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-                    prints.append(fingerprint(h ^ h >> np.uint64(31)))
                 rare = wide[np.argsort(_spread(wide, common), kind="stable")[: len(wide) - math.ceil(similarity * len(wide) - 1e-9) + 1]]
-                out.append((digest, len(wide), *np.array(prints, np.uint64).view(np.int64).tolist(), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes()))
-            kinds = [pa.string(), pa.int32(), *[pa.int64()] * bands, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "set", "n_shingles", *(f"f{k}" for k in range(bands)), "shingles", "rare"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
-
-
-def _near(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of numbers that join the sets as all pairs do whose Jaccard similarity reaches the bound."""
-    flat = np.concatenate(sets)
-    sizes = np.array([len(x) for x in sets])
-    starts = np.cumsum(sizes) - sizes
-    _, inverse = np.unique(flat, return_inverse=True)
-    mask = np.zeros(int(inverse.max()) + 1, bool)
-    union = Union(len(sets))
-    for i in range(len(sets) - 1):
-        mine = inverse[starts[i] : starts[i] + sizes[i]]
-        mask[mine] = True
-        shared = np.add.reduceat(mask[inverse[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-        mask[mine] = False
-        hit = np.flatnonzero(shared >= similarity * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9) + i + 1
-        union.merge(np.full(len(hit), i), hit)
-    ends = union.roots(np.arange(len(sets)))
-    some = np.flatnonzero(ends != np.arange(len(sets)))
-    return some, ends[some]
-
-
-def verified_links(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that join the ids of each component as all its pairs of the similarity do.
-
-    members has id, component and shingles. A component is dealt out over blocks of about BLOCK_DOCS; each pair of blocks is
-    one unit of work, so that none holds more than two blocks, however large the component is.
-    """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
-    rows = dealt.select("component", "id", "own", "shingles", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
+                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), rare[:LEADING].view(np.int64)))
+            out = [list(v) for v in zip(*out, strict=True)]
+            out[2] = np.array(out[2], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.select(["row", "doc_id", "key"]).columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["row", "doc_id", "key", "set", "n", "fp", "shingles", "rare", "leading"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ids, sets = None, [], []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                a, b = _near(sets, similarity)
-                names = np.array(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
-
-        for batch in batches:
-            for component, i, j, key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (component, i, j) != unit:
-                    yield from emit()
-                    unit, ids, sets = (component, i, j), [], []
-                ids.append(key)
-                sets.append(np.frombuffer(raw, np.uint32))
-        yield from emit()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def leading_links(classes: DataFrame) -> DataFrame:
+    """a, b: ids (with their leading shingles) joined to the least id that has the same one; where many have it, in parts as `stars` does."""
+    keyed = classes.select("id", F.explode("leading").alias("h"))
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))
+    crowd = keyed.groupBy("h").agg(F.min("id").alias("least"), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.count("*") / STAR, F.lit(1.0))))).cast("long").alias("parts"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    met = keyed.join(crowd, "h").select("h", "id", "least", part.alias("part"))
+    near = met.groupBy("h", "part").agg(F.min("id").alias("near"))
+    pairs = met.join(near, ["h", "part"]).select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("near").alias("b")), F.struct(F.col("near").alias("a"), F.col("least").alias("b")))).alias("p"))
+    return pairs.select("p.*").filter("a <> b").distinct()
 
 
 def shared_rare(members: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """a, b: all pairs of ids of unequal component that share a rare shingle and may by size and place reach the similarity.
 
-    members has id, component, n_shingles and rare. In the order of rarity the first shingle that two sets share leaves room for only
+    members has id, component, n and rare. In the order of rarity the first shingle that two sets share leaves room for only
     so many more, which most pairs fail. A common shingle's rows are dealt out over blocks, each pair
     of blocks one unit of work; a unit of one component only gives nothing.
     """
@@ -377,7 +352,7 @@ def shared_rare(members: DataFrame, similarity: float, common: tuple[np.ndarray,
             live, step, found = np.arange(len(table)), 1, [np.zeros((0, 2), np.int64)]
             while len(live := live[live + step < end[live]]):
                 x, y = live, live + step
-                room = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+                room = np.minimum(n[x] - place[x], n[y] - place[y])
                 hit = (table[x, 1] != table[y, 1]) & (room >= similarity / (1 + similarity) * (n[x] + n[y]) - 1e-6)
                 x, y = table[x[hit], 3], table[y[hit], 3]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
@@ -385,12 +360,15 @@ def shared_rare(members: DataFrame, similarity: float, common: tuple[np.ndarray,
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    dealt = members.select("id", "component", "n_shingles", "rare").mapInArrow(deal, "key long, component long, place long, id long")
+    dealt = members.select("id", "component", "n", "rare").mapInArrow(deal, "key long, component long, place long, id long")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long").distinct()
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs a, b whose sets (id, shingles) have a Jaccard similarity that reaches the bound."""
+def similar_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs a, b of rows of prints whose sets have a Jaccard similarity that reaches the bound.
+
+    The rows asked for are picked out where they lie if their numbers are few enough to broadcast, so that no other set is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "x"):
@@ -401,36 +379,41 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
                 hit.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(hit))
 
-    one, two = (sets.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def held(name: str, value: str) -> DataFrame:
+        asked = pairs.select(F.col(name).alias("row")).distinct()
+        return prints.select("row", F.col("shingles").alias(value)).join(F.broadcast(asked) if few else asked, "row").withColumnRenamed("row", name)
+
+    few = pairs.count() <= BROADCAST_IDS
+    return pairs.join(held("a", "x"), "a").join(held("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 4, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and group_id, the least doc_id of the row's group, for every row with a doc_id.
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, group_id and stays for every row: the doc_id of its group's first row, and whether the row is that one.
 
-    Documents whose sets of word shingles are equal are one class. Classes link if the Jaccard similarity of their sets
-    reaches the bound, and a group is what links reach. Candidates come twice. SimHashes of the sets of words find edits that are
-    scattered over a text: BK-trees give all classes within the radius, and components of these are held against each other exactly.
-    Of classes that are then still apart, all pairs that share one of their rarest shingles are compared (see word_prints):
-    no pair of the similarity is missed, whether words are put in, left out or exchanged.
+    Rows whose sets of word shingles are equal are one class. Classes link if the Jaccard similarity of their sets
+    reaches the bound, and a group is what links reach. Candidates come twice, and each is decided by the exact similarity. BK-trees over
+    SimHashes of the sets of words find classes within the radius, the leading (rarest) shingles others that are alike; what these links
+    join is one component. Of classes of unequal components all pairs that share one of their rarest shingles are then compared
+    (see word_prints): no pair of the similarity is missed, whether words are put in, left out or exchanged.
     A set of fewer than LEAST_SHINGLES shingles is near to equal sets only.
-    Null texts count as empty; all empty texts are one class. Rows that repeat a doc_id count as one document.
+    Null texts count as empty; all texts without a word are one class. The first row is that of the least doc_id (nulls come last), among
+    equal ids of the least key; rows that agree in id and text have one key (see row_key) and all of them `stay`. An empty table stays empty.
     """
     n_docs = docs.count()
     common = common_shingles(docs, words, n_docs, id_col, text_col)
-    prints = stored(word_prints(docs, words, bands, id_col, text_col, similarity, common).filter("doc_id IS NOT NULL"), "wordprints", 5 * n_docs)
-    names, n = [f"f{k}" for k in range(bands)], prints.count()
-    classes = stored(prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *(F.min(x).alias(x) for x in names)), "classes", n)
-    large = classes.filter(F.col("n_shingles") >= LEAST_SHINGLES)
-    found = graph.components(link_forest(large, radius, tuple(names), "id"), n)
-    wanted = classes.select("set", "id").join(found, "id")
-    sets = prints.select("set", F.col("doc_id").alias("id"), "shingles").join(wanted, ["set", "id"]).dropDuplicates(["id", "set"])
-    links = stored(verified_links(sets.select("id", "component", "shingles"), similarity), "links", n)
-    linked = large.select("set", "id").join(graph.components(links, n), "id", "left").select("set", "id", F.coalesce("component", "id").alias("component"))
-    members = prints.select("set", F.col("doc_id").alias("id"), "n_shingles", "rare").join(linked, ["set", "id"])
-    pairs = stored(shared_rare(members, similarity, common), "pairs", n)
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = prints.select("set", F.col("doc_id").alias("id"), "shingles").join(large.select("set", "id").join(asked, "id"), ["set", "id"]).dropDuplicates(["id", "set"])
-    groups = graph.components(links.unionByName(similar_pairs(pairs, sets, similarity)), n)
-    named = classes.select("set", "id").join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("group_id"))
-    return prints.select("doc_id", "set").join(named, "set").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    prints = stored(word_prints(docs, words, id_col, text_col, similarity, common), "wordprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first")
+    classes = stored(prints.groupBy("set").agg(F.min("row").alias("id"), first, F.min("n").alias("n"), F.min("fp").alias("fp")), "classes", n_docs)
+    large = classes.filter(F.col("n") >= LEAST_SHINGLES).select("id", "fp")
+    heads = prints.select(F.col("row").alias("id"), "n", "rare", "leading").join(large.select("id"), "id")
+    near = link_forest(large, radius, ("fp",), "id").unionByName(leading_links(prints.select(F.col("row").alias("id"), "leading").join(large.select("id"), "id"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = stored(near, "near", n_docs)
+    links = stored(similar_pairs(near, prints, similarity), "links", n_docs)
+    release(near)
+    members = heads.join(graph.components(links, n_docs), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "rare")
+    pairs = stored(shared_rare(members, similarity, common), "pairs", n_docs)
+    groups = graph.components(links.unionByName(similar_pairs(pairs, prints, similarity)), n_docs)
+    release(pairs)
+    named = stored(classes.join(groups, "id", "left").select("set", "first", F.coalesce("component", "id").alias("group")), "groups", n_docs)
+    firsts = named.groupBy("group").agg(F.min("first").alias("first"))
+    return prints.select("doc_id", "key", "set").join(named.select("set", "group").join(firsts, "group"), "set").select("doc_id", "key", F.col("first.doc_id").alias("group_id"), (F.col("key") == F.col("first.key")).alias("stays"))

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandwork.llm.common import kept
+
 #: Marks a piece without a leading blank; texts that hold it are not cut into pieces.
 BARE = "\x01"
 #: White space beside a blank or line end, at the edges of a text, or beyond ASCII, and format characters that some engines count as such.
@@ -31,7 +33,7 @@ class PieceEncoder:
     end before a blank between visible characters. The memo stops to grow at `entries`; ids are the same with or without it.
     """
 
-    def __init__(self, path: str, entries: int = 500_000) -> None:
+    def __init__(self, path: str, entries: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,11 +128,6 @@ class PieceEncoder:
         return np.concatenate(rows), np.array(counts, np.int64)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: PieceEncoder(path))

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm import fit
-from strandwork.llm.common import gathered, slices, stored, texts_of
+from strandwork.llm.common import gathered, kept, slices, stored, texts_of
 
 #: Labelled texts that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
 #: Bytes of text that a Python worker reads at once.
-READ_BYTES = 4 << 20
+READ_BYTES = 2 << 20
 #: Smoothed log odds that a feature needs: four times as frequent in toxic texts as in clean ones.
 LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
@@ -199,7 +199,7 @@ class Reader:
     distinct token is read once; the memo stops to grow at `entries`, words are the same with or without it.
     """
 
-    def __init__(self, model: list[float], entries: int = 200_000) -> None:
+    def __init__(self, model: list[float], entries: int = 150_000) -> None:
         self.model, self.edges, self.entries = model, np.frombuffer(open_edges(model), np.uint8).astype(bool), entries
         self.memo: dict[str, tuple] = {}
 
@@ -257,16 +257,9 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in range(3, min(7, len(word) + 1)))]
 
 
-_readers: dict[int, Reader] = {}
-
-
 def _reader(model: list[float]) -> Reader:
     """One reader for each Python worker and language model."""
-    key = hash(tuple(model))
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(model)
-    return _readers[key]
+    return kept(("reader", hash(tuple(model))), lambda: Reader(model))
 
 
 def shapes(n: int, owner: np.ndarray, values: np.ndarray) -> np.ndarray:

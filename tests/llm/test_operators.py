@@ -341,13 +341,32 @@ def test_texts_with_runs_put_in_or_left_out_are_near(spark, monkeypatch, block):
         texts += [w + tail, twin + tail]
     sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    found = dict(map(tuple, simhash.near_duplicates(rows).collect()))
+    found = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(rows).collect()}
     near = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
     assert sum(near) >= 25
     assert found == {i: i - 1 if i % 2 and near[i // 2] else i for i in range(80)}
 
 
-def test_large_components_are_held_against_each_other_in_blocks(spark, monkeypatch):
+def groups_of(texts, words=5, similarity=0.8):
+    """The least number that near texts reach, all pairs compared."""
+    sets = [{" ".join(t.split()[i : i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("star", [1024, 4])
+def test_large_groups_are_joined_part_by_part(spark, monkeypatch, star):
+    monkeypatch.setattr(simhash, "STAR", star)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -357,20 +376,31 @@ def test_large_components_are_held_against_each_other_in_blocks(spark, monkeypat
             w[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
         texts.append(" ".join(w))
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    want = sorted(map(tuple, simhash.near_duplicates(rows).collect()))
-    monkeypatch.setattr(simhash, "BLOCK_DOCS", 4)
-    assert sorted(map(tuple, simhash.near_duplicates(rows).collect())) == want
-    sets = [{" ".join(t.split()[i : i + 5]) for i in range(146)} for t in texts]
-    parent = list(range(40))
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(rows).collect()} == groups_of(texts)
 
-    def root(i):
-        return i if parent[i] == i else root(parent[i])
 
-    for i, j in itertools.combinations(range(40), 2):
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
-    assert dict(want) == {i: root(i) for i in range(40)}
+def test_pairs_of_few_and_of_many_rows_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    test_large_groups_are_joined_part_by_part(spark, monkeypatch, 8)
+
+
+@pytest.mark.parametrize(("size", "kept"), [(124, 100), (9, 8), (20, 17), (498, 400), (450, 400), (420, 400), (60, 49)])
+def test_no_cut_or_grown_copy_is_missed(spark, size, kept):
+    rng = random.Random(size)
+    texts = []
+    for i in range(100):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        texts += [" ".join(w), " ".join((w[:kept], w[-kept:])[i % 2])]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(rows).collect()} == groups_of(texts)
+
+
+def test_rows_are_judged_by_their_own_texts(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(2))
+    rows = [(2, a), (5, a), (5, b), (7, b + " x"), (7, b + " x"), (None, b), (None, ""), (8, None), (8, None)]
+    out = [(r["doc_id"], r["group_id"], r["stays"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(out, key=str) == sorted([(2, 2, True), (5, 2, False), (5, 5, True), (7, 5, False), (7, 5, False), (None, 5, False), (None, 8, False), (8, 8, True), (8, 8, True)], key=str)
 
 
 def test_components_of_a_path_a_star_and_rubbish(spark):
@@ -508,10 +538,49 @@ def test_predecessors_across_parts(spark):
 
 
 def test_mixing_tells_domains_by_any_letter(spark):
-    rows = [(i, "fox vina gala " * 5, "a") for i in range(5)] + [(10 + i, "jormp broo dyl " * 5, "b") for i in range(5)] + [(20, "vanilla", None), (21, "romp", None)]
-    rates, mix = mixing.mix_rates(mixing.domain_features(spark.createDataFrame(rows, "doc_id long, text string, lang string")), {"a": 1.0, "b": 1.0})
+    rows = [(i, f"fox vina gala {'ab'[i % 2]} " * 5, "a") for i in range(20)] + [(30 + i, f"jormp broo dyl {'ab'[i % 2]} " * 5, "b") for i in range(20)] + [(60 + i, f"лес река {'ab'[i % 2]} " * 5, "c") for i in range(20)]
+    rows += [(100, "vanilla", None), (101, "romp", None), (102, "река", None)]
+    rates, mix = mixing.mix_rates(mixing.domain_features(spark.createDataFrame(rows, "doc_id long, text string, lang string")), {"a": 1.0, "b": 1.0, "c": 1.0})
     found = {r["id"]: r["posterior"] for r in rates.collect()}
-    assert mix.domains == ["a", "b"] and found[20][0] > 0.7 and found[21][1] > 0.7
+    assert mix.domains == ["a", "b", "c"] and found[100][0] > 0.6 and found[101][1] > 0.6 and found[102][2] > 0.6
+
+
+def test_rates_equal_brute_force_and_labels_are_not_their_own_evidence(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    targets = {"en": 0.6, "fr": 0.2, "de": 0.2}
+    rates, mix = mixing.mix_rates(mixing.domain_features(docs), targets)
+    found = {r["id"]: r for r in rates.collect()}
+    texts = {r["doc_id"]: ((r["text"] or "").lower(), r["lang"]) for r in docs.collect()}
+    count = lambda t: np.array([*(t.count(c) for c in mixing.LETTERS), sum(len(c.encode()) - 1 for c in t if c not in mixing.LETTERS), sum(c not in mixing.LETTERS for c in t)], float)
+    keys = sorted(texts)
+    x = np.array([count(texts[k][0]) for k in keys])
+    n = np.array([len(texts[k][0].split()) for k in keys], float)
+    fold = np.array([r[1] for r in sorted((r["doc_id"], r["f"]) for r in docs.selectExpr("doc_id", "pmod(xxhash64(md5(lower(coalesce(text, '')))), 2) AS f").collect())])
+    name = np.array([texts[k][1] if texts[k][1] in targets else mixing.REST for k in keys])
+    assert mix.domains == sorted({*name})
+    p = np.zeros((len(keys), len(mix.domains)))
+    for f in (0, 1):
+        counts = np.array([1 + x[(fold != f) & (name == d)].sum(0) for d in mix.domains])
+        prior = np.array([0.5 + ((fold != f) & (name == d)).sum() for d in mix.domains])
+        logs = np.log(prior / prior.sum()) + mix.temper * x[fold == f] @ np.log(counts / counts.sum(1, keepdims=True)).T
+        e = np.exp(logs - logs.max(1, keepdims=True))
+        p[fold == f] = e / e.sum(1, keepdims=True)
+    assert np.abs(p - np.array([found[k]["posterior"] for k in keys])).max() < 1e-6
+    assert [found[k]["n_tokens"] for k in keys] == n.tolist()
+    # projected gradient on all rates at once
+    weights = np.array([targets.get(d, 0.0) for d in mix.domains])
+    sums = n @ p
+    total = min(sums[k] / w for k, w in enumerate(weights) if w)
+    goal = weights / weights.sum() * total
+    scale = np.maximum(goal, total / (100 * len(weights)))
+    step = 1 / (np.linalg.eigvalsh((p * n[:, None]).T @ p / np.sqrt(np.outer(scale, scale))).max() + mix.pull)
+    r = np.ones(len(keys))
+    for _ in range(40):
+        miss = ((r * n) @ p - goal) / scale
+        if (np.abs(miss) <= 2e-4).all():
+            break
+        r = np.maximum(0, r - step * (p @ miss + mix.pull * (r - 1)))
+    assert np.abs(r - np.array([found[k]["rate"] for k in keys])).max() < 1e-3
 
 
 def test_mixing_without_labels_or_targets(spark):

@@ -65,6 +65,13 @@ def test_one_of_each_group_stays(spark, docs):
     assert kept == {k for k in keys if root(k) == k}
 
 
+def test_near_duplicates_go_by_row(spark, docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = spark.createDataFrame([(2, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "de", "t", 2), (7, a + " x y", "en", "s", 1), (9, "c d e", "en", "s", 1), (9, "c d e", "en", "s", 1), (None, b, None, None, None)], docs.schema)
+    out = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, rows, SF).collect()]
+    assert sorted(out) == [(2, a, "en", "s", 1), (5, b, "de", "t", 2), (9, "c d e", "en", "s", 1)]
+
+
 def test_mix_takes_documents_whole(spark, docs):
     out = corpus_pipeline.mix_languages(spark, docs, SF)
     assert out.columns == docs.columns
