@@ -7,27 +7,60 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one file of a table of short rows.
+SHORT_ROWS = 100_000
+#: Paths of the tables that this session has stored and not released.
+_held: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new one of this machine where that is unset and the master is local."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandwork-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandwork-{tag}-{uuid.uuid4().hex}"
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors.
 
-    rows, an estimate, keeps a table of short rows to one file for each 100,000 of them (and four more) where the
-    session has many more partitions: every file costs its task several file system calls.
+    rows, an estimate, is for tables of short rows: these are dealt out to files of some SHORT_ROWS rows, however many
+    tasks have made them, as every file costs its task several calls of the file system.
     """
     path = fresh_path(df.sparkSession, tag)
-    (df if rows is None else df.coalesce(rows // 100_000 + 4)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.repartition(rows // SHORT_ROWS + 2)).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what `stored` wrote for the frame, once nothing that is still to be read comes from it."""
+    path = getattr(df, "stored_path", None)
+    held = _held.get(df.sparkSession.sparkContext.applicationId, [])
+    if path in held:
+        held.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all that this application has stored and not released; how many tables and folders that were."""
+    paths = _held.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
