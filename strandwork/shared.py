@@ -31,14 +31,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors.
 
     rows, an estimate, is for tables of short rows: these are dealt out to files of some SHORT_ROWS rows, however many
-    tasks have made them, as every file costs its task several calls of the file system.
+    tasks have made them, as every file costs its task several calls of the file system. codec is Parquet's, else the session's.
     """
     path = fresh_path(df.sparkSession, tag)
-    (df if rows is None else df.repartition(rows // SHORT_ROWS + 2)).write.parquet(path)
+    (df if rows is None else df.repartition(rows // SHORT_ROWS + 2)).write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
