@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import slices
 
-#: Samples of a frame, and of one Rice partition.
+#: Samples of a frame, and what the length of a stream must be a multiple of.
 BLOCK, PARTITION = 1024, 64
 #: Bytes of payload that are encoded or decoded together.
 BATCH_BYTES = 1 << 19
@@ -27,7 +27,7 @@ RATE = 8000
 #: Points of a SEEKTABLE, big-endian: first sample of a frame, its place behind the first frame's start, its samples; and how many a table takes.
 POINT, MOST_POINTS = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]), 800_000
 #: Order, precision and shift of the written linear predictors.
-LPC_ORDER, LPC_BITS = 4, 10
+LPC_ORDER, LPC_BITS = 8, 10
 
 
 def _crc_effect(bits: int, polynomial: int, reach: int) -> np.ndarray:
@@ -82,13 +82,13 @@ def _predictor(frames: np.ndarray) -> np.ndarray:
     lag = np.stack([(x[:, LPC_ORDER - k : x.shape[1] - k or None] * x[:, LPC_ORDER:]).sum(1) for k in range(LPC_ORDER + 1)], 1)
     toeplitz = lag[:, np.abs(np.subtract.outer(np.arange(LPC_ORDER), np.arange(LPC_ORDER)))] + np.eye(LPC_ORDER) * (1 + lag[:, :1, None] * 1e-6)
     solved = np.linalg.solve(toeplitz, lag[:, 1:, None])[:, :, 0]
-    return np.clip(np.rint(solved * (1 << LPC_BITS - 2)), -(1 << LPC_BITS - 1), (1 << LPC_BITS - 1) - 1).astype(np.int64)
+    return np.clip(np.rint(solved * (1 << LPC_BITS - 2)), -(1 << LPC_BITS - 1), (1 << LPC_BITS - 1) - 1).astype(np.int32)
 
 
 def _residuals(x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray | None]:
     """Residuals of the rows under a fixed predictor of order 1 or a linear one; the warm-up samples come first."""
     if kind == "fixed":
-        return np.diff(x, prepend=0), None
+        return np.diff(x, prepend=np.int32(0)), None
     coefficients = _predictor(x)
     guess = sum(coefficients[:, k : k + 1] * x[:, LPC_ORDER - 1 - k : x.shape[1] - 1 - k] for k in range(LPC_ORDER)) >> (LPC_BITS - 2)
     return np.concatenate([x[:, :LPC_ORDER], x[:, LPC_ORDER:] - guess], 1), coefficients
@@ -102,7 +102,8 @@ def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> No
 def _encode_rows(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """One frame for each row; all rows have the same number of samples, a multiple of PARTITION."""
     n, size = x.shape
-    order_of_partitions = int(size // PARTITION & -(size // PARTITION)).bit_length() - 1
+    # parameters for each 256 samples where the size can be cut so, else for as many as it can
+    order_of_partitions = max(0, int(size // PARTITION & -(size // PARTITION)).bit_length() - 3)
     n_parts = 1 << order_of_partitions
     options = []
     for kind, order in (("fixed", 1), ("linear", LPC_ORDER)):
@@ -181,7 +182,7 @@ def encode(payloads: list[bytes | memoryview], sizes: list[int] | None = None) -
         for i, number in group:
             by_size.setdefault(min(BLOCK, sizes[i] - number * BLOCK), []).append((i, number))
         for size, members in by_size.items():
-            x = np.zeros((len(members), size), np.int64)
+            x = np.zeros((len(members), size), np.int32)
             for row, (i, number) in zip(x, members, strict=True):
                 held = np.frombuffer(payloads[i], np.int8)[number * BLOCK : number * BLOCK + size]
                 row[: len(held)] = held
@@ -223,10 +224,21 @@ class _Bits:
         self.window = np.zeros(len(data) + 4, np.int64)
         for k in range(4):
             self.window |= padded[k : k + len(data) + 4].astype(np.int64) << (8 * (3 - k))
-        ones = np.flatnonzero(np.unpackbits(padded[: len(data)]))
-        self.next_one = np.full(8 * len(data) + 1, 8 * len(data), np.int32)
-        self.next_one[ones] = ones
-        self.next_one = np.minimum.accumulate(self.next_one[::-1])[::-1]
+
+    def next_one(self, at: np.ndarray) -> np.ndarray:
+        """Where the first set bit from there on is; the end if there is none."""
+        stop, last = at.copy(), 8 * (len(self.window) - 4)
+        left = slice(None)
+        while True:
+            here = stop[left]
+            room = 32 - (here & 7)
+            seen = self.window[here >> 3] & ((1 << room) - 1)
+            # frexp gives the place of the highest bit; a window without one moves on by its size
+            stop[left] = here + room - np.frexp(seen.astype(np.float64))[1]
+            still = (seen == 0) & (stop[left] < last)
+            if not still.any():
+                return np.minimum(stop, last)
+            left = np.flatnonzero(still) if isinstance(left, slice) else left[still]
 
     def get(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
         """Unsigned numbers of up to 24 bits."""
@@ -503,12 +515,12 @@ def _rice(bits: _Bits, x: np.ndarray, frames: np.ndarray, at: np.ndarray, end: n
     at += 6
     k, raw, place = np.zeros(len(frames), np.int64), np.zeros(len(frames), bool), np.zeros(len(frames), np.int64)
     out = np.zeros((int(sizes[0]), len(frames)), np.int64)
-    live, last = len(frames), 8 * (len(bits.window) - 4)
+    live, last, due = len(frames), 8 * (len(bits.window) - 4), 0
     for i in range(int(sizes[0])):
         while live and sizes[live - 1] <= i:
             live -= 1
-        opens = np.flatnonzero(place[:live] == i)
-        if len(opens):
+        if i == due:
+            opens = np.flatnonzero(place[:live] == i)
             width = 4 + method[opens]
             k[opens] = bits.get(at[opens], width)
             at[opens] += width
@@ -516,13 +528,14 @@ def _rice(bits: _Bits, x: np.ndarray, frames: np.ndarray, at: np.ndarray, end: n
             escaped = opens[raw[opens]]
             k[escaped] = bits.get(at[escaped], 5)
             at[escaped] += 5
-            place[opens] += length[opens]
+            place[opens] += np.maximum(length[opens], 1)
+            due = int(place[:live].min())
         if i < 32 and (order[:live] > i).any():
             reads = np.flatnonzero(order[:live] <= i)
         else:
             reads = slice(0, live)
         a, w = at[reads], k[reads]
-        stop = bits.next_one[np.minimum(a, last)]
+        stop = bits.next_one(np.minimum(a, last))
         folded = (stop - a) << w | bits.get(np.minimum(stop + 1, last), w)
         value = folded >> 1 ^ -(folded & 1)
         after = stop + 1 + w

@@ -51,7 +51,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(flac.text_media(documents(spark, sf_dir)), "media")
+    media = stored(flac.text_media(documents(spark, sf_dir)), "media", codec="zstd")
     return flac.media_features(media)
 
 
