@@ -48,6 +48,16 @@ def unpack(packed: Column) -> Column:
     return F.substring(F.array_join(pairs, ""), F.lit(1), n.cast("int"))
 
 
+def unpack_slice(packed: Column, start: int, length: int) -> Column:
+    """`length` bases from place `start` (from 0) on, or as many as there are, read from their own bytes alone."""
+    tail = F.conv(F.substring(F.hex(F.substring(packed, 1, 1)), 1, 2), 16, 10).cast("int")
+    n = (F.octet_length(packed) - 1) * 4 - F.when(tail > 0, 4 - tail).otherwise(0)
+    first, last = start // 4, (start + length + 3) // 4
+    # a byte with the header of whole bytes goes before the cut ones
+    own = F.concat(F.unhex(F.lit("00")), F.substring(packed, first + 2, last - first))
+    return F.substring(unpack(own), F.lit(start % 4 + 1), F.least(F.lit(length), F.greatest(n - start, F.lit(0))).cast("int"))
+
+
 def packed_equal(a: Column, b: Column) -> Column:
     """Equality of packed bytes, which is equality of the bases."""
     return a == b

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,34 +26,47 @@ def levenshtein(a: Column, b: Column, strict: bool = False) -> Column:
     return F.levenshtein(a, b)
 
 
+def _rows(a: np.ndarray, b: np.ndarray, row: np.ndarray, mismatch: int, gap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Costs of the prefixes of b with each next letter of a, and the steps that lead there: 0 diagonal, 1 up, 2 left."""
+    along = gap * np.arange(len(b) + 1)
+    for x in a:
+        diagonal = np.concatenate([[np.iinfo(np.int64).max // 2], row[:-1] + mismatch * (b != x)])
+        up = row + gap
+        # a run of steps to the left costs its length: the least cost so far, less what the places are apart
+        new = np.minimum.accumulate(np.minimum(diagonal, up) - along) + along
+        yield new, np.where(new == diagonal, 0, np.where(new == up, 1, 2)).astype(np.int8)
+        row = new
+
+
 def global_alignment(a: str, b: str, mismatch: int = 1, gap: int = 1) -> tuple[int, str]:
-    """Cost and rendering in three lines of a cheapest global alignment; among equals diagonal, then up, then left."""
-    n, m = len(a), len(b)
-    cost = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i and j:
-                cost[i][j] = min(cost[i - 1][j - 1] + mismatch * (a[i - 1] != b[j - 1]), cost[i - 1][j] + gap, cost[i][j - 1] + gap)
-            else:
-                cost[i][j] = gap * (i + j)
+    """Cost and rendering in three lines of a cheapest global alignment; among equals diagonal, then up, then left.
+
+    One row of costs in some sqrt(len(a)) is kept; the steps between two of them are found again on the way back, so memory grows with
+    len(b) * sqrt(len(a)).
+    """
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    n, m, block = len(a), len(b), max(1, math.isqrt(len(a)))
+    row = gap * np.arange(m + 1)
+    held = [row]
+    for i, (row, _) in enumerate(_rows(x, y, row, mismatch, gap), 1):
+        if i % block == 0:
+            held.append(row)
     top, mid, low, i, j = [], [], [], n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + mismatch * (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            top.append(a[i])
-            low.append(b[j])
-            mid.append("|" if a[i] == b[j] else ".")
-        elif i and cost[i][j] == cost[i - 1][j] + gap:
-            i -= 1
-            top.append(a[i])
-            low.append("-")
-            mid.append(" ")
-        else:
-            j -= 1
-            top.append("-")
-            low.append(b[j])
-            mid.append(" ")
-    return cost[n][m], "\n".join("".join(reversed(x)) for x in (top, mid, low))
+    while i:
+        first = (i - 1) // block * block
+        steps = [s for _, s in _rows(x[first:i], y, held[first // block], mismatch, gap)]
+        while i > first:
+            step = steps[i - 1 - first][j] if j else 1
+            i, j = i - (step < 2), j - (step != 1)
+            top.append(a[i] if step < 2 else "-")
+            low.append(b[j] if step != 1 else "-")
+            mid.append(" " if step else "|" if a[i] == b[j] else ".")
+    while j:
+        j -= 1
+        top.append("-")
+        low.append(b[j])
+        mid.append(" ")
+    return int(row[m]), "\n".join("".join(reversed(z)) for z in (top, mid, low))
 
 
 @F.pandas_udf(T.StructType([T.StructField("cost", T.IntegerType()), T.StructField("alignment", T.StringType())]))

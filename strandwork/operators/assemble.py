@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.operators import build, kmers, traverse
+from strandwork.operators import build, contract, kmers, traverse
 from strandwork.operators.traverse import Edges
+from strandwork.shared import stored
 
 #: Mer length of the plain facade.
 DEFAULT_K1 = 3
@@ -45,11 +46,11 @@ def spell_path(path: list[str]) -> str:
     return path[0] + "".join(v[-1] for v in path[1:])
 
 
-def assemble_group(edges: Edges, coverage: int | None = None, gate: bool = False) -> list[tuple[int, str | None, str]]:
-    """contig_id, seq and status of one group's graph of mers.
+def assemble_trails(edges: Edges, coverage: int | None = None, gate: bool = False) -> list[tuple[int, list | None, str]]:
+    """contig_id, trail and status of one group's graph.
 
     Trails start at the source. status: ok for one trail, else multi_source, multi_sink or non_eulerian; with the gate a
-    graph without exactly one source and one sink gives one row without a sequence.
+    graph without exactly one source and one sink gives one row without a trail.
     """
     if not edges:
         return [(0, None, "empty")]
@@ -62,23 +63,54 @@ def assemble_group(edges: Edges, coverage: int | None = None, gate: bool = False
         edges = rectify(edges, coverage, min(sources))
     found = traverse.trails(edges, min(sources) if sources else None)
     status = status or ("ok" if len(found) == 1 else "non_eulerian")
-    return [(i, spell_path(t), status) for i, t in enumerate(found)]
+    return [(i, t, status) for i, t in enumerate(found)]
+
+
+def assemble_group(edges: Edges, coverage: int | None = None, gate: bool = False) -> list[tuple[int, str | None, str]]:
+    """contig_id, seq and status of one group's graph of mers: assemble_trails, spelled."""
+    return [(i, spell_path(t) if t else None, status) for i, t, status in assemble_trails(edges, coverage, gate)]
+
+
+def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = False) -> DataFrame:
+    """assemble_group for groups that do not fit a worker, on their contracted graphs.
+
+    Chains of equal multiplicities are contracted by joins; gate, repeats and trails see the branches and heads that are left (a
+    contracted chain has one multiplicity and no branch, so that they decide alike); the labels of the chains are put in by a join.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    chains = stored(contract.spell_chains(contract.contract(edges, must_match=True)), "chains")
+
+    def walk(e: Edges) -> list[tuple]:
+        rows = []
+        for number, path, status in assemble_trails(e, coverage, gate):
+            rows += [(number, k, v, k == len(path) - 1, status) for k, v in enumerate(path)] if path else [(number, 0, None, True, status)]
+        return rows
+
+    found = traverse.per_group(contract.reduced(edges, chains), "contig_id int, pos int, id ID, ends boolean, status string", walk)
+    found = found.join(chains.select(*keys, F.col("head").alias("id"), "label"), [*keys, "id"], "left")
+    # what a node adds: all bases of its chain behind the mer's, but its first mer's last base alone where the trail ends
+    own = F.when(F.col("ends") | F.col("label").isNull(), F.col("id")).otherwise(F.col("label"))
+    piece = F.when(F.col("pos") == 0, own).otherwise(F.substring(own, F.length("id"), F.length(own)))
+    spelled = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"]), "")
+    return found.groupBy(*keys, "contig_id").agg(F.when(F.count("id") > 0, spelled).alias("seq"), F.min("status").alias("status"))
 
 
-def assemble_reads(reads: DataFrame, k1: int, coverage: int | None = None, multi: bool = True, gate: bool | None = None) -> DataFrame:
+def assemble_reads(reads: DataFrame, k1: int, coverage: int | None = None, multi: bool = True, gate: bool | None = None, largest: int | None = None, most: int | None = None) -> DataFrame:
     """contigs(group_key, contig_id, seq, status) of each group's reads.
 
-    Edges are counted and filtered by coverage over all groups at once; each group's graph is then assembled in one task. With
-    coverage the graph must have one source and one sink and repeats are rectified. Groups without an edge give no contig.
+    Edges are counted and filtered by coverage over all groups at once; a group that fits a worker is then assembled in one task, a
+    larger one after its chains are contracted by joins (assemble_large). With coverage the graph must have one source and one sink and
+    repeats are rectified. Groups without an edge give no contig. largest is a bound of a group's edges, if the caller knows one.
     """
     edges = build.covered(kmers.edges(reads, k1, multi), coverage)
     gate = coverage is not None if gate is None else gate
-    return traverse.per_group(edges, "contig_id int, seq string, status string", lambda e: assemble_group(e, coverage, gate))
+    small = lambda e: traverse.per_group(e, "contig_id int, seq string, status string", lambda x: assemble_group(x, coverage, gate))
+    return traverse.by_size(edges, small, lambda e: assemble_large(e, coverage, gate).select("group_key", "contig_id", "seq", "status"), largest, most)
 
 
 def assemble_slices(reads: DataFrame) -> DataFrame:
-    """The plain facade: mers of three bases, every edge once."""
-    return assemble_reads(reads, DEFAULT_K1, multi=False)
+    """The plain facade: mers of three bases, every edge once; no group has more than 256 edges."""
+    return assemble_reads(reads, DEFAULT_K1, multi=False, largest=4 ** (DEFAULT_K1 + 1))
 
 
 def rectified(edges: DataFrame, coverage: int) -> DataFrame:

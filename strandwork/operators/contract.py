@@ -1,27 +1,39 @@
-"""Chain contraction of one large graph by pointer doubling over joins."""
+"""Contraction and strong components of graphs of any size, as joins: for groups that do not fit a worker."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.operators import digraph
-from strandwork.shared import stored
+from strandwork.shared import release, stored
+
+#: Called after each round with its number and how many rows are still on their way.
+Progress = Callable[[int, int], None]
+
 
+def _double(state: DataFrame, keys: list[str], rounds: int, progress: Progress | None = None) -> DataFrame:
+    """(v, parent, dist, low, least, there) after all rows are there, that is point at a head, or `rounds` doublings.
 
-def _double(state: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """(v, parent, dist, low, least) after the parents no longer change or `rounds` doublings."""
-    for _ in range(rounds):
-        up = state.select(*keys, F.col("v").alias("parent"), F.col("parent").alias("_up"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("least").alias("_least"))
-        state = stored(state.join(up, [*keys, "parent"]).select(*keys, "v", F.col("_up").alias("parent"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.least("least", "_least").alias("least"), (F.col("_up") != F.col("parent")).alias("moved")), "double")
-        if state.filter("moved").isEmpty():
+    Rows that are there take no part in the join: the others' parents are all different, so no head is a hot key.
+    """
+    for number in range(rounds):
+        up = state.select(*keys, F.col("v").alias("parent"), F.col("parent").alias("_up"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("least").alias("_least"), F.col("there").alias("_there"))
+        moved = state.filter("not there").join(up, [*keys, "parent"]).select(*keys, "v", F.col("_up").alias("parent"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.least("least", "_least").alias("least"), F.col("_there").alias("there"))
+        old, state = state, stored(state.filter("there").unionByName(moved), "double")
+        left = state.filter("not there").count()
+        release(old)
+        if progress:
+            progress(number, left)
+        if not left:
             break
-        state = state.drop("moved")
-    return state.drop("moved")
+    return state
 
 
-def contract(edges: DataFrame, must_match: bool = False) -> DataFrame:
-    """(group_key), head, tail, vertices, multiplicity, n_vertices: the chains that `traverse.contract` gives, for any size of group.
+def members(edges: DataFrame, must_match: bool = False, progress: Progress | None = None) -> DataFrame:
+    """(group_key), head, dist, v, succ, m_out and the least multiplicity of the links up to v, of every vertex of a chain.
 
     Each vertex that joins its predecessor points at it; pointers double until they reach the heads, in rounds that grow with
     the logarithm of the longest chain. Rows that by then do not point at a head lie on cycles: their windows
@@ -40,20 +52,88 @@ def contract(edges: DataFrame, must_match: bool = False) -> DataFrame:
     rounds = max(1, plain.count()).bit_length() + 1
 
     def start(rows: DataFrame) -> DataFrame:
-        return rows.select(*keys, "v", F.coalesce("pred", "v").alias("parent"), F.col("pred").isNotNull().cast("long").alias("dist"), F.col("v").alias("low"), F.when(F.col("pred").isNotNull(), F.col("m_in")).alias("least"))
+        return stored(rows.select(*keys, "v", F.coalesce("pred", "v").alias("parent"), F.col("pred").isNotNull().cast("long").alias("dist"), F.col("v").alias("low"), F.when(F.col("pred").isNotNull(), F.col("m_in")).alias("least"), F.col("pred").isNull().alias("there")), "start")
 
-    state = _double(start(plain), keys, rounds)
-    roots = plain.filter("pred IS NULL").select(*keys, F.col("v").alias("parent"))
-    done = state.join(roots, [*keys, "parent"], "left_semi")
-    stuck = state.join(roots, [*keys, "parent"], "left_anti").select(*keys, "v", F.col("low").alias("head"))
-    again = plain.join(stuck, [*keys, "v"]).withColumn("pred", F.when(F.col("v") != F.col("head"), F.col("pred")))
+    state = _double(start(plain), keys, rounds, progress)
+    done = state.filter("there")
+    stuck = state.filter("not there").select(*keys, "v", F.col("low").alias("head"))
     if not stuck.isEmpty():
-        done = done.unionByName(_double(start(again), keys, rounds))
-    links = done.join(plain.select(*keys, "v", "succ", "m_out"), [*keys, "v"])
+        again = plain.join(stuck, [*keys, "v"]).withColumn("pred", F.when(F.col("v") != F.col("head"), F.col("pred")))
+        done = done.unionByName(_double(start(again), keys, rounds, progress))
+    return done.join(plain.select(*keys, "v", "succ", "m_out"), [*keys, "v"]).select(*keys, F.col("parent").alias("head"), "dist", "v", "succ", "m_out", "least")
+
+
+def contract(edges: DataFrame, must_match: bool = False, progress: Progress | None = None, merge: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(group_key), head, tail, vertices, multiplicity, n_vertices: the chains that `traverse.contract` gives, for any size of group.
+
+    merge names further columns of the edges and the aggregate (F.sum, F.min, F.collect_list ...) that a chain's links and the edge
+    out of it are merged by.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    links = members(edges, must_match, progress)
     order = F.sort_array(F.collect_list(F.struct("dist", "v")))
     last = F.max(F.struct("dist", "succ", "m_out", "least"))
-    found = links.groupBy(*keys, F.col("parent").alias("head")).agg(F.transform(order, lambda x: x["v"]).alias("vertices"), last.alias("last"), F.count("*").cast("int").alias("n_vertices"))
-    return found.select(*keys, "head", F.col("last.succ").alias("tail"), "vertices", F.least("last.least", "last.m_out").alias("multiplicity"), "n_vertices")
+    found = links.groupBy(*keys, "head").agg(F.transform(order, lambda x: x["v"]).alias("vertices"), last.alias("last"), F.count("*").cast("int").alias("n_vertices"))
+    out = found.select(*keys, "head", F.col("last.succ").alias("tail"), "vertices", F.least("last.least", "last.m_out").alias("multiplicity"), "n_vertices")
+    if not merge:
+        return out
+    # the only edge out of each vertex of a chain is a link of it or leads out of it
+    own = edges.select(*keys, F.col("src").alias("v"), *merge)
+    merged = links.select(*keys, "head", "v").join(own, [*keys, "v"]).groupBy(*keys, "head").agg(*(f(F.col(c)).alias(c) for c, f in merge.items()))
+    return out.join(merged, [*keys, "head"], "left")
+
+
+def reduced(edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """Edges between heads of chains and branches: a chain's is that to its tail, a branch keeps its own."""
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    inside = chains.select(*keys, F.explode("vertices").alias("src"))
+    own = edges.select(*keys, "src", "dst", "multiplicity").join(inside, [*keys, "src"], "left_anti")
+    # the edge out of a chain has the multiplicity of its last vertex's edge
+    last = chains.filter("tail IS NOT NULL").select(*keys, "head", F.element_at("vertices", -1).alias("src"))
+    out = edges.join(last, [*keys, "src"]).select(*keys, F.col("head").alias("src"), "dst", "multiplicity")
+    return own.unionByName(out)
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(group_key), id, component: strong components named by their least vertex, by colours that spread along the edges.
+
+    A vertex takes the least id that reaches it. Where that is its own, all vertices of its colour that reach it back
+    are its component; they go, and what is left is coloured anew. Rounds grow with the longest of all shortest paths, so chains should be
+    contracted first; each round is one join of the edges with one colour a vertex.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    links = stored(edges.select(*keys, "src", "dst").distinct(), "links")
+    rest = stored(links.select(*keys, F.explode(F.array("src", "dst")).alias("id")).distinct(), "rest")
+    found, rounds = [], 0
+    while not rest.isEmpty():
+        colour = stored(rest.withColumn("c", F.col("id")), "colour")
+        moved = True
+        while moved:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
+            sent = links.join(colour.select(*keys, F.col("id").alias("src"), "c"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.min("c").alias("n"))
+            old, colour = colour, stored(colour.drop("moved").join(sent, [*keys, "id"], "left").select(*keys, "id", F.least("c", "n").alias("c"), F.coalesce(F.col("n") < F.col("c"), F.lit(False)).alias("moved")), "colour")
+            release(old)
+            moved = not colour.filter("moved").isEmpty()
+        colour = colour.drop("moved")
+        inside = links.join(colour.select(*keys, F.col("id").alias("src"), F.col("c").alias("a")), [*keys, "src"]).join(colour.select(*keys, F.col("id").alias("dst"), F.col("c").alias("b")), [*keys, "dst"]).filter("a = b").select(*keys, "src", "dst")
+        inside = stored(inside, "inside")
+        back = stored(colour.filter("id = c"), "back")
+        new = back
+        while not new.isEmpty():
+            rounds += 1
+            ahead = inside.join(new.select(*keys, F.col("id").alias("dst"), "c"), [*keys, "dst"]).select(*keys, F.col("src").alias("id"), "c").distinct()
+            new = stored(ahead.join(back, [*keys, "id"], "left_anti"), "new")
+            back = stored(back.unionByName(new), "back")
+        found.append(back)
+        rest = stored(rest.join(back, [*keys, "id"], "left_anti"), "rest")
+        gone = back.select(*keys, "id")
+        links = stored(links.join(gone.withColumnRenamed("id", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_anti"), "links")
+    out = found[0] if found else rest.withColumn("c", F.col("id"))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumnRenamed("c", "component")
 
 
 def spell_chains(chains: DataFrame) -> DataFrame:

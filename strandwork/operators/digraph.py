@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwork.shared import stored
+
 
 def _keys(edges: DataFrame) -> list[str]:
     return ["group_key"] if "group_key" in edges.columns else []
@@ -61,6 +63,39 @@ def flags(edges: DataFrame) -> DataFrame:
     return degrees(edges).withColumns({"is_branch": (F.col("n_out") > 1) | (F.col("n_in") > 1), "is_source": (F.col("out_deg") > 0) & (F.col("in_deg") == 0), "is_sink": (F.col("out_deg") == 0) & (F.col("in_deg") > 0)})
 
 
+def in_range(edges: DataFrame, capacity: int, strict: bool = False) -> DataFrame:
+    """Edges both of whose ends lie in 0..capacity-1, the places of a graph of fixed size; others are left out, or are an error if strict."""
+    inside = lambda c: (F.col(c) >= 0) & (F.col(c) < capacity)
+    fits = inside("src") & inside("dst")
+    if strict:
+        return edges.withColumn("src", F.when(fits, F.col("src")).otherwise(F.raise_error(F.concat(F.lit(f"a vertex outside 0..{capacity - 1}: "), F.coalesce(F.col("src").cast("string"), F.lit("null")), F.lit(" or "), F.coalesce(F.col("dst").cast("string"), F.lit("null")))).cast(edges.schema["src"].dataType)))
+    return edges.filter(fits)
+
+
+def renumber(edges: DataFrame) -> DataFrame:
+    """(group_key), id, number: dense numbers from 0, sources first, then in order of the ids.
+
+    Groups are numbered by themselves. One graph without groups is sorted over all tasks; a row's number is its place in its
+    part plus the rows of the parts before, so that no task holds all vertices.
+    """
+    keys, rows = _keys(edges), flags(edges).withColumn("_late", ~F.col("is_source"))
+    if keys:
+        return rows.select(*keys, "id", (F.row_number().over(Window.partitionBy(*keys).orderBy("_late", "id")) - 1).cast("long").alias("number"))
+    placed = stored(rows.orderBy("_late", "id").select("id", F.monotonically_increasing_id().alias("_row")), "numbers").withColumns({"_part": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))})
+    # one row for each part of the sort
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return placed.join(F.broadcast(base), "_part").select("id", (F.col("_base") + F.col("_place")).alias("number"))
+
+
+def renumbered(edges: DataFrame) -> DataFrame:
+    """The edges with their ends as the numbers of `renumber`."""
+    keys, numbers = _keys(edges), renumber(edges)
+    for end in ("src", "dst"):
+        edges = edges.join(numbers.withColumnRenamed("id", end), [*keys, end]).drop(end).withColumnRenamed("number", end)
+    return edges.select(*keys, "src", "dst", "multiplicity")
+
+
 def no_way_out(degree_rows: DataFrame) -> DataFrame:
     """Vertices with an empty adjacency list, those without any edge among them."""
     return degree_rows.filter(F.coalesce("out_deg", F.lit(0)) <= 0)

@@ -39,16 +39,17 @@ def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: i
     """
     if not 1 <= low <= high:
         raise ValueError("piece lengths take 1 <= low <= high")
-    n = F.length("seq")
-    rows = sequences_.filter(n > 0).select("group_key", "seq", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    steps = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(n / low).cast("int"))))
+    whole = sequences_.filter(F.length("seq") > 0).select("group_key", "seq")
+    # cuts are found from lengths alone; the bases come to them at the end, by their group
+    steps = whole.select("group_key", F.length("seq").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")).withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / low).cast("int"))))
     size = lcg(F.col("j") + 1009 * F.col("copy") + 104729 * F.pmod(F.col("group_key"), F.lit(10007)) + 7919 * seed) % (high - low + 1) + low
     order = Window.partitionBy("group_key", "copy").orderBy("j")
-    cut = steps.withColumn("b", F.sum(size).over(order)).withColumn("stop", (F.col("b") > n - low) if merge_tail else (F.col("b") >= n))
+    cut = steps.withColumn("b", F.sum(size).over(order)).withColumn("stop", (F.col("b") > F.col("n") - low) if merge_tail else (F.col("b") >= F.col("n")))
     # the first stop ends the copy: rows behind it are those whose previous cut stopped already
     kept = cut.withColumns({"before": F.lag("stop", 1, False).over(order), "start": F.lag("b", 1, 0).over(order)}).filter("NOT before")
-    seq = F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), F.when(F.col("stop"), n).otherwise(F.col("b") - F.col("start")).cast("int"))
-    return kept.select("group_key", F.col("copy"), F.col("j").alias("read_id"), F.col("start").cast("long").alias("start"), seq.alias("seq"))
+    length = F.when(F.col("stop"), F.col("n")).otherwise(F.col("b") - F.col("start")).cast("int")
+    pieces = kept.groupBy("group_key").agg(F.collect_list(F.struct("copy", F.col("j").alias("read_id"), F.col("start").cast("long").alias("start"), length.alias("length"))).alias("pieces"))
+    return whole.join(pieces, "group_key").select("group_key", "seq", F.explode("pieces").alias("p")).select("group_key", "p.copy", "p.read_id", "p.start", F.substring(F.col("seq"), (F.col("p.start") + 1).cast("int"), F.col("p.length")).alias("seq"))
 
 
 def one_sequence(spark: SparkSession, a: int, c: int, t: int, g: int, length: int, seed: int) -> DataFrame:

@@ -1,8 +1,7 @@
 """Traversals of one group's graph - components, trails, chains - and their runs over all groups.
 
 The functions on dictionaries take the edges of one group as {(src, dst): multiplicity}; each group is one
-task's work, so a group must fit a worker. `chains` and `components` of one large graph are in
-`contract.py`, as joins.
+task's work. Groups that do not fit a worker go by the joins of `contract.py`.
 """
 
 from __future__ import annotations
@@ -10,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwork.operators import contract as joins
+from strandwork.shared import stored
+
 Edges = dict[tuple, int]
 
 
@@ -169,8 +172,12 @@ def chains_of(edges: Edges, must_match: bool = False) -> list[dict]:
     return out
 
 
+#: Edges of a group that one worker takes at most; larger groups go by joins.
+WORKER_EDGES = 2_000_000
+
+
 def per_group(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]]) -> DataFrame:
-    """Rows of f for each group's edges; without group_key all edges are one group."""
+    """Rows of f for each group's edges, each group one task's work; without group_key all edges are one group."""
     grouped = "group_key" in edges.columns
     kind = edges.schema["src"].dataType.simpleString()
     own = T.StructType.fromDDL(schema.replace("ID", kind))
@@ -185,16 +192,52 @@ def per_group(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]])
     return groups.applyInPandas(run, whole)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def by_size(edges: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], largest: int | None = None, most: int | None = None) -> DataFrame:
+    """small of the groups that fit a worker and large of the others.
+
+    largest is a bound of a group's edges that the caller knows; without one the edges are stored and counted.
+    """
+    most = WORKER_EDGES if most is None else most
+    if largest is not None and largest <= most:
+        return small(edges)
+    edges = stored(edges, "sized")
+    if "group_key" not in edges.columns:
+        return small(edges) if edges.count() <= most else large(edges)
+    heavy = stored(edges.groupBy("group_key").count().filter(F.col("count") > most).select("group_key"), "heavy")
+    if heavy.isEmpty():
+        return small(edges)
+    return small(edges.join(heavy, "group_key", "left_anti")).unionByName(large(edges.join(heavy, "group_key", "left_semi")))
+
+
+def components(edges: DataFrame, largest: int | None = None, most: int | None = None) -> DataFrame:
     """(group_key), id, component: strong components named by their least vertex."""
-    return per_group(edges, "id ID, component ID", lambda e: sorted(strong_components(e).items()))
+    return by_size(edges, lambda e: per_group(e, "id ID, component ID", lambda x: sorted(strong_components(x).items())), joins.strong_components, largest, most)
+
+
+def euler_paths(edges: DataFrame, largest: int | None = None, most: int | None = None) -> DataFrame:
+    """(group_key), path_id, pos, id: the trails of each group.
+
+    Of a group that does not fit a worker the chains of equal multiplicities are contracted by joins; a worker walks
+    the branches and heads that are left, and the vertices of the chains are put in by a join. A closed trail then begins at the least of these.
+    """
+    schema = "path_id int, pos int, id ID"
+    walk = lambda e: per_group(e, schema, lambda x: [(i, j, v) for i, t in enumerate(trails(x)) for j, v in enumerate(t)])
 
+    def large(e: DataFrame) -> DataFrame:
+        keys = ["group_key"] if "group_key" in e.columns else []
+        chains = stored(joins.contract(e, must_match=True), "chains")
+        found = walk(joins.reduced(e, chains)).join(chains.select(*keys, F.col("head").alias("id"), "vertices"), [*keys, "id"], "left")
+        path = Window.partitionBy(*keys, "path_id").orderBy("pos")
+        # a trail's last vertex stands for itself, as no edge of its chain is walked
+        found = found.withColumn("run", F.when(F.col("vertices").isNull() | F.lead("pos").over(path).isNull(), F.array("id")).otherwise(F.col("vertices")))
+        found = found.withColumn("at", F.sum(F.size("run")).over(path) - F.size("run"))
+        return found.select(*keys, "path_id", "at", F.posexplode("run").alias("k", "id")).select(*keys, "path_id", (F.col("at") + F.col("k")).cast("int").alias("pos"), "id")
 
-def euler_paths(edges: DataFrame) -> DataFrame:
-    """(group_key), path_id, pos, id: the trails of each group."""
-    return per_group(edges, "path_id int, pos int, id ID", lambda e: [(i, j, v) for i, t in enumerate(trails(e)) for j, v in enumerate(t)])
+    return by_size(edges, walk, large, largest, most)
 
 
-def contract(edges: DataFrame, must_match: bool = False) -> DataFrame:
+def contract(edges: DataFrame, must_match: bool = False, largest: int | None = None, most: int | None = None) -> DataFrame:
     """(group_key), head, tail, vertices, multiplicity, n_vertices of each group's chains."""
-    return per_group(edges, "head ID, tail ID, vertices array<ID>, multiplicity bigint, n_vertices int", lambda e: [(c["head"], c["tail"], c["vertices"], c["multiplicity"], len(c["vertices"])) for c in chains_of(e, must_match)])
+    schema = "head ID, tail ID, vertices array<ID>, multiplicity bigint, n_vertices int"
+    small = lambda e: per_group(e, schema, lambda x: [(c["head"], c["tail"], c["vertices"], c["multiplicity"], len(c["vertices"])) for c in chains_of(x, must_match)])
+    return by_size(edges, small, lambda e: joins.contract(e, must_match), largest, most)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions import codec, distance
-from strandwork.operators import align, assemble, build, digraph, generate, kmers, traverse
+from strandwork.operators import align, assemble, build, contract, digraph, generate, kmers, traverse
+from strandwork.shared import fresh_path
+from strandwork.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,10 +33,10 @@ SEQ = "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')"
 READS = f"reads AS (SELECT doc_id AS group_key, {SEQ} AS seq FROM documents)"
 
 
-def edges_sql(k1: int, keys: str = "group_key") -> str:
+def edges_sql(k1: int, keys: str = "group_key", source: str = READS) -> str:
     """CTEs reads, occ and e(keys, src, dst, multiplicity)."""
     head = f"{keys}, " if keys else ""
-    return f"""{READS},
+    return f"""{source},
     occ AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - {k1} + 1), lambda i: substr(seq, i, {k1 + 1}))) AS kmer FROM reads WHERE length(seq) > {k1}),
     e AS (SELECT {head}substr(kmer, 1, {k1}) AS src, substr(kmer, 2, {k1}) AS dst, count(*) AS multiplicity FROM occ GROUP BY ALL)"""
 
@@ -47,19 +49,53 @@ def degrees_sql(table: str, keys: str = "group_key") -> str:
 
 
 FLAGS = "(n_out > 1 OR n_in > 1) AS is_branch, (out_deg > 0 AND in_deg = 0) AS is_source, (out_deg = 0 AND in_deg > 0) AS is_sink"
+
+
+def chains_sql(k1: int, match: bool = False, keys: str = "group_key") -> str:
+    """Every chain with its label: walks from the vertices that do not join their predecessor, and for cycles from their least vertices."""
+    head, same = f"{keys}, " if keys else "", "AND i.multiplicity = o.multiplicity" if match else ""
+    own = lambda a, b: f"{a}.{keys} = {b}.{keys} AND" if keys else ""
+    of = lambda a: f"{a}.{keys}," if keys else ""
+    return f"""WITH RECURSIVE {edges_sql(k1, keys)}, {degrees_sql('e', keys)}, plain AS (SELECT {head}id FROM d WHERE n_out <= 1 AND n_in <= 1),
+    l AS (SELECT {of('p')} p.id, o.dst AS succ, o.multiplicity AS m_out, i.src AS pred, i.multiplicity AS m_in, coalesce(q.id IS NOT NULL AND o.dst IS NOT NULL AND i.src <> p.id {same}, false) AS joined
+        FROM plain p LEFT JOIN e o ON {own('o', 'p')} o.src = p.id LEFT JOIN e i ON {own('i', 'p')} i.dst = p.id LEFT JOIN plain q ON {own('q', 'p')} q.id = i.src),
+    j AS (SELECT * FROM l WHERE joined),
+    w AS (SELECT {head}id AS head, id AS v, CAST(0 AS BIGINT) AS n FROM l WHERE NOT joined UNION ALL SELECT {of('w')} w.head, j.id, w.n + 1 FROM w JOIN j ON {own('j', 'w')} j.pred = w.v),
+    c AS (SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM w WHERE {own('w', 'j')} w.v = j.id)),
+    r AS (SELECT {head}id AS a, id AS b FROM c UNION SELECT {of('r')} r.a, c.id FROM r JOIN c ON {own('c', 'r')} c.pred = r.b),
+    h AS (SELECT {head}a FROM r GROUP BY ALL HAVING min(b) = a),
+    y AS (SELECT {head}a AS head, a AS v, CAST(0 AS BIGINT) AS n FROM h UNION ALL SELECT {of('y')} y.head, c.id, y.n + 1 FROM y JOIN c ON {own('c', 'y')} c.pred = y.v AND c.id <> y.head),
+    a AS (SELECT x.*, l.succ, l.m_out, l.m_in FROM (SELECT * FROM w UNION ALL SELECT * FROM y) x JOIN l ON {own('l', 'x')} l.id = x.v),
+    chains AS (SELECT {head}head, arg_max(succ, n) FILTER (n = last) AS tail, CAST(list_min([min(m_in) FILTER (n > 0), max(m_out) FILTER (n = last)]) AS BIGINT) AS multiplicity, CAST(count(*) AS INTEGER) AS n_vertices, head || coalesce(string_agg(right(v, 1), '' ORDER BY n) FILTER (n > 0), '') AS label
+        FROM (SELECT *, max(n) OVER (PARTITION BY {head}head) AS last FROM a) GROUP BY {head}head)"""
+
+
+#: r: all pairs of vertices of a group of which one reaches the other (or is it).
+REACH = "r AS (SELECT group_key, id AS a, id AS b FROM d UNION SELECT r.group_key, r.a, e.dst FROM r JOIN e ON e.group_key = r.group_key AND e.src = r.b)"
+
+
 EVENT_PAIRS = "p AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst, count(*) AS multiplicity FROM p WHERE dst IS NOT NULL GROUP BY ALL)"
 PART_PAIRS = "e AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS multiplicity FROM lineitem GROUP BY ALL)"
 
 
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bases of each document, where the scan leaves them."""
+    return kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bases of each document, dealt out by document.
+    """The bases of each document, dealt out by document, for queries that group by it.
 
     Bases are a tenth of what their k-mers take, so they are shuffled once and k-mers are then counted, and graphs built, in
     place: every later grouping has the document among its keys. The count of partitions is the session's, which
     AQE would else melt down to the bytes of the bases.
     """
-    rows = kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_key")
+    return bases(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_key")
+
+
+def most_bases(spark: SparkSession, sf_dir: str) -> int:
+    """Bytes of the longest document: a bound of its edges, read without looking for bases."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0] or 0
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,22 +112,22 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {READS} SELECT group_key, seq, length(seq) AS n FROM reads")
 def seq_normalize(spark, sf_dir):
-    return reads(spark, sf_dir).select("group_key", "seq", F.length("seq").cast("long").alias("n"))
+    return bases(spark, sf_dir).select("group_key", "seq", F.length("seq").cast("long").alias("n"))
 
 
 @query(f"WITH {READS} SELECT group_key, {', '.join(f'''length(seq) - length(replace(seq, '{b}', '')) AS n_{b.lower()}''' for b in 'ACGT')} FROM reads")
 def base_composition(spark, sf_dir):
-    return reads(spark, sf_dir).select("group_key", *((F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("long").alias(f"n_{b.lower()}") for b in "ACGT"))
+    return bases(spark, sf_dir).select("group_key", *((F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("long").alias(f"n_{b.lower()}") for b in "ACGT"))
 
 
 @query(f"WITH {READS} SELECT group_key, i - 1 AS pos, substr(seq, i, 8) AS mer FROM (SELECT group_key, seq, unnest(range(1, length(seq) - 6)) AS i FROM reads WHERE length(seq) >= 8)")
 def kmer_positions_k8(spark, sf_dir):
-    return kmers.mers(reads(spark, sf_dir), 8).select("group_key", F.col("pos").cast("long").alias("pos"), "mer")
+    return kmers.mers(bases(spark, sf_dir), 8).select("group_key", F.col("pos").cast("long").alias("pos"), "mer")
 
 
 @query(f"WITH {READS}, m AS (SELECT DISTINCT unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) >= 12) SELECT mer, list_reduce(list_transform(range(1, 13), lambda i: CAST(strpos('ACGT', substr(mer, i, 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS mer_id FROM m")
 def mer_encode(spark, sf_dir):
-    return kmers.mers(reads(spark, sf_dir), 12).select("mer").distinct().select("mer", codec.mer_encode(F.col("mer")).alias("mer_id"))
+    return kmers.mers(bases(spark, sf_dir), 12).select("mer").distinct().select("mer", codec.mer_encode(F.col("mer")).alias("mer_id"))
 
 
 @query("SELECT p_partkey AS mer_id, list_aggregate(list_transform(range(9, -1, -1), lambda i: substr('ACGT', CAST((p_partkey >> (2 * i)) & 3 AS BIGINT) + 1, 1)), 'string_agg', '') AS mer FROM part")
@@ -101,23 +137,41 @@ def mer_decode(spark, sf_dir):
 
 @query(f"WITH {READS} SELECT group_key, seq, length(seq) % 4 AS header, 1 + CAST(ceil(length(seq) / 4.0) AS BIGINT) AS n_bytes FROM reads")
 def packed_round_trip(spark, sf_dir):
-    rows = reads(spark, sf_dir).withColumn("packed", codec.pack(F.col("seq")))
+    rows = bases(spark, sf_dir).withColumn("packed", codec.pack(F.col("seq")))
     return rows.select("group_key", codec.unpack(F.col("packed")).alias("seq"), F.conv(F.substring(F.hex("packed"), 1, 2), 16, 10).cast("long").alias("header"), F.octet_length("packed").cast("long").alias("n_bytes"))
 
 
+@query(f"WITH {READS} SELECT group_key, substr(seq, 6, 7) AS slice FROM reads")
+def packed_slice(spark, sf_dir):
+    return bases(spark, sf_dir).select("group_key", codec.unpack_slice(codec.pack(F.col("seq")), 5, 7).alias("slice"))
+
+
+@query(f"WITH {READS} SELECT group_key, left(seq, 8) = left(reverse(seq), 8) AS equal FROM reads")
+def packed_equality(spark, sf_dir):
+    pair = bases(spark, sf_dir).select("group_key", codec.pack(F.left(F.col("seq"), F.lit(8))).alias("a"), codec.pack(F.left(F.reverse("seq"), F.lit(8))).alias("b"))
+    return pair.select("group_key", codec.packed_equal(F.col("a"), F.col("b")).alias("equal"))
+
+
+@query("SELECT doc_id AS group_key, word AS seq FROM (SELECT doc_id, unnest(string_split_regex(upper(coalesce(text, '')), '[ \\n]+')) AS word FROM documents) WHERE word <> '' AND regexp_full_match(word, '[ACGT]*')")
+def alphabet_words(spark, sf_dir):
+    """The words of all documents that are sequences of bases."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("group_key"), F.explode(F.split(F.upper(F.coalesce("text", F.lit(""))), "[ \n]+")).alias("seq"))
+    return kmers.only_bases(words.filter("seq <> ''"))
+
+
 @query(f"WITH {READS} SELECT group_key, seq || substr(reverse(seq), 4) AS merged FROM reads")
 def merge_overlap(spark, sf_dir):
-    return reads(spark, sf_dir).select("group_key", codec.merge_overlap(F.col("seq"), F.reverse("seq"), 3).alias("merged"))
+    return bases(spark, sf_dir).select("group_key", codec.merge_overlap(F.col("seq"), F.reverse("seq"), 3).alias("merged"))
 
 
 @query(f"WITH {edges_sql(3, '')} SELECT src, dst FROM e")
 def debruijn_edges(spark, sf_dir):
-    return kmers.edges(reads(spark, sf_dir), 3, multi=False, grouped=False).select("src", "dst")
+    return kmers.edges(bases(spark, sf_dir), 3, multi=False, grouped=False).select("src", "dst")
 
 
 @query(f"WITH {edges_sql(3, '')} SELECT src, dst, multiplicity FROM e")
 def debruijn_edges_multi(spark, sf_dir):
-    return kmers.edges(reads(spark, sf_dir), 3, grouped=False)
+    return kmers.edges(bases(spark, sf_dir), 3, grouped=False)
 
 
 @query(f"WITH {edges_sql(8)} SELECT * FROM e")
@@ -201,6 +255,49 @@ def remove_edge(spark, sf_dir):
     return digraph.remove_edges(parts(spark, sf_dir), gone)
 
 
+@query(f"WITH {PART_PAIRS} SELECT src, dst, multiplicity FROM e WHERE src BETWEEN 0 AND 999 AND dst BETWEEN 0 AND 999")
+def range_guard(spark, sf_dir):
+    """The edges that a graph of a thousand places takes."""
+    return digraph.in_range(parts(spark, sf_dir), 1000)
+
+
+@query(f"WITH {edges_sql(8)}, {degrees_sql('e')}, f AS (SELECT *, {FLAGS} FROM d) SELECT group_key, id, row_number() OVER (PARTITION BY group_key ORDER BY NOT is_source, id) - 1 AS number FROM f")
+def renumber_k8(spark, sf_dir):
+    return digraph.renumber(kmers.edges(reads(spark, sf_dir), 8))
+
+
+@query(f"WITH {PART_PAIRS}, {degrees_sql('e', '')}, f AS (SELECT *, {FLAGS} FROM d), n AS (SELECT id, row_number() OVER (ORDER BY NOT is_source, id) - 1 AS number FROM f) SELECT a.number AS src, b.number AS dst, multiplicity FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst")
+def renumbered_edges(spark, sf_dir):
+    return digraph.renumbered(parts(spark, sf_dir))
+
+
+@query(f"WITH {PART_PAIRS}, {degrees_sql('e', '')} SELECT id FROM d WHERE out_deg = 0")
+def no_way_out(spark, sf_dir):
+    return digraph.no_way_out(digraph.degrees(parts(spark, sf_dir))).select("id")
+
+
+@query(f"WITH {PART_PAIRS}, o AS (SELECT src AS id, string_agg(dst, ' ' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ' ' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1) SELECT coalesce(o.id, i.id) AS id, 'vertex ' || coalesce(o.id, i.id) || ' to [' || coalesce(t, '') || '] from [' || coalesce(f, '') || ']' AS line FROM o FULL JOIN i ON o.id = i.id")
+def vertex_display(spark, sf_dir):
+    return digraph.display(digraph.vertices(parts(spark, sf_dir)))
+
+
+@query(f"WITH {PART_PAIRS}, {degrees_sql('e', '')} SELECT id, out_deg AS n_to, in_deg AS n_from, CASE WHEN n_out > 1 OR n_in > 1 THEN 'branch' ELSE 'chain' END AS kind FROM d")
+def vertex_files(spark, sf_dir):
+    """Vertices written with a folder for each kind and read back."""
+    rows = digraph.vertices(parts(spark, sf_dir)).withColumn("kind", F.when(F.col("is_branch"), "branch").otherwise("chain"))
+    path = fresh_path(spark, "vertices")
+    files.write_kinds(rows, path)
+    return files.read_vertices(spark, path).select("id", F.size("out_nbrs").cast("long").alias("n_to"), F.size("in_nbrs").cast("long").alias("n_from"), "kind")
+
+
+@query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT seq FROM reads JOIN u USING (group_key)")
+def contig_files(spark, sf_dir):
+    """Contigs written as lines of text and read back as reads."""
+    path = fresh_path(spark, "contigs")
+    files.write_contigs(assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12, largest=most_bases(spark, sf_dir)), path)
+    return files.read_lines(spark, path).select("seq")
+
+
 @query(f"WITH {EVENT_PAIRS} SELECT src, dst, 2 * multiplicity AS multiplicity FROM e")
 def merge_vertices(spark, sf_dir):
     return digraph.add_edges(events(spark, sf_dir), events(spark, sf_dir))
@@ -233,17 +330,20 @@ def tail_successor(spark, sf_dir):
     return digraph.tails(kmers.edges(reads(spark, sf_dir), 8))
 
 
-@query()
+@query(f"{chains_sql(8)} SELECT * FROM chains")
 def chain_contract_k8(spark, sf_dir):
-    rows = traverse.contract(kmers.edges(reads(spark, sf_dir), 8))
-    from strandwork.operators.contract import spell_chains
-
-    return spell_chains(rows).drop("vertices")
+    return contract.spell_chains(traverse.contract(kmers.edges(reads(spark, sf_dir), 8), largest=most_bases(spark, sf_dir))).drop("vertices")
 
 
-@query()
+@query(f"{chains_sql(8, True)} SELECT group_key, head, tail, multiplicity, n_vertices FROM chains")
 def chain_contract_match(spark, sf_dir):
-    return traverse.contract(kmers.edges(reads(spark, sf_dir), 8), must_match=True).drop("vertices")
+    return traverse.contract(kmers.edges(reads(spark, sf_dir), 8), must_match=True, largest=most_bases(spark, sf_dir)).drop("vertices")
+
+
+@query(f"{chains_sql(12, False, '')} SELECT head, tail, multiplicity, n_vertices, label FROM chains")
+def chain_contract_whole(spark, sf_dir):
+    """One graph of all documents, contracted by joins."""
+    return contract.spell_chains(contract.contract(kmers.edges(bases(spark, sf_dir), 12, grouped=False))).drop("vertices")
 
 
 @query(f"""WITH RECURSIVE {EVENT_PAIRS}, r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
@@ -252,20 +352,48 @@ def strong_components_events(spark, sf_dir):
     return traverse.components(events(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {edges_sql(3)}, {degrees_sql('e')}, {REACH} SELECT x.group_key, x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.group_key = y.group_key AND x.a = y.b AND x.b = y.a GROUP BY ALL")
+def strong_components_k3(spark, sf_dir):
+    return traverse.components(kmers.edges(reads(spark, sf_dir), 3), largest=256)
+
+
+@query(f"""WITH RECURSIVE {EVENT_PAIRS}, r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+    SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY ALL""")
+def strong_components_joins(spark, sf_dir):
+    """The same as strong_components_events, by joins."""
+    return contract.strong_components(events(spark, sf_dir))
+
+
 @query()
 def strong_components_k8(spark, sf_dir):
-    return traverse.components(kmers.edges(reads(spark, sf_dir), 8))
+    return traverse.components(kmers.edges(reads(spark, sf_dir), 8), largest=most_bases(spark, sf_dir))
 
 
 @query(f"WITH {edges_sql(12)} SELECT group_key, CAST(sum(multiplicity) AS BIGINT) AS n_edges FROM e GROUP BY ALL")
 def euler_edge_counts_k12(spark, sf_dir):
-    paths = traverse.euler_paths(kmers.edges(reads(spark, sf_dir), 12))
+    paths = euler_paths_k12(spark, sf_dir)
     return paths.groupBy("group_key").agg((F.count("*") - F.count_distinct("path_id")).alias("n_edges"))
 
 
 @query()
 def euler_paths_k12(spark, sf_dir):
-    return traverse.euler_paths(kmers.edges(reads(spark, sf_dir), 12))
+    return traverse.euler_paths(kmers.edges(reads(spark, sf_dir), 12), largest=most_bases(spark, sf_dir))
+
+
+@query(f"WITH {edges_sql(12)} SELECT * FROM e")
+def euler_edges_k12(spark, sf_dir):
+    """The steps of all trails: every edge, as often as it occurs."""
+    path = Window.partitionBy("group_key", "path_id").orderBy("pos")
+    steps = euler_paths_k12(spark, sf_dir).select("group_key", F.col("id").alias("src"), F.lead("id").over(path).alias("dst"))
+    return digraph.from_pairs(steps.filter("dst IS NOT NULL"))
+
+
+@query(f"WITH {edges_sql(12)}, {degrees_sql('e')} SELECT group_key, id, greatest(out_deg - in_deg, 0) AS n_starts, greatest(in_deg - out_deg, 0) AS n_ends FROM d WHERE out_deg <> in_deg")
+def euler_ends_k12(spark, sf_dir):
+    """Where the open trails start and end: as few as the degrees allow."""
+    ends = euler_paths_k12(spark, sf_dir).groupBy("group_key", "path_id").agg(F.min_by("id", "pos").alias("a"), F.max_by("id", "pos").alias("b")).filter("a <> b")
+    each = ends.select("group_key", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("b").alias("id"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("x")).select("group_key", "x.*")
+    return each.groupBy("group_key", "id").agg(F.sum("s").alias("n_starts"), F.sum("e").alias("n_ends"))
 
 
 @query("""SELECT * FROM (VALUES ('A', 'B', 1), ('B', 'C', 1), ('C', 'D', 2), ('D', 'E', 2), ('E', 'F', 1), ('F', 'C', 1), ('E', 'G', 1)) t(src, dst, multiplicity)""")
@@ -279,9 +407,23 @@ def rectify_single_docs(spark, sf_dir):
     return assemble.rectified(kmers.edges(reads(spark, sf_dir), 8), 2)
 
 
+@query(f"""WITH RECURSIVE {edges_sql(3)}, {degrees_sql('e')}, {REACH}, f AS (SELECT *, {FLAGS} FROM d),
+    s AS (SELECT group_key, min(id) AS id FROM f WHERE is_source GROUP BY ALL),
+    starts AS (SELECT f.* FROM f JOIN s ON s.group_key = f.group_key JOIN r ON r.group_key = f.group_key AND r.a = s.id AND r.b = f.id WHERE f.is_branch OR f.id = s.id),
+    w AS (SELECT e.group_key, e.src AS start, e.dst AS first, e.src, e.dst, e.multiplicity FROM starts JOIN e ON e.group_key = starts.group_key AND e.src = starts.id
+        UNION ALL SELECT w.group_key, w.start, w.first, e.src, e.dst, e.multiplicity FROM w JOIN f ON f.group_key = w.group_key AND f.id = w.dst AND NOT f.is_branch JOIN e ON e.group_key = w.group_key AND e.src = w.dst),
+    ends AS (SELECT w.group_key, w.start, w.first, max(w.dst) FILTER (f.is_branch OR f.n_out = 0) AS stop, min(w.multiplicity) AS least FROM w JOIN f ON f.group_key = w.group_key AND f.id = w.dst GROUP BY ALL),
+    t AS (SELECT x.group_key, x.start, x.first, CASE WHEN x.least >= 2 AND a.is_branch AND b.n_out > 0 AND EXISTS (SELECT 1 FROM r WHERE r.group_key = x.group_key AND r.a = x.stop AND r.b = x.start) THEN 2 ELSE 1 END AS most
+        FROM ends x JOIN f a ON a.group_key = x.group_key AND a.id = x.start JOIN f b ON b.group_key = x.group_key AND b.id = x.stop),
+    walked AS (SELECT w.group_key, w.src, w.dst, t.most FROM w JOIN t ON t.group_key = w.group_key AND t.start = w.start AND t.first = w.first)
+    SELECT e.group_key, e.src, e.dst, CAST(least(e.multiplicity, coalesce(walked.most, e.multiplicity)) AS BIGINT) AS multiplicity FROM e LEFT JOIN walked ON walked.group_key = e.group_key AND walked.src = e.src AND walked.dst = e.dst""")
+def rectify_single_k3(spark, sf_dir):
+    return assemble.rectified(kmers.edges(reads(spark, sf_dir), 3), 2)
+
+
 @query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
 def assemble_roundtrip_k12(spark, sf_dir):
-    return assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12).select("group_key", "seq", "status")
+    return assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12, largest=most_bases(spark, sf_dir)).select("group_key", "seq", "status")
 
 
 @query()
@@ -289,25 +431,58 @@ def assemble_basic_k3(spark, sf_dir):
     return assemble.assemble_slices(reads(spark, sf_dir))
 
 
+@query(f"WITH {edges_sql(3)} SELECT group_key, src, dst, CAST(1 AS BIGINT) AS multiplicity FROM e")
+def assemble_basic_edges(spark, sf_dir):
+    """The edges that the plain facade's contigs spell: each edge of the document once."""
+    return kmers.edges(assemble_basic_k3(spark, sf_dir).select("group_key", F.lit(0).alias("read_id"), "seq").filter("seq IS NOT NULL"), 3)
+
+
+def split_sql(merge_tail: bool, low: int = 5, high: int = 15, copies: int = 6) -> str:
+    """CTEs reads to pieces, and pieces(group_key, copy, read_id, start, seq)."""
+    stop = f"b > length(seq) - {low}" if merge_tail else "b >= length(seq)"
+    return f"""WITH RECURSIVE {READS}, s AS (SELECT group_key, seq, c AS copy, j, sum({low} + ((((j + 1009 * c + 104729 * (group_key % 10007)) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % {high - low + 1}) OVER (PARTITION BY group_key, c ORDER BY j) AS b
+        FROM (SELECT *, unnest(range(0, length(seq) // {low} + 1)) AS j FROM (SELECT *, unnest(range({copies})) AS c FROM reads WHERE length(seq) > 0))),
+    t AS (SELECT *, {stop} AS stop, lag(b, 1, 0) OVER w AS start, lag({stop}, 1, false) OVER w AS before FROM s WINDOW w AS (PARTITION BY group_key, copy ORDER BY j)),
+    pieces AS (SELECT group_key, CAST(copy AS INTEGER) AS copy, CAST(j AS INTEGER) AS read_id, CAST(start AS BIGINT) AS start, substr(seq, CAST(start + 1 AS BIGINT), CAST(CASE WHEN stop THEN length(seq) ELSE b - start END AS BIGINT)) AS seq FROM t WHERE NOT before)"""
+
+
+#: The covered edges of the pieces that assemble_reads_cov assembles, their degrees, and each group's counts of sources and sinks.
+COVERED = f"""{split_sql(True, 30, 60)}, occ AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 11), lambda i: substr(seq, i, 13))) AS kmer FROM pieces WHERE length(seq) > 12),
+    e AS (SELECT group_key, substr(kmer, 1, 12) AS src, substr(kmer, 2, 12) AS dst, count(*) AS multiplicity FROM occ GROUP BY ALL HAVING count(*) >= 2), {degrees_sql('e')},
+    g AS (SELECT group_key, count(*) FILTER (out_deg > 0 AND in_deg = 0) AS n_sources, count(*) FILTER (out_deg = 0 AND in_deg > 0) AS n_sinks FROM d GROUP BY ALL)"""
+
+
 @query()
 def assemble_reads_cov(spark, sf_dir):
-    return assemble.assemble_reads(generate.split_reads(reads(spark, sf_dir), 30, 60, 6), 12, coverage=3)
+    return assemble.assemble_reads(generate.split_reads(reads(spark, sf_dir), 30, 60, 6), 12, coverage=3, largest=most_bases(spark, sf_dir))
 
 
-def split_sql(merge_tail: bool) -> str:
-    stop = "b > length(seq) - 5" if merge_tail else "b >= length(seq)"
-    return f"""WITH {READS}, s AS (SELECT group_key, seq, c AS copy, j, sum(5 + ((((j + 1009 * c + 104729 * (group_key % 10007)) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % 11) OVER (PARTITION BY group_key, c ORDER BY j) AS b
-        FROM (SELECT *, unnest(range(0, length(seq) // 5 + 1)) AS j FROM (SELECT *, unnest(range(6)) AS c FROM reads WHERE length(seq) > 0))),
-    t AS (SELECT *, {stop} AS stop, lag(b, 1, 0) OVER w AS start, lag({stop}, 1, false) OVER w AS before FROM s WINDOW w AS (PARTITION BY group_key, copy ORDER BY j))
-    SELECT group_key, CAST(copy AS INTEGER) AS copy, CAST(j AS INTEGER) AS read_id, CAST(start AS BIGINT) AS start, substr(seq, CAST(start + 1 AS BIGINT), CAST(CASE WHEN stop THEN length(seq) ELSE b - start END AS BIGINT)) AS seq FROM t WHERE NOT before"""
+@query(f"{COVERED} SELECT e.group_key, e.src, e.dst FROM e JOIN g USING (group_key) WHERE n_sources = 1 AND n_sinks = 1")
+def assemble_cov_edges(spark, sf_dir):
+    """The edges that the contigs spell: all covered ones of the groups that pass the gate."""
+    contigs = assemble_reads_cov(spark, sf_dir).select("group_key", F.lit(0).alias("read_id"), "seq").filter("seq IS NOT NULL")
+    return kmers.edges(contigs, 12, multi=False).select("group_key", "src", "dst")
 
 
-@query(split_sql(True))
+@query(f"{COVERED} SELECT group_key, CASE WHEN n_sources > 1 THEN 'multi_source' WHEN n_sinks > 1 THEN 'multi_sink' ELSE 'no_end' END AS status FROM g WHERE n_sources <> 1 OR n_sinks <> 1")
+def assemble_cov_gate(spark, sf_dir):
+    """The groups that the gate stops, and why."""
+    return assemble_reads_cov(spark, sf_dir).filter("seq IS NULL").select("group_key", "status")
+
+
+@query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
+def assemble_roundtrip_large(spark, sf_dir):
+    """assemble_roundtrip_k12 on contracted chains, as for groups that do not fit a worker."""
+    edges = kmers.edges(assemble.unique_spelling(reads(spark, sf_dir), 12), 12)
+    return assemble.assemble_large(edges).select("group_key", "seq", "status")
+
+
+@query(f"{split_sql(True)} SELECT * FROM pieces")
 def split_reads(spark, sf_dir):
     return generate.split_reads(reads(spark, sf_dir), 5, 15, 6)
 
 
-@query(split_sql(False))
+@query(f"{split_sql(False)} SELECT * FROM pieces")
 def split_reads_untrimmed(spark, sf_dir):
     return generate.split_reads(reads(spark, sf_dir), 5, 15, 6, merge_tail=False)
 
@@ -321,7 +496,7 @@ def generate_sequence(spark, sf_dir):
 
 @query(f"WITH {READS} SELECT group_key, hamming(seq, reverse(seq)) AS distance FROM reads WHERE seq <> ''")
 def hamming_pairs(spark, sf_dir):
-    return reads(spark, sf_dir).filter("seq <> ''").select("group_key", distance.hamming(F.lower("seq"), F.reverse("seq")).cast("long").alias("distance"))
+    return bases(spark, sf_dir).filter("seq <> ''").select("group_key", distance.hamming(F.lower("seq"), F.reverse("seq")).cast("long").alias("distance"))
 
 
 NAME_PAIRS = "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS {} FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey"
@@ -348,7 +523,7 @@ BEST = "w AS (SELECT group_key, ordinal, contig, main, unnest(range(0, length(ma
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two contigs for each document of at least 60 bases against all its bases: a part of them, and a reversed one."""
-    r = reads(spark, sf_dir).filter(F.length("seq") >= 60)
+    r = bases(spark, sf_dir).filter(F.length("seq") >= 60)
     pair = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("seq", 21, 10).alias("contig")), F.struct(F.lit(1).alias("ordinal"), F.reverse(F.substring("seq", 31, 12)).alias("contig")))
     return r.select("group_key", F.col("seq").alias("main"), F.explode(pair).alias("c")).select("group_key", "c.*", "main")
 
@@ -363,6 +538,13 @@ def align_layout(spark, sf_dir):
     return align.render(contigs(spark, sf_dir))
 
 
+@query(f"WITH {READS}, p AS (SELECT group_key, replace(seq, 'AC', 'A') AS contig, seq AS main FROM reads WHERE seq <> '') SELECT group_key, contig, CAST(levenshtein(contig, main) AS INTEGER) AS distance, 'pairwise' AS mode FROM p WHERE length(contig) >= 0.85 * length(main)")
+def near_full_align(spark, sf_dir):
+    """Of each document the contig without the C behind an A, aligned as a whole if it is nearly as long as the document's bases."""
+    rows = bases(spark, sf_dir).filter("seq <> ''").select("group_key", F.lit(0).alias("ordinal"), F.replace("seq", F.lit("AC"), F.lit("A")).alias("contig"), F.col("seq").alias("main"))
+    return align.layout(rows.filter(F.length("contig") >= align.NEAR_FULL * F.length("main"))).select("group_key", "contig", "distance", "mode")
+
+
 @query("SELECT l_partkey AS src, l_suppkey AS dst, arg_min(l_quantity, l_orderkey * 100 + l_linenumber) AS weight FROM lineitem GROUP BY ALL")
 def weighted_edges_part_supplier(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +51,29 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes those of the paths that are still held."""
+    held = _held.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in held:
+            held.remove(path)
+            _delete(spark, path)
+
+
+@contextmanager
+def recorded(spark: SparkSession) -> Iterator[list[str]]:
+    """A list that at the end names what was stored inside and is still held."""
+    held = _held.setdefault(spark.sparkContext.applicationId, [])
+    before, paths = set(held), []
+    try:
+        yield paths
+    finally:
+        paths += [x for x in held if x not in before]
+
+
 def release(df: DataFrame) -> None:
     """Deletes what `stored` wrote for the frame, once nothing that is still to be read comes from it."""
-    path = getattr(df, "stored_path", None)
-    held = _held.get(df.sparkSession.sparkContext.applicationId, [])
-    if path in held:
-        held.remove(path)
-        _delete(df.sparkSession, path)
+    drop_paths(df.sparkSession, [path] if (path := getattr(df, "stored_path", None)) else [])
 
 
 def clear(spark: SparkSession) -> int:
