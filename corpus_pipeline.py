@@ -6,13 +6,15 @@ documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.llm import langid, mixing, packing, simhash, toxicity
-from strandwork.llm.common import bounded_arrow, free_name, stored
+from strandwork.llm.common import bounded_arrow, drop_paths, free_name, recorded, stored
 from strandwork.llm.queries import MIX_TARGETS, fold, tokenizer_path
 
 #: Scores from which on a text counts as toxic.
@@ -23,6 +25,25 @@ DECIDED = 0.5
 OTHER = 0.01
 
 
+_last: dict[str, list[str]] = {}
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose intermediate tables go when the next one begins: by then its result has been written."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        drop_paths(spark, _last.pop(app, []))
+        with recorded(spark) as paths:
+            out = f(spark, docs, sf_dir)
+        _last[app] = paths
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose restored text scores below TOXIC."""
     bounded_arrow(spark)
@@ -31,6 +52,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored_rows(docs, model, score_col=score).filter(F.col(score) < TOXIC).drop(score)
 
 
+@stage
 def drop_undecided_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose fused evidence (text, declared lang, source as host) decides on a language; texts without letters go.
 
@@ -48,6 +70,7 @@ def drop_undecided_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return decided.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row: that of the least doc_id, by row and not by id.
 
@@ -57,13 +80,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     judged, key, n = simhash.near_duplicates(docs), free_name(docs.columns, "key"), docs.count()
     judged = stored(judged.groupBy("key").agg(F.first("stays").alias("stays"), F.count("*").alias("m")).filter("m > 1 or not stays"), "judged", n)
     keyed = docs.withColumn(key, simhash.row_key())
-    single = keyed.join(judged.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
+    lost = judged.select(F.col("key").alias(key))
+    # few enough keys go to where the texts lie; more are met by a shuffle
+    single = keyed.join(F.broadcast(lost) if lost.count() <= simhash.BROADCAST_IDS else lost, key, "left_anti").select(*docs.columns)
     repeated = judged.filter("stays").select(F.col("key").alias(key))
     if repeated.isEmpty():
         return single
     return single.unionByName(keyed.join(repeated, key).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(key + "_row")).select(key + "_row.*"))
 
 
+@stage
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix to MIX_TARGETS takes them; every row takes its own rate along, so that rows need no key."""
     features = mixing.domain_features(docs, F.concat_ws(":", F.col("doc_id"), F.md5("text")), keep=docs.columns)
@@ -71,6 +97,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rates.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in best-fit sequences."""
     bounded_arrow(spark)

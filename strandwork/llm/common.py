@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.shared import fresh_path, release, shared_dir, stored  # noqa: F401
+from strandwork.shared import drop_paths, fresh_path, recorded, release, shared_dir, stored  # noqa: F401
 
 
 #: Rows of one Arrow batch; with whole texts in it a batch stays at a few MB.

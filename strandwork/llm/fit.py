@@ -23,13 +23,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
-def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 2500, batch: int = 1024, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> tuple[list[np.ndarray], list[float]]:
+def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 2500, batch: int = 1024, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7, apart: bool = False) -> tuple[list[np.ndarray], list[float]]:
     """Weights of a one-layer network fitted to the non-negative PU risk, and the risk after each epoch.
 
     With g the network's output and sigmoid losses, the risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]):
     the second part estimates the negatives' risk without a single negative. Where a batch makes it
     negative the step goes up that part's gradient instead, so that the network can't fit the
     unlabelled rows below zero risk (Kiryo et al. 2017). The loss is the logistic one, whose minimiser is the log odds.
+    With `apart` the unlabelled rows are taken for negatives, so that the network tells the two samples apart.
     """
     rng = np.random.default_rng(seed)
     d = positive.shape[1]
@@ -47,10 +48,10 @@ def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, h
         for xp, xu in zip((positive[i] for i in np.array_split(p_order, n_batches)), (unlabelled[i] for i in np.array_split(u_order, n_batches)), strict=True):
             hp, hu = np.tanh(xp @ w[0] + w[1]), np.tanh(xu @ w[0] + w[1])
             gp, gu = hp @ w[2] + xp @ w[4] + w[3], hu @ w[2] + xu @ w[4] + w[3]
-            rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            rest = np.logaddexp(0, gu).mean() - (0 if apart else prior * np.logaddexp(0, gp).mean())
             risk += (prior * np.logaddexp(0, -gp).mean() + max(0.0, rest)) / n_batches
             sign = 1.0 if rest >= 0 else -1.0
-            slope_p = -prior * sigmoid(gp) * sign / len(xp) + (prior * (sigmoid(gp) - 1) / len(xp) if sign > 0 else 0)
+            slope_p = (0 if apart else -prior * sigmoid(gp) * sign / len(xp)) + (prior * (sigmoid(gp) - 1) / len(xp) if sign > 0 else 0)
             slope_u = sign * sigmoid(gu) / len(xu)
             grads = [a + b + decay * v for a, b, v in zip(back(xp, hp, slope_p), back(xu, hu, slope_u), w, strict=True)]
             t += 1
@@ -63,5 +64,22 @@ def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, h
     return w, history
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from scores (higher: likelier positive) that neither had a part in fitting.
+
+    Above any threshold the unlabelled rows hold at least their positives' share, prior * share of positives there; so the least ratio
+    of the two shares bounds the prior, tightly where the top scores are all positive. The threshold is the one at which the
+    ratio is least with its uncertainty added (best bin estimation, Garg et al. 2021).
+    """
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    some = p > 0
+    p, u = p[some], u[some]
+    width = (np.sqrt(np.log(4 / doubt) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / doubt) / (2 * len(positive)))) * 1.01
+    best = np.argmin((u + width) / p)
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+
+
 def network(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.tanh(x @ w[0] + w[1]) @ w[2] + x @ w[4] + w[3]

@@ -101,21 +101,22 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
 
 
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_each: int = PIECES_EACH, max_rounds: int = 12) -> DataFrame:
-    """The rows with sequence_id and offset: best-fit decreasing in partitions, repacked while the bound leaves a gap.
+    """The rows with sequence_id, offset, n_sequences, bound and certified: best-fit decreasing in partitions, repacked while the bound leaves a gap.
 
     Each task packs a share of the rows and bounds its bins by the dual-feasible functions. The bins of
     all shares are held against the bound of all rows (counts of each length, at most capacity + 1 of them).
-    If the two meet, the packing is certified. Else shares without a certificate give up all their documents, certified ones
-    those in bins with a fiftieth of room and in their loosest bin. These are dealt out anew to as few tasks
-    as their number allows, until one task held them all or a round no longer settles many of them.
+    If the two meet, the packing is certified. Else shares without a certificate give up the documents of their loose bins (a
+    fiftieth of room or more, and the loosest), certified ones those of the loosest. These are dealt out anew to as few tasks as their number
+    allows; where that takes fewer bins than before it stands, and the next exchange follows; else the bins before it stay, and the
+    exchange ends. n_sequences, bound (the least number that any packing can have) and certified (they are equal) are the same in all rows.
     Lengths must lie in 1..capacity. Nulls and repeats in other columns pass through; an empty table gives none;
     columns of the rows that have the name of a new one are replaced.
     """
-    pieces = pieces.drop("sequence_id", "offset", "settled", "certified")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("settled", T.BooleanType()), T.StructField("certified", T.BooleanType())])
+    pieces = pieces.drop("sequence_id", "offset", "loose", "n_sequences", "bound", "certified")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("loose", T.BooleanType())])
     names = pieces.columns
 
-    def share(tag: int, last: bool):
+    def share(tag: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = pd.concat([*frames], ignore_index=True)
             if not len(rows):
@@ -128,32 +129,40 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
             bins, places = best_fit_decreasing(sizes, capacity)
             fill = np.bincount(bins, weights=sizes).astype(np.int64)
             certified = len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-            loose = fill < capacity - capacity // 50 if certified else np.ones(len(fill), bool)
+            loose = np.zeros(len(fill), bool) if certified else fill < capacity - capacity // 50
             loose[np.argmin(fill)] |= fill.min() < capacity
-            yield rows.assign(sequence_id=(tag << 48) + (TaskContext.get().partitionId() << 24) + bins, offset=places, settled=last | ~loose[bins], certified=certified)
+            yield rows.assign(sequence_id=(tag << 48) + (TaskContext.get().partitionId() << 24) + bins, offset=places, loose=loose[bins])
 
         return run
 
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy(F.col(length_col).alias("s")).count().collect():
         counts[row["s"]] = row["count"]
-    n, bound, settled, n_settled = int(counts.sum()), lower_bound(counts, capacity), [], 0
+    n, bound = int(counts.sum()), lower_bound(counts, capacity)
     if not n:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    parts, left, n_left, n_before = partitions(n, pieces_each), pieces, n, 2 * n
-    for tag in range(max_rounds):
-        last = parts == 1 or tag == max_rounds - 1 or n_left > 0.9 * n_before
-        done = stored(left.repartition(parts).mapInPandas(share(tag, last), schema), f"pack{tag}")
-        used = {r["settled"]: (r["b"], r["n"]) for r in done.groupBy("settled", "sequence_id").agg(F.count("*").alias("n")).groupBy("settled").agg(F.count("*").alias("b"), F.sum("n").alias("n")).collect()}
-        n_settled += used.get(True, (0, 0))[0]
-        if last or False not in used or n_settled + used[False][0] <= bound:
-            settled.append(done)
+        return pieces.withColumns({**{c: F.lit(0).cast("long") for c in ("sequence_id", "offset", "n_sequences", "bound")}, "certified": F.lit(True)})
+
+    def bins_of(frame: DataFrame) -> dict[bool, tuple[int, int]]:
+        """Bins and rows by whether they are loose."""
+        return {r["loose"]: (r["b"], r["n"]) for r in frame.groupBy("loose", "sequence_id").agg(F.count("*").alias("n")).groupBy("loose").agg(F.count("*").alias("b"), F.sum("n").alias("n")).collect()}
+
+    now = stored(pieces.repartition(partitions(n, pieces_each)).mapInPandas(share(0), schema), "pack0")
+    used = bins_of(now)
+    settled, fixed, parts = [], 0, partitions(n, pieces_each)
+    for tag in range(1, max_rounds):
+        before, n_left = used.get(True, (0, 0))
+        tight = used.get(False, (0, 0))[0]
+        if parts == 1 or not before or fixed + tight + before <= bound:
             break
-        settled.append(done.filter("settled"))
-        left = done.filter("not settled").select(*names)
-        n_left, n_before = used[False][1], n_left
         parts = partitions(n_left, pieces_each)
-    out = settled[0]
-    for more in settled[1:]:
+        new = stored(now.filter("loose").select(*names).repartition(parts).mapInPandas(share(tag), schema), f"pack{tag}")
+        again = bins_of(new)
+        if sum(b for b, _ in again.values()) >= before:
+            break
+        settled.append(now.filter("not loose"))
+        fixed, now, used = fixed + tight, new, again
+    out = now
+    for more in settled:
         out = out.unionByName(more)
-    return out.select(*names, "sequence_id", "offset")
+    total = fixed + sum(b for b, _ in used.values())
+    return out.select(*names, "sequence_id", "offset", F.lit(total).cast("long").alias("n_sequences"), F.lit(bound).cast("long").alias("bound"), F.lit(total == bound).alias("certified"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import fit
-from strandwork.llm.common import slices, texts_of
+from strandwork.llm.common import slices, stored, texts_of
 
 #: Trusted positives, and unlabelled texts, that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
@@ -48,40 +48,53 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([features(t) for t in texts_of(batch)], np.float64).reshape(batch.num_rows, len(FEATURES))
 
 
-def _sample(base: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Features of the texts whose ids have the least hashes, `most` ids at most: a bounded sample that no order decides."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(_rows(batch).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["x"])
-
+def _least(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """The ids of the least hashes, `most` of them at most: a bounded sample that no order decides."""
     n = ids.count()
-    if n > most:
-        # twice the share that is wanted, so that the sort that ends it holds few rows
-        ids = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, 2 * most / n) * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(most)
-    found = base.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text").mapInArrow(run, "x array<double>").toPandas()
-    return np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
+    if n <= most:
+        return ids
+    # twice the share that is wanted, so that the sort that ends it holds few rows
+    share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+    return ids.filter(share < 2 * most / n).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:
     """A model from trusted positives and unlabelled texts.
 
     The positives are documents with label 1, the unlabelled texts come from all documents given, whatever their
-    labels; negatives are never shown to the fit. The class prior is estimated from the labels by their mean
-    (held in 0.02..0.98). Null labels and texts without a label count as unlabelled only, null texts as empty,
-    repeated label rows once. Without any label 1 the model gives the prior 0.5 for every text.
+    labels; labels of 0 are never used. Both are samples of at most `sample` ids, decided from the ids, and their texts are read
+    once. A first network tells positives from unlabelled texts; its scores of the half that it has not seen give the class prior
+    (fit.class_prior), with which the non-negative risk is then minimised. Null labels and texts without a label count as
+    unlabelled only, null texts as empty, repeated label rows once. Without any label 1 the model gives 0.5 for every text.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
-    known = base.select("doc_id").join(marks, "doc_id").agg(F.avg("label"), F.count("*")).first()
-    if not known[1] or not known[0]:
+    trusted = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    ids = base.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    chosen = _least(ids.join(trusted, "doc_id", "left_semi"), sample, 5).withColumn("trusted", F.lit(1)).unionByName(_least(ids, sample, 6).withColumn("trusted", F.lit(0)))
+    # at most two times `sample` ids go to all tasks
+    roles = stored(chosen.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), (F.min("trusted") == 0).alias("unlabelled")), "roles", 2 * sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(_rows(batch).ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), *batch.select(["trusted", "unlabelled"]).columns], ["x", "trusted", "unlabelled"])
+
+    found = base.join(F.broadcast(roles), "doc_id").select("text", "trusted", "unlabelled").mapInArrow(run, "x array<double>, trusted int, unlabelled boolean").toPandas()
+    if not found["trusted"].any():
         return {"flat": 0.5}
-    prior = float(min(0.98, max(0.02, known[0])))
-    positive = _sample(base, base.select("doc_id").join(marks.filter("label = 1"), "doc_id", "left_semi"), sample)
-    unlabelled = _sample(base, base.select("doc_id"), sample)
+    x = np.stack(found["x"].to_numpy())
+    # no order of the rows matters
+    order = np.lexsort(x.T)
+    x, mine, others = x[order], found["trusted"].to_numpy()[order] == 1, found["unlabelled"].to_numpy(bool)[order]
+    positive, unlabelled = x[mine], x[others] if others.any() else x
     centre, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-6
-    scale = lambda x: np.clip((x - centre) / spread, -6, 6)
-    weights, risk = fit.nonnegative_pu(scale(positive), scale(unlabelled), prior)
+    scale = lambda v: np.clip((v - centre) / spread, -6, 6)
+    positive, unlabelled = scale(positive), scale(unlabelled)
+    prior = 0.5
+    if min(len(positive), len(unlabelled)) >= 20:
+        # a risk with the prior 1/2 and no part held at zero is that of telling the two samples apart
+        first, _ = fit.nonnegative_pu(positive[::2], unlabelled[::2], 0.5, steps=600, apart=True)
+        prior = fit.class_prior(fit.network(first, positive[1::2]), fit.network(first, unlabelled[1::2]))
+    weights, risk = fit.nonnegative_pu(positive, unlabelled, prior)
     return {"weights": weights, "centre": centre, "spread": spread, "prior": prior, "risk": risk}
 
 

@@ -241,8 +241,8 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 #: The fewest shingles at which sets can be near but unequal.
 LEAST_SHINGLES = 4
-#: Rarest shingles by which near sets are joined first, and ids that are broadcast at most to pick rows out of a large table.
-LEADING, BROADCAST_IDS = 4, 1 << 20
+#: Bands of two least hashes by which near sets are joined first, and ids that are broadcast at most to pick rows out of a large table.
+BANDS, BROADCAST_IDS = 8, 1 << 20
 #: Rows of the sample that tells common shingles, how many of these are kept, and rows of one of them that meet in one task.
 COMMON_SAMPLE, COMMON_KEPT, COMMON_BLOCK = 8_000, 100_000, 8_192
 
@@ -270,6 +270,22 @@ def common_shingles(docs: DataFrame, words: int, n: int, id_col: str = "doc_id",
     return h[order], np.ceil(m[order] / share).astype(np.int64)
 
 
+#: Odd numbers by which 64-bit hashes are dealt anew for each least hash.
+_DEAL = (np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def band_digests(hashes: np.ndarray) -> np.ndarray:
+    """For each band a digest of two least hashes of the set, none for an empty one."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_DEAL), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        dealt = hashes[None, at : at + (1 << 14)] * _DEAL[:, None]
+        np.minimum(least, (dealt ^ dealt >> np.uint64(29)).min(1), out=least)
+    mixed = (least[0::2] * np.uint64(0xBF58476D1CE4E5B9)) ^ (least[1::2] * np.uint64(0x94D049BB133111EB))
+    return (mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _spread(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """In how many rows each of the hashes is likely to be; 0 for those that are not common."""
     if not len(common[0]):
@@ -279,14 +295,15 @@ def _spread(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> DataFrame:
-    """row (a number of its own), doc_id, key (see row_key), set, n, fp, shingles, rare and leading of every row.
+    """row (a number of its own), doc_id, key (see row_key), set, n, fp, shingles, rare, bands and odd of every row.
 
     set is a digest of the set of shingles and n its size; fp the SimHash of the set of words; shingles holds the sorted 32-bit hashes
     of the runs of `words` words, rare the 64-bit ones of the rarest: as many as cannot all be missing from a set of the similarity,
-    so that any two such sets share one; leading the LEADING first of these. Null texts count as empty and have no shingle.
+    so that any two such sets share one; bands holds digests of pairs of least hashes (MinHash), one of which near sets nearly always
+    share; odd is the share of the shingles that are not common. Null texts count as empty and have no shingle.
     """
-    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, leading array<long>"
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, bands array<long>, odd double"
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh64_intdigest
@@ -296,24 +313,28 @@ def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
             for text in texts_of(batch):
                 wide = np.unique(shingle_hashes(text, words))
                 single = np.array([xxh64_intdigest(w, 42) for w in {*text.encode().lower().split()}], np.uint64)
-                rare = wide[np.argsort(_spread(wide, common), kind="stable")[: len(wide) - math.ceil(similarity * len(wide) - 1e-9) + 1]]
-                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), rare[:LEADING].view(np.int64)))
+                spread = _spread(wide, common)
+                rare = wide[np.argsort(spread, kind="stable")[: len(wide) - math.ceil(similarity * len(wide) - 1e-9) + 1]]
+                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), band_digests(wide), float((spread == 0).mean()) if len(wide) else 0.0))
             out = [list(v) for v in zip(*out, strict=True)]
             out[2] = np.array(out[2], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.select(["row", "doc_id", "key"]).columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["row", "doc_id", "key", "set", "n", "fp", "shingles", "rare", "leading"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["row", "doc_id", "key"]).columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["row", "doc_id", "key", "set", "n", "fp", "shingles", "rare", "bands", "odd"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)
 
 
-def leading_links(classes: DataFrame) -> DataFrame:
-    """a, b: ids (with their leading shingles) joined to the least id that has the same one; where many have it, in parts as `stars` does."""
-    keyed = classes.select("id", F.explode("leading").alias("h"))
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))
-    crowd = keyed.groupBy("h").agg(F.min("id").alias("least"), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.count("*") / STAR, F.lit(1.0))))).cast("long").alias("parts"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    met = keyed.join(crowd, "h").select("h", "id", "least", part.alias("part"))
-    near = met.groupBy("h", "part").agg(F.min("id").alias("near"))
-    pairs = met.join(near, ["h", "part"]).select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("near").alias("b")), F.struct(F.col("near").alias("a"), F.col("least").alias("b")))).alias("p"))
+def band_links(classes: DataFrame) -> DataFrame:
+    """a, b: ids (with bands and odd) that share a band joined to its centre, the one with the fewest odd shingles, which the others are copies of if any is.
+
+    Where more than STAR ids share a band, they join the centres of parts, and these the centre of all.
+    """
+    keyed = classes.select("id", F.struct("odd", "id").alias("centre"), F.explode("bands").alias("h"))
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.count("*") / STAR, F.lit(1.0))))).cast("long")
+    crowd = keyed.groupBy("h").agg(F.min("centre").alias("least"), parts.alias("parts"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    met = keyed.join(crowd, "h").select("h", "id", "centre", "least", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).alias("part"))
+    near = met.groupBy("h", "part").agg(F.min("centre").alias("near"))
+    pairs = met.join(near, ["h", "part"]).select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("near.id").alias("b")), F.struct(F.col("near.id").alias("a"), F.col("least.id").alias("b")))).alias("p"))
     return pairs.select("p.*").filter("a <> b").distinct()
 
 
@@ -392,7 +413,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
 
     Rows whose sets of word shingles are equal are one class. Classes link if the Jaccard similarity of their sets
     reaches the bound, and a group is what links reach. Candidates come twice, and each is decided by the exact similarity. BK-trees over
-    SimHashes of the sets of words find classes within the radius, the leading (rarest) shingles others that are alike; what these links
+    SimHashes of the sets of words find classes within the radius, bands of least hashes others that are alike; what these links
     join is one component. Of classes of unequal components all pairs that share one of their rarest shingles are then compared
     (see word_prints): no pair of the similarity is missed, whether words are put in, left out or exchanged.
     A set of fewer than LEAST_SHINGLES shingles is near to equal sets only.
@@ -405,8 +426,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first")
     classes = stored(prints.groupBy("set").agg(F.min("row").alias("id"), first, F.min("n").alias("n"), F.min("fp").alias("fp")), "classes", n_docs)
     large = classes.filter(F.col("n") >= LEAST_SHINGLES).select("id", "fp")
-    heads = prints.select(F.col("row").alias("id"), "n", "rare", "leading").join(large.select("id"), "id")
-    near = link_forest(large, radius, ("fp",), "id").unionByName(leading_links(prints.select(F.col("row").alias("id"), "leading").join(large.select("id"), "id"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    heads = prints.select(F.col("row").alias("id"), "n", "rare").join(large.select("id"), "id")
+    near = link_forest(large, radius, ("fp",), "id").unionByName(band_links(prints.select(F.col("row").alias("id"), "bands", "odd").join(large.select("id"), "id"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = stored(near, "near", n_docs)
     links = stored(similar_pairs(near, prints, similarity), "links", n_docs)
     release(near)

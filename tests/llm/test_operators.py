@@ -473,6 +473,25 @@ def test_features_of_rare_toxic_labels_count_by_their_odds(spark):
     assert model["values"]["=idiot"] > 2 and "=river" not in model["values"]
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_comes_from_positives_and_unlabelled_scores(share):
+    rng = np.random.default_rng(1)
+    y = rng.random(6000) < share
+    unlabelled = rng.normal(0, 1, 6000) + np.where(y, 2.0, -2.0)
+    positive = rng.normal(2.0, 1, 3000)
+    assert abs(fit.class_prior(positive, unlabelled) - share) < 0.05
+
+
+def test_quality_never_uses_labels_of_zero(spark):
+    from strandwork.llm import quality
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    assert quality.fit_quality(docs, labels.filter("quality = 1"))["prior"] == model["prior"]
+    assert abs(model["prior"] - labels.agg(F.avg("quality")).first()[0]) < 0.1
+
+
 def test_pu_risk_separates_without_negatives():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.7

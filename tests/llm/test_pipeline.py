@@ -80,4 +80,4 @@ def test_mix_takes_documents_whole(spark, docs):
 
 def test_run_ends_in_pieces(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(out.columns) and out.count() > 0
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "bound", "certified"} == set(out.columns) and out.count() > 0

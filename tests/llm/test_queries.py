@@ -165,6 +165,7 @@ def check_packing(spark, out, small, end_id):
             at += length
         assert at <= 2048
     assert len(by_bin) <= -(-lengths // 2048) + 1
+    assert {(r["n_sequences"], r["certified"]) for r in out} == {(len(by_bin), len(by_bin) == out[0]["bound"])} and len(by_bin) >= out[0]["bound"]
 
 
 def test_op6_pieces_and_bins(spark, small):
@@ -202,6 +203,32 @@ def test_op10_totals_meet_the_targets(spark):
     assert all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in out)
 
 
+def test_op8_tells_languages_that_are_not_declared(spark):
+    """Every fourth page's declaration is taken away, and all of its host's in one of these four; what it said must be found."""
+    from pyspark.sql import functions as F
+
+    from strandwork.llm import langid
+
+    folder = "/root/testdata/sf0.01"
+    pages = langid.page_evidence(spark.read.parquet(f"{folder}/pages.parquet"))
+    truth = {r["page_id"]: r["declared"] for r in pages.collect()}
+    hidden = pages.withColumn("declared", F.when(F.pmod(F.xxhash64("page_id"), F.lit(4)) != 0, F.col("declared")))
+    model = langid.text_model(spark.read.parquet(f"{folder}/documents.parquet"))
+    rows = langid.identify(hidden, model).select("page_id", "declared", "lang_id", "posterior").collect()
+    asked = [r for r in rows if r["declared"] is None and truth[r["page_id"]] in model[0]]
+    assert len(asked) > 100 and np.mean([r["lang_id"] == truth[r["page_id"]] for r in asked]) > 0.97
+
+
+def test_op8_fuses_hosts_and_declarations(spark):
+    """A text of two languages alike takes its host's; a declaration outweighs a host that is of two minds."""
+    from strandwork.llm import langid
+
+    rows = [(i, "a.x.com", "x.com", "com", "en", [0.0, -9.0]) for i in range(8)] + [(20 + i, "b.x.com", "x.com", "com", "fr", [-9.0, 0.0]) for i in range(8)]
+    rows += [(40, "a.x.com", "x.com", "com", None, [0.0, 0.0]), (41, "b.x.com", "x.com", "com", None, [0.0, 0.0]), (42, "c.x.com", "x.com", "com", "fr", [0.0, 0.0]), (43, None, None, None, "en", [0.0, 0.0])]
+    out = {r["k"]: r["lang_id"] for r in langid.fuse(spark.createDataFrame(rows, "k int, host string, domain string, suffix string, declared string, loglik array<double>"), ["en", "fr"]).collect()}
+    assert (out[40], out[41], out[42], out[43]) == ("en", "fr", "fr", "en")
+
+
 def test_op8_languages_of_pages(spark):
     out = found(spark, "op8_language_fusion", "/root/testdata/sf0.01")
     assert np.mean([r["lang_id"] == r["declared"] for r in out]) > 0.97
