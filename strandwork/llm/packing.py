@@ -105,15 +105,15 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
 
     Each task packs a share of the rows and bounds its bins by the dual-feasible functions. The bins of
     all shares are held against the bound of all rows (counts of each length, at most capacity + 1 of them).
-    If the two meet, the packing is certified. Else shares without a certificate give up the documents of their loose bins (a
-    fiftieth of room or more, and the loosest), certified ones those of the loosest. These are dealt out anew to as few tasks as their number
-    allows; where that takes fewer bins than before it stands, and the next exchange follows; else the bins before it stay, and the
-    exchange ends. n_sequences, bound (the least number that any packing can have) and certified (they are equal) are the same in all rows.
+    If the two meet, the packing is certified. Else shares without a certificate give up all their documents, certified ones
+    those in bins with a fiftieth of room and in their loosest bin. These are dealt out anew to as few tasks as their number allows, and
+    the better of the two packings stands. Once that no longer settles many of them, only the loose bins of all shares are exchanged, as long
+    as that takes fewer bins. n_sequences, bound (the least number that any packing can have) and certified (they are equal) are the same in all rows.
     Lengths must lie in 1..capacity. Nulls and repeats in other columns pass through; an empty table gives none;
     columns of the rows that have the name of a new one are replaced.
     """
-    pieces = pieces.drop("sequence_id", "offset", "loose", "n_sequences", "bound", "certified")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("loose", T.BooleanType())])
+    pieces = pieces.drop("sequence_id", "offset", "loose", "open", "n_sequences", "bound", "certified")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("loose", T.BooleanType()), T.StructField("open", T.BooleanType())])
     names = pieces.columns
 
     def share(tag: int):
@@ -129,9 +129,9 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
             bins, places = best_fit_decreasing(sizes, capacity)
             fill = np.bincount(bins, weights=sizes).astype(np.int64)
             certified = len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-            loose = np.zeros(len(fill), bool) if certified else fill < capacity - capacity // 50
+            loose = fill < capacity - capacity // 50
             loose[np.argmin(fill)] |= fill.min() < capacity
-            yield rows.assign(sequence_id=(tag << 48) + (TaskContext.get().partitionId() << 24) + bins, offset=places, loose=loose[bins])
+            yield rows.assign(sequence_id=(tag << 48) + (TaskContext.get().partitionId() << 24) + bins, offset=places, loose=loose[bins], open=loose[bins] | (not certified))
 
         return run
 
@@ -142,27 +142,34 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
     if not n:
         return pieces.withColumns({**{c: F.lit(0).cast("long") for c in ("sequence_id", "offset", "n_sequences", "bound")}, "certified": F.lit(True)})
 
-    def bins_of(frame: DataFrame) -> dict[bool, tuple[int, int]]:
-        """Bins and rows by whether they are loose."""
-        return {r["loose"]: (r["b"], r["n"]) for r in frame.groupBy("loose", "sequence_id").agg(F.count("*").alias("n")).groupBy("loose").agg(F.count("*").alias("b"), F.sum("n").alias("n")).collect()}
+    def bins_of(frame: DataFrame, given: str) -> tuple[int, int, int]:
+        """Bins, and those that are given up with their rows."""
+        bins = frame.groupBy("sequence_id").agg(F.max(given).alias("given"), F.count("*").alias("n"))
+        found = {r["given"]: (r["b"], r["n"]) for r in bins.groupBy("given").agg(F.count("*").alias("b"), F.sum("n").alias("n")).collect()}
+        return sum(b for b, _ in found.values()), *found.get(True, (0, 0))
 
-    now = stored(pieces.repartition(partitions(n, pieces_each)).mapInPandas(share(0), schema), "pack0")
-    used = bins_of(now)
-    settled, fixed, parts = [], 0, partitions(n, pieces_each)
+    parts = partitions(n, pieces_each)
+    now = stored(pieces.repartition(parts).mapInPandas(share(0), schema), "pack0")
+    settled, fixed, given = [], 0, "open"
+    used, before, n_left = bins_of(now, given)
     for tag in range(1, max_rounds):
-        before, n_left = used.get(True, (0, 0))
-        tight = used.get(False, (0, 0))[0]
-        if parts == 1 or not before or fixed + tight + before <= bound:
+        if parts == 1 or not before or fixed + used <= bound:
             break
-        parts = partitions(n_left, pieces_each)
-        new = stored(now.filter("loose").select(*names).repartition(parts).mapInPandas(share(tag), schema), f"pack{tag}")
-        again = bins_of(new)
-        if sum(b for b, _ in again.values()) >= before:
+        fewer = partitions(n_left, pieces_each)
+        new = stored(now.filter(given).select(*names).repartition(fewer).mapInPandas(share(tag), schema), f"pack{tag}")
+        again = bins_of(new, given)
+        better = again[0] < before or given == "open" and again[0] == before
+        if better:
+            settled.append(now.filter(f"not {given}"))
+            few = again[2] <= 0.9 * n_left
+            fixed, parts, now, (used, before, n_left) = fixed + used - before, fewer, new, again
+        if given == "open" and not (better and few):
+            given = "loose"
+            used, before, n_left = bins_of(now, given)
+        elif not better:
             break
-        settled.append(now.filter("not loose"))
-        fixed, now, used = fixed + tight, new, again
     out = now
     for more in settled:
         out = out.unionByName(more)
-    total = fixed + sum(b for b, _ in used.values())
+    total = fixed + used
     return out.select(*names, "sequence_id", "offset", F.lit(total).cast("long").alias("n_sequences"), F.lit(bound).cast("long").alias("bound"), F.lit(total == bound).alias("certified"))
