@@ -98,6 +98,15 @@ def most_bases(spark: SparkSession, sf_dir: str) -> int:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0] or 0
 
 
+WORDS = "words AS (SELECT group_key, seq FROM (SELECT doc_id AS group_key, unnest(string_split_regex(upper(coalesce(text, '')), '[ \\n]+')) AS seq FROM documents) WHERE regexp_full_match(seq, '[ACGT]+'))"
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents that are sequences of bases, as reads of their document."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("group_key"), F.posexplode(F.split(F.upper(F.coalesce("text", F.lit(""))), "[ \n]+")).alias("read_id", "seq"))
+    return kmers.only_bases(rows.filter("seq <> ''"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions between a user's consecutive events."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
@@ -152,11 +161,9 @@ def packed_equality(spark, sf_dir):
     return pair.select("group_key", codec.packed_equal(F.col("a"), F.col("b")).alias("equal"))
 
 
-@query("SELECT doc_id AS group_key, word AS seq FROM (SELECT doc_id, unnest(string_split_regex(upper(coalesce(text, '')), '[ \\n]+')) AS word FROM documents) WHERE word <> '' AND regexp_full_match(word, '[ACGT]*')")
+@query(f"WITH {WORDS} SELECT * FROM words")
 def alphabet_words(spark, sf_dir):
-    """The words of all documents that are sequences of bases."""
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("group_key"), F.explode(F.split(F.upper(F.coalesce("text", F.lit(""))), "[ \n]+")).alias("seq"))
-    return kmers.only_bases(words.filter("seq <> ''"))
+    return words(spark, sf_dir).select("group_key", "seq")
 
 
 @query(f"WITH {READS} SELECT group_key, seq || substr(reverse(seq), 4) AS merged FROM reads")
@@ -194,9 +201,10 @@ def sources_sinks(spark, sf_dir):
     return digraph.sources_and_sinks(kmers.edges(reads(spark, sf_dir), 8))
 
 
-@query(f"WITH {edges_sql(3)} SELECT DISTINCT group_key, seq AS mer FROM reads r WHERE length(seq) = 3 AND NOT EXISTS (SELECT 1 FROM e WHERE e.group_key = r.group_key AND (e.src = r.seq OR e.dst = r.seq))")
+@query(f"WITH {WORDS}, held AS (SELECT DISTINCT group_key, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS mer FROM words WHERE length(seq) > 3) SELECT DISTINCT group_key, seq AS mer FROM words w WHERE length(seq) = 3 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.group_key = w.group_key AND h.mer = w.seq)")
 def isolated_mers(spark, sf_dir):
-    return kmers.isolated(reads(spark, sf_dir), 3)
+    """Three-letter words of bases that no longer such word of their document holds."""
+    return kmers.isolated(words(spark, sf_dir), 3)
 
 
 @query(f"WITH {EVENT_PAIRS} SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS successors FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY ALL")
@@ -214,41 +222,22 @@ def adjacency_iterator(spark, sf_dir):
     return digraph.neighbours(parts(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT o_custkey % 50 AS src, o_orderkey % 40 AS dst, count(*) AS multiplicity FROM orders GROUP BY ALL),
-    o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1)
+@query(f"""WITH {PART_PAIRS}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1)
     SELECT coalesce(o.id, i.id) || ';b;' || coalesce(t, '') || ';' || coalesce(f, '') || ';' AS value FROM o FULL JOIN i ON o.id = i.id""")
 def vertex_text(spark, sf_dir):
-    pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 40).alias("dst"))
-    return digraph.vertex_text(digraph.vertices(digraph.from_pairs(pairs)))
+    return digraph.vertex_text(digraph.vertices(parts(spark, sf_dir)))
 
 
-@query("""WITH e AS (SELECT o_custkey % 50 AS src, o_orderkey % 40 AS dst, count(*) AS multiplicity FROM orders GROUP BY ALL)
-    SELECT id, CAST(sum(o) AS BIGINT) AS n_to, CAST(sum(i) AS BIGINT) AS n_from FROM (SELECT src AS id, multiplicity AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, multiplicity FROM e) GROUP BY ALL""")
+@query(f"WITH {PART_PAIRS} SELECT id, CAST(sum(o) AS BIGINT) AS n_to, CAST(sum(i) AS BIGINT) AS n_from FROM (SELECT src AS id, multiplicity AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, multiplicity FROM e) GROUP BY ALL")
 def vertex_text_parsed(spark, sf_dir):
     return digraph.parse_vertex_text(vertex_text(spark, sf_dir)).select("id", F.size("to").cast("long").alias("n_to"), F.size("from").cast("long").alias("n_from"))
 
 
-@query("SELECT o_custkey % 50 AS src, o_orderkey % 40 AS dst, count(*) AS multiplicity FROM orders GROUP BY ALL")
+@query(f"WITH {PART_PAIRS} SELECT src, dst, multiplicity FROM e")
 def vertex_text_edges(spark, sf_dir):
     return digraph.edges_of_vertices(digraph.parse_vertex_text(vertex_text(spark, sf_dir)))
 
 
-@query(f"""WITH {PART_PAIRS}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1)
-    SELECT coalesce(o.id, i.id) || ';b;' || coalesce(t, '') || ';' || coalesce(f, '') || ';' AS value FROM o FULL JOIN i ON o.id = i.id""")
-def vertex_text_whole(spark, sf_dir):
-    return digraph.vertex_text(digraph.vertices(parts(spark, sf_dir)))
-
-
-@query(f"WITH {PART_PAIRS} SELECT id, CAST(sum(o) AS BIGINT) AS n_to, CAST(sum(i) AS BIGINT) AS n_from FROM (SELECT src AS id, multiplicity AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, multiplicity FROM e) GROUP BY ALL")
-def vertex_text_whole_parsed(spark, sf_dir):
-    return digraph.parse_vertex_text(vertex_text_whole(spark, sf_dir)).select("id", F.size("to").cast("long").alias("n_to"), F.size("from").cast("long").alias("n_from"))
-
-
-@query(f"WITH {PART_PAIRS} SELECT src, dst, multiplicity FROM e")
-def vertex_text_whole_edges(spark, sf_dir):
-    return digraph.edges_of_vertices(digraph.parse_vertex_text(vertex_text_whole(spark, sf_dir)))
-
-
 @query(f"WITH {PART_PAIRS}, g AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) SELECT src, dst, multiplicity - coalesce(n, 0) AS multiplicity FROM e LEFT JOIN g USING (src, dst) WHERE multiplicity > coalesce(n, 0)")
 def remove_edge(spark, sf_dir):
     gone = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
@@ -298,9 +287,11 @@ def contig_files(spark, sf_dir):
     return files.read_lines(spark, path).select("seq")
 
 
-@query(f"WITH {EVENT_PAIRS} SELECT src, dst, 2 * multiplicity AS multiplicity FROM e")
+@query(f"WITH {PART_PAIRS} SELECT src, dst, multiplicity FROM e")
 def merge_vertices(spark, sf_dir):
-    return digraph.add_edges(events(spark, sf_dir), events(spark, sf_dir))
+    """The graphs of returned and of other lines, merged."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_returnflag")
+    return digraph.add_edges(digraph.from_pairs(lines.filter("l_returnflag = 'R'")), digraph.from_pairs(lines.filter("l_returnflag <> 'R'")))
 
 
 @query(f"WITH {PART_PAIRS}, a AS (SELECT src, dst FROM e), b AS (SELECT src, dst FROM e WHERE multiplicity > 1), x AS (SELECT src AS id FROM a UNION SELECT dst FROM a), bad AS (SELECT src, dst FROM a EXCEPT SELECT src, dst FROM b) SELECT id, NOT EXISTS (SELECT 1 FROM bad WHERE bad.src = x.id) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.dst = x.id) AS equal FROM x")
@@ -517,13 +508,13 @@ def pairwise_cost(spark, sf_dir):
     return name_pairs(spark, sf_dir).withColumn("cost", distance.pairwise("a", "b")["cost"].cast("long"))
 
 
-CONTIGS = f"""{READS}, c AS (SELECT group_key, 0 AS ordinal, substr(seq, 21, 10) AS contig, seq AS main FROM reads WHERE length(seq) >= 60 UNION ALL SELECT group_key, 1, reverse(substr(seq, 31, 12)), seq FROM reads WHERE length(seq) >= 60)"""
+CONTIGS = f"""{READS}, c AS (SELECT group_key, 0 AS ordinal, substr(seq, 21, 10) AS contig, seq AS main FROM reads WHERE length(seq) >= 42 UNION ALL SELECT group_key, 1, reverse(substr(seq, 31, 12)), seq FROM reads WHERE length(seq) >= 42)"""
 BEST = "w AS (SELECT group_key, ordinal, contig, main, unnest(range(0, length(main) - length(contig) + 1)) AS o FROM c), b AS (SELECT group_key, ordinal, contig, main, arg_min(o, hamming(contig, substr(main, o + 1, length(contig))) * 1000000 + o) AS o, min(hamming(contig, substr(main, o + 1, length(contig)))) AS distance FROM w GROUP BY ALL)"
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two contigs for each document of at least 60 bases against all its bases: a part of them, and a reversed one."""
-    r = bases(spark, sf_dir).filter(F.length("seq") >= 60)
+    """Two contigs for each document that has their bases (42) against all its bases: a part of them, and a reversed one."""
+    r = bases(spark, sf_dir).filter(F.length("seq") >= 42)
     pair = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("seq", 21, 10).alias("contig")), F.struct(F.lit(1).alias("ordinal"), F.reverse(F.substring("seq", 31, 12)).alias("contig")))
     return r.select("group_key", F.col("seq").alias("main"), F.explode(pair).alias("c")).select("group_key", "c.*", "main")
 

@@ -265,4 +265,115 @@ def test_vertex_text_runs_over_a_whole_graph(spark):
     pairs = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("stack(2, l_partkey, l_suppkey) AS id").distinct()
     from strandwork.plans import catalogue
 
-    assert catalogue.QUERIES["vertex_text_whole"](spark, folder).count() == pairs.count() > 50
+    assert catalogue.QUERIES["vertex_text"](spark, folder).count() == pairs.count() > 50
+
+
+def random_edges(seed, n, m):
+    rng = random.Random(seed)
+    out = {}
+    for _ in range(m):
+        e = rng.randrange(n), rng.randrange(n)
+        out[e] = out.get(e, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_large_groups_go_by_joins_and_give_the_same(spark, seed):
+    groups = {0: random_edges(seed, 14, 16), 1: random_edges(seed + 10, 8, 6), 2: {(i, i + 1): 2 for i in range(9)}, 3: {(i, (i + 1) % 5): 1 for i in range(5)}}
+    rows = spark.createDataFrame([(g, u, v, m) for g, e in groups.items() for (u, v), m in e.items()], "group_key long, src long, dst long, multiplicity long")
+    one = rows.filter("group_key = 0").drop("group_key")
+    for f, edges in ((traverse.components, one), (traverse.contract, rows), (traverse.contract, one), (lambda e, **kw: traverse.contract(e, must_match=True, **kw), rows)):
+        small, large = (sorted(map(tuple, f(edges, most=most).collect()), key=repr) for most in (10**6, 5))
+        assert small == large
+    path = traverse.euler_paths(rows, most=5)
+    walked = {}
+    trail = {}
+    for r in path.collect():
+        trail.setdefault((r["group_key"], r["path_id"]), {})[r["pos"]] = r["id"]
+    for (g, _), at in trail.items():
+        v = [at[i] for i in range(len(at))]
+        for step in zip(v, v[1:], strict=False):
+            walked[g, *step] = walked.get((g, *step), 0) + 1
+    assert walked == {(g, *e): m for g, es in groups.items() for e, m in es.items()}
+    assert len(trail) == traverse.euler_paths(rows).select("group_key", "path_id").distinct().count()
+
+
+def test_large_assemblies_equal_small_ones(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 12, 14, 60, 200, 400)] + ["ACGGTTACA" * 9, "AAAAAAAAAAAAAAAAAAAA"]
+    reads = spark.createDataFrame([(g, 0, s) for g, s in enumerate(texts)], "group_key long, read_id long, seq string")
+    pieces = generate.split_reads(reads, 30, 60, 6)
+    for source, k1, coverage in ((reads, 6, None), (reads, 3, None), (pieces, 8, 3)):
+        small, large = (sorted(map(tuple, assemble.assemble_reads(source, k1, coverage, most=most).collect()), key=repr) for most in (10**6, 3))
+        assert small == large
+
+
+def test_rounds_are_reported_and_edge_columns_merged(spark):
+    seen = []
+    rows = spark.createDataFrame([(i, i + 1, 1, i, f"e{i}") for i in range(20)], "src long, dst long, multiplicity long, cost long, name string")
+    out = contract.contract(rows, progress=lambda number, left: seen.append((number, left)), merge={"cost": F.sum, "name": F.collect_set}).orderBy("head").collect()
+    # the sink stays by itself
+    assert [(r["head"], r["n_vertices"], r["cost"], len(r["name"] or [])) for r in out] == [(0, 20, sum(range(20)), 20), (20, 1, None, 0)]
+    assert [n for n, _ in seen] == list(range(len(seen))) and seen[-1][1] == 0 and len(seen) <= 7
+
+
+def test_ranges_are_guarded(spark):
+    rows = spark.createDataFrame([(0, 3, 1), (4, 1, 1), (-1, 2, 1)], "src long, dst long, multiplicity long")
+    assert [tuple(r) for r in digraph.in_range(rows, 4).collect()] == [(0, 3, 1)]
+    with pytest.raises(Exception, match="outside"):
+        digraph.in_range(rows, 4, strict=True).collect()
+
+
+def test_numbers_are_dense_and_sources_come_first(spark):
+    rows = spark.createDataFrame([(9, 4, 1), (4, 2, 1), (2, 7, 1), (2, 4, 1)], "src long, dst long, multiplicity long").repartition(3)
+    assert {r["id"]: r["number"] for r in digraph.renumber(rows).collect()} == {9: 0, 2: 1, 4: 2, 7: 3}
+    assert sorted((r["src"], r["dst"]) for r in digraph.renumbered(rows).collect()) == [(0, 2), (1, 2), (1, 3), (2, 1)]
+    assert digraph.renumber(rows.limit(0)).count() == 0
+
+
+def test_slices_of_packed_bases(spark):
+    rng = random.Random(3)
+    seqs = ["", "A", "ACG", "ACGT", "ACGTA", *("".join(rng.choice("ACGT") for _ in range(n)) for n in range(6, 40))]
+    rows = spark.createDataFrame([(s,) for s in seqs], "seq string").select("seq", codec.pack(F.col("seq")).alias("p"))
+    for start, length in ((0, 3), (1, 4), (3, 9), (8, 8), (30, 5)):
+        got = {r["seq"]: r["x"] for r in rows.select("seq", codec.unpack_slice(F.col("p"), start, length).alias("x")).collect()}
+        assert got == {s: s[start : start + length] for s in seqs}
+
+
+def plain_alignment(a, b):
+    cost = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    top, low, i, j = "", "", len(a), len(b)
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            top, low = a[i] + top, b[j] + low
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            top, low = a[i] + top, "-" + low
+        else:
+            j -= 1
+            top, low = "-" + top, b[j] + low
+    return cost[-1][-1], top, low
+
+
+def test_alignments_equal_the_whole_table(spark):
+    rng = random.Random(4)
+    pairs = [("", ""), ("A", ""), ("", "AC"), ("kitten", "sitting"), *(("".join(rng.choice("ACGT") for _ in range(rng.randrange(30))), "".join(rng.choice("ACGT") for _ in range(rng.randrange(30)))) for _ in range(150))]
+    for a, b in pairs:
+        cost, text = distance.global_alignment(a, b)
+        lines = text.split("\n")
+        assert (cost, lines[0], lines[2]) == plain_alignment(a, b)
+
+
+def test_tables_are_released(spark):
+    from strandwork import shared
+
+    one, two = shared.stored(spark.range(5).toDF("id"), "a"), shared.stored(spark.range(7).toDF("id"), "b", rows=7)
+    assert one.count() == 5 and two.count() == 7
+    shared.release(one)
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(one.stored_path)
+    assert two.count() == 7 and shared.clear(spark) >= 1
