@@ -85,7 +85,7 @@ def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "declared", "lang_id", F.round("confidence", 6).alias("confidence"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"))
 
 
-# The mix that the query and the pipeline ask for.
+#: The mix that the query and the pipeline ask for.
 MIX_TARGETS = {"en": 0.6, "fr": 0.15, "de": 0.15, "es": 0.1}
 
 

@@ -25,9 +25,9 @@ LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
 SYMBOLS, OTHER = 28, 27
 
-# What each character of leetspeak may stand for.
+#: What each character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-# Characters that are put between letters.
+#: Characters that are put between letters.
 SEPARATORS = "._-*~'`^=:;,/\\#%&·​"
 #: Log probabilities of the channel: a letter as it is, in leetspeak, repeated, and a separator put in.
 AS_IS, SWAPPED, REPEATED, SEPARATED = 0.0, -1.5, -0.7, -0.5
