@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +53,16 @@ def partitions(n_rows: int, rows_each: int) -> int:
     return max(1, -(-n_rows // rows_each))
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system, as idle workers are kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        # another C library than glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batches whose texts make up about `most` bytes; a longer text comes alone."""
     for batch in batches:
@@ -65,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
                 at, room = i, most
             room -= size
         yield batch.slice(at)
+    tidy()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

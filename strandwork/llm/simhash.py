@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import graph
-from strandwork.llm.common import release, slices, stored, texts_of
+from strandwork.llm.common import release, slices, stored, texts_of, tidy
 
 #: Nodes of one shard tree at most; a shard with more fingerprints gets several trees.
 TREE_NODES = 8192
@@ -222,6 +222,8 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[np.ndarray]
             held, n = [table], len(table)
     if n:
         yield np.concatenate(held)
+    held.clear()
+    tidy()
 
 
 def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -295,15 +297,16 @@ def _spread(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))) -> DataFrame:
-    """row (a number of its own), doc_id, key (see row_key), set, n, fp, shingles, rare, bands and odd of every row.
+    """row (a number of its own), doc_id, key (see row_key), set, n, fp, shingles, rare, bands, odd and parity of every row.
 
     set is a digest of the set of shingles and n its size; fp the SimHash of the set of words; shingles holds the sorted 32-bit hashes
     of the runs of `words` words, rare the 64-bit ones of the rarest: as many as cannot all be missing from a set of the similarity,
     so that any two such sets share one; bands holds digests of pairs of least hashes (MinHash), one of which near sets nearly always
-    share; odd is the share of the shingles that are not common. Null texts count as empty and have no shingle.
+    share; odd is the share of the shingles that are not common; parity has for each of 512 residues whether an odd number of the shingles' hashes
+    fall on it. Null texts count as empty and have no shingle.
     """
-    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, bands array<long>, odd double"
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, bands array<long>, odd double, parity array<long>"
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh64_intdigest
@@ -315,10 +318,10 @@ def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
                 single = np.array([xxh64_intdigest(w, 42) for w in {*text.encode().lower().split()}], np.uint64)
                 spread = _spread(wide, common)
                 rare = wide[np.argsort(spread, kind="stable")[: len(wide) - math.ceil(similarity * len(wide) - 1e-9) + 1]]
-                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), band_digests(wide), float((spread == 0).mean()) if len(wide) else 0.0))
+                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), band_digests(wide), float((spread == 0).mean()) if len(wide) else 0.0, np.packbits(np.bincount(wide.astype(np.int64) & 511, minlength=512) & 1).view(np.int64)))
             out = [list(v) for v in zip(*out, strict=True)]
             out[2] = np.array(out[2], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.select(["row", "doc_id", "key"]).columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["row", "doc_id", "key", "set", "n", "fp", "shingles", "rare", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["row", "doc_id", "key"]).columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["row", "doc_id", "key", "set", "n", "fp", "shingles", "rare", "bands", "odd", "parity"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)
@@ -385,10 +388,18 @@ def shared_rare(members: DataFrame, similarity: float, common: tuple[np.ndarray,
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long").distinct()
 
 
+def picked(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose key is among the ids (and the ids' other columns), n of them at most.
+
+    They are picked out where they lie if the ids are few enough to broadcast, so that no other row is shuffled; more ids meet the rows by a shuffle.
+    """
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key)
+
+
 def similar_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs a, b of rows of prints whose sets have a Jaccard similarity that reaches the bound.
 
-    The rows asked for are picked out where they lie if their numbers are few enough to broadcast, so that no other set is shuffled.
+    A sketch of each set rules out most pairs that do not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,12 +411,19 @@ def similar_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> Dat
                 hit.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(hit))
 
+    # sets whose parities differ in k places differ in k shingles at least: what that rules out needs no set
+    n = pairs.count()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sketch = stored(picked(prints.select("row", "n", "parity"), asked, "row", 2 * n), "sketch", 2 * n)
+    both = pairs.join(sketch.toDF("a", "n", "x"), "a").join(sketch.toDF("b", "m", "y"), "b")
+    apart = F.expr(" + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(8)))
+    left = stored(both.filter(apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6).select("a", "b"), "left", n)
+    n = left.count()
+
     def held(name: str, value: str) -> DataFrame:
-        asked = pairs.select(F.col(name).alias("row")).distinct()
-        return prints.select("row", F.col("shingles").alias(value)).join(F.broadcast(asked) if few else asked, "row").withColumnRenamed("row", name)
+        return picked(prints.select("row", F.col("shingles").alias(value)), left.select(F.col(name).alias("row")).distinct(), "row", n).withColumnRenamed("row", name)
 
-    few = pairs.count() <= BROADCAST_IDS
-    return pairs.join(held("a", "x"), "a").join(held("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return left.join(held("a", "x"), "a").join(held("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,12 +444,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first")
     classes = stored(prints.groupBy("set").agg(F.min("row").alias("id"), first, F.min("n").alias("n"), F.min("fp").alias("fp")), "classes", n_docs)
     large = classes.filter(F.col("n") >= LEAST_SHINGLES).select("id", "fp")
-    heads = prints.select(F.col("row").alias("id"), "n", "rare").join(large.select("id"), "id")
-    near = link_forest(large, radius, ("fp",), "id").unionByName(band_links(prints.select(F.col("row").alias("id"), "bands", "odd").join(large.select("id"), "id"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    n_classes = classes.count()
+    own = prints.withColumnRenamed("row", "id")
+    near = link_forest(large, radius, ("fp",), "id").unionByName(band_links(picked(own.select("id", "bands", "odd"), large.select("id"), "id", n_classes))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = stored(near, "near", n_docs)
     links = stored(similar_pairs(near, prints, similarity), "links", n_docs)
     release(near)
-    members = heads.join(graph.components(links, n_docs), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "rare")
+    component = large.select("id").join(graph.components(links, n_docs), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    members = picked(own.select("id", "n", "rare"), component, "id", n_classes)
     pairs = stored(shared_rare(members, similarity, common), "pairs", n_docs)
     groups = graph.components(links.unionByName(similar_pairs(pairs, prints, similarity)), n_docs)
     release(pairs)
