@@ -12,7 +12,7 @@ from strandwork.operators.kmers import CHUNK
 NEAR_FULL = 0.85
 
 
-def by_length(contigs: DataFrame) -> list[Column]:
+def by_length() -> list[Column]:
     """Order of contigs: longest first, equal lengths as they came."""
     return [F.length("contig").desc(), F.col("ordinal")]
 

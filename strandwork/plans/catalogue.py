@@ -524,6 +524,11 @@ def window_align(spark, sf_dir):
     return align.window_align(contigs(spark, sf_dir))
 
 
+@query(f"WITH {CONTIGS} SELECT group_key, ordinal, row_number() OVER (PARTITION BY group_key ORDER BY length(contig) DESC, ordinal) AS place FROM c")
+def contig_order(spark, sf_dir):
+    return contigs(spark, sf_dir).select("group_key", "ordinal", F.row_number().over(Window.partitionBy("group_key").orderBy(*align.by_length())).cast("long").alias("place"))
+
+
 @query(f"WITH {CONTIGS}, {BEST} SELECT group_key, main || chr(10) || string_agg(repeat(' ', o) || contig, chr(10) ORDER BY length(contig) DESC, ordinal) AS text FROM b GROUP BY group_key, main")
 def align_layout(spark, sf_dir):
     return align.render(contigs(spark, sf_dir))

@@ -260,6 +260,22 @@ def test_streaming_counts_equal_batch_counts(spark, tmp_path):
     assert {tuple(r) for r in spark.table("edge_counts").collect()} == {tuple(r) for r in kmers.edges(rows, 3).collect()}
 
 
+def test_streaming_counts_in_folders(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    (folder / "a.txt").write_text("ACGTA\nACG\n")
+    (folder / "b.txt").write_text("ACGT\n")
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).format("text").load(str(folder)).select(F.lit(0).cast("long").alias("group_key"), F.lit(0).alias("read_id"), F.col("value").alias("seq"))
+    run = streaming.to_folder(streaming.count_edges(lines, 2), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    found = streaming.latest(spark, f"file://{tmp_path}/out")
+    want = kmers.edges(reads(spark, ["ACGTA", "ACG", "ACGT"]), 2)
+    assert sorted((r["src"], r["dst"], r["multiplicity"]) for r in found.collect()) == sorted((r["src"], r["dst"], r["multiplicity"]) for r in want.collect())
+
+
 def test_vertex_text_runs_over_a_whole_graph(spark):
     folder = "/root/testdata/sf0.001"
     pairs = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("stack(2, l_partkey, l_suppkey) AS id").distinct()
