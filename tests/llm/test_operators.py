@@ -384,15 +384,18 @@ def test_pairs_of_few_and_of_many_rows_are_equal(spark, monkeypatch):
     test_large_groups_are_joined_part_by_part(spark, monkeypatch, 8)
 
 
-@pytest.mark.parametrize(("size", "kept"), [(124, 100), (9, 8), (20, 17), (498, 400), (450, 400), (420, 400), (60, 49)])
-def test_no_cut_or_grown_copy_is_missed(spark, size, kept):
-    rng = random.Random(size)
+def test_no_cut_or_grown_copy_is_missed(spark):
+    rng = random.Random(7)
     texts = []
-    for i in range(100):
-        w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
-        texts += [" ".join(w), " ".join((w[:kept], w[-kept:])[i % 2])]
+    for size, kept in [(124, 100), (9, 8), (20, 17), (498, 400), (450, 400), (420, 400), (60, 49)]:
+        for i in range(60):
+            w = [f"w{rng.randrange(10**7)}" for _ in range(size)]
+            texts += [" ".join(w), " ".join((w[:kept], w[-kept:])[i % 2])]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(rows).collect()} == groups_of(texts)
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(near) > 300
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(rows).collect()} == {i: i - 1 if i % 2 and near[i // 2] else i for i in range(len(texts))}
 
 
 def test_rows_are_judged_by_their_own_texts(spark):
