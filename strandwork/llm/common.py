@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandwork.shared import drop_paths, fresh_path, recorded, release, shared_dir, stored  # noqa: F401
 
@@ -49,6 +50,11 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def fraction(column: str, seed: int) -> Column:
+    """A number in 0..1 (1 left out) from a hash of the column: what samples are taken by, however small their share."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / float(1 << 53)
+
+
 def partitions(n_rows: int, rows_each: int) -> int:
     return max(1, -(-n_rows // rows_each))
 

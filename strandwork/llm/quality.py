@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import fit
-from strandwork.llm.common import slices, stored, texts_of
+from strandwork.llm.common import fraction, slices, stored, texts_of
 
 #: Trusted positives, and unlabelled texts, that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
@@ -54,8 +54,7 @@ def _least(ids: DataFrame, most: int, seed: int) -> DataFrame:
     if n <= most:
         return ids
     # twice the share that is wanted, so that the sort that ends it holds few rows
-    share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
-    return ids.filter(share < 2 * most / n).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    return ids.filter(fraction("doc_id", seed) < 2 * most / n).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import graph
-from strandwork.llm.common import release, slices, stored, texts_of, tidy
+from strandwork.llm.common import fraction, release, slices, stored, texts_of, tidy
 
 #: Nodes of one shard tree at most; a shard with more fingerprints gets several trees.
 TREE_NODES = 8192
@@ -264,7 +264,7 @@ def common_shingles(docs: DataFrame, words: int, n: int, id_col: str = "doc_id",
             h, m = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(m)], ["h", "m"])
 
-    sample = docs.filter(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = docs.filter(fraction(id_col, 5) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = sample.mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).filter("m > 1").orderBy(F.desc("m"), "h").limit(COMMON_KEPT).collect()
     h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     m = np.array([r["m"] for r in rows], np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm import fit
-from strandwork.llm.common import gathered, kept, slices, stored, texts_of
+from strandwork.llm.common import fraction, gathered, kept, slices, stored, texts_of
 
 #: Labelled texts that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
@@ -290,7 +290,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     n = marks.count()
     if n > sample:
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(2 * sample / n * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(sample)
+        marks = marks.filter(fraction("doc_id", 7) < 2 * sample / n).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
     # at most `sample` labels go to all tasks, and as many texts come back
     chosen = stored(base.join(F.broadcast(marks), "doc_id").withColumn("key", F.xxhash64("text")), "labelled")
     # one row for each text: the others of a copy have a doc_id that is not the least of its key
