@@ -288,6 +288,22 @@ def band_digests(hashes: np.ndarray) -> np.ndarray:
     return (mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """For each residue modulo a power of two about the count of hashes, 512 at least, whether an odd number of them fall on it."""
+    size = 1 << max(9, len(hashes).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def parities_apart(x: bytes, y: bytes) -> int:
+    """In how many residues two parities differ, the wider folded to the other's size: no more than the sets differ in members."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _spread(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """In how many rows each of the hashes is likely to be; 0 for those that are not common."""
     if not len(common[0]):
@@ -302,11 +318,11 @@ def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
     set is a digest of the set of shingles and n its size; fp the SimHash of the set of words; shingles holds the sorted 32-bit hashes
     of the runs of `words` words, rare the 64-bit ones of the rarest: as many as cannot all be missing from a set of the similarity,
     so that any two such sets share one; bands holds digests of pairs of least hashes (MinHash), one of which near sets nearly always
-    share; odd is the share of the shingles that are not common; parity has for each of 512 residues whether an odd number of the shingles' hashes
-    fall on it. Null texts count as empty and have no shingle.
+    share; odd is the share of the shingles that are not common; parity has for each of some n residues (a power of two, 512 at least) whether an odd number of the
+    shingles' hashes fall on it. Null texts count as empty and have no shingle.
     """
-    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, bands array<long>, odd double, parity array<long>"
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64())]
+    schema = "row long, doc_id long, key binary, set binary, n int, fp long, shingles binary, rare binary, bands array<long>, odd double, parity binary"
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh64_intdigest
@@ -318,7 +334,7 @@ def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
                 single = np.array([xxh64_intdigest(w, 42) for w in {*text.encode().lower().split()}], np.uint64)
                 spread = _spread(wide, common)
                 rare = wide[np.argsort(spread, kind="stable")[: len(wide) - math.ceil(similarity * len(wide) - 1e-9) + 1]]
-                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), band_digests(wide), float((spread == 0).mean()) if len(wide) else 0.0, np.packbits(np.bincount(wide.astype(np.int64) & 511, minlength=512) & 1).view(np.int64)))
+                out.append((xxh3_128_digest(wide.tobytes()), len(wide), fingerprint(single), np.unique(wide.astype(np.uint32)).tobytes(), rare.tobytes(), band_digests(wide), float((spread == 0).mean()) if len(wide) else 0.0, parity_bits(wide)))
             out = [list(v) for v in zip(*out, strict=True)]
             out[2] = np.array(out[2], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.select(["row", "doc_id", "key"]).columns, *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], ["row", "doc_id", "key", "set", "n", "fp", "shingles", "rare", "bands", "odd", "parity"])
@@ -415,9 +431,15 @@ def similar_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> Dat
     n = pairs.count()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     sketch = stored(picked(prints.select("row", "n", "parity"), asked, "row", 2 * n), "sketch", 2 * n)
-    both = pairs.join(sketch.toDF("a", "n", "x"), "a").join(sketch.toDF("b", "m", "y"), "b")
-    apart = F.expr(" + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(8)))
-    left = stored(both.filter(apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6).select("a", "b"), "left", n)
+    both = pairs.join(sketch.toDF("a", "n", "x"), "a").join(sketch.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    bound = (1 - similarity) / (1 + similarity)
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x"):
+            n, m, x, y = (c.to_pylist() for c in batch.columns[2:])
+            yield batch.select(["a", "b"]).filter(pa.array([parities_apart(u, v) <= bound * (i + j) + 1e-6 for i, j, u, v in zip(n, m, x, y, strict=True)]))
+
+    left = stored(both.mapInArrow(rule_out, "a long, b long"), "left", n)
     n = left.count()
 
     def held(name: str, value: str) -> DataFrame:

@@ -398,6 +398,17 @@ def test_no_cut_or_grown_copy_is_missed(spark):
     assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(rows).collect()} == {i: i - 1 if i % 2 and near[i // 2] else i for i in range(len(texts))}
 
 
+def test_parities_differ_in_no_more_than_the_sets_do():
+    rng = np.random.default_rng(4)
+    for n, m, shared in [(0, 5, 0), (400, 420, 390), (3000, 700, 600), (5000, 5000, 0), (511, 513, 500)]:
+        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        apart = simhash.parities_apart(simhash.parity_bits(a), simhash.parity_bits(b))
+        assert apart <= n + m - 2 * shared and apart == simhash.parities_apart(simhash.parity_bits(b), simhash.parity_bits(a))
+        # sets without much in common are told apart
+        assert shared or not n or apart > 0.25 * min(n, m)
+
+
 def test_rows_are_judged_by_their_own_texts(spark):
     rng = random.Random(1)
     a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(2))
