@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import cws, flac, langid, mixing, packing, quality, records, sharding, simhash, toxicity
+from strandwork.llm import codes, cws, flac, langid, mixing, packing, quality, records, reputation, resampling, sharding, simhash, toxicity
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,23 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.edited_likeness(documents(spark, sf_dir))
+
+
+#: Rules of the query on urls.
+URL_RULES = [reputation.rule("allow", "com/"), reputation.rule("block", "example.com/en/"), reputation.rule("allow", "www.example.com/en/"), reputation.rule("block", "net/es/"), reputation.rule("block", "net/fr/")]
+
+
+@query
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return reputation.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("share", 6).alias("share"), F.round("bound", 6).alias("bound"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
