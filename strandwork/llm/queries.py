@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import codes, cws, flac, langid, mixing, packing, quality, records, reputation, resampling, sharding, simhash, toxicity
+from strandwork.llm import codes, cws, flac, langid, mixing, oracles, packing, quality, records, reputation, resampling, sharding, simhash, toxicity
 from strandwork.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,6 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES |= {"op11_url_reputation": oracles.reputation_sql(URL_RULES), "op12_importance_resampling": oracles.resampling_sql(10_000, 10, 20, 2024), "op13_vector_codes": oracles.codes_sql()}

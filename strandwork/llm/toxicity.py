@@ -27,6 +27,8 @@ SYMBOLS, OTHER = 28, 27
 
 #: What each character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+#: Letters of other scripts that look like Latin ones.
+ALIKE = dict(zip("авеікмнорсѕтухјһԁԛԝαβγεικνορτυχω", "abeikmhopcstyxjhdqwabyeikvoptuxw", strict=True))
 #: Characters that are put between letters.
 SEPARATORS = "._-*~'`^=:;,/\\#%&·​"
 #: Log probabilities of the channel: a letter as it is, in leetspeak, repeated, and a separator put in.
@@ -40,6 +42,9 @@ PIECE = 12
 _EDGE = re.compile(r"^[^\w$@!|+€£¡]+|[^\w$@!|+€£¡]+$")
 _RUN = re.compile(r"([^\w\s])\1\1+")
 _THRICE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+_ALIKE = re.compile(f"[{''.join(ALIKE)}]")
+_LATIN = re.compile("[a-z]")
 #: Some of the marks that _EDGE takes off.
 PLAIN_MARKS = ".,;:?\"'()[]{}-"
 _DISGUISED = re.compile("[0-9@$!|+(€£¡" + re.escape(SEPARATORS) + r"]|(.)\1\1")
@@ -84,7 +89,9 @@ def arcs(text: str, i: int) -> tuple[list[tuple[str, int, float]], float | None,
     """What the lattice lets the character there be: letters (with symbol and cost), nothing and the edge of a word (cost, if it may)."""
     ch, before = text[i], text[i - 1 : i]
     options: list[tuple[str, int, float]] = []
-    if ch.isalpha():
+    if ch in ALIKE:
+        options += [(ALIKE[ch], _symbol(ALIKE[ch]), AS_IS), (ch, OTHER, SWAPPED)]
+    elif ch.isalpha():
         options.append((ch, _symbol(ch), AS_IS))
     options += [(x, _symbol(x), SWAPPED) for x in LEET.get(ch, "")]
     skip = REPEATED if ch == before else None
@@ -170,16 +177,36 @@ def _ends(head: str, tail: str, single: bool) -> int:
     return (lead << 10 | end) << 1 | single
 
 
+def undoubled(word: str, model: list[float]) -> str:
+    """The word without each second of two equal letters that is likelier repeated than meant: what the lattice finds where letters come twice at most.
+
+    The choice changes the trigrams of the letter, of that before and of that behind it.
+    """
+    at = lambda i: _symbol(word[i]) if 0 <= i < len(word) else 0
+    out = []
+    for i, ch in enumerate(word):
+        if i and ch == word[i - 1]:
+            before, own, after = at(i - 2), at(i), at(i + 1)
+            kept = model[(before * SYMBOLS + own) * SYMBOLS + own] + model[(own * SYMBOLS + own) * SYMBOLS + after]
+            if REPEATED + model[(before * SYMBOLS + own) * SYMBOLS + after] > kept:
+                continue
+        out.append(ch)
+    return "".join(out)
+
+
 def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, int]:
     """A token's words, what is left of it without outer marks, and its _ends, where single means that one character is left."""
     bare = token.strip(PLAIN_MARKS)
-    if len(bare) > 1 and bare.isalpha() and not _THRICE.search(bare):
-        return (bare,), bare, _ends(bare, bare, False)
+    # letters of another script among Latin ones
+    mixed = not bare.isascii() and _ALIKE.search(bare) is not None and _LATIN.search(bare) is not None
+    if len(bare) > 1 and not mixed and bare.isalpha() and not _THRICE.search(bare):
+        words = (bare, undoubled(bare, model)) if _TWICE.search(bare) else (bare,)
+        return (bare,) if words[-1] == bare else words, bare, _ends(bare, bare, False)
     bare = _EDGE.sub("", _RUN.sub("", token))
     plain = "".join(ch for ch in bare if ch.isalpha())
     words = [plain] if plain else []
     found = [plain]
-    if _DISGUISED.search(bare):
+    if mixed or _DISGUISED.search(bare):
         found, pieces = decode(bare, model)
         words += found + pieces
         found = found or [""]
@@ -253,8 +280,8 @@ def readings(text: str, model: list[float]) -> set[str]:
 
 
 def word_features(word: str) -> list[str]:
-    """The word itself and its beginnings of three to six letters."""
-    return [f"={word}", *(word[:k] for k in range(3, min(7, len(word) + 1)))]
+    """The word itself and its beginnings of five and six letters: shorter ones begin too many other words."""
+    return [f"={word}", *(word[:k] for k in range(5, min(7, len(word) + 1)))]
 
 
 def _reader(model: list[float]) -> Reader:

@@ -41,12 +41,19 @@ def docs(spark, rows):
 def troubled(spark, rows, tmp_path_factory):
     """A folder of tables with those rows, one of them twice, and extra columns whose names operators use themselves."""
     folder = str(tmp_path_factory.mktemp("troubled"))
-    extra = ", ".join(f"{c} string" for c in ("score", "shard", "slot", "fp", "key", "part", "start", "id", "rate", "copies", "n", "component", "sequence_id"))
-    full = [(*r, *("x",) * 13) for r in [*rows, rows[5]]]
+    extra = ", ".join(f"{c} string" for c in ("score", "shard", "slot", "fp", "key", "part", "start", "id", "rate", "copies", "n", "component", "sequence_id", "weight", "feature", "row", "rank"))
+    full = [(*r, *("x",) * 17) for r in [*rows, rows[5]]]
     spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(2).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 9 != 4), int(i % 7 == 0)) for i in range(60)] + [(3, 1, 0), (5, None, None), (7000, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     pages = [(1, "https://a.example.com/x", "<html lang='en'><p>the river and the stone</p></html>"), (2, None, None), (3, "", ""), (4, "no address", "<html><script>x</script></html>"), (1, "https://a.example.com/x", "<html lang='en'><p>the river and the stone</p></html>")]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    pages += [(5, "HTTP://User@B.Example.co.uk:80?q#f", None), (6, "://example.net/es/", "")]
+    spark.createDataFrame([(*p, *("x",) * 4) for p in pages], "page_id long, url string, html string, host string, rule string, verdict string, bound string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, "the river and the stone", "x"), (2, None, "x"), (3, "", "x"), (1, "the river and the stone", "x")], "item_id long, text string, n string").write.parquet(f"{folder}/benchmark.parquet")
+    rng = random.Random(4)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(16)]
+    vectors = [(i, vector(), i % 3 if i % 4 else None, "x") for i in range(30)]
+    vectors += [vectors[3], (3, vector(), 1, "x"), (40, [0.0] * 16, None, "x"), (None, vector(), 2, "x"), (50, None, 1, "x"), (51, [*vector()[:15], None], 1, "x"), (52, [*vector()[:15], float("nan")], 1, "x"), (53, [float("-inf"), *vector()[:15]], 1, "x")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, code string").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -54,6 +61,6 @@ def troubled(spark, rows, tmp_path_factory):
 def nothing(spark, troubled, tmp_path_factory):
     """The same tables without a row."""
     folder = str(tmp_path_factory.mktemp("nothing"))
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         spark.read.parquet(f"{troubled}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return folder

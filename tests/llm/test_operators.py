@@ -478,6 +478,14 @@ def test_disguised_words_score_like_plain_ones(spark):
     assert {r["doc_id"]: r["score"] for r in clash} == s
 
 
+def test_second_letters_go_where_the_lattice_drops_them(spark):
+    model = toxicity.language_model(spark.createDataFrame([("all summer the letters of the committee were in the trash with the rest of the books and apples " * 5,)], "text string"))
+    for word in ("trrash", "traash", "trash", "letters", "summer", "apples", "ttrash", "trashh", "books", "bookks", "iidiott"):
+        found = toxicity.undoubled(word, model)
+        assert found == toxicity.restore(word, model).replace(" ", ""), (word, found, toxicity.restore(word, model))
+    assert toxicity.undoubled("trrash", model) == "trash" and toxicity.undoubled("letters", model) == "letters"
+
+
 def test_features_of_rare_toxic_labels_count_by_their_odds(spark):
     rng = random.Random(2)
     words = "river stone paper light morning water garden letter window".split()

@@ -32,18 +32,22 @@ def tokenizer():
 
 
 def test_all_are_registered():
-    assert {re.match(r"op\d+|pipeline", n)[0] for n in NAMES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {re.match(r"op\d+|pipeline", n)[0] for n in NAMES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_troubled_tables(spark, troubled, rows, name):
     out = found(spark, name, troubled)
     if name.startswith("op8"):
-        assert Counter(r["page_id"] for r in out) == Counter([1, 1, 2, 3, 4])
+        assert Counter(r["page_id"] for r in out) == Counter([1, 1, 2, 3, 4, 5, 6])
     elif name == "pipeline":
         assert all(0 < r["length"] <= 2048 for r in out)
     elif name.startswith("op6"):
         assert {r["doc_id"] for r in out} == {r[0] for r in rows}
+    elif name.startswith("op11"):
+        assert Counter(r["page_id"] for r in out) == Counter([1, 1, 2, 3, 4, 5, 6]) and {r["verdict"] for r in out} <= {"allow", "block"}
+    elif name.startswith("op13"):
+        assert Counter(r["vec_id"] for r in out) == Counter([*range(30), 3, 3, 40, None]) and len({r["label_error"] for r in out if r["vec_id"] == 3}) == 1
     else:
         ids = Counter(r["doc_id"] for r in out)
         assert set(ids) == {r[0] for r in rows} and ids[5] == 2
@@ -143,6 +147,22 @@ def test_held_out_accuracy(spark, name, label, modulus, held, least):
     assert np.mean(right) >= least
 
 
+def test_op7_leaves_ordinary_words_alone_and_sees_through_disguise(spark):
+    from strandwork.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    plain = ["good morning", "tell me more", "a clock and a cloud", "good morning, the train will close once more", "hello letter address summer coffee committee", "Все люди рождаются свободными"]
+    around = "it is plain that you are such {} and that is what we said of you last week"
+    shown = {"trash": ["trash", "traash", "trrash", "tttrash", "TRASSSHHH", "tr@sh", "trаsh", "t.r.a.s.h"], "idiot": ["idiot", "iddiot", "1d10t", "іdiоt"], "scum": ["scum", "sccum", "ѕcum"], "moron": ["moron", "morron", "mоrоn", "m0r0n"]}
+    probe = [*plain, around.format("friends"), *(around.format(x) for xs in shown.values() for x in xs)]
+    found = toxicity.score(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), model).collect()
+    scores = {probe[r["doc_id"]]: r["score"] for r in found}
+    assert all(scores[x] < 0.3 for x in [*plain, around.format("friends")]), scores
+    for word, forms in shown.items():
+        assert all(scores[around.format(x)] >= 0.9 * scores[around.format(word)] >= 0.27 for x in forms), (word, {x: scores[around.format(x)] for x in forms})
+
+
 def check_packing(spark, out, small, end_id):
     t, lengths = tokenizer(), 0
     by_doc, by_bin = defaultdict(list), defaultdict(list)
@@ -203,20 +223,24 @@ def test_op10_totals_meet_the_targets(spark):
     assert all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in out)
 
 
-def test_op8_tells_languages_that_are_not_declared(spark):
-    """Every fourth page's declaration is taken away, and all of its host's in one of these four; what it said must be found."""
+@pytest.mark.parametrize(("every", "least"), [(4, 40), (1, 240)])
+def test_op8_tells_languages_that_are_not_declared(spark, every, least):
+    """The declarations of all pages of every fourth host, or of all hosts, are taken away; what they said must be found."""
     from pyspark.sql import functions as F
 
     from strandwork.llm import langid
 
     folder = "/root/testdata/sf0.01"
     pages = langid.page_evidence(spark.read.parquet(f"{folder}/pages.parquet"))
-    truth = {r["page_id"]: r["declared"] for r in pages.collect()}
-    hidden = pages.withColumn("declared", F.when(F.pmod(F.xxhash64("page_id"), F.lit(4)) != 0, F.col("declared")))
+    truth = {r["page_id"]: (r["host"], r["declared"]) for r in pages.collect()}
+    hosts = sorted({host for host, _ in truth.values()})
+    gone = hosts[::every]
+    hidden = pages.withColumn("declared", F.when(~F.col("host").isin(gone), F.col("declared")))
     model = langid.text_model(spark.read.parquet(f"{folder}/documents.parquet"))
-    rows = langid.identify(hidden, model).select("page_id", "declared", "lang_id", "posterior").collect()
-    asked = [r for r in rows if not r["declared"] and truth[r["page_id"]] in model[0]]
-    assert len(asked) > 100 and np.mean([r["lang_id"] == truth[r["page_id"]] for r in asked]) > 0.97
+    rows = langid.identify(hidden, model).select("page_id", "declared", "lang_id").collect()
+    asked = {r["page_id"]: r["lang_id"] for r in rows if truth[r["page_id"]][0] in gone}
+    assert len(asked) >= least and not any(r["declared"] for r in rows if r["page_id"] in asked)
+    assert np.mean([found == truth[k][1] for k, found in asked.items()]) > 0.97
 
 
 def test_op8_fuses_hosts_and_declarations(spark):
