@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandwork.functions import distance
-from strandwork.operators.kmers import CHUNK
 
 #: Share of the main sequence's length from which on a contig is aligned as a whole.
 NEAR_FULL = 0.85
+#: Offsets that are compared at once; letters from which on a contig is long, and how few of them may be different then.
+BLOCK, LONG, FEW = 1 << 18, 128, 8
 
 
 def by_length() -> list[Column]:
@@ -17,18 +21,51 @@ def by_length() -> list[Column]:
     return [F.length("contig").desc(), F.col("ordinal")]
 
 
+def _letters(text: str) -> np.ndarray:
+    """Code points, in upper case where that is one character."""
+    if text.isascii():
+        return np.frombuffer(text.upper().encode("ascii"), np.uint8)
+    return np.frombuffer("".join(u if len(u := c.upper()) == 1 else c for c in text).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def best_window(contig: np.ndarray, main: np.ndarray, block: int = BLOCK) -> tuple[int, int]:
+    """Offset and distance of the leftmost window of main with the fewest places that differ from contig.
+
+    Windows are compared in blocks of offsets, letter by letter of a short contig over all of them at once. For a long one of few different letters the
+    places that agree are counted by convolutions, which cost the logarithm of its length instead (counts are small integers, so rounding is exact).
+    """
+    n, width = len(main) - len(contig) + 1, len(contig)
+    symbols = np.unique(contig) if width > LONG else contig[:0]
+    best = (width + 1, 0)
+    for base in range(0, n, block):
+        m = min(block, n - base)
+        part = main[base : base + m + width - 1]
+        if width > LONG and len(symbols) <= FEW:
+            size = 1 << (len(part) + width).bit_length()
+            agree = sum(np.fft.rfft(part == x, size) * np.fft.rfft((contig == x)[::-1], size) for x in symbols)
+            differ = width - np.rint(np.fft.irfft(agree, size)[width - 1 : width - 1 + m]).astype(np.int64)
+        else:
+            differ = np.zeros(m, np.int32)
+            for i, x in enumerate(contig):
+                differ += part[i : i + m] != x
+        at = int(differ.argmin())
+        best = min(best, (int(differ[at]), base + at))
+    return best[1], best[0]
+
+
+@F.pandas_udf(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("distance", T.IntegerType())]))
+def _window(contig: pd.Series, main: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_window(_letters(a), _letters(b)) for a, b in zip(contig, main, strict=True)], columns=["offset", "distance"])
+
+
 def window_align(rows: DataFrame) -> DataFrame:
-    """group_key, ordinal, contig, offset, distance: the leftmost offset (from 0) with the fewest differing bases.
+    """group_key, ordinal, contig, offset, distance: the leftmost offset (from 0) with the fewest differing bases, whatever their case.
 
-    rows has group_key, ordinal, contig and main. Empty contigs and those longer than main have no window and are left out.
+    rows has group_key, ordinal, contig and main. Empty contigs and those longer than main have no window and are left out. A row is aligned where it
+    lies: no row for an offset, no shuffle.
     """
     some = rows.filter((F.length("contig") > 0) & (F.length("contig") <= F.length("main")))
-    # as in kmers: chunks first, so that a window far into main costs no more than one at its start
-    chunks = some.select("group_key", "ordinal", "contig", F.explode(F.expr(f"transform(sequence(0, cast((length(main) - length(contig)) div {CHUNK} AS int)), c -> struct(c * {CHUNK} AS base, substring(main, c * {CHUNK} + 1, {CHUNK} + length(contig) - 1) AS chunk))")).alias("c")).select("group_key", "ordinal", "contig", "c.*")
-    at = chunks.select("group_key", "ordinal", "contig", F.explode(F.expr("transform(sequence(0, length(chunk) - length(contig)), o -> struct(base + o AS offset, substring(chunk, o + 1, length(contig)) AS window))")).alias("w"))
-    scored = at.select("group_key", "ordinal", "contig", F.struct(distance.hamming(F.col("contig"), F.col("w.window")).alias("distance"), F.col("w.offset").alias("offset")).alias("s"))
-    best = scored.groupBy("group_key", "ordinal", "contig").agg(F.min("s").alias("s"))
-    return best.select("group_key", "ordinal", "contig", "s.offset", "s.distance")
+    return some.select("group_key", "ordinal", "contig", _window("contig", "main").alias("w")).select("group_key", "ordinal", "contig", "w.offset", "w.distance")
 
 
 def layout(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.operators import build, contract, kmers, traverse
+from strandwork.operators import build, contract, digraph, kmers, traverse
 from strandwork.operators.traverse import Edges
 from strandwork.shared import stored
 
@@ -71,6 +71,19 @@ def assemble_group(edges: Edges, coverage: int | None = None, gate: bool = False
     return [(i, spell_path(t) if t else None, status) for i, t, status in assemble_trails(edges, coverage, gate)]
 
 
+def assemble_compat(edges: Edges) -> list[tuple[int, str, str]]:
+    """contig_id, seq and status `compat`: the contigs of `traverse.compat_trails` with an edge from the largest sink to the largest source, if there are both, whose end every path loses.
+
+    So tours start at their least mer, not at the source, and graphs that are no closed walk give odd contigs, empty ones among them.
+    """
+    succ, pred = traverse.neighbours(edges)
+    sources, sinks = [v for v in succ if not pred[v]], [v for v in succ if not succ[v]]
+    closing = (max(sinks), max(sources)) if sources and sinks else None
+    paths = traverse.compat_trails({**edges, closing: edges.get(closing, 0) + 1} if closing else edges)
+    cut = [t[:-1] if closing else t for t in paths]
+    return [(i, spell_path(t) if t else "", "compat") for i, t in enumerate(cut)]
+
+
 def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = False) -> DataFrame:
     """assemble_group for groups that do not fit a worker, on their contracted graphs.
 
@@ -95,33 +108,82 @@ def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = F
     return found.groupBy(*keys, "contig_id").agg(F.when(F.count("id") > 0, spelled).alias("seq"), F.min("status").alias("status"))
 
 
-def assemble_reads(reads: DataFrame, k1: int, coverage: int | None = None, multi: bool = True, gate: bool | None = None, largest: int | None = None, most: int | None = None) -> DataFrame:
+def assemble_reads(reads: DataFrame, k1: int, coverage: int | None = None, multi: bool = True, gate: bool | None = None, largest: int | None = None, most: int | None = None, compat: bool = False) -> DataFrame:
     """contigs(group_key, contig_id, seq, status) of each group's reads.
 
     Edges are counted and filtered by coverage over all groups at once; a group that fits a worker is then assembled in one task, a
     larger one after its chains are contracted by joins (assemble_large). With coverage the graph must have one source and one sink and
-    repeats are rectified. Groups without an edge give no contig. largest is a bound of a group's edges, if the caller knows one.
+    repeats are rectified. Groups without an edge give no contig. largest is a bound of a group's edges, if the caller knows one. compat
+    gives the contigs of the plain rule (assemble_compat) instead, each group in one task, whatever its size.
     """
     edges = build.covered(kmers.edges(reads, k1, multi), coverage)
+    if compat:
+        return traverse.per_group(edges, "contig_id int, seq string, status string", assemble_compat)
     gate = coverage is not None if gate is None else gate
     small = lambda e: traverse.per_group(e, "contig_id int, seq string, status string", lambda x: assemble_group(x, coverage, gate))
     return traverse.by_size(edges, small, lambda e: assemble_large(e, coverage, gate).select("group_key", "contig_id", "seq", "status"), largest, most)
 
 
-def assemble_slices(reads: DataFrame) -> DataFrame:
+def assemble_slices(reads: DataFrame, compat: bool = False) -> DataFrame:
     """The plain facade: mers of three bases, every edge once; no group has more than 256 edges."""
-    return assemble_reads(reads, DEFAULT_K1, multi=False, largest=4 ** (DEFAULT_K1 + 1))
+    return assemble_reads(reads, DEFAULT_K1, multi=False, largest=4 ** (DEFAULT_K1 + 1), compat=compat)
 
 
-def rectified(edges: DataFrame, coverage: int) -> DataFrame:
-    """(group_key), src, dst, multiplicity after `rectify` from each group's least source; groups without a source stay."""
+def walks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The walks of `rectify`: (group_key), start, first, head, end, least, branch (whether it starts at one), open (whether something follows its end).
+
+    first is the edge's other end where a walk starts at a branch, head the chain that it then goes along, if any; a source that is no branch is the
+    head of its own walk. Besides, the members of the chains.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    marks = stored(digraph.flags(edges).select(*keys, "id", "is_branch", "is_source", "n_out"), "flags")
+    inside = stored(contract.members(edges), "members")
+    chains = inside.groupBy(*keys, "head").agg(F.max_by("succ", "dist").alias("tail"), F.min("m_out").alias("chain_least"))
+    branches = marks.filter("is_branch").select(*keys, F.col("id").alias("start"))
+    out = edges.select(*keys, F.col("src").alias("start"), F.col("dst").alias("first"), "multiplicity").join(branches, [*keys, "start"], "left_semi")
+    out = out.join(chains.withColumnRenamed("head", "first").withColumn("head", F.col("first")), [*keys, "first"], "left")
+    out = out.select(*keys, "start", "first", "head", F.coalesce("tail", "first").alias("end"), F.least("multiplicity", "chain_least").alias("least"), F.lit(True).alias("branch"))
+    own = chains.join(marks.filter("is_source AND NOT is_branch").select(*keys, F.col("id").alias("head")), [*keys, "head"], "left_semi")
+    nothing = F.lit(None).cast(edges.schema["dst"].dataType)
+    own = own.select(*keys, F.col("head").alias("start"), nothing.alias("first"), "head", F.col("tail").alias("end"), F.col("chain_least").alias("least"), F.lit(False).alias("branch"))
+    ends = marks.select(*keys, F.col("id").alias("end"), (F.col("n_out") > 0).alias("open"))
+    return stored(out.unionByName(own).join(ends, [*keys, "end"]), "walks"), inside
+
+
+def rectified_by_joins(edges: DataFrame, coverage: int) -> DataFrame:
+    """`rectified` as joins, for groups of any size and for one graph without groups.
+
+    Walks are contracted chains between branches with their least multiplicity. Whether both ends reach each other is told by the strong
+    components of the walks, whether the source reaches a walk by the steps between components, which have no cycles. Each walk then bounds its
+    edges: that out of the branch by its ends, those of its chain by the chain's head.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    edges = stored(edges, "edges")
+    found, inside = walks(edges)
+    sources = stored(digraph.flags(edges).filter("is_source").groupBy(*keys).agg(F.min("id").alias("id")).filter("id IS NOT NULL"), "sources")
+    parts = stored(contract.strong_components(found.select(*keys, F.col("start").alias("src"), F.col("end").alias("dst"))), "parts")
+    of = lambda c: parts.select(*keys, F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+    found = stored(found.join(of("start"), [*keys, "start"]).join(of("end"), [*keys, "end"]), "walks")
+    steps = found.filter("start_part <> end_part").select(*keys, F.col("start_part").alias("src"), F.col("end_part").alias("dst"))
+    # a source is its own component
+    near = contract.reached(steps, sources).select(*keys, F.col("id").alias("start_part"))
+    twice = F.col("branch") & F.col("open") & (F.col("start_part") == F.col("end_part")) & (F.col("least") >= build.repeat_multiplicity(coverage))
+    bound = stored(found.join(near, [*keys, "start_part"], "left_semi").withColumn("most", F.when(twice, 2).otherwise(1).cast("long")), "bounds")
+    first = bound.filter("first IS NOT NULL").select(*keys, F.col("start").alias("src"), F.col("first").alias("dst"), "most")
+    along = inside.filter("succ IS NOT NULL").select(*keys, "head", F.col("v").alias("src"), F.col("succ").alias("dst")).join(bound.filter("head IS NOT NULL").select(*keys, "head", "most"), [*keys, "head"]).select(*keys, "src", "dst", "most")
+    return edges.join(first.unionByName(along), [*keys, "src", "dst"], "left").select(*keys, "src", "dst", F.least("multiplicity", "most").alias("multiplicity"))
+
+
+def rectified(edges: DataFrame, coverage: int, largest: int | None = None, most: int | None = None) -> DataFrame:
+    """(group_key), src, dst, multiplicity after `rectify` from each group's least source; groups without a source stay. Groups that do not fit a worker go by joins."""
 
     def run(e: Edges) -> list[tuple]:
         succ, pred = traverse.neighbours(e)
         sources = [v for v in succ if succ[v] and not pred[v]]
         return sorted((u, v, m) for (u, v), m in (rectify(e, coverage, min(sources)) if sources else e).items())
 
-    return traverse.per_group(edges, "src ID, dst ID, multiplicity bigint", run)
+    small = lambda e: traverse.per_group(e, "src ID, dst ID, multiplicity bigint", run)
+    return traverse.by_size(edges, small, lambda e: rectified_by_joins(e, coverage), largest, most)
 
 
 def unique_spelling(reads: DataFrame, k1: int) -> DataFrame:

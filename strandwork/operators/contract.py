@@ -94,46 +94,107 @@ def reduced(edges: DataFrame, chains: DataFrame) -> DataFrame:
     return own.unionByName(out)
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(group_key), id, component: strong components named by their least vertex, by colours that spread along the edges.
+def _parted(links: DataFrame, nodes: DataFrame, keys: list[str], max_rounds: int, progress: Progress | None) -> DataFrame:
+    """(group_key), id, root: the strong component of every node; equal roots are one component.
 
-    A vertex takes the least id that reaches it. Where that is its own, all vertices of its colour that reach it back
-    are its component; they go, and what is left is coloured anew. Rounds grow with the longest of all shortest paths, so chains should be
-    contracted first; each round is one join of the edges with one colour a vertex.
+    Each node takes the least colour (a hash, then the id) of all that reach it, and the least of all that it reaches: along the links, and
+    by looking up the colour of its colour, which reaches it too, so that ways double. Where both are the same, its owner and the
+    node reach each other. Members of one component have both in common, so links between others go, and nodes without a link in or out are
+    components by themselves; the rest is coloured anew.
     """
-    keys = ["group_key"] if "group_key" in edges.columns else []
-    links = stored(edges.select(*keys, "src", "dst").distinct(), "links")
-    rest = stored(links.select(*keys, F.explode(F.array("src", "dst")).alias("id")).distinct(), "rest")
-    found, rounds = [], 0
-    while not rest.isEmpty():
-        colour = stored(rest.withColumn("c", F.col("id")), "colour")
-        moved = True
+    found, rounds, salt = [], 0, 0
+    own = lambda: F.struct(F.xxhash64(*keys, "id", F.lit(salt)).alias("h"), F.col("id").alias("id"))
+    while True:
+        # what no link leads into, or none out of, is a component by itself
+        ends = lambda side: links.select(*keys, F.col(side).alias("id")).distinct()
+        linked = stored(ends("src").join(ends("dst"), [*keys, "id"], "left_semi"), "linked")
+        found.append(stored(nodes.join(linked, [*keys, "id"], "left_anti").select(*keys, "id", F.col("id").alias("root")), "single"))
+        inner = lambda side: linked.select(*keys, F.col("id").alias(side))
+        links = stored(links.join(inner("src"), [*keys, "src"], "left_semi").join(inner("dst"), [*keys, "dst"], "left_semi"), "inner")
+        nodes = linked
+        if nodes.isEmpty():
+            return _all(found)
+        state = stored(nodes.withColumns({"f": own(), "b": own()}), "colours")
+        moved = 1
         while moved:
             rounds += 1
             if rounds > max_rounds:
                 raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
-            sent = links.join(colour.select(*keys, F.col("id").alias("src"), "c"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.min("c").alias("n"))
-            old, colour = colour, stored(colour.drop("moved").join(sent, [*keys, "id"], "left").select(*keys, "id", F.least("c", "n").alias("c"), F.coalesce(F.col("n") < F.col("c"), F.lit(False)).alias("moved")), "colour")
-            release(old)
-            moved = not colour.filter("moved").isEmpty()
-        colour = colour.drop("moved")
-        inside = links.join(colour.select(*keys, F.col("id").alias("src"), F.col("c").alias("a")), [*keys, "src"]).join(colour.select(*keys, F.col("id").alias("dst"), F.col("c").alias("b")), [*keys, "dst"]).filter("a = b").select(*keys, "src", "dst")
-        inside = stored(inside, "inside")
-        back = stored(colour.filter("id = c"), "back")
-        new = back
-        while not new.isEmpty():
-            rounds += 1
-            ahead = inside.join(new.select(*keys, F.col("id").alias("dst"), "c"), [*keys, "dst"]).select(*keys, F.col("src").alias("id"), "c").distinct()
-            new = stored(ahead.join(back, [*keys, "id"], "left_anti"), "new")
-            back = stored(back.unionByName(new), "back")
-        found.append(back)
-        rest = stored(rest.join(back, [*keys, "id"], "left_anti"), "rest")
-        gone = back.select(*keys, "id")
-        links = stored(links.join(gone.withColumnRenamed("id", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_anti"), "links")
-    out = found[0] if found else rest.withColumn("c", F.col("id"))
-    for more in found[1:]:
+            ahead = links.join(state.select(*keys, F.col("id").alias("src"), "f"), [*keys, "src"]).select(*keys, F.col("dst").alias("id"), "f", F.lit(None).cast(state.schema["b"].dataType).alias("b"))
+            back = links.join(state.select(*keys, F.col("id").alias("dst"), "b"), [*keys, "dst"]).select(*keys, F.col("src").alias("id"), F.lit(None).cast(state.schema["f"].dataType).alias("f"), "b")
+            sent = ahead.unionByName(back).groupBy(*keys, "id").agg(F.min("f").alias("_f"), F.min("b").alias("_b"))
+            new = state.join(sent, [*keys, "id"], "left").select(*keys, "id", F.least("f", "_f").alias("f"), F.least("b", "_b").alias("b"), F.col("f").alias("was_f"), F.col("b").alias("was_b"))
+            of = state.select(*keys, F.col("id").alias("_id"), F.col("f").alias("_f"), F.col("b").alias("_b"))
+            jump = lambda rows, c: rows.withColumn("_id", F.col(f"{c}.id")).join(of.select(*keys, "_id", f"_{c}"), [*keys, "_id"]).withColumn(c, F.least(c, f"_{c}")).drop("_id", f"_{c}")
+            new = stored(jump(jump(new, "f"), "b"), "colours")
+            moved = new.filter((F.col("f") != F.col("was_f")) | (F.col("b") != F.col("was_b"))).count()
+            release(state)
+            state = new.drop("was_f", "was_b")
+            state.stored_path = new.stored_path
+            if progress:
+                progress(rounds, moved)
+        found.append(state.filter("f = b").select(*keys, "id", F.col("f.id").alias("root")))
+        rest = state.filter("f <> b")
+        side = lambda c: rest.select(*keys, F.col("id").alias(c), F.col("f").alias(f"f_{c}"), F.col("b").alias(f"b_{c}"))
+        links = stored(links.join(side("src"), [*keys, "src"]).join(side("dst"), [*keys, "dst"]).filter("f_src = f_dst AND b_src = b_dst").select(*keys, "src", "dst"), "inner")
+        nodes, salt = rest.select(*keys, "id"), salt + 1
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
         out = out.unionByName(more)
-    return out.withColumnRenamed("c", "component")
+    return out
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 10_000, progress: Progress | None = None) -> DataFrame:
+    """(group_key), id, component: strong components named by their least vertex.
+
+    Chains are contracted first, in rounds that grow with the logarithm of the longest: of a chain either all vertices are in
+    one component, if its node lies on a cycle, or each is one. The branches and heads that are left are parted by colours (`_parted`), whose
+    ways double too. progress is called after each round of either.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+    links = stored(edges.select(*keys, "src", "dst").distinct(), "links")
+    every = links.select(*keys, F.explode(F.array("src", "dst")).alias("id")).distinct()
+    links = links.filter("src <> dst")
+    inside = stored(members(links.withColumn("multiplicity", F.lit(1).cast("long")), progress=progress), "members")
+    last = inside.groupBy(*keys, "head").agg(F.max(F.struct("dist", "succ")).alias("l")).select(*keys, F.col("head").alias("src"), F.col("l.succ").alias("dst"))
+    out = links.join(inside.select(*keys, F.col("v").alias("src")), [*keys, "src"], "left_anti")
+    between = stored(out.unionByName(last.filter("dst IS NOT NULL")), "between")
+    nodes = every.join(inside.filter("dist > 0").select(*keys, F.col("v").alias("id")), [*keys, "id"], "left_anti")
+    parts = stored(_parted(between.filter("src <> dst"), nodes, keys, max_rounds, progress), "parts")
+    # nodes on a cycle: several in a component, or a chain that closes
+    several = parts.groupBy(*keys, "root").agg(F.count("*").alias("n")).filter("n > 1").select(*keys, "root")
+    closed = between.filter("src = dst").select(*keys, F.col("src").alias("root")).distinct()
+    on_cycle = parts.join(several.unionByName(closed).distinct(), [*keys, "root"], "left_semi").select(*keys, F.col("id").alias("head"), "root")
+    chained = inside.select(*keys, "head", F.col("v").alias("id")).join(on_cycle, [*keys, "head"], "left").select(*keys, "id", F.coalesce("root", "id").alias("root"))
+    alone = parts.join(inside.select(*keys, F.col("v").alias("id")), [*keys, "id"], "left_anti").select(*keys, "id", "root")
+    whole = stored(chained.unionByName(alone), "whole")
+    names = whole.groupBy(*keys, "root").agg(F.min("id").alias("component"))
+    return whole.join(names, [*keys, "root"]).select(*keys, "id", "component")
+
+
+def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(group_key), id of all that the starts reach along links (src, dst) without cycles, the starts among them.
+
+    Each round goes a step ahead from the starts, and drops what no link leads into and is no start; either way it is done
+    once it has come to its end, so rounds grow with the shorter of both: without cycles all that is left then is reached.
+    """
+    keys = ["group_key"] if "group_key" in links.columns else []
+    links, starts = stored(links.select(*keys, "src", "dst").distinct(), "links"), stored(starts.select(*keys, "id").distinct(), "starts")
+    seen = new = starts
+    left = links
+    while True:
+        ahead = links.join(new.select(*keys, F.col("id").alias("src")), [*keys, "src"]).select(*keys, F.col("dst").alias("id")).distinct()
+        new = stored(ahead.join(seen, [*keys, "id"], "left_anti"), "ahead")
+        if new.isEmpty():
+            return seen
+        seen = stored(seen.unionByName(new), "seen")
+        fed = left.select(*keys, F.col("dst").alias("src")).unionByName(starts.select(*keys, F.col("id").alias("src"))).distinct()
+        if left.join(fed, [*keys, "src"], "left_anti").isEmpty():
+            return left.select(*keys, F.col("dst").alias("id")).unionByName(starts).distinct()
+        left = stored(left.join(fed, [*keys, "src"], "left_semi"), "left")
 
 
 def spell_chains(chains: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,22 @@ def adjacency(edges: DataFrame, repeat: bool = True) -> DataFrame:
     return pairs.select(*keys, "id", each.alias("successors"))
 
 
+def adjacency_pages(edges: DataFrame, page: int = 1000) -> DataFrame:
+    """id, page and successors (structs dst, multiplicity, in order), `page` of them at most in a row: the sorted list of a vertex, in parts, so that no row holds a hub.
+
+    Places along the lists come from one sort over all tasks, less the place of each list's first: a hub's edges lie in many tasks.
+    """
+    keys = _keys(edges)
+    placed = stored(edges.orderBy(*keys, "src", "dst").select(*keys, "src", "dst", "multiplicity", F.monotonically_increasing_id().alias("_row")), "adjacent").withColumns({"_part": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))})
+    # one row for each part of the sort
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    placed = placed.join(F.broadcast(base), "_part").withColumn("_at", F.col("_base") + F.col("_place"))
+    first = placed.groupBy(*keys, "src").agg(F.min("_at").alias("_first"))
+    paged = placed.join(first, [*keys, "src"]).withColumn("page", F.floor((F.col("_at") - F.col("_first")) / page).cast("long"))
+    return paged.groupBy(*keys, F.col("src").alias("id"), "page").agg(F.sort_array(F.collect_list(F.struct("dst", "multiplicity"))).alias("successors"))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """src, dst, number: one row for each parallel edge, in the order that an iterator over sorted lists visits them."""
     return edges.select(*_keys(edges), "src", "dst", F.explode(F.sequence(F.lit(0), F.col("multiplicity").cast("int") - 1)).alias("number"))
@@ -149,6 +167,13 @@ def vertices(edges: DataFrame) -> DataFrame:
     return rows.select(*keys, "id", "is_branch", "is_source", "is_sink", F.coalesce("out_nbrs", empty).alias("out_nbrs"), F.coalesce("in_nbrs", empty).alias("in_nbrs"))
 
 
+def vertex_payload(edges: DataFrame, merge: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """id and the named columns of all edges out of a vertex or into it, merged by their aggregates."""
+    keys = _keys(edges)
+    ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("id"), *merge)
+    return ends.groupBy(*keys, "id").agg(*(f(F.col(c)).alias(c) for c, f in merge.items()))
+
+
 def vertex_text(vertex_rows: DataFrame, both: bool = True, payload: str | None = None) -> DataFrame:
     """value: `id;b;to,..;from,..;payload`, or without the predecessors `id;t;to,..;payload`."""
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")

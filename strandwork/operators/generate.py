@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The linear congruential step that both this engine and plain SQL can compute in 64 bits.
@@ -31,11 +31,13 @@ def sequences(params: DataFrame) -> DataFrame:
     return params.filter(ok.isNull()).withColumn("seq", F.array_join(F.transform(F.array_sort(keyed), lambda s: s["x"]), ""))
 
 
-def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: int = 0, merge_tail: bool = True) -> DataFrame:
+def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: int = 0, merge_tail: bool = True, progress: Observation | None = None) -> DataFrame:
     """reads(group_key, copy, read_id, start, seq): each copy of a sequence cut into pieces of low..high bases.
 
     Cuts are running sums of piece lengths; the last piece runs to the end from the first cut that leaves less than `low` bases (with
     merge_tail, so it may be longer), or that reaches the end (without, so it may be shorter). Empty sequences give no reads.
+    progress, an observation, is told by the job that reads them how many pieces and bases there are (pieces, bases), and how many pieces of each copy (copy_0, copy_1 ...).
+    A stream of sequences takes no observation here but `observed_pieces`, whose counts its listeners get batch by batch.
     """
     if not 1 <= low <= high:
         raise ValueError("piece lengths take 1 <= low <= high")
@@ -49,7 +51,14 @@ def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: i
     kept = cut.withColumns({"before": F.lag("stop", 1, False).over(order), "start": F.lag("b", 1, 0).over(order)}).filter("NOT before")
     length = F.when(F.col("stop"), F.col("n")).otherwise(F.col("b") - F.col("start")).cast("int")
     pieces = kept.groupBy("group_key").agg(F.collect_list(F.struct("copy", F.col("j").alias("read_id"), F.col("start").cast("long").alias("start"), length.alias("length"))).alias("pieces"))
-    return whole.join(pieces, "group_key").select("group_key", "seq", F.explode("pieces").alias("p")).select("group_key", "p.copy", "p.read_id", "p.start", F.substring(F.col("seq"), (F.col("p.start") + 1).cast("int"), F.col("p.length")).alias("seq"))
+    out = whole.join(pieces, "group_key").select("group_key", "seq", F.explode("pieces").alias("p")).select("group_key", "p.copy", "p.read_id", "p.start", F.substring(F.col("seq"), (F.col("p.start") + 1).cast("int"), F.col("p.length")).alias("seq"))
+    return out if progress is None else observed_pieces(out, progress, copies)
+
+
+def observed_pieces(reads: DataFrame, progress: Observation | str, copies: int) -> DataFrame:
+    """The reads, whose pieces and bases, and pieces of each copy, are counted as they pass: by an observation, or under a name that listeners of queries are told."""
+    counts = [F.count("*").alias("pieces"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"), *(F.count_if(F.col("copy") == c).alias(f"copy_{c}") for c in range(copies))]
+    return reads.observe(progress, *counts)
 
 
 def one_sequence(spark: SparkSession, a: int, c: int, t: int, g: int, length: int, seed: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.codec import mer_encode
@@ -47,20 +49,22 @@ def mers(reads: DataFrame, length: int) -> DataFrame:
     return _windows(reads, length, "group_key", "read_id")
 
 
-def occurrences(reads: DataFrame, k1: int) -> DataFrame:
-    """group_key and kmer (k1 + 1 bases) of every edge occurrence, one row each: the only explosion of a plan."""
-    return _windows(reads, k1 + 1, "group_key").select("group_key", F.col("mer").alias("kmer"))
+def occurrences(reads: DataFrame, k1: int, *carried: str) -> DataFrame:
+    """group_key, kmer (k1 + 1 bases) and the carried columns of every edge occurrence, one row each: the only explosion of a plan."""
+    return _windows(reads, k1 + 1, "group_key", *carried).select("group_key", F.col("mer").alias("kmer"), *carried)
 
 
-def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True) -> DataFrame:
+def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True, payload: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Edges (group_key), src, dst, multiplicity between the consecutive k1-mers of the reads.
 
     Occurrences are counted by k-mer, partly before the one shuffle, and split into their ends afterwards. Without multi every
-    edge has multiplicity 1; without grouped all reads make one graph.
+    edge has multiplicity 1; without grouped all reads make one graph. payload names further columns of the reads and the aggregate (F.min,
+    F.max, F.sum ...) that an edge's occurrences are merged by; contract.contract takes them on to chains, digraph.vertex_payload to vertices.
     """
     keys = ["group_key", "kmer"] if grouped else ["kmer"]
-    found = occurrences(reads, k1).groupBy(*keys).agg((F.count("*") if multi else F.lit(1).cast("long")).alias("multiplicity"))
-    return found.select(*keys[:-1], F.substring("kmer", 1, k1).alias("src"), F.substring("kmer", 2, k1).alias("dst"), "multiplicity")
+    merged = [f(F.col(c)).alias(c) for c, f in (payload or {}).items()]
+    found = occurrences(reads, k1, *(payload or {})).groupBy(*keys).agg((F.count("*") if multi else F.lit(1).cast("long")).alias("multiplicity"), *merged)
+    return found.select(*keys[:-1], F.substring("kmer", 1, k1).alias("src"), F.substring("kmer", 2, k1).alias("dst"), "multiplicity", *(payload or {}))
 
 
 def with_ids(edge_rows: DataFrame) -> DataFrame:

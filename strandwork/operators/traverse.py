@@ -81,7 +81,8 @@ def trails(edges: Edges, start: object = None) -> list[list]:
 
     Where out- and in-degrees differ, each end that is one too often is linked to a start that is, both in order; the closed
     walk of every connected part (Hierholzer 1873, the least unused successor first) is then cut at those
-    links. Without such ends a part's walk begins at `start` if it has it, else at its least vertex.
+    links. Without such ends a part's walk begins at `start` if it has it, else at its least branch, and a part without a branch at its least vertex: these
+    are there too when chains are contracted, so that trails do not depend on that. Parts come in the order of where they begin.
     """
     left = dict(edges)
     balance: dict = {}
@@ -110,10 +111,17 @@ def trails(edges: Edges, start: object = None) -> list[list]:
     for b, e in by_part.values():
         for u, v in zip(e, b, strict=True):
             links.setdefault(u, []).append(v)
-    out = []
-    for p in sorted(set(part.values())):
+    firsts: dict = {}
+    for v in sorted(balance, key=lambda v: (len(succ[v]) < 2 and len(pred[v]) < 2, v)):
+        firsts.setdefault(part[v], v)
+    for p in firsts:
         own = by_part.get(p, ([], []))[0]
-        first = start if start is not None and part.get(start) == p and (not own or start in own) else own[0] if own else p
+        if start is not None and part.get(start) == p and (not own or start in own):
+            firsts[p] = start
+        elif own:
+            firsts[p] = own[0]
+    out = []
+    for first in sorted(firsts.values()):
         # the stack holds (vertex, whether a link led to it); links are taken when no edge is left
         stack, walk, at = [(first, False)], [], dict.fromkeys(succ, 0)
         while stack:
@@ -144,6 +152,37 @@ def trails(edges: Edges, start: object = None) -> list[list]:
     return out
 
 
+def compat_trails(edges: Edges) -> list[list]:
+    """Paths by the plain rule that knows no balance: from each vertex in order that has edges and was not found empty before, to the least unused successor.
+
+    Where the way ends it goes on from the vertex before, as long as it comes back to that; what was not gone back over stays for
+    later paths, so that graphs that are no closed walk give odd ones. Kept for comparison with results made so; use `trails`.
+    """
+    ahead: dict = {}
+    for u, v in sorted(edges):
+        ahead.setdefault(u, []).extend([v] * edges[u, v])
+    looks = dict.fromkeys({v for e in edges for v in e}, 0)
+    behind: list = []
+
+    def farthest(v: object) -> object:
+        """Where the way from v ends; each look past a vertex's last edge counts too."""
+        while (looked := looks[v]) < len(ahead.get(v, ())):
+            looks[v] += 1
+            behind.append(v)
+            v = ahead[v][looked]
+        looks[v] += 1
+        return v
+
+    out = []
+    for v in sorted(ahead):
+        if looks[v] <= len(ahead[v]):
+            path = [v]
+            while farthest(path[-1]) == path[-1] and behind:
+                path.append(behind.pop())
+            out.append(path[::-1])
+    return out
+
+
 def chains_of(edges: Edges, must_match: bool = False) -> list[dict]:
     """Maximal runs of vertices without branches: head, vertices in order, tail (what follows, or None) and the least multiplicity.
 
@@ -218,7 +257,8 @@ def euler_paths(edges: DataFrame, largest: int | None = None, most: int | None =
     """(group_key), path_id, pos, id: the trails of each group.
 
     Of a group that does not fit a worker the chains of equal multiplicities are contracted by joins; a worker walks
-    the branches and heads that are left, and the vertices of the chains are put in by a join. A closed trail then begins at the least of these.
+    the branches and heads that are left, and the vertices of the chains are put in by a join: the same trails. Where even that graph is too large for a
+    worker, `circuits.euler_trails` finds trails without one (as few, but others).
     """
     schema = "path_id int, pos int, id ID"
     walk = lambda e: per_group(e, schema, lambda x: [(i, j, v) for i, t in enumerate(trails(x)) for j, v in enumerate(t)])

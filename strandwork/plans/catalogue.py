@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions import codec, distance
-from strandwork.operators import align, assemble, build, contract, digraph, generate, kmers, traverse
+from strandwork.operators import align, assemble, build, circuits, contract, digraph, generate, kmers, traverse
 from strandwork.shared import fresh_path
 from strandwork.sources import files
 
@@ -74,6 +74,35 @@ def chains_sql(k1: int, match: bool = False, keys: str = "group_key") -> str:
 REACH = "r AS (SELECT group_key, id AS a, id AS b FROM d UNION SELECT r.group_key, r.a, e.dst FROM r JOIN e ON e.group_key = r.group_key AND e.src = r.b)"
 
 
+def parted_sql(k1: int) -> str:
+    """CTEs up to parts(group_key, node, root, several): strong components of the branches and heads of the chains of each group, as pairs that reach each other."""
+    return f"""{chains_sql(k1)}, branch AS (SELECT group_key, id FROM d WHERE n_out > 1 OR n_in > 1),
+    q AS (SELECT e.group_key, e.src, e.dst FROM e JOIN branch b ON b.group_key = e.group_key AND b.id = e.src UNION ALL SELECT group_key, head, tail FROM chains WHERE tail IS NOT NULL),
+    nodes AS (SELECT group_key, id FROM branch UNION ALL SELECT group_key, head FROM chains),
+    rr AS (SELECT group_key, id AS a, id AS b FROM nodes UNION SELECT rr.group_key, rr.a, q.dst FROM rr JOIN q ON q.group_key = rr.group_key AND q.src = rr.b),
+    parts AS (SELECT x.group_key, x.a AS node, min(x.b) AS root, count(*) > 1 AS several FROM rr x JOIN rr y ON x.group_key = y.group_key AND x.a = y.b AND x.b = y.a GROUP BY ALL)"""
+
+
+def components_sql(k1: int) -> str:
+    """Strong components: a chain's vertices are one if its node is on a cycle, else each is one."""
+    return f"""{parted_sql(k1)}, whole AS (SELECT p.group_key, p.node AS id, p.root FROM parts p JOIN branch b ON b.group_key = p.group_key AND b.id = p.node
+        UNION ALL SELECT a.group_key, a.v, CASE WHEN p.several OR c.tail = c.head THEN p.root ELSE a.v END FROM a JOIN parts p ON p.group_key = a.group_key AND p.node = a.head JOIN chains c ON c.group_key = a.group_key AND c.head = a.head)
+    SELECT group_key, id, min(id) OVER (PARTITION BY group_key, root) AS component FROM whole"""
+
+
+def rectified_sql(k1: int, coverage: int) -> str:
+    """Edges after rectification, walk by walk on contracted chains."""
+    often = build.repeat_multiplicity(coverage)
+    return f"""{parted_sql(k1)}, f AS (SELECT *, {FLAGS} FROM d), s AS (SELECT group_key, min(id) AS id FROM f WHERE is_source GROUP BY ALL),
+    walk AS (SELECT e.group_key, e.src AS start, e.dst AS first, c.head, coalesce(c.tail, e.dst) AS stop, CAST(list_min([e.multiplicity, c.multiplicity]) AS BIGINT) AS least, true AS branch FROM e JOIN branch b ON b.group_key = e.group_key AND b.id = e.src LEFT JOIN chains c ON c.group_key = e.group_key AND c.head = e.dst
+        UNION ALL SELECT c.group_key, c.head, NULL, c.head, c.tail, c.multiplicity, false FROM chains c JOIN f ON f.group_key = c.group_key AND f.id = c.head AND f.is_source),
+    near AS (SELECT group_key, id FROM s UNION SELECT w.group_key, w.stop FROM near n JOIN walk w ON w.group_key = n.group_key AND w.start = n.id),
+    most AS (SELECT w.group_key, w.start, w.first, w.head, CASE WHEN w.branch AND t.n_out > 0 AND x.root = y.root AND w.least >= {often} THEN 2 ELSE 1 END AS most FROM walk w JOIN near n ON n.group_key = w.group_key AND n.id = w.start
+        JOIN f t ON t.group_key = w.group_key AND t.id = w.stop JOIN parts x ON x.group_key = w.group_key AND x.node = w.start JOIN parts y ON y.group_key = w.group_key AND y.node = w.stop),
+    capped AS (SELECT group_key, start AS src, first AS dst, most FROM most WHERE first IS NOT NULL UNION ALL SELECT a.group_key, a.v, a.succ, m.most FROM most m JOIN a ON a.group_key = m.group_key AND a.head = m.head WHERE a.succ IS NOT NULL)
+    SELECT e.group_key, e.src, e.dst, CAST(least(e.multiplicity, coalesce(c.most, e.multiplicity)) AS BIGINT) AS multiplicity FROM e LEFT JOIN capped c ON c.group_key = e.group_key AND c.src = e.src AND c.dst = e.dst"""
+
+
 EVENT_PAIRS = "p AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst, count(*) AS multiplicity FROM p WHERE dst IS NOT NULL GROUP BY ALL)"
 PART_PAIRS = "e AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS multiplicity FROM lineitem GROUP BY ALL)"
 
@@ -83,6 +112,13 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
 
 
+def spread_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bases where each makes much work: texts that the scan gives to fewer tasks than the session's shuffles have are dealt out first."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return kmers.normalise(texts if texts.rdd.getNumPartitions() >= tasks else texts.repartition(tasks), "doc_id", "text")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bases of each document, dealt out by document, for queries that group by it.
 
@@ -155,10 +191,12 @@ def packed_slice(spark, sf_dir):
     return bases(spark, sf_dir).select("group_key", codec.unpack_slice(codec.pack(F.col("seq")), 5, 7).alias("slice"))
 
 
-@query(f"WITH {READS} SELECT group_key, left(seq, 8) = left(reverse(seq), 8) AS equal FROM reads")
+@query(f"WITH {READS}, p AS (SELECT left(seq, 12) AS key, arg_min(seq, group_key) AS other FROM reads GROUP BY 1) SELECT group_key, seq = other AS equal FROM reads JOIN p ON left(seq, 12) = key")
 def packed_equality(spark, sf_dir):
-    pair = bases(spark, sf_dir).select("group_key", codec.pack(F.left(F.col("seq"), F.lit(8))).alias("a"), codec.pack(F.left(F.reverse("seq"), F.lit(8))).alias("b"))
-    return pair.select("group_key", codec.packed_equal(F.col("a"), F.col("b")).alias("equal"))
+    """Each document's bases, packed, against those of the first document that begins with the same twelve: copies are equal, others are not."""
+    rows = bases(spark, sf_dir).select("group_key", F.left("seq", F.lit(12)).alias("key"), codec.pack(F.col("seq")).alias("packed"))
+    first = rows.groupBy("key").agg(F.min_by("packed", "group_key").alias("other"))
+    return rows.join(first, "key").select("group_key", codec.packed_equal(F.col("packed"), F.col("other")).alias("equal"))
 
 
 @query(f"WITH {WORDS} SELECT * FROM words")
@@ -173,12 +211,12 @@ def merge_overlap(spark, sf_dir):
 
 @query(f"WITH {edges_sql(3, '')} SELECT src, dst FROM e")
 def debruijn_edges(spark, sf_dir):
-    return kmers.edges(bases(spark, sf_dir), 3, multi=False, grouped=False).select("src", "dst")
+    return kmers.edges(spread_bases(spark, sf_dir), 3, multi=False, grouped=False).select("src", "dst")
 
 
 @query(f"WITH {edges_sql(3, '')} SELECT src, dst, multiplicity FROM e")
 def debruijn_edges_multi(spark, sf_dir):
-    return kmers.edges(bases(spark, sf_dir), 3, grouped=False)
+    return kmers.edges(spread_bases(spark, sf_dir), 3, grouped=False)
 
 
 @query(f"WITH {edges_sql(8)} SELECT * FROM e")
@@ -201,12 +239,6 @@ def sources_sinks(spark, sf_dir):
     return digraph.sources_and_sinks(kmers.edges(reads(spark, sf_dir), 8))
 
 
-@query(f"WITH {WORDS}, held AS (SELECT DISTINCT group_key, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS mer FROM words WHERE length(seq) > 3) SELECT DISTINCT group_key, seq AS mer FROM words w WHERE length(seq) = 3 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.group_key = w.group_key AND h.mer = w.seq)")
-def isolated_mers(spark, sf_dir):
-    """Three-letter words of bases that no longer such word of their document holds."""
-    return kmers.isolated(words(spark, sf_dir), 3)
-
-
 @query(f"WITH {EVENT_PAIRS} SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS successors FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY ALL")
 def adjacency_lists(spark, sf_dir):
     return digraph.adjacency(events(spark, sf_dir)).select("id", F.array_join("successors", ",").alias("successors"))
@@ -217,6 +249,14 @@ def adjacency_multiples(spark, sf_dir):
     return digraph.adjacency(parts(spark, sf_dir), repeat=False).select("id", F.array_join(F.col("successors").cast("array<string>"), ",").alias("successors"))
 
 
+@query(f"WITH {PART_PAIRS}, n AS (SELECT dst AS id, src, multiplicity, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 50 AS page FROM e) SELECT id, page, string_agg(src || ':' || multiplicity, ',' ORDER BY src) AS successors FROM n GROUP BY ALL")
+def adjacency_pages(spark, sf_dir):
+    """The parts of each supplier, fifty to a page."""
+    turned = parts(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "multiplicity")
+    shown = F.transform("successors", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["multiplicity"].cast("string")))
+    return digraph.adjacency_pages(turned, 50).select("id", "page", F.array_join(shown, ",").alias("successors"))
+
+
 @query(f"WITH {PART_PAIRS} SELECT src, dst, CAST(unnest(range(multiplicity)) AS INTEGER) AS number FROM e")
 def adjacency_iterator(spark, sf_dir):
     return digraph.neighbours(parts(spark, sf_dir))
@@ -260,9 +300,10 @@ def renumbered_edges(spark, sf_dir):
     return digraph.renumbered(parts(spark, sf_dir))
 
 
-@query(f"WITH {PART_PAIRS}, {degrees_sql('e', '')} SELECT id FROM d WHERE out_deg = 0")
+@query("SELECT DISTINCT -1 - l_suppkey AS id FROM lineitem")
 def no_way_out(spark, sf_dir):
-    return digraph.no_way_out(digraph.degrees(parts(spark, sf_dir))).select("id")
+    """Suppliers, as numbers below 0 so that none of them is a part: nothing leads out of them."""
+    return digraph.no_way_out(digraph.degrees(parts(spark, sf_dir).withColumn("dst", -1 - F.col("dst")))).select("id")
 
 
 @query(f"WITH {PART_PAIRS}, o AS (SELECT src AS id, string_agg(dst, ' ' ORDER BY dst) AS t FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ' ' ORDER BY src) AS f FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY 1) SELECT coalesce(o.id, i.id) AS id, 'vertex ' || coalesce(o.id, i.id) || ' to [' || coalesce(t, '') || '] from [' || coalesce(f, '') || ']' AS line FROM o FULL JOIN i ON o.id = i.id")
@@ -334,7 +375,25 @@ def chain_contract_match(spark, sf_dir):
 @query(f"{chains_sql(12, False, '')} SELECT head, tail, multiplicity, n_vertices, label FROM chains")
 def chain_contract_whole(spark, sf_dir):
     """One graph of all documents, contracted by joins."""
-    return contract.spell_chains(contract.contract(kmers.edges(bases(spark, sf_dir), 12, grouped=False))).drop("vertices")
+    return contract.spell_chains(contract.contract(kmers.edges(spread_bases(spark, sf_dir), 12, grouped=False))).drop("vertices")
+
+
+@query(f"""{chains_sql(12, False, '')}, x AS (SELECT substr(kmer, 1, 12) AS src, min(group_key) AS read_id FROM occ GROUP BY ALL)
+    SELECT c.head, c.label, p.read_id FROM chains c LEFT JOIN (SELECT a.head, min(x.read_id) AS read_id FROM a JOIN x ON x.src = a.v GROUP BY ALL) p ON p.head = c.head""")
+def chain_payload_files(spark, sf_dir):
+    """One graph of all documents: edges carry the first document that they occur in to their chains, which are written with their labels as packed bytes and read back."""
+    first = {"read_id": F.min}
+    chains = contract.contract(kmers.edges(spread_bases(spark, sf_dir), 12, grouped=False, payload=first), merge=first)
+    path = fresh_path(spark, "payloads")
+    files.write_vertices(contract.spell_chains(chains).select("head", codec.pack(F.col("label")).alias("payload"), "read_id"), path)
+    return files.read_vertices(spark, path).select("head", codec.unpack(F.col("payload")).alias("label"), "read_id")
+
+
+@query("WITH o AS (SELECT l_partkey AS p, -1 - l_suppkey AS s, l_shipdate AS t FROM lineitem) SELECT id, min(t) AS first, max(t) AS last FROM (SELECT p AS id, t FROM o UNION ALL SELECT s, t FROM o) GROUP BY ALL")
+def vertex_payloads(spark, sf_dir):
+    """When each part, and each supplier (as a number below 0), was first and last shipped: carried by their edges."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"), F.col("l_shipdate").alias("first"), F.col("l_shipdate").alias("last"))
+    return digraph.vertex_payload(lines, {"first": F.min, "last": F.max})
 
 
 @query(f"""WITH RECURSIVE {EVENT_PAIRS}, r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
@@ -355,11 +414,17 @@ def strong_components_joins(spark, sf_dir):
     return contract.strong_components(events(spark, sf_dir))
 
 
-@query()
+@query(components_sql(8))
 def strong_components_k8(spark, sf_dir):
     return traverse.components(kmers.edges(reads(spark, sf_dir), 8), largest=most_bases(spark, sf_dir))
 
 
+@query(components_sql(8))
+def strong_components_k8_joins(spark, sf_dir):
+    """strong_components_k8 without a group in a task."""
+    return contract.strong_components(kmers.edges(reads(spark, sf_dir), 8))
+
+
 @query(f"WITH {edges_sql(12)} SELECT group_key, CAST(sum(multiplicity) AS BIGINT) AS n_edges FROM e GROUP BY ALL")
 def euler_edge_counts_k12(spark, sf_dir):
     paths = euler_paths_k12(spark, sf_dir)
@@ -387,15 +452,33 @@ def euler_ends_k12(spark, sf_dir):
     return each.groupBy("group_key", "id").agg(F.sum("s").alias("n_starts"), F.sum("e").alias("n_ends"))
 
 
+@query(f"""WITH {edges_sql(12, '')}, {degrees_sql('e', '')} SELECT 'edge' AS what, src AS a, dst AS b, multiplicity AS n FROM e
+    UNION ALL SELECT 'end', id, NULL, out_deg - in_deg FROM d WHERE out_deg <> in_deg""")
+def euler_trails_whole(spark, sf_dir):
+    """Trails of one graph of all documents, found by joins: all edges that they take, as often as they occur, and where more of them begin than end, as few as the degrees allow."""
+    trails = circuits.euler_trails(kmers.edges(spread_bases(spark, sf_dir), 12, grouped=False))
+    ahead = trails.select("path_id", (F.col("pos") - 1).alias("pos"), F.col("id").alias("b"))
+    edges = trails.join(ahead, ["path_id", "pos"]).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "a", "b", "n")
+    ends = trails.groupBy("path_id").agg(F.min_by("id", "pos").alias("s"), F.max_by("id", "pos").alias("e"))
+    each = ends.select(F.explode(F.array(F.struct(F.col("s").alias("a"), F.lit(1).alias("n")), F.struct(F.col("e").alias("a"), F.lit(-1).alias("n")))).alias("x")).groupBy("x.a").agg(F.sum("x.n").alias("n"))
+    return edges.unionByName(each.filter("n <> 0").select(F.lit("end").alias("what"), "a", F.lit(None).cast("string").alias("b"), "n"))
+
+
 @query("""SELECT * FROM (VALUES ('A', 'B', 1), ('B', 'C', 1), ('C', 'D', 2), ('D', 'E', 2), ('E', 'F', 1), ('F', 'C', 1), ('E', 'G', 1)) t(src, dst, multiplicity)""")
 def rectify_single_fixture(spark, sf_dir):
     rows = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "D", 6), ("D", "E", 5), ("E", "G", 3), ("E", "F", 3), ("F", "C", 3)], "src string, dst string, multiplicity long")
     return assemble.rectified(rows, 3).withColumn("multiplicity", F.col("multiplicity").cast("int"))
 
 
-@query()
+@query(rectified_sql(8, 2))
 def rectify_single_docs(spark, sf_dir):
-    return assemble.rectified(kmers.edges(reads(spark, sf_dir), 8), 2)
+    return assemble.rectified(kmers.edges(reads(spark, sf_dir), 8), 2, largest=most_bases(spark, sf_dir))
+
+
+@query(rectified_sql(8, 2))
+def rectify_by_joins(spark, sf_dir):
+    """rectify_single_docs without a group in a task."""
+    return assemble.rectified_by_joins(kmers.edges(reads(spark, sf_dir), 8), 2)
 
 
 @query(f"""WITH RECURSIVE {edges_sql(3)}, {degrees_sql('e')}, {REACH}, f AS (SELECT *, {FLAGS} FROM d),
@@ -437,6 +520,12 @@ def split_sql(merge_tail: bool, low: int = 5, high: int = 15, copies: int = 6) -
     pieces AS (SELECT group_key, CAST(copy AS INTEGER) AS copy, CAST(j AS INTEGER) AS read_id, CAST(start AS BIGINT) AS start, substr(seq, CAST(start + 1 AS BIGINT), CAST(CASE WHEN stop THEN length(seq) ELSE b - start END AS BIGINT)) AS seq FROM t WHERE NOT before)"""
 
 
+@query(f"{split_sql(True, copies=1)}, held AS (SELECT DISTINCT group_key, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) AS mer FROM pieces WHERE length(seq) > 8) SELECT DISTINCT group_key, seq AS mer FROM pieces p WHERE length(seq) = 8 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.group_key = p.group_key AND h.mer = p.seq)")
+def isolated_mers(spark, sf_dir):
+    """Pieces of eight bases that no longer piece of their document holds."""
+    return kmers.isolated(generate.split_reads(reads(spark, sf_dir), 5, 15, 1), 8)
+
+
 #: The covered edges of the pieces that assemble_reads_cov assembles, their degrees, and each group's counts of sources and sinks.
 COVERED = f"""{split_sql(True, 30, 60)}, occ AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 11), lambda i: substr(seq, i, 13))) AS kmer FROM pieces WHERE length(seq) > 12),
     e AS (SELECT group_key, substr(kmer, 1, 12) AS src, substr(kmer, 2, 12) AS dst, count(*) AS multiplicity FROM occ GROUP BY ALL HAVING count(*) >= 2), {degrees_sql('e')},
@@ -478,16 +567,20 @@ def split_reads_untrimmed(spark, sf_dir):
     return generate.split_reads(reads(spark, sf_dir), 5, 15, 6, merge_tail=False)
 
 
-@query("SELECT s_suppkey AS seed, 20 AS n_a, 20 AS n_c, 20 AS n_t, 21 AS n_g, 81 AS n FROM supplier")
+SHARES = "s_suppkey % 41 AS a, s_suppkey * 7 % 31 AS c, s_suppkey * 3 % 29 AS t, s_suppkey * 13 % 400 AS n"
+
+
+@query(f"SELECT seed, a * n // 100 AS n_a, c * n // 100 AS n_c, t * n // 100 AS n_t, n - a * n // 100 - c * n // 100 - t * n // 100 AS n_g, n FROM (SELECT s_suppkey AS seed, {SHARES} FROM supplier)")
 def generate_sequence(spark, sf_dir):
-    params = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(*(F.lit(25).alias(f"{b}_pct") for b in "actg"), F.lit(81).alias("length"), F.col("s_suppkey").alias("seed"))
-    count = lambda b: (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("int")
-    return generate.sequences(params).select("seed", *(count(b.upper()).alias(f"n_{b}") for b in "actg"), F.length("seq").alias("n"))
+    """A sequence for each supplier: compositions of many shares, lengths from 0 on."""
+    params = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS seed", *SHARES.split(", ")).selectExpr("seed", "a AS a_pct", "c AS c_pct", "t AS t_pct", "100 - a - c - t AS g_pct", "n AS length")
+    count = lambda b: (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("long")
+    return generate.sequences(params).select("seed", *(count(b.upper()).alias(f"n_{b}") for b in "actg"), F.length("seq").cast("long").alias("n"))
 
 
 @query(f"WITH {READS} SELECT group_key, hamming(seq, reverse(seq)) AS distance FROM reads WHERE seq <> ''")
 def hamming_pairs(spark, sf_dir):
-    return bases(spark, sf_dir).filter("seq <> ''").select("group_key", distance.hamming(F.lower("seq"), F.reverse("seq")).cast("long").alias("distance"))
+    return spread_bases(spark, sf_dir).filter("seq <> ''").select("group_key", distance.hamming(F.lower("seq"), F.reverse("seq")).cast("long").alias("distance"))
 
 
 NAME_PAIRS = "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS {} FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey"
@@ -514,7 +607,7 @@ BEST = "w AS (SELECT group_key, ordinal, contig, main, unnest(range(0, length(ma
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two contigs for each document that has their bases (42) against all its bases: a part of them, and a reversed one."""
-    r = bases(spark, sf_dir).filter(F.length("seq") >= 42)
+    r = spread_bases(spark, sf_dir).filter(F.length("seq") >= 42)
     pair = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("seq", 21, 10).alias("contig")), F.struct(F.lit(1).alias("ordinal"), F.reverse(F.substring("seq", 31, 12)).alias("contig")))
     return r.select("group_key", F.col("seq").alias("main"), F.explode(pair).alias("c")).select("group_key", "c.*", "main")
 
@@ -537,7 +630,7 @@ def align_layout(spark, sf_dir):
 @query(f"WITH {READS}, p AS (SELECT group_key, replace(seq, 'AC', 'A') AS contig, seq AS main FROM reads WHERE seq <> '') SELECT group_key, contig, CAST(levenshtein(contig, main) AS INTEGER) AS distance, 'pairwise' AS mode FROM p WHERE length(contig) >= 0.85 * length(main)")
 def near_full_align(spark, sf_dir):
     """Of each document the contig without the C behind an A, aligned as a whole if it is nearly as long as the document's bases."""
-    rows = bases(spark, sf_dir).filter("seq <> ''").select("group_key", F.lit(0).alias("ordinal"), F.replace("seq", F.lit("AC"), F.lit("A")).alias("contig"), F.col("seq").alias("main"))
+    rows = spread_bases(spark, sf_dir).filter("seq <> ''").select("group_key", F.lit(0).alias("ordinal"), F.replace("seq", F.lit("AC"), F.lit("A")).alias("contig"), F.col("seq").alias("main"))
     return align.layout(rows.filter(F.length("contig") >= align.NEAR_FULL * F.length("main"))).select("group_key", "contig", "distance", "mode")
 
 

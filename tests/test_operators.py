@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.functions import codec, distance
-from strandwork.operators import align, assemble, build, contract, digraph, generate, kmers, traverse
+from strandwork.operators import align, assemble, build, circuits, contract, digraph, generate, kmers, lists, traverse
 from strandwork.sources import files
 from strandwork.streaming import edges as streaming
 
@@ -301,17 +301,204 @@ def test_large_groups_go_by_joins_and_give_the_same(spark, seed):
     for f, edges in ((traverse.components, one), (traverse.contract, rows), (traverse.contract, one), (lambda e, **kw: traverse.contract(e, must_match=True, **kw), rows)):
         small, large = (sorted(map(tuple, f(edges, most=most).collect()), key=repr) for most in (10**6, 5))
         assert small == large
-    path = traverse.euler_paths(rows, most=5)
-    walked = {}
-    trail = {}
-    for r in path.collect():
-        trail.setdefault((r["group_key"], r["path_id"]), {})[r["pos"]] = r["id"]
-    for (g, _), at in trail.items():
-        v = [at[i] for i in range(len(at))]
+
+
+def closed_edges(seed, n, walks):
+    """Closed walks, so that as many edges lead into each vertex as out of it."""
+    rng, out = random.Random(seed), {}
+    for _ in range(walks):
+        walk = [rng.randrange(n) for _ in range(rng.randrange(1, 7))]
+        for e in zip(walk, [*walk[1:], walk[0]], strict=True):
+            out[e] = out.get(e, 0) + 1
+    return out
+
+
+def steps_of(trails, keyed=True):
+    """How often each edge is taken, and the trails by group and number."""
+    at, walked = {}, {}
+    for r in trails.collect():
+        at.setdefault((r["group_key"] if keyed else 0, r["path_id"]), {})[r["pos"]] = r["id"]
+    found = {k: [x[i] for i in range(len(x))] for k, x in at.items()}
+    for (g, _), v in found.items():
         for step in zip(v, v[1:], strict=False):
             walked[g, *step] = walked.get((g, *step), 0) + 1
+    return walked, found
+
+
+def graphs(seed):
+    """Random graphs, closed ones, chains, cycles and loops, as groups."""
+    groups = {0: random_edges(seed, 14, 16), 1: closed_edges(seed, 9, 4), 2: {(i, i + 1): 2 for i in range(9)}, 3: {(i + 4, (i + 1) % 5 + 4): 3 for i in range(5)}, 4: {(7, 7): 2, (1, 2): 1, (2, 1): 1}}
+    # a closed graph whose least vertex lies inside a chain
+    return groups | {5: {(9, 3): 1, (3, 9): 2, (9, 1): 1, (1, 9): 1, (9, 9): 1, (9, 4): 1, (4, 3): 1}, 6: closed_edges(seed + 1, 40, 7)}
+
+
+def test_trails_do_not_depend_on_how_large_a_group_may_be(spark):
+    groups = graphs(3)
+    rows = spark.createDataFrame([(g, u, v, m) for g, e in groups.items() for (u, v), m in e.items()], "group_key long, src long, dst long, multiplicity long")
+    small, large = (sorted(map(tuple, traverse.euler_paths(rows, most=most).collect())) for most in (10**6, 1))
+    assert small == large
+    walked, _ = steps_of(traverse.euler_paths(rows))
+    assert walked == {(g, *e): m for g, es in groups.items() for e, m in es.items()}
+    assert traverse.trails({("AAC", "ACC"): 1, ("ACC", "CCA"): 2, ("CCA", "CAA"): 1, ("CAA", "AAC"): 1, ("CCA", "CAC"): 1, ("CAC", "ACC"): 1})[0][0] == "ACC"
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_trails_by_joins_use_every_edge_in_as_few_trails(spark, monkeypatch, seed):
+    # short lists would do without rulers
+    monkeypatch.setattr(lists, "SHORT", 20)
+    groups = graphs(seed)
+    rows = spark.createDataFrame([(g, u, v, m) for g, e in groups.items() for (u, v), m in e.items()], "group_key long, src long, dst long, multiplicity long")
+    walked, found = steps_of(circuits.euler_trails(rows))
     assert walked == {(g, *e): m for g, es in groups.items() for e, m in es.items()}
-    assert len(trail) == traverse.euler_paths(rows).select("group_key", "path_id").distinct().count()
+    _, sequential = steps_of(traverse.euler_paths(rows))
+    assert set(found) == set(sequential)
+    for g, e in groups.items():
+        ends = lambda trails: sorted((v[0], v[-1]) for (k, _), v in trails.items() if k == g and v[0] != v[-1])
+        starts = lambda trails: sorted(v[0] for (k, _), v in trails.items() if k == g)
+        assert [a for a, _ in ends(found)] == [a for a, _ in ends(sequential)] and sorted(b for _, b in ends(found)) == sorted(b for _, b in ends(sequential)), (g, e)
+        assert starts(found) == starts(sequential), g
+
+
+def test_copies_come_in_steps(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1024), ("d", 2500)], "k string, m long")
+    out = circuits._copies(rows, "m").groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d"), F.max("copy").alias("x")).collect()
+    assert {tuple(r) for r in out} == {("b", 1, 1, 0), ("c", 1024, 1024, 1023), ("d", 2500, 2500, 2499)}
+
+
+def test_orbits_places_and_forests(spark, monkeypatch):
+    monkeypatch.setattr(lists, "SHORT", 15)
+    rng = random.Random(4)
+    to = list(range(300))
+    rng.shuffle(to)
+    # a long cycle, fixed points and short ones without a ruler among them
+    rows = [(i, t, i) for i, t in enumerate(to)] + [(1000, 1000, 5), (1001, 1002, 9), (1002, 1001, 8)]
+    found = {r["id"]: r["orbit"] for r in lists.orbits(spark.createDataFrame(rows, "id long, to long, low long")).collect()}
+    step, low = {i: t for i, t, _ in rows}, {i: x for i, _, x in rows}
+    for i in step:
+        cycle, v = [i], step[i]
+        while v != i:
+            cycle.append(v)
+            v = step[v]
+        assert found[i] == min(low[x] for x in cycle)
+    heads = sorted(rng.sample(range(300), 6))
+    order = [i for i in range(300)]
+    rng.shuffle(order)
+    rows, want, cut = [], {}, sorted(rng.sample(range(1, 300), 5))
+    for a, b in zip([0, *cut], [*cut, 300], strict=True):
+        at = 0
+        for k in range(a, b):
+            far = rng.randrange(1, 5)
+            at = 0 if k == a else at + far
+            rows.append((order[k], None if k == a else order[k - 1], far))
+            want[order[k]] = (order[a], at)
+    assert heads and {r["id"]: (r["first"], r["at"]) for r in lists.places(spark.createDataFrame(rows, "id long, before long, far long")).collect()} == want
+    links = [(k, rng.randrange(60), rng.randrange(60)) for k in range(70)]
+    chosen, roots = lists.forest(spark.createDataFrame(links, "id long, a long, b long"))
+    parent = {v: v for _, a, b in links for v in (a, b)}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    kruskal = set()
+    for k, a, b in links:
+        if root(a) != root(b):
+            kruskal.add(k)
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r["id"] for r in chosen.collect()} == kruskal and {r["id"]: r["root"] for r in roots.collect()} == {v: root(v) for v in parent}
+
+
+def test_components_of_deep_graphs_take_few_rounds(spark):
+    rounds = []
+    path = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst", "1L AS multiplicity")
+    found = contract.strong_components(path, progress=lambda number, left: rounds.append(left))
+    assert found.count() == 100_001 and found.filter("id <> component").isEmpty() and len(rounds) < 40
+    ring = path.unionByName(spark.createDataFrame([(100_000, 7, 1), (50_000, 50_000, 1)], path.schema))
+    assert contract.strong_components(ring).groupBy("component").count().filter("count > 1").collect() == [(7, 99_994)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_and_components_by_joins(spark, seed):
+    rng, groups = random.Random(seed), {}
+    for g in range(6):
+        n = rng.choice([6, 20, 50])
+        groups[g] = {e: m * rng.randrange(1, 4) for e, m in random_edges(seed * 10 + g, n, int(n * rng.choice([0.8, 1.1, 1.5]))).items()}
+    groups[6] = {(i, (i + 1) % 7): 1 for i in range(7)}
+    # the source branches at once; a loop that one walk returns to
+    groups[7] = {(0, 1): 4, (0, 5): 2, (1, 2): 4, (2, 3): 4, (3, 1): 4, (2, 4): 1, (4, 4): 2}
+    rows = spark.createDataFrame([(g, u, v, m) for g, e in groups.items() for (u, v), m in e.items()], "group_key long, src long, dst long, multiplicity long")
+    assert sorted(map(tuple, traverse.components(rows, most=1).collect())) == sorted(map(tuple, traverse.components(rows).collect()))
+    small, large = (sorted(map(tuple, assemble.rectified(rows, 2, most=most).collect())) for most in (10**6, 1))
+    assert small == large
+    fixture = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "D", 6), ("D", "E", 5), ("E", "G", 3), ("E", "F", 3), ("F", "C", 3)], "src string, dst string, multiplicity long")
+    assert {tuple(r) for r in assemble.rectified_by_joins(fixture, 3).collect()} == {("A", "B", 1), ("B", "C", 1), ("C", "D", 2), ("D", "E", 2), ("E", "F", 1), ("F", "C", 1), ("E", "G", 1)}
+
+
+def test_compat_contigs(spark):
+    # X11 to X17 of FIXTURES.md
+    cases = {1: (["TTGCACGA"], ["ACGAGCAC"]), 2: (["AAAAA"], ["AAAA"]), 3: (["ACGACGT"], ["ACG", "ACGACGA"]), 4: (["GATTACA", "TACAGG", "CATTAG"], ["", "", "TTAC", "", "ACAGTAGTT"]), 5: (["ACGT", "CGTA", "GTAC", "TACG"], ["ACGTACG"]), 6: (["ACG"], []), 7: (["ACGTTG", "GTTGCA"], ["ACGTTGCA"])}
+    rows = spark.createDataFrame([(g, i, s) for g, (seqs, _) in cases.items() for i, s in enumerate(seqs)], "group_key long, read_id long, seq string")
+    found = {}
+    for r in assemble.assemble_slices(rows, compat=True).orderBy("group_key", "contig_id").collect():
+        found.setdefault(r["group_key"], []).append(r["seq"])
+    assert found == {g: out for g, (_, out) in cases.items() if out}
+    assert traverse.compat_trails({(0, 1): 1, (1, 2): 1}) == [[0], [0, 1, 1]]
+    intended = {r["group_key"]: r["seq"] for r in assemble.assemble_slices(rows.filter("group_key IN (1, 5)")).collect()}
+    assert intended == {1: "TTGCACGA", 5: "ACGTACG"}
+
+
+def test_windows_by_brute_force(spark):
+    rng = random.Random(8)
+    for width, length, letters, block in ((1, 1, "ACGT", 8), (3, 40, "ACGT", 8), (5, 70, "acgTé漢", 16), (130, 700, "AC", 64), (150, 150, "ACGT", 64), (200, 1000, "ACGTNRYKM", 256)):
+        main = "".join(rng.choices(letters, k=length))
+        for contig in ("".join(rng.choices(letters, k=width)), main[length - width :].lower()):
+            want = min((sum(a.upper() != b.upper() for a, b in zip(contig, main[o : o + width], strict=True)), o) for o in range(length - width + 1))
+            assert align.best_window(align._letters(contig), align._letters(main), block) == (want[1], want[0])
+    rows = spark.createDataFrame([(1, 0, "", "ACGT"), (1, 1, "ACGTA", "ACGT"), (1, 2, "gt", "ACGT"), (2, 0, None, "A"), (2, 1, "A", None)], "group_key long, ordinal int, contig string, main string")
+    assert [tuple(r) for r in align.window_align(rows).collect()] == [(1, 2, "gt", 2, 0)]
+
+
+def test_pieces_are_counted_as_they_pass(spark, tmp_path):
+    from pyspark.sql import Observation
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    rows = reads(spark, ["ACGTACGTACGTACGT" * 4, "ACGTTGCA"]).withColumn("group_key", F.col("read_id"))
+    seen = Observation()
+    out = generate.split_reads(rows, 5, 9, 3, progress=seen).collect()
+    assert seen.get["pieces"] == len(out) and seen.get["bases"] == 3 * 72 and [seen.get[f"copy_{c}"] for c in range(3)] == [sum(r["copy"] == c for r in out) for c in range(3)]
+    told = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            if row := event.progress.observedMetrics.get("pieces"):
+                told.append((row["pieces"], row["bases"]))
+
+        def onQueryTerminated(self, event):
+            pass
+
+    spark.createDataFrame(out).repartition(2).write.parquet(str(tmp_path / "pieces"))
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(spark.createDataFrame(out).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pieces"))
+        run = generate.observed_pieces(stream, "pieces", 3).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "check")).start()
+        run.processAllAvailable()
+        run.stop()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(n for n, _ in told) == len(out) and sum(b for _, b in told) == 3 * 72
+
+
+def test_hubs_come_in_pages(spark):
+    rows = spark.range(25_000).selectExpr("0L AS src", "id AS dst", "id % 3 + 1 AS multiplicity").unionByName(spark.createDataFrame([(5, 1, 2), (5, 0, 1)], "src long, dst long, multiplicity long"))
+    out = {(r["id"], r["page"]): r["successors"] for r in digraph.adjacency_pages(rows, 1000).collect()}
+    assert len(out) == 26 and [tuple(x) for x in out[5, 0]] == [(0, 1), (1, 2)]
+    assert [tuple(x) for k in range(25) for x in out[0, k]] == [(i, i % 3 + 1) for i in range(25_000)]
 
 
 def test_large_assemblies_equal_small_ones(spark):
