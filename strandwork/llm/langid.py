@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import slices, stored, texts_of
+from strandwork.llm.common import kept, slices, stored, texts_of
+from strandwork.llm.reputation import SUFFIXES, with_domain
 
 #: Bins of letter trigrams.
 BINS = 1 << 13
-#: Languages that a model tells at most.
+#: Languages that a model tells by name; all rarer ones of a corpus that has more are one, called REST.
 LANGS = 256
+REST = "(other)"
 #: Share of the text's log likelihood that counts: a letter is in three trigrams, and neighbours depend on each other.
 TEMPER = 0.2
 #: Rows' worth that a prior weighs at each level below the one above it.
@@ -41,18 +43,24 @@ def trigram_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bins[kept], np.bincount(owner[kept], minlength=len(texts))
 
 
-def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
+def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = LANGS) -> tuple[list[str], np.ndarray]:
     """Languages and log P(bin | language): smoothed counts over every text whose language is declared.
 
     Tasks add up their texts and hand on one row for each language and bin; rows with a null
-    language or text add nothing. The model tells the LANGS most frequent languages at most, so that its size is bounded whatever
-    the column holds; rarer ones are none of its languages.
+    language or text add nothing. Of a corpus with more than `most` languages the most frequent ones (ties by name) are told by name and all others
+    are one, REST: so the model's size is bounded whatever the column holds, and no text is left out.
     """
     base = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r["lang"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()) or ["und"]
+    found = [r["lang"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()] or ["und"]
+    langs = sorted(found)
+    if len(found) > most:
+        langs = sorted({*found[: most - 1], REST})
+        base = base.withColumn("lang", F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(REST))
     known = set(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # nothing is kept here: what another operator has kept in this worker goes
+        kept(("languages",), dict)
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             langs, texts = batch.column("lang").to_pylist(), texts_of(batch)
@@ -105,9 +113,9 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
 
     evidence has host, domain, suffix, declared (all may be null) and loglik. Each row's text gives soft counts of languages;
     grouped sums over all rows give priors by level: the host's counts are smoothed by the domain's, these by the address
-    suffix's and these by everyone's, each with the weight of STRENGTH rows. A row's own
-    counts are taken out of its host's first. The declared language is a noisy channel whose rates, P(declared |
-    language), are the same kind of counts. Posterior: text likelihood x host prior x channel, normalised.
+    suffix's and these by everyone's, each with the weight of STRENGTH rows. The declared language is a noisy channel whose rates, P(declared |
+    language), are the same kind of counts. A row's own counts are taken out of every level and of the channel first, so that a text is no
+    evidence for itself. Posterior: text likelihood x host prior x channel, normalised.
     Groups are summed before the shuffle; the joins back carry numbers, no texts, and AQE splits a hot host.
     Nulls make a group of their own; repeated rows count as often as they occur; an empty table stays empty.
     """
@@ -117,36 +125,36 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     def sums(frame: DataFrame, *keys: str) -> DataFrame:
         return frame.groupBy(*keys).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias("soft"))
 
-    def smoothed(above: Column) -> Column:
-        own = F.aggregate("soft", F.lit(0.0), lambda s, x: s + x)
-        return F.zip_with("soft", above, lambda x, p: (x + STRENGTH * p) / (own + STRENGTH))
-
     hosts = stored(sums(keyed, "host", "domain", "suffix"), "hosts", evidence.count())
     domains = sums(hosts, "domain", "suffix")
     suffixes = sums(domains, "suffix")
     whole = next((r for r in suffixes.agg(*(F.sum(F.col("soft")[i]) for i in range(n))).collect() if r[0] is not None), None)
-    top = np.array(whole if whole is not None else [0.0] * n) + 1.0
-    by_suffix = suffixes.select("suffix", smoothed(F.array(*(F.lit(float(x)) for x in top / top.sum()))).alias("suffix_prior"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", smoothed(F.col("suffix_prior")).alias("domain_prior"))
-    by_host = hosts.join(by_domain, ["domain", "suffix"]).select("host", "domain", "suffix", F.col("soft").alias("host_soft"), "domain_prior")
-    everyone = F.array(*(F.lit(float(x)) for x in top))
-    channel = sums(keyed, "declared").select("declared", F.zip_with("soft", everyone, lambda x, a: F.log((x + 0.5) / (a + 0.5 * n))).alias("channel"))
-    rows = keyed.join(by_host, ["host", "domain", "suffix"]).join(channel, "declared")
-    own = F.zip_with("host_soft", "soft", lambda a, x: F.greatest(a - x, F.lit(0.0)))
-    rows = rows.withColumn("_own", own)
-    prior = F.zip_with("_own", "domain_prior", lambda x, p: F.log((x + STRENGTH * p) / (F.aggregate("_own", F.lit(0.0), lambda s, y: s + y) + STRENGTH)))
-    rows = rows.withColumn("_logs", F.zip_with(F.zip_with("loglik", prior, lambda x, y: x + y), "channel", lambda x, y: x + y))
+    everyone = F.array(*(F.lit(float(x) + 1.0) for x in (whole if whole is not None else [0.0] * n)))
+    above = domains.withColumnRenamed("soft", "_domain").join(suffixes.withColumnRenamed("soft", "_suffix"), "suffix")
+    levels = hosts.withColumnRenamed("soft", "_host").join(above, ["domain", "suffix"])
+    declared = sums(keyed, "declared").withColumnRenamed("soft", "_channel")
+    rows = keyed.join(levels, ["host", "domain", "suffix"]).join(declared, "declared").withColumn("_prior", everyone)
+    # everyone's counts without the row's own, then level by level down to the host's
+    others = lambda c: F.zip_with(c, "soft", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumns({c: others(c) for c in ("_host", "_domain", "_suffix", "_channel", "_prior")})
+    rows = rows.withColumn("_channel", F.zip_with("_channel", "_prior", lambda x, a: F.log((x + 0.5) / (a + 0.5 * n))))
+    rows = rows.withColumn("_sum", total("_prior")).withColumn("_prior", F.transform("_prior", lambda x: x / F.col("_sum")))
+    for level in ("_suffix", "_domain", "_host"):
+        rows = rows.withColumn("_sum", total(level)).withColumn("_prior", F.zip_with(level, "_prior", lambda x, p: (x + STRENGTH * p) / (F.col("_sum") + STRENGTH)))
+    rows = rows.withColumn("_logs", F.zip_with(F.zip_with("loglik", "_prior", lambda x, p: x + F.log(p)), "_channel", lambda x, y: x + y))
     rows = rows.withColumn("posterior", F.expr(_softmax("_logs"))).withColumn("confidence", F.array_max("posterior"))
     named = F.element_at(F.array(*(F.lit(x) for x in langs)), F.array_position("posterior", F.col("confidence")).cast("int"))
-    return rows.withColumn("lang_id", named).drop("host_soft", "domain_prior", "channel", "soft", "_own", "_logs")
+    return rows.withColumn("lang_id", named).drop("soft", "_host", "_domain", "_suffix", "_channel", "_prior", "_sum", "_logs")
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
-    """page_id, host, domain, suffix, declared and visible text of web pages; missing parts are null."""
+def page_evidence(pages: DataFrame, suffixes: frozenset[str] = SUFFIXES) -> DataFrame:
+    """page_id, host, domain, suffix, declared and visible text of web pages; missing parts are empty, a missing declaration null. suffixes as in reputation.with_domain."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
-    return pages.select("page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), F.when(declared != "", declared).alias("declared"), visible.alias("text"))
+    found = pages.select("page_id", host.alias("host"), F.when(declared != "", declared).alias("declared"), visible.alias("text"))
+    return with_domain(found, suffixes).select("page_id", "host", "domain", "suffix", "declared", "text")
 
 
 def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:

@@ -35,6 +35,7 @@ class Mix:
     gradients: list[np.ndarray] = field(default_factory=list)
     totals: np.ndarray | None = None
     targets: np.ndarray | None = None
+    converged: bool = True
 
     @property
     def shares(self) -> list[str]:
@@ -136,7 +137,9 @@ def rate(mix: Mix) -> Column:
 
 
 def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = 40, tolerance: float = 2e-4, pull: float = 1e-4) -> tuple[DataFrame, Mix]:
-    """id, n_tokens, posterior, rate and copies (and row) of every row of domain_features, and the fitted mix.
+    """id, n_tokens, posterior, rate, copies and converged (and row) of every row of domain_features, and the fitted mix.
+
+    converged tells whether the totals came within `tolerance` of the targets in `rounds` steps; where not, the rates are those of the last step.
 
     Rows with a domain train the classifiers, each of which scores rows that it has not seen; domains that the targets do not name
     are one. Every row, labelled or not, gets the posterior of its own text. Rates r minimise the squared misses of the domains' expected tokens, sum of r n p, each over its target, plus a pull towards 1,
@@ -152,7 +155,7 @@ def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | No
     mix.pull = pull
     d, own = len(mix.domains), [x for x in features.columns if x == "row"]
     if not d:
-        return features.select("id", *own, F.col("_n").cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), mix
+        return features.select("id", *own, F.col("_n").cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(mix.converged).alias("converged")), mix
     weights = np.array([float(targets.get(x, 0.0)) for x in mix.domains])
     if not weights.sum() > 0 or (weights < 0).any():
         raise ValueError(f"targets name no domain of {mix.domains}")
@@ -174,7 +177,7 @@ def mix_rates(features: DataFrame, targets: dict[str, float], budget: float | No
                 break
             mix.gradients.append((sums - goal) / scale)
             sums = np.array([float(v) for v in held.agg(*(F.sum(rate(mix) * F.col("_n") * x) for x in p)).first()])
-        mix.totals = sums
+        mix.totals, mix.converged = sums, bool((np.abs(sums - goal) <= tolerance * scale).all())
     share = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     rows = (posteriors(features, mix) if own else held).withColumn("rate", rate(mix))
-    return rows.select("id", *own, F.col("_n").cast("long").alias("n_tokens"), F.array(*p).alias("posterior"), "rate", F.floor(F.col("rate") + share).alias("copies")), mix
+    return rows.select("id", *own, F.col("_n").cast("long").alias("n_tokens"), F.array(*p).alias("posterior"), "rate", F.floor(F.col("rate") + share).alias("copies"), F.lit(mix.converged).alias("converged")), mix

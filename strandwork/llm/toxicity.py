@@ -19,7 +19,7 @@ from strandwork.llm.common import fraction, gathered, kept, slices, stored, text
 #: Labelled texts that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
 #: Bytes of text that a Python worker reads at once.
-READ_BYTES = 2 << 20
+READ_BYTES = 1 << 20
 #: Smoothed log odds that a feature needs: four times as frequent in toxic texts as in clean ones.
 LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
@@ -226,7 +226,7 @@ class Reader:
     distinct token is read once; the memo stops to grow at `entries`, words are the same with or without it.
     """
 
-    def __init__(self, model: list[float], entries: int = 150_000) -> None:
+    def __init__(self, model: list[float], entries: int = 100_000) -> None:
         self.model, self.edges, self.entries = model, np.frombuffer(open_edges(model), np.uint8).astype(bool), entries
         self.memo: dict[str, tuple] = {}
 
@@ -396,7 +396,7 @@ def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col:
                     v = worth.get(w)
                     if v is None:
                         v = max((values[f] for f in word_features(w) if f in values), default=0.0)
-                        if len(worth) < 120_000:
+                        if len(worth) < 80_000:
                             worth[w] = v
                     found.append(v)
                 x = shapes(batch.num_rows, owner, np.array(found, np.float64)[word])
