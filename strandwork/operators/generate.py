@@ -26,7 +26,7 @@ def sequences(params: DataFrame) -> DataFrame:
     """
     ok = F.assert_true((F.col("a_pct") + F.col("c_pct") + F.col("t_pct") + F.col("g_pct") == 100) & (F.least("a_pct", "c_pct", "t_pct", "g_pct") >= 0), F.lit("percentages must be 0 or more and add up to 100"))
     quota = lambda p: F.floor(F.col(p) * F.col("length") / 100).cast("int")
-    letters = F.concat(F.array_repeat(F.lit("A"), quota("a_pct")), F.array_repeat(F.lit("C"), quota("c_pct")), F.array_repeat(F.lit("T"), quota("t_pct")), F.array_repeat(F.lit("G"), F.col("length") - quota("a_pct") - quota("c_pct") - quota("t_pct")))
+    letters = F.concat(F.array_repeat(F.lit("A"), quota("a_pct")), F.array_repeat(F.lit("C"), quota("c_pct")), F.array_repeat(F.lit("T"), quota("t_pct")), F.array_repeat(F.lit("G"), F.col("length").cast("int") - quota("a_pct") - quota("c_pct") - quota("t_pct")))
     keyed = F.transform(letters, lambda x, i: F.struct(F.xxhash64(F.col("seed"), i).alias("k"), i.alias("i"), x.alias("x")))
     return params.filter(ok.isNull()).withColumn("seq", F.array_join(F.transform(F.array_sort(keyed), lambda s: s["x"]), ""))
 

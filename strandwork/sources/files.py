@@ -37,6 +37,6 @@ def write_kinds(vertices: DataFrame, path: str) -> None:
 
 
 def write_contigs(contigs: DataFrame, path: str, one_file: bool = False) -> None:
-    """Sequences as text, one a line, in order of group and contig."""
+    """Sequences as text, one a line, in order of group and contig. one_file is for results that one task can write."""
     lines = contigs.filter("seq IS NOT NULL").orderBy("group_key", "contig_id").select("seq")
     (lines.coalesce(1) if one_file else lines).write.text(path)
