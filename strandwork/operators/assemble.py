@@ -46,11 +46,11 @@ def spell_path(path: list[str]) -> str:
     return path[0] + "".join(v[-1] for v in path[1:])
 
 
-def assemble_trails(edges: Edges, coverage: int | None = None, gate: bool = False) -> list[tuple[int, list | None, str]]:
+def assemble_trails(edges: Edges, coverage: int | None = None, gate: bool = False, inside: dict | None = None) -> list[tuple[int, list | None, str]]:
     """contig_id, trail and status of one group's graph.
 
     Trails start at the source. status: ok for one trail, else multi_source, multi_sink or non_eulerian; with the gate a
-    graph without exactly one source and one sink gives one row without a trail.
+    graph without exactly one source and one sink gives one row without a trail. inside as in traverse.trails.
     """
     if not edges:
         return [(0, None, "empty")]
@@ -61,7 +61,7 @@ def assemble_trails(edges: Edges, coverage: int | None = None, gate: bool = Fals
         return [(0, None, status or "no_end")]
     if coverage is not None and sources:
         edges = rectify(edges, coverage, min(sources))
-    found = traverse.trails(edges, min(sources) if sources else None)
+    found = traverse.trails(edges, min(sources) if sources else None, inside)
     status = status or ("ok" if len(found) == 1 else "non_eulerian")
     return [(i, t, status) for i, t in enumerate(found)]
 
@@ -93,16 +93,17 @@ def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = F
     keys = ["group_key"] if "group_key" in edges.columns else []
     chains = stored(contract.spell_chains(contract.contract(edges, must_match=True)), "chains")
 
-    def walk(e: Edges) -> list[tuple]:
+    def walk(e: Edges, inside: dict) -> list[tuple]:
         rows = []
-        for number, path, status in assemble_trails(e, coverage, gate):
-            rows += [(number, k, v, k == len(path) - 1, status) for k, v in enumerate(path)] if path else [(number, 0, None, True, status)]
+        for number, path, status in assemble_trails(e, coverage, gate, {v: low for v, (low, _) in inside.items()}):
+            rows += [(number, *row, status) for row in traverse.pieces(path, inside)] if path else [(number, 0, None, 0, None, status)]
         return rows
 
-    found = traverse.per_group(contract.reduced(edges, chains), "contig_id int, pos int, id ID, ends boolean, status string", walk)
+    found = traverse.per_group(contract.reduced(edges, chains, lows=True), "contig_id int, pos int, id ID, skip int, take int, status string", walk)
     found = found.join(chains.select(*keys, F.col("head").alias("id"), "label"), [*keys, "id"], "left")
-    # what a node adds: all bases of its chain behind the mer's, but its first mer's last base alone where the trail ends
-    own = F.when(F.col("ends") | F.col("label").isNull(), F.col("id")).otherwise(F.col("label"))
+    # what a node adds: the bases along its vertices on the trail, behind those that its first mer shares with the one before
+    label = F.coalesce("label", "id")
+    own = F.substring(label, F.col("skip") + 1, F.coalesce(F.col("take") - F.col("skip") - 1 + F.length("id"), F.length(label)))
     piece = F.when(F.col("pos") == 0, own).otherwise(F.substring(own, F.length("id"), F.length(own)))
     spelled = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"]), "")
     return found.groupBy(*keys, "contig_id").agg(F.when(F.count("id") > 0, spelled).alias("seq"), F.min("status").alias("status"))

@@ -103,7 +103,7 @@ def euler_trails(edges: DataFrame) -> DataFrame:
 
     Each vertex's ways in are paired with its ways out, both in order, which makes closed walks; where walks meet they are merged, along a
     spanning forest, so that one is left for each connected part; it is cut at the links from ends to beginnings that an
-    unbalanced part needs. A closed trail begins at its least branch, or at its least vertex. Chains are contracted before and put in by a
+    unbalanced part needs. A closed trail begins at its least branch, or without one at its least vertex. Chains are contracted before and put in by a
     join. Rounds grow with the logarithm of the number of edges; there is no group in a task and no array of a trail. Trails are numbered in the order
     of their first edges; rows with null ends are left out. The result is stored.
     """

@@ -83,15 +83,17 @@ def contract(edges: DataFrame, must_match: bool = False, progress: Progress | No
     return out.join(merged, [*keys, "head"], "left")
 
 
-def reduced(edges: DataFrame, chains: DataFrame) -> DataFrame:
-    """Edges between heads of chains and branches: a chain's is that to its tail, a branch keeps its own."""
+def reduced(edges: DataFrame, chains: DataFrame, lows: bool = False) -> DataFrame:
+    """Edges between heads of chains and branches: a chain's is that to its tail, a branch keeps its own. lows adds low, the least vertex that src stands for, and place, where in its chain."""
     keys = ["group_key"] if "group_key" in edges.columns else []
     inside = chains.select(*keys, F.explode("vertices").alias("src"))
     own = edges.select(*keys, "src", "dst", "multiplicity").join(inside, [*keys, "src"], "left_anti")
     # the edge out of a chain has the multiplicity of its last vertex's edge
-    last = chains.filter("tail IS NOT NULL").select(*keys, "head", F.element_at("vertices", -1).alias("src"))
-    out = edges.join(last, [*keys, "src"]).select(*keys, F.col("head").alias("src"), "dst", "multiplicity")
-    return own.unionByName(out)
+    least = F.array_min("vertices")
+    last = chains.filter("tail IS NOT NULL").select(*keys, "head", F.element_at("vertices", -1).alias("src"), least.alias("low"), (F.array_position("vertices", least) - 1).cast("int").alias("place"))
+    extra = ["low", "place"] if lows else []
+    out = edges.join(last, [*keys, "src"]).select(*keys, F.col("head").alias("src"), "dst", "multiplicity", *extra)
+    return own.withColumns({"low": F.col("src"), "place": F.lit(0)}).select(*keys, "src", "dst", "multiplicity", *extra).unionByName(out)
 
 
 def _parted(links: DataFrame, nodes: DataFrame, keys: list[str], max_rounds: int, progress: Progress | None) -> DataFrame:

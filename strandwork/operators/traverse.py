@@ -76,13 +76,13 @@ def strong_components(edges: Edges) -> dict:
     return out
 
 
-def trails(edges: Edges, start: object = None) -> list[list]:
+def trails(edges: Edges, start: object = None, inside: dict | None = None) -> list[list]:
     """Fewest trails that use every edge as often as its multiplicity says.
 
     Where out- and in-degrees differ, each end that is one too often is linked to a start that is, both in order; the closed
     walk of every connected part (Hierholzer 1873, the least unused successor first) is then cut at those
-    links. Without such ends a part's walk begins at `start` if it has it, else at its least branch, and a part without a branch at its least vertex: these
-    are there too when chains are contracted, so that trails do not depend on that. Parts come in the order of where they begin.
+    links. Without such ends a part's walk begins at `start` if it has it, else at its least vertex. Parts come in the order of their least
+    vertices. Where chains are contracted, inside gives the least vertex that each node stands for, so that both are as they would be without.
     """
     left = dict(edges)
     balance: dict = {}
@@ -111,17 +111,14 @@ def trails(edges: Edges, start: object = None) -> list[list]:
     for b, e in by_part.values():
         for u, v in zip(e, b, strict=True):
             links.setdefault(u, []).append(v)
+    low = lambda v: inside.get(v, v) if inside else v
     firsts: dict = {}
-    for v in sorted(balance, key=lambda v: (len(succ[v]) < 2 and len(pred[v]) < 2, v)):
+    for v in sorted(balance, key=low):
         firsts.setdefault(part[v], v)
-    for p in firsts:
-        own = by_part.get(p, ([], []))[0]
-        if start is not None and part.get(start) == p and (not own or start in own):
-            firsts[p] = start
-        elif own:
-            firsts[p] = own[0]
     out = []
-    for first in sorted(firsts.values()):
+    for p, least in firsts.items():
+        own = by_part.get(p, ([], []))[0]
+        first = start if start is not None and part.get(start) == p and (not own or start in own) else own[0] if own else least
         # the stack holds (vertex, whether a link led to it); links are taken when no edge is left
         stack, walk, at = [(first, False)], [], dict.fromkeys(succ, 0)
         while stack:
@@ -215,8 +212,11 @@ def chains_of(edges: Edges, must_match: bool = False) -> list[dict]:
 WORKER_EDGES = 2_000_000
 
 
-def per_group(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]]) -> DataFrame:
-    """Rows of f for each group's edges, each group one task's work; without group_key all edges are one group."""
+def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
+    """Rows of f for each group's edges, each group one task's work; without group_key all edges are one group.
+
+    Edges with low and place (contract.reduced) give f besides what src stands for: {src: (low, place)}.
+    """
     grouped = "group_key" in edges.columns
     kind = edges.schema["src"].dataType.simpleString()
     own = T.StructType.fromDDL(schema.replace("ID", kind))
@@ -225,7 +225,8 @@ def per_group(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = (pdf["group_key"].iloc[0],) if grouped else ()
-        return pd.DataFrame([(*key, *row) for row in f(edges_of(pdf))], columns=names)
+        extra = [dict(zip(pdf["src"].tolist(), zip(pdf["low"].tolist(), pdf["place"].tolist(), strict=True), strict=True))] if "low" in pdf else []
+        return pd.DataFrame([(*key, *row) for row in f(edges_of(pdf), *extra)], columns=names)
 
     groups = edges.groupBy("group_key") if grouped else edges.groupBy()
     return groups.applyInPandas(run, whole)
@@ -253,6 +254,16 @@ def components(edges: DataFrame, largest: int | None = None, most: int | None =
     return by_size(edges, lambda e: per_group(e, "id ID, component ID", lambda x: sorted(strong_components(x).items())), joins.strong_components, largest, most)
 
 
+def pieces(trail: list, inside: dict) -> list[tuple]:
+    """pos, node, skip and take (null: all) of a trail over contracted chains: which of a node's vertices are on it at each step.
+
+    The last node stands for its first vertex, as no edge of its chain is walked. A closed trail begins, and ends, at the place of the least vertex in its
+    first node's chain.
+    """
+    turn = inside.get(trail[0], (None, 0))[1] if trail[0] == trail[-1] else 0
+    return [(j, v, turn if j == 0 else 0, turn + 1 if j == len(trail) - 1 else None) for j, v in enumerate(trail)]
+
+
 def euler_paths(edges: DataFrame, largest: int | None = None, most: int | None = None) -> DataFrame:
     """(group_key), path_id, pos, id: the trails of each group.
 
@@ -266,10 +277,11 @@ def euler_paths(edges: DataFrame, largest: int | None = None, most: int | None =
     def large(e: DataFrame) -> DataFrame:
         keys = ["group_key"] if "group_key" in e.columns else []
         chains = stored(joins.contract(e, must_match=True), "chains")
-        found = walk(joins.reduced(e, chains)).join(chains.select(*keys, F.col("head").alias("id"), "vertices"), [*keys, "id"], "left")
+        nodes = per_group(joins.reduced(e, chains, lows=True), schema + ", skip int, take int", lambda x, inside: [(i, *row) for i, t in enumerate(trails(x, None, {v: k for v, (k, _) in inside.items()})) for row in pieces(t, inside)])
+        found = nodes.join(chains.select(*keys, F.col("head").alias("id"), "vertices"), [*keys, "id"], "left")
         path = Window.partitionBy(*keys, "path_id").orderBy("pos")
-        # a trail's last vertex stands for itself, as no edge of its chain is walked
-        found = found.withColumn("run", F.when(F.col("vertices").isNull() | F.lead("pos").over(path).isNull(), F.array("id")).otherwise(F.col("vertices")))
+        whole = F.coalesce("vertices", F.array("id"))
+        found = found.withColumn("run", F.slice(whole, F.col("skip") + 1, F.coalesce("take", F.size(whole))))
         found = found.withColumn("at", F.sum(F.size("run")).over(path) - F.size("run"))
         return found.select(*keys, "path_id", "at", F.posexplode("run").alias("k", "id")).select(*keys, "path_id", (F.col("at") + F.col("k")).cast("int").alias("pos"), "id")
 
