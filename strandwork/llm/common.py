@@ -37,11 +37,18 @@ _kept: dict[object, object] = {}
 def kept(key: object, make: Callable[[], object]) -> object:
     """What make() gives, once for each Python worker; whatever the worker kept for another key before is dropped."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            tidy()
         _kept[key] = make()
     return _kept[key]
 
 
+def forget(operator: str) -> None:
+    """Drops what other operators have kept in this worker; for tasks that keep nothing themselves."""
+    kept((operator,), dict)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """The name, with as many underscores before it as make it new (whatever the case) among the columns."""
     taken = {c.lower() for c in columns}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import kept, slices, stored, texts_of
+from strandwork.llm.common import forget, slices, stored, texts_of
 from strandwork.llm.reputation import SUFFIXES, with_domain
 
 #: Bins of letter trigrams.
@@ -59,8 +59,7 @@ def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
     known = set(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # nothing is kept here: what another operator has kept in this worker goes
-        kept(("languages",), dict)
+        forget("languages")
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             langs, texts = batch.column("lang").to_pylist(), texts_of(batch)

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm import fit
-from strandwork.llm.common import fraction, gathered, kept, slices, stored, texts_of
+from strandwork.llm.common import forget, fraction, gathered, kept, slices, stored, texts_of
 
 #: Labelled texts that the fit takes at most: those of the least hash.
 SAMPLE = 20_000
 #: Bytes of text that a Python worker reads at once.
-READ_BYTES = 1 << 20
+READ_BYTES = 2 << 20
 #: Smoothed log odds that a feature needs: four times as frequent in toxic texts as in clean ones.
 LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
@@ -62,6 +62,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("letters")
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in slices(batches, "text"):
             c = np.concatenate([np.append(_classes(t), (0, 0)) for t in [" ", *texts_of(batch)]])
@@ -182,16 +183,16 @@ def undoubled(word: str, model: list[float]) -> str:
 
     The choice changes the trigrams of the letter, of that before and of that behind it.
     """
-    at = lambda i: _symbol(word[i]) if 0 <= i < len(word) else 0
-    out = []
-    for i, ch in enumerate(word):
-        if i and ch == word[i - 1]:
-            before, own, after = at(i - 2), at(i), at(i + 1)
-            kept = model[(before * SYMBOLS + own) * SYMBOLS + own] + model[(own * SYMBOLS + own) * SYMBOLS + after]
-            if REPEATED + model[(before * SYMBOLS + own) * SYMBOLS + after] > kept:
-                continue
-        out.append(ch)
-    return "".join(out)
+    out, done = [], 0
+    for m in _TWICE.finditer(word):
+        i = m.start()
+        before, own = _symbol(word[i - 1]) if i else 0, _symbol(word[i])
+        after = _symbol(word[i + 2]) if i + 2 < len(word) else 0
+        head = (before * SYMBOLS + own) * SYMBOLS
+        if REPEATED + model[head + after] > model[head + own] + model[(own * SYMBOLS + own) * SYMBOLS + after]:
+            out.append(word[done : i + 1])
+            done = i + 2
+    return "".join([*out, word[done:]]) if out else word
 
 
 def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, int]:
@@ -199,9 +200,12 @@ def _token(token: str, model: list[float]) -> tuple[tuple[str, ...], str, int]:
     bare = token.strip(PLAIN_MARKS)
     # letters of another script among Latin ones
     mixed = not bare.isascii() and _ALIKE.search(bare) is not None and _LATIN.search(bare) is not None
-    if len(bare) > 1 and not mixed and bare.isalpha() and not _THRICE.search(bare):
-        words = (bare, undoubled(bare, model)) if _TWICE.search(bare) else (bare,)
-        return (bare,) if words[-1] == bare else words, bare, _ends(bare, bare, False)
+    if len(bare) > 1 and not mixed and bare.isalpha():
+        if not _TWICE.search(bare):
+            return (bare,), bare, _ends(bare, bare, False)
+        if not _THRICE.search(bare):
+            other = undoubled(bare, model)
+            return (bare,) if other == bare else (bare, other), bare, _ends(bare, bare, False)
     bare = _EDGE.sub("", _RUN.sub("", token))
     plain = "".join(ch for ch in bare if ch.isalpha())
     words = [plain] if plain else []
@@ -226,7 +230,7 @@ class Reader:
     distinct token is read once; the memo stops to grow at `entries`, words are the same with or without it.
     """
 
-    def __init__(self, model: list[float], entries: int = 100_000) -> None:
+    def __init__(self, model: list[float], entries: int = 120_000) -> None:
         self.model, self.edges, self.entries = model, np.frombuffer(open_edges(model), np.uint8).astype(bool), entries
         self.memo: dict[str, tuple] = {}
 
@@ -396,7 +400,7 @@ def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col:
                     v = worth.get(w)
                     if v is None:
                         v = max((values[f] for f in word_features(w) if f in values), default=0.0)
-                        if len(worth) < 80_000:
+                        if len(worth) < 100_000:
                             worth[w] = v
                     found.append(v)
                 x = shapes(batch.num_rows, owner, np.array(found, np.float64)[word])
