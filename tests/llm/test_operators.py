@@ -630,3 +630,10 @@ def test_mixing_without_labels_or_targets(spark):
     assert [(r["rate"], r["copies"]) for r in rates.collect()] == [(1.0, 1)]
     with pytest.raises(ValueError, match="targets"):
         mixing.mix_rates(mixing.domain_features(docs.withColumn("lang", F.lit("fr"))), {"en": 1.0})
+
+
+def test_workers_keep_what_one_operator_needs():
+    first = common.kept(("one",), list)
+    assert common.kept(("one",), list) is first
+    common.forget("two")
+    assert common.kept(("one",), list) is not first
