@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -586,3 +588,16 @@ def test_tables_are_released(spark):
     with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|not exist"):
         spark.read.parquet(one.stored_path)
     assert two.count() == 7 and shared.clear(spark) >= 1
+
+
+def test_costs_alone_equal_those_of_alignments(spark):
+    rng = random.Random(5)
+    pairs = [("", ""), ("A", ""), ("ACGT", "AGT"), ("kitten", "sitting"), *(("".join(rng.choices("ACGTé", k=rng.randrange(40))), "".join(rng.choices("ACGT", k=rng.randrange(40)))) for _ in range(300))]
+    for a, b in pairs:
+        assert distance.edit_cost(a, b) == distance.edit_cost(b, a) == distance.global_alignment(a, b)[0]
+    rows = spark.createDataFrame([(0, 0, "ACGTACGTA", "ACGTACGTAC"), (0, 1, None, "A")], "group_key int, ordinal int, contig string, main string")
+    laid = align.layout(rows).select("distance")
+    assert [r["distance"] for r in laid.collect()] == [1]
+    # distances alone find no alignment
+    plan = laid._jdf.queryExecution().optimizedPlan().toString()
+    assert "pairwise_cost(" in plan and "pairwise(" not in plan
