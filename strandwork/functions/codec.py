@@ -34,18 +34,18 @@ def merge_overlap(a: Column, b: Column, overlap: Column | int) -> Column:
 def pack(seq: Column) -> Column:
     """BINARY: a byte with length mod 4, then four bases a byte; unused low bits of the last byte are 0."""
     padded = F.concat(seq, F.repeat(F.lit("A"), F.pmod(-F.length(seq), F.lit(4)).cast("int")))
-    halves = F.transform(F.sequence(F.lit(0), F.greatest(F.length(padded) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.hex(F.conv(F.translate(F.substring(padded, i * 2 + 1, F.lit(2)), BASES, "0123"), 4, 10).cast("int")))
-    body = F.when(F.length(seq) > 0, F.array_join(halves, "")).otherwise(F.lit(""))
-    return F.unhex(F.concat(F.lpad(F.hex(F.length(seq) % 4), 2, "0"), body))
+    # a piece's lambda sees the piece alone: what it took from the whole string would be made anew for each
+    pieces = F.transform(F.regexp_extract_all(padded, F.lit("(?s).{1,24}"), F.lit(0)), lambda x: F.lpad(F.conv(F.translate(x, BASES, "0123"), 4, 16), F.floor(F.length(x) / 2).cast("int"), F.lit("0")))
+    return F.unhex(F.concat(F.lpad(F.hex(F.length(seq) % 4), 2, "0"), F.array_join(pieces, "")))
 
 
 def unpack(packed: Column) -> Column:
     """The bases of `pack`'s bytes."""
     digits = F.substring(F.hex(packed), F.lit(3), F.octet_length(packed) * 2)
-    pairs = F.transform(F.filter(F.split(digits, ""), lambda d: d != ""), lambda d: F.translate(F.lpad(F.conv(d, 16, 4), 2, "0"), "0123", BASES))
+    pieces = F.transform(F.regexp_extract_all(digits, F.lit(".{1,12}"), F.lit(0)), lambda d: F.translate(F.lpad(F.conv(d, 16, 4), F.length(d) * 2, F.lit("0")), "0123", BASES))
     tail = F.conv(F.substring(F.hex(packed), 1, 2), 16, 10).cast("int")
     n = (F.octet_length(packed) - 1) * 4 - F.when(tail > 0, 4 - tail).otherwise(0)
-    return F.substring(F.array_join(pairs, ""), F.lit(1), n.cast("int"))
+    return F.substring(F.array_join(pieces, ""), F.lit(1), n.cast("int"))
 
 
 def unpack_slice(packed: Column, start: int, length: int) -> Column:

@@ -15,8 +15,9 @@ CHUNK = 96
 
 def normalise(texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """reads(group_key, read_id, seq): the bases of each text, upper case, other characters left out; one read a text."""
-    seq = F.regexp_replace(F.upper(F.coalesce(F.col(text_col), F.lit(""))), "[^ACGT]", "")
-    return texts.select(F.col(key_col).alias("group_key"), F.col(key_col).alias("read_id"), seq.alias("seq"))
+    seq = F.regexp_replace(F.upper(F.coalesce(F.col(text_col), F.lit(""))), "[^ACGT]+", "")
+    # exploded, so that the optimizer does not put the search of a text into each place that reads its bases, filters and lambdas among them
+    return texts.select(F.col(key_col).alias("group_key"), F.col(key_col).alias("read_id"), F.explode(F.array(seq)).alias("seq"))
 
 
 def long_enough(reads: DataFrame, k1: int) -> DataFrame:

@@ -188,7 +188,8 @@ def packed_round_trip(spark, sf_dir):
 
 @query(f"WITH {READS} SELECT group_key, substr(seq, 6, 7) AS slice FROM reads")
 def packed_slice(spark, sf_dir):
-    return bases(spark, sf_dir).select("group_key", codec.unpack_slice(codec.pack(F.col("seq")), 5, 7).alias("slice"))
+    rows = bases(spark, sf_dir).select("group_key", codec.pack(F.col("seq")).alias("packed"))
+    return rows.select("group_key", codec.unpack_slice(F.col("packed"), 5, 7).alias("slice"))
 
 
 @query(f"WITH {READS}, p AS (SELECT left(seq, 12) AS key, arg_min(seq, group_key) AS other FROM reads GROUP BY 1) SELECT group_key, seq = other AS equal FROM reads JOIN p ON left(seq, 12) = key")

@@ -601,3 +601,18 @@ def test_costs_alone_equal_those_of_alignments(spark):
     # distances alone find no alignment
     plan = laid._jdf.queryExecution().optimizedPlan().toString()
     assert "pairwise_cost(" in plan and "pairwise(" not in plan
+
+
+def test_a_text_is_searched_once_and_packed_in_its_length(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ACGT", k=n)) for n in (*range(52), 400_003)]
+    rows = kmers.normalise(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    some = rows.filter((F.length("seq") >= 0) & (F.length("seq") < 1_000_000))
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    began = time.time()
+    packed = some.select("seq", codec.pack(F.col("seq")).alias("packed"))
+    for r in packed.select("seq", "packed", codec.unpack(F.col("packed")).alias("back"), codec.unpack_slice(F.col("packed"), 5, 7).alias("slice")).collect():
+        whole = r["seq"] + "A" * (-len(r["seq"]) % 4)
+        assert bytes(r["packed"]) == bytes([len(r["seq"]) % 4, *(sum("ACGT".index(c) << 6 - 2 * k for k, c in enumerate(whole[i : i + 4])) for i in range(0, len(whole), 4))])
+        assert r["back"] == r["seq"] and r["slice"] == r["seq"][5:12]
+    assert time.time() - began < 60
