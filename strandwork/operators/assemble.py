@@ -117,7 +117,8 @@ def assemble_reads(reads: DataFrame, k1: int, coverage: int | None = None, multi
     repeats are rectified. Groups without an edge give no contig. largest is a bound of a group's edges, if the caller knows one. compat
     gives the contigs of the plain rule (assemble_compat) instead, each group in one task, whatever its size.
     """
-    edges = build.covered(kmers.edges(reads, k1, multi), coverage)
+    fits = largest is not None and largest <= (traverse.WORKER_EDGES if most is None else most)
+    edges = build.covered(kmers.edges(reads, k1, multi, deal=fits), coverage)
     if compat:
         return traverse.per_group(edges, "contig_id int, seq string, status string", assemble_compat)
     gate = coverage is not None if gate is None else gate

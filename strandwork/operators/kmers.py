@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandwork.functions.codec import mer_encode
+from strandwork.functions.codec import BASES, LONGEST, mer_encode
 
-#: Windows of one chunk of a read.
-CHUNK = 96
+#: Bases that a task takes at once, and windows of one piece of a read.
+BLOCK, PIECE = 1 << 20, 1 << 16
 
 
 def normalise(texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -33,16 +37,97 @@ def only_bases(reads: DataFrame, strict: bool = False) -> DataFrame:
     return reads.filter(fits)
 
 
-def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
-    """cols, pos (from 0) and mer of every window of `width` bases.
+def _pieces(reads: DataFrame, width: int, *cols: str) -> DataFrame:
+    """cols, base (where it begins) and piece: the reads cut so that each window of `width` bases is in one piece, and no array holds a long read's."""
+    cut = F.expr(f"transform(sequence(0, cast((length(seq) - {width}) div {PIECE} AS int)), c -> struct(c * {PIECE} AS base, substring(seq, c * {PIECE} + 1, {PIECE + width - 1}) AS piece))")
+    return long_enough(reads, width).select(*cols, F.inline(cut))
 
-    A substring is found by counting from the start of its string, so reads are first cut into
-    overlapping chunks of CHUNK windows: long reads then cost no more for each window than short ones.
-    """
-    cut = F.expr(f"transform(sequence(0, cast((length(seq) - {width}) div {CHUNK} AS int)), c -> struct(c * {CHUNK} AS base, substring(seq, c * {CHUNK} + 1, {CHUNK + width - 1}) AS chunk))")
-    chunks = long_enough(reads, width).select(*cols, F.explode(cut).alias("c")).select(*cols, "c.*")
-    inside = F.expr(f"transform(sequence(1, length(chunk) - {width - 1}), i -> substring(chunk, i, {width}))")
-    return chunks.select(*cols, "base", F.posexplode(inside).alias("at", "mer")).select(*cols, (F.col("base") + F.col("at")).alias("pos"), "mer")
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some BLOCK letters each, a longer read alone."""
+    ends, start = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64), 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings one behind the other, and where each begins and the last ends."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8), ends - ends[0]
+
+
+def _places(ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Read and place in it of every window of `width` letters."""
+    n = np.maximum(np.diff(ends) - width + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _strings(letters: np.ndarray) -> pa.Array:
+    """Rows of bytes as strings."""
+    n, width = letters.shape
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
+def _listed(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Values as lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _in_blocks(f: Callable[[pa.Array], pa.Array], seq: pa.Array, kind: pa.DataType) -> pa.Array:
+    found = [f(seq.slice(a, b - a)) for a, b in _parts(seq)]
+    return pa.concat_arrays(found) if found else pa.array([], pa.list_(kind))
+
+
+def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
+    """cols, pos (from 0) and mer of every window of `width` bases."""
+
+    def block(seq: pa.Array) -> pa.Array:
+        letters, ends = _letters(seq)
+        n = np.maximum(np.diff(ends) - width + 1, 0)
+        if not n.any() or letters.max() > 127:
+            return pa.array([[x[i : i + width] for i in range(len(x) - width + 1)] for x in seq.to_pylist()], pa.list_(pa.string()))
+        owner, at = _places(ends, width)
+        return _listed(_strings(np.lib.stride_tricks.sliding_window_view(letters, width)[ends[owner] + at]), n)
+
+    found = F.arrow_udf(lambda seq: _in_blocks(block, seq, pa.string()), T.ArrayType(T.StringType()))
+    pieces = _pieces(reads, width, *cols).select(*cols, "base", found("piece").alias("mers"))
+    return pieces.select(*cols, "base", F.posexplode_outer("mers").alias("at", "mer")).filter("mer IS NOT NULL").select(*cols, (F.col("base") + F.col("at")).alias("pos"), "mer")
+
+
+def _counted(reads: DataFrame, width: int, keys: list[str], deal: bool = False) -> DataFrame:
+    """keys, kmer and n: how often each window of `width` bases occurs in a piece of a read. deal: the counts of a piece go to its keys' task together."""
+    kind = pa.struct([("kmer", pa.string()), ("n", pa.int64())])
+    digits = np.full(256, 4, np.uint8)
+    digits[list(BASES.encode())] = range(4)
+
+    def block(seq: pa.Array) -> pa.Array:
+        letters, ends = _letters(seq)
+        found = digits[letters]
+        if len(found) < width or found.max() > 3 or 2 * width + len(seq).bit_length() > 63:
+            counts = [Counter(x[i : i + width] for i in range(len(x) - width + 1)) for x in seq.to_pylist()]
+            return pa.array([[{"kmer": m, "n": n} for m, n in c.items()] for c in counts], pa.list_(kind))
+        code = np.zeros(len(found) - width + 1, np.int64)
+        for i in range(width):
+            code = code << 2 | found[i : len(code) + i]
+        # windows as numbers of two bits a base behind the number of their read
+        owner, at = _places(ends, width)
+        code = np.sort(code[ends[owner] + at] | owner << 2 * width)
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        n, code = np.diff(first, append=len(code)), code[first]
+        mer = np.empty((len(code), width), np.uint8)
+        for i in range(width):
+            mer[:, i] = code >> 2 * (width - 1 - i) & 3
+        rows = pa.StructArray.from_arrays([_strings(np.frombuffer(BASES.encode(), np.uint8)[mer]), pa.array(n.astype(np.int64))], fields=list(kind))
+        return _listed(rows, np.bincount(code >> 2 * width, minlength=len(seq)))
+
+    counts = F.arrow_udf(lambda seq: _in_blocks(block, seq, kind), T.ArrayType(T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])))
+    found = _pieces(reads, width, *keys).select(*keys, counts("piece").alias("counts"))
+    # outer: the others filter by the size of the list first, for which it would be made twice
+    return (found.repartition(*keys) if deal and keys else found).select(*keys, F.inline_outer("counts")).filter("kmer IS NOT NULL")
 
 
 def mers(reads: DataFrame, length: int) -> DataFrame:
@@ -55,16 +140,20 @@ def occurrences(reads: DataFrame, k1: int, *carried: str) -> DataFrame:
     return _windows(reads, k1 + 1, "group_key", *carried).select("group_key", F.col("mer").alias("kmer"), *carried)
 
 
-def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True, payload: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True, deal: bool = False, payload: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Edges (group_key), src, dst, multiplicity between the consecutive k1-mers of the reads.
 
-    Occurrences are counted by k-mer, partly before the one shuffle, and split into their ends afterwards. Without multi every
+    Occurrences are counted by k-mer, by blocks of reads before the one shuffle, and split into their ends afterwards. deal is for groups that fit a
+    task: that shuffle is by group then, so that degrees, flags and graphs of groups need no further one. Without multi every
     edge has multiplicity 1; without grouped all reads make one graph. payload names further columns of the reads and the aggregate (F.min,
     F.max, F.sum ...) that an edge's occurrences are merged by; contract.contract takes them on to chains, digraph.vertex_payload to vertices.
     """
     keys = ["group_key", "kmer"] if grouped else ["kmer"]
-    merged = [f(F.col(c)).alias(c) for c, f in (payload or {}).items()]
-    found = occurrences(reads, k1, *(payload or {})).groupBy(*keys).agg((F.count("*") if multi else F.lit(1).cast("long")).alias("multiplicity"), *merged)
+    if payload:
+        merged = [f(F.col(c)).alias(c) for c, f in payload.items()]
+        found = occurrences(reads, k1, *payload).groupBy(*keys).agg((F.count("*") if multi else F.lit(1).cast("long")).alias("multiplicity"), *merged)
+    else:
+        found = _counted(reads, k1 + 1, keys[:-1], deal).groupBy(*keys).agg((F.sum("n") if multi else F.lit(1).cast("long")).alias("multiplicity"))
     return found.select(*keys[:-1], F.substring("kmer", 1, k1).alias("src"), F.substring("kmer", 2, k1).alias("dst"), "multiplicity", *(payload or {}))
 
 

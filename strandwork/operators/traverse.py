@@ -6,12 +6,15 @@ task's work. Groups that do not fit a worker go by the joins of `contract.py`.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandwork.operators import contract as joins
 from strandwork.shared import stored
@@ -19,13 +22,19 @@ from strandwork.shared import stored
 Edges = dict[tuple, int]
 
 
-def edges_of(pdf: pd.DataFrame) -> Edges:
-    out: Edges = {}
-    for src, dst, m in zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["multiplicity"].tolist(), strict=True):
-        out[src, dst] = out.get((src, dst), 0) + m
+def _summed(src: list, dst: list, multiplicity: list) -> Edges:
+    out = dict(zip(zip(src, dst, strict=True), multiplicity, strict=True))
+    if len(out) < len(src):
+        out = dict.fromkeys(out, 0)
+        for u, v, m in zip(src, dst, multiplicity, strict=True):
+            out[u, v] += m
     return out
 
 
+def edges_of(pdf: pd.DataFrame) -> Edges:
+    return _summed(*(pdf[c].tolist() for c in ("src", "dst", "multiplicity")))
+
+
 def neighbours(edges: Iterable[tuple]) -> tuple[dict, dict]:
     """Successors and predecessors of every vertex in order."""
     succ: dict = {}
@@ -212,24 +221,84 @@ def chains_of(edges: Edges, must_match: bool = False) -> list[dict]:
 WORKER_EDGES = 2_000_000
 
 
+#: Rows of one batch of results, a group's more.
+RESULTS = 20_000
+
+
+def _groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """Key and columns of each group of rows that come group by group, a group's first with _number 1."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple:
+        one = pa.Table.from_batches(held)
+        return one.column("group_key").slice(0, 1), [one.column(c).to_pylist() for c in names]
+
+    for batch in batches:
+        number = np.asarray(batch.column("_number"))
+        starts = np.flatnonzero(number == 1).tolist()
+        if held and (not starts or starts[0]):
+            held.append(batch.slice(0, starts[0] if starts else batch.num_rows))
+        if not starts:
+            continue
+        if held:
+            yield whole()
+        # groups that are whole are cut from lists of the batch
+        keys, columns = batch.column("group_key"), [batch.column(c).to_pylist() for c in names]
+        for i, j in zip(starts, starts[1:], strict=False):
+            yield pa.chunked_array([keys.slice(i, 1)]), [c[i:j] for c in columns]
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield whole()
+
+
 def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
     """Rows of f for each group's edges, each group one task's work; without group_key all edges are one group.
 
-    Edges with low and place (contract.reduced) give f besides what src stands for: {src: (low, place)}.
+    Edges with low and place (contract.reduced) give f besides what src stands for: {src: (low, place)}. A task takes its groups one behind
+    the other from batches of rows sorted by group: most groups are small, and a call for each would cost more than its work.
     """
     grouped = "group_key" in edges.columns
     kind = edges.schema["src"].dataType.simpleString()
     own = T.StructType.fromDDL(schema.replace("ID", kind))
     whole = T.StructType([*([edges.schema["group_key"]] if grouped else []), *own.fields])
     names = whole.fieldNames()
+    read = ["src", "dst", "multiplicity", *(["low", "place"] if "low" in edges.columns else [])]
+
+    def found(columns: list[list]) -> list[tuple]:
+        src, _, _, *extra = columns
+        return f(_summed(*columns[:3]), *([dict(zip(src, zip(*extra, strict=True), strict=True))] if extra else []))
+
+    if not grouped:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(found([pdf[c].tolist() for c in read]), columns=names)
+
+        return edges.groupBy().applyInPandas(run, whole)
+
+    kinds = to_arrow_schema(own)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, rows = [], [], []
+
+        def done() -> pa.RecordBatch:
+            key = pa.concat_arrays([c for k in keys for c in k.chunks]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            return pa.RecordBatch.from_arrays([key, *(pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = (pdf["group_key"].iloc[0],) if grouped else ()
-        extra = [dict(zip(pdf["src"].tolist(), zip(pdf["low"].tolist(), pdf["place"].tolist(), strict=True), strict=True))] if "low" in pdf else []
-        return pd.DataFrame([(*key, *row) for row in f(edges_of(pdf), *extra)], columns=names)
+        for key, columns in _groups(batches, read):
+            more = found(columns)
+            if more:
+                keys.append(key)
+                sizes.append(len(more))
+                rows += more
+            if len(rows) >= RESULTS:
+                yield done()
+                keys, sizes, rows = [], [], []
+        if rows:
+            yield done()
 
-    groups = edges.groupBy("group_key") if grouped else edges.groupBy()
-    return groups.applyInPandas(run, whole)
+    # the window deals and sorts rows by group (not at all where they are dealt so already) and marks the first of each
+    number = F.row_number().over(Window.partitionBy("group_key").orderBy("group_key"))
+    return edges.select("group_key", *read, number.alias("_number")).mapInArrow(stream, whole)
 
 
 def by_size(edges: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], largest: int | None = None, most: int | None = None) -> DataFrame:

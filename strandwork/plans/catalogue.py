@@ -129,6 +129,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bases(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_key")
 
 
+def edges(spark: SparkSession, sf_dir: str, k1: int) -> DataFrame:
+    """The edges of each document: counted where its bases lie and dealt out by document, which is what every later step groups by."""
+    return kmers.edges(spread_bases(spark, sf_dir), k1, deal=True)
+
+
 def most_bases(spark: SparkSession, sf_dir: str) -> int:
     """Bytes of the longest document: a bound of its edges, read without looking for bases."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0] or 0
@@ -222,22 +227,22 @@ def debruijn_edges_multi(spark, sf_dir):
 
 @query(f"WITH {edges_sql(8)} SELECT * FROM e")
 def debruijn_edges_k8(spark, sf_dir):
-    return kmers.edges(reads(spark, sf_dir), 8)
+    return edges(spark, sf_dir, 8)
 
 
 @query(f"WITH {edges_sql(8)}, {degrees_sql('e')} SELECT group_key, id, out_deg, in_deg, n_out, n_in FROM d")
 def vertex_degrees(spark, sf_dir):
-    return digraph.degrees(kmers.edges(reads(spark, sf_dir), 8))
+    return digraph.degrees(edges(spark, sf_dir, 8))
 
 
 @query(f"WITH {edges_sql(8)}, {degrees_sql('e')} SELECT group_key, id, {FLAGS} FROM d")
 def vertex_flags(spark, sf_dir):
-    return digraph.flags(kmers.edges(reads(spark, sf_dir), 8)).select("group_key", "id", "is_branch", "is_source", "is_sink")
+    return digraph.flags(edges(spark, sf_dir, 8)).select("group_key", "id", "is_branch", "is_source", "is_sink")
 
 
 @query(f"WITH {edges_sql(8)}, {degrees_sql('e')}, f AS (SELECT *, {FLAGS} FROM d) SELECT group_key, count(*) FILTER (is_source) AS n_sources, count(*) FILTER (is_sink) AS n_sinks, max(id) FILTER (is_source) AS last_source, max(id) FILTER (is_sink) AS last_sink FROM f GROUP BY ALL")
 def sources_sinks(spark, sf_dir):
-    return digraph.sources_and_sinks(kmers.edges(reads(spark, sf_dir), 8))
+    return digraph.sources_and_sinks(edges(spark, sf_dir, 8))
 
 
 @query(f"WITH {EVENT_PAIRS} SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS successors FROM (SELECT src, dst, unnest(range(multiplicity)) FROM e) GROUP BY ALL")
@@ -293,7 +298,7 @@ def range_guard(spark, sf_dir):
 
 @query(f"WITH {edges_sql(8)}, {degrees_sql('e')}, f AS (SELECT *, {FLAGS} FROM d) SELECT group_key, id, row_number() OVER (PARTITION BY group_key ORDER BY NOT is_source, id) - 1 AS number FROM f")
 def renumber_k8(spark, sf_dir):
-    return digraph.renumber(kmers.edges(reads(spark, sf_dir), 8))
+    return digraph.renumber(edges(spark, sf_dir, 8))
 
 
 @query(f"WITH {PART_PAIRS}, {degrees_sql('e', '')}, f AS (SELECT *, {FLAGS} FROM d), n AS (SELECT id, row_number() OVER (ORDER BY NOT is_source, id) - 1 AS number FROM f) SELECT a.number AS src, b.number AS dst, multiplicity FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst")
@@ -344,33 +349,33 @@ def vertex_set_equality(spark, sf_dir):
 
 @query(f"WITH {edges_sql(8)} SELECT * FROM e WHERE multiplicity >= ceil(3 / 2.0)")
 def coverage_filter_c3(spark, sf_dir):
-    return build.covered(kmers.edges(reads(spark, sf_dir), 8), 3)
+    return build.covered(edges(spark, sf_dir, 8), 3)
 
 
 @query(f"WITH {edges_sql(8)}, {degrees_sql('e')} SELECT group_key, id, CASE WHEN n_out > 1 OR n_in > 1 THEN 'branch' ELSE 'chain' END AS kind FROM d")
 def branch_chain_partition(spark, sf_dir):
-    return build.partition_kinds(kmers.edges(reads(spark, sf_dir), 8)).select("group_key", "id", "kind")
+    return build.partition_kinds(edges(spark, sf_dir, 8)).select("group_key", "id", "kind")
 
 
 @query(f"""WITH {edges_sql(12)}, {degrees_sql('e')}, f AS (SELECT group_key, count(*) FILTER (out_deg > 0 AND in_deg = 0) AS n_sources, count(*) FILTER (out_deg = 0 AND in_deg > 0) AS n_sinks FROM d GROUP BY ALL)
     SELECT *, CASE WHEN n_sources = 1 AND n_sinks = 1 THEN 'ok' WHEN n_sources > 1 THEN 'multi_source' WHEN n_sinks > 1 THEN 'multi_sink' ELSE 'no_end' END AS status FROM f""")
 def wellformed_groups(spark, sf_dir):
-    return build.well_formed(kmers.edges(reads(spark, sf_dir), 12))
+    return build.well_formed(edges(spark, sf_dir, 12))
 
 
 @query(f"WITH {edges_sql(8)} SELECT group_key, src AS id, CASE WHEN count(DISTINCT dst) = 1 THEN max(dst) END AS tail, CAST(sum(multiplicity) AS BIGINT) AS tail_count FROM e GROUP BY ALL")
 def tail_successor(spark, sf_dir):
-    return digraph.tails(kmers.edges(reads(spark, sf_dir), 8))
+    return digraph.tails(edges(spark, sf_dir, 8))
 
 
 @query(f"{chains_sql(8)} SELECT * FROM chains")
 def chain_contract_k8(spark, sf_dir):
-    return contract.spell_chains(traverse.contract(kmers.edges(reads(spark, sf_dir), 8), largest=most_bases(spark, sf_dir))).drop("vertices")
+    return contract.spell_chains(traverse.contract(edges(spark, sf_dir, 8), largest=most_bases(spark, sf_dir))).drop("vertices")
 
 
 @query(f"{chains_sql(8, True)} SELECT group_key, head, tail, multiplicity, n_vertices FROM chains")
 def chain_contract_match(spark, sf_dir):
-    return traverse.contract(kmers.edges(reads(spark, sf_dir), 8), must_match=True, largest=most_bases(spark, sf_dir)).drop("vertices")
+    return traverse.contract(edges(spark, sf_dir, 8), must_match=True, largest=most_bases(spark, sf_dir)).drop("vertices")
 
 
 @query(f"{chains_sql(12, False, '')} SELECT head, tail, multiplicity, n_vertices, label FROM chains")
@@ -405,7 +410,7 @@ def strong_components_events(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {edges_sql(3)}, {degrees_sql('e')}, {REACH} SELECT x.group_key, x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.group_key = y.group_key AND x.a = y.b AND x.b = y.a GROUP BY ALL")
 def strong_components_k3(spark, sf_dir):
-    return traverse.components(kmers.edges(reads(spark, sf_dir), 3), largest=256)
+    return traverse.components(edges(spark, sf_dir, 3), largest=256)
 
 
 @query(f"""WITH RECURSIVE {EVENT_PAIRS}, r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
@@ -417,13 +422,13 @@ def strong_components_joins(spark, sf_dir):
 
 @query(components_sql(8))
 def strong_components_k8(spark, sf_dir):
-    return traverse.components(kmers.edges(reads(spark, sf_dir), 8), largest=most_bases(spark, sf_dir))
+    return traverse.components(edges(spark, sf_dir, 8), largest=most_bases(spark, sf_dir))
 
 
 @query(components_sql(8))
 def strong_components_k8_joins(spark, sf_dir):
     """strong_components_k8 without a group in a task."""
-    return contract.strong_components(kmers.edges(reads(spark, sf_dir), 8))
+    return contract.strong_components(edges(spark, sf_dir, 8))
 
 
 @query(f"WITH {edges_sql(12)} SELECT group_key, CAST(sum(multiplicity) AS BIGINT) AS n_edges FROM e GROUP BY ALL")
@@ -434,7 +439,7 @@ def euler_edge_counts_k12(spark, sf_dir):
 
 @query()
 def euler_paths_k12(spark, sf_dir):
-    return traverse.euler_paths(kmers.edges(reads(spark, sf_dir), 12), largest=most_bases(spark, sf_dir))
+    return traverse.euler_paths(edges(spark, sf_dir, 12), largest=most_bases(spark, sf_dir))
 
 
 @query(f"WITH {edges_sql(12)} SELECT * FROM e")
@@ -473,13 +478,13 @@ def rectify_single_fixture(spark, sf_dir):
 
 @query(rectified_sql(8, 2))
 def rectify_single_docs(spark, sf_dir):
-    return assemble.rectified(kmers.edges(reads(spark, sf_dir), 8), 2, largest=most_bases(spark, sf_dir))
+    return assemble.rectified(edges(spark, sf_dir, 8), 2, largest=most_bases(spark, sf_dir))
 
 
 @query(rectified_sql(8, 2))
 def rectify_by_joins(spark, sf_dir):
     """rectify_single_docs without a group in a task."""
-    return assemble.rectified_by_joins(kmers.edges(reads(spark, sf_dir), 8), 2)
+    return assemble.rectified_by_joins(edges(spark, sf_dir, 8), 2)
 
 
 @query(f"""WITH RECURSIVE {edges_sql(3)}, {degrees_sql('e')}, {REACH}, f AS (SELECT *, {FLAGS} FROM d),
@@ -493,7 +498,7 @@ def rectify_by_joins(spark, sf_dir):
     walked AS (SELECT w.group_key, w.src, w.dst, t.most FROM w JOIN t ON t.group_key = w.group_key AND t.start = w.start AND t.first = w.first)
     SELECT e.group_key, e.src, e.dst, CAST(least(e.multiplicity, coalesce(walked.most, e.multiplicity)) AS BIGINT) AS multiplicity FROM e LEFT JOIN walked ON walked.group_key = e.group_key AND walked.src = e.src AND walked.dst = e.dst""")
 def rectify_single_k3(spark, sf_dir):
-    return assemble.rectified(kmers.edges(reads(spark, sf_dir), 3), 2)
+    return assemble.rectified(edges(spark, sf_dir, 3), 2)
 
 
 @query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
@@ -503,7 +508,7 @@ def assemble_roundtrip_k12(spark, sf_dir):
 
 @query()
 def assemble_basic_k3(spark, sf_dir):
-    return assemble.assemble_slices(reads(spark, sf_dir))
+    return assemble.assemble_slices(spread_bases(spark, sf_dir))
 
 
 @query(f"WITH {edges_sql(3)} SELECT group_key, src, dst, CAST(1 AS BIGINT) AS multiplicity FROM e")

@@ -616,3 +616,18 @@ def test_a_text_is_searched_once_and_packed_in_its_length(spark):
         assert bytes(r["packed"]) == bytes([len(r["seq"]) % 4, *(sum("ACGT".index(c) << 6 - 2 * k for k, c in enumerate(whole[i : i + 4])) for i in range(0, len(whole), 4))])
         assert r["back"] == r["seq"] and r["slice"] == r["seq"][5:12]
     assert time.time() - began < 60
+
+
+def test_windows_of_pieces_are_those_of_reads(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(kmers, "PIECE", 70)
+    for letters in ("ACGT", "ACGTN", "acé\U0001f600T"):
+        data = [(rng.choice([1, 2, None]), i, "".join(rng.choices(letters, k=rng.choice([0, 3, 4, 9, 60, 200])))) for i in range(20)]
+        reads = spark.createDataFrame(data, "group_key long, read_id long, seq string")
+        for k in (1, 9, 40):
+            wanted = Counter((g, s[i : i + k + 1]) for g, _, s in data for i in range(len(s) - k))
+            assert {(r[0], r[1] + r[2][-1]): r[3] for r in kmers.edges(reads, k).collect()} == dict(wanted)
+            assert Counter(map(tuple, kmers.mers(reads, k).collect())) == Counter((g, i, p, s[p : p + k]) for g, i, s in data for p in range(len(s) - k + 1))
+    # repeats of a read leave it once
+    again = spark.createDataFrame([(1, 0, "A" * 60)], "group_key long, read_id long, seq string")
+    assert [tuple(r) for r in kmers._counted(again, 9, ["group_key"]).collect()] == [(1, "A" * 9, 52)]
