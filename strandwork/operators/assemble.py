@@ -188,7 +188,7 @@ def rectified(edges: DataFrame, coverage: int, largest: int | None = None, most:
     return traverse.by_size(edges, small, lambda e: rectified_by_joins(e, coverage), largest, most)
 
 
-def unique_spelling(reads: DataFrame, k1: int) -> DataFrame:
-    """Reads of more than k1 bases in which no mer occurs twice: they assemble to themselves."""
-    counted = kmers.mers(reads, k1).groupBy("group_key").agg(F.count("*").alias("n"), F.count_distinct("mer").alias("d"))
-    return reads.join(counted.filter("n = d AND n > 1").select("group_key"), "group_key", "left_semi")
+def unique_spelling(reads: DataFrame, k1: int, deal: bool = False) -> DataFrame:
+    """Reads of more than k1 bases in which no mer occurs twice: they assemble to themselves. deal as in kmers.edges."""
+    counted = kmers.counted(reads, k1, ["group_key"], deal).groupBy("group_key", "kmer").agg(F.sum("n").alias("n")).groupBy("group_key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    return reads.join(counted.filter("most = 1 AND n > 1").select("group_key"), "group_key", "left_semi")

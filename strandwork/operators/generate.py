@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The linear congruential step that both this engine and plain SQL can compute in 64 bits.
 MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2147483648
@@ -35,23 +38,40 @@ def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: i
     """reads(group_key, copy, read_id, start, seq): each copy of a sequence cut into pieces of low..high bases.
 
     Cuts are running sums of piece lengths; the last piece runs to the end from the first cut that leaves less than `low` bases (with
-    merge_tail, so it may be longer), or that reaches the end (without, so it may be shorter). Empty sequences give no reads.
+    merge_tail, so it may be longer), or that reaches the end (without, so it may be shorter). Empty sequences, and those without
+    a key, give no reads. A sequence is cut where it lies: all its cuts at once, each piece from its own place.
     progress, an observation, is told by the job that reads them how many pieces and bases there are (pieces, bases), and how many pieces of each copy (copy_0, copy_1 ...).
     A stream of sequences takes no observation here but `observed_pieces`, whose counts its listeners get batch by batch.
     """
     if not 1 <= low <= high:
         raise ValueError("piece lengths take 1 <= low <= high")
-    whole = sequences_.filter(F.length("seq") > 0).select("group_key", "seq")
-    # cuts are found from lengths alone; the bases come to them at the end, by their group
-    steps = whole.select("group_key", F.length("seq").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")).withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / low).cast("int"))))
-    size = lcg(F.col("j") + 1009 * F.col("copy") + 104729 * F.pmod(F.col("group_key"), F.lit(10007)) + 7919 * seed) % (high - low + 1) + low
-    order = Window.partitionBy("group_key", "copy").orderBy("j")
-    cut = steps.withColumn("b", F.sum(size).over(order)).withColumn("stop", (F.col("b") > F.col("n") - low) if merge_tail else (F.col("b") >= F.col("n")))
-    # the first stop ends the copy: rows behind it are those whose previous cut stopped already
-    kept = cut.withColumns({"before": F.lag("stop", 1, False).over(order), "start": F.lag("b", 1, 0).over(order)}).filter("NOT before")
-    length = F.when(F.col("stop"), F.col("n")).otherwise(F.col("b") - F.col("start")).cast("int")
-    pieces = kept.groupBy("group_key").agg(F.collect_list(F.struct("copy", F.col("j").alias("read_id"), F.col("start").cast("long").alias("start"), length.alias("length"))).alias("pieces"))
-    out = whole.join(pieces, "group_key").select("group_key", "seq", F.explode("pieces").alias("p")).select("group_key", "p.copy", "p.read_id", "p.start", F.substring(F.col("seq"), (F.col("p.start") + 1).cast("int"), F.col("p.length")).alias("seq"))
+    names = ["copy", "read_id", "start", "seq"]
+
+    def cut(key: pa.Array, seq: pa.Array) -> pa.Array:
+        texts, parts, counts = seq.to_pylist(), [], []
+        each = np.arange(copies, dtype=np.int64)[:, None]
+        for k, n in zip(key.to_pylist(), map(len, texts), strict=True):
+            j = np.arange(n // low + 1, dtype=np.int64)
+            x = j + 1009 * each + 104729 * (k % 10007) + 7919 * seed
+            ends = np.cumsum((x % MODULUS * MULTIPLIER + INCREMENT) % MODULUS // 65536 % (high - low + 1) + low, axis=1)
+            # every copy has a stop: its last cut lies at n or behind it, or leaves less than low
+            last = (ends > n - low if merge_tail else ends >= n).argmax(axis=1)
+            copy, at = np.nonzero(j <= last[:, None])
+            start = np.where(at > 0, ends[copy, at - 1], 0)
+            parts.append((copy, at, start, np.where(at == last[copy], n, ends[copy, at])))
+            counts.append(len(copy))
+        copy, at, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+        owner = np.repeat(np.arange(len(texts)), counts)
+        pieces = [texts[i][a:b] for i, a, b in zip(owner.tolist(), start.tolist(), stop.tolist(), strict=True)]
+        columns = [pa.array(copy.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(start), pa.array(pieces, pa.string())]
+        rows = pa.StructArray.from_arrays(columns, names=names)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
+
+    kind = T.ArrayType(T.StructType([T.StructField("copy", T.IntegerType()), T.StructField("read_id", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("seq", T.StringType())]))
+    whole = sequences_.filter((F.length("seq") > 0) & F.col("group_key").isNotNull())
+    pieces = whole.select("group_key", F.arrow_udf(cut, kind)(F.col("group_key").cast("long"), "seq").alias("pieces"))
+    # outer: the others filter by the size of the list first, for which it would be made twice
+    out = pieces.select("group_key", F.inline_outer("pieces"))
     return out if progress is None else observed_pieces(out, progress, copies)
 
 

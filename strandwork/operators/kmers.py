@@ -98,7 +98,7 @@ def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
     return pieces.select(*cols, "base", F.posexplode_outer("mers").alias("at", "mer")).filter("mer IS NOT NULL").select(*cols, (F.col("base") + F.col("at")).alias("pos"), "mer")
 
 
-def _counted(reads: DataFrame, width: int, keys: list[str], deal: bool = False) -> DataFrame:
+def counted(reads: DataFrame, width: int, keys: list[str], deal: bool = False) -> DataFrame:
     """keys, kmer and n: how often each window of `width` bases occurs in a piece of a read. deal: the counts of a piece go to its keys' task together."""
     kind = pa.struct([("kmer", pa.string()), ("n", pa.int64())])
     digits = np.full(256, 4, np.uint8)
@@ -153,7 +153,7 @@ def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True, d
         merged = [f(F.col(c)).alias(c) for c, f in payload.items()]
         found = occurrences(reads, k1, *payload).groupBy(*keys).agg((F.count("*") if multi else F.lit(1).cast("long")).alias("multiplicity"), *merged)
     else:
-        found = _counted(reads, k1 + 1, keys[:-1], deal).groupBy(*keys).agg((F.sum("n") if multi else F.lit(1).cast("long")).alias("multiplicity"))
+        found = counted(reads, k1 + 1, keys[:-1], deal).groupBy(*keys).agg((F.sum("n") if multi else F.lit(1).cast("long")).alias("multiplicity"))
     return found.select(*keys[:-1], F.substring("kmer", 1, k1).alias("src"), F.substring("kmer", 2, k1).alias("dst"), "multiplicity", *(payload or {}))
 
 

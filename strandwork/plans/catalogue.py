@@ -330,7 +330,7 @@ def vertex_files(spark, sf_dir):
 def contig_files(spark, sf_dir):
     """Contigs written as lines of text and read back as reads."""
     path = fresh_path(spark, "contigs")
-    files.write_contigs(assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12, largest=most_bases(spark, sf_dir)), path)
+    files.write_contigs(assemble.assemble_reads(assemble.unique_spelling(spread_bases(spark, sf_dir), 12, deal=True), 12, largest=most_bases(spark, sf_dir)), path)
     return files.read_lines(spark, path).select("seq")
 
 
@@ -503,7 +503,7 @@ def rectify_single_k3(spark, sf_dir):
 
 @query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
 def assemble_roundtrip_k12(spark, sf_dir):
-    return assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12, largest=most_bases(spark, sf_dir)).select("group_key", "seq", "status")
+    return assemble.assemble_reads(assemble.unique_spelling(spread_bases(spark, sf_dir), 12, deal=True), 12, largest=most_bases(spark, sf_dir)).select("group_key", "seq", "status")
 
 
 @query()
@@ -540,7 +540,7 @@ COVERED = f"""{split_sql(True, 30, 60)}, occ AS (SELECT group_key, unnest(list_t
 
 @query()
 def assemble_reads_cov(spark, sf_dir):
-    return assemble.assemble_reads(generate.split_reads(reads(spark, sf_dir), 30, 60, 6), 12, coverage=3, largest=most_bases(spark, sf_dir))
+    return assemble.assemble_reads(generate.split_reads(spread_bases(spark, sf_dir), 30, 60, 6), 12, coverage=3, largest=most_bases(spark, sf_dir))
 
 
 @query(f"{COVERED} SELECT e.group_key, e.src, e.dst FROM e JOIN g USING (group_key) WHERE n_sources = 1 AND n_sinks = 1")
@@ -559,18 +559,18 @@ def assemble_cov_gate(spark, sf_dir):
 @query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
 def assemble_roundtrip_large(spark, sf_dir):
     """assemble_roundtrip_k12 on contracted chains, as for groups that do not fit a worker."""
-    edges = kmers.edges(assemble.unique_spelling(reads(spark, sf_dir), 12), 12)
+    edges = kmers.edges(assemble.unique_spelling(spread_bases(spark, sf_dir), 12, deal=True), 12, deal=True)
     return assemble.assemble_large(edges).select("group_key", "seq", "status")
 
 
 @query(f"{split_sql(True)} SELECT * FROM pieces")
 def split_reads(spark, sf_dir):
-    return generate.split_reads(reads(spark, sf_dir), 5, 15, 6)
+    return generate.split_reads(spread_bases(spark, sf_dir), 5, 15, 6)
 
 
 @query(f"{split_sql(False)} SELECT * FROM pieces")
 def split_reads_untrimmed(spark, sf_dir):
-    return generate.split_reads(reads(spark, sf_dir), 5, 15, 6, merge_tail=False)
+    return generate.split_reads(spread_bases(spark, sf_dir), 5, 15, 6, merge_tail=False)
 
 
 SHARES = "s_suppkey % 41 AS a, s_suppkey * 7 % 31 AS c, s_suppkey * 3 % 29 AS t, s_suppkey * 13 % 400 AS n"

@@ -630,4 +630,19 @@ def test_windows_of_pieces_are_those_of_reads(spark, monkeypatch):
             assert Counter(map(tuple, kmers.mers(reads, k).collect())) == Counter((g, i, p, s[p : p + k]) for g, i, s in data for p in range(len(s) - k + 1))
     # repeats of a read leave it once
     again = spark.createDataFrame([(1, 0, "A" * 60)], "group_key long, read_id long, seq string")
-    assert [tuple(r) for r in kmers._counted(again, 9, ["group_key"]).collect()] == [(1, "A" * 9, 52)]
+    assert [tuple(r) for r in kmers.counted(again, 9, ["group_key"]).collect()] == [(1, "A" * 9, 52)]
+
+
+def test_pieces_are_cut_where_a_sequence_lies(spark):
+    seqs = spark.createDataFrame([(k, "ACGTACGTTGCA" * n) for k, n in ((5, 1), (-3, 40), (70000, 3), (6, 0))] + [(None, "ACGT")], "group_key long, seq string")
+    for merge in (True, False):
+        found = generate.split_reads(seqs, 5, 15, 3, merge_tail=merge)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+        rows = found.collect()
+        assert {r["group_key"] for r in rows} == {5, -3, 70000}
+        for k, n in ((5, 1), (-3, 40), (70000, 3)):
+            for copy in range(3):
+                own = sorted((r for r in rows if r["group_key"] == k and r["copy"] == copy), key=lambda r: r["read_id"])
+                assert "".join(r["seq"] for r in own) == "ACGTACGTTGCA" * n and [r["read_id"] for r in own] == list(range(len(own)))
+                assert [r["start"] for r in own] == [sum(len(x["seq"]) for x in own[:i]) for i in range(len(own))]
