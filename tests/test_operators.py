@@ -646,3 +646,18 @@ def test_pieces_are_cut_where_a_sequence_lies(spark):
                 own = sorted((r for r in rows if r["group_key"] == k and r["copy"] == copy), key=lambda r: r["read_id"])
                 assert "".join(r["seq"] for r in own) == "ACGTACGTTGCA" * n and [r["read_id"] for r in own] == list(range(len(own)))
                 assert [r["start"] for r in own] == [sum(len(x["seq"]) for x in own[:i]) for i in range(len(own))]
+
+
+def test_groups_are_whole_whatever_the_batches(spark):
+    rows = [(g, f"{i:03d}", f"{i + 1:03d}", 1) for g, n in ((None, 5), (1, 1), (2, 9), (3, 2), (4, 3)) for i in range(n)]
+    e = table(spark, rows, "group_key int, src string, dst string, multiplicity long").repartition(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            found = traverse.per_group(e, "first ID, n bigint", lambda x: [(min(x)[0], len(x))] if len(x) != 2 else [])
+            assert sorted(map(tuple, found.collect()), key=str) == [(1, "000", 1), (2, "000", 9), (4, "000", 3), (None, "000", 5)]
+            # no call for each group
+            assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
