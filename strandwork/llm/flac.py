@@ -108,12 +108,16 @@ def _encode_rows(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     options = []
     for kind, order in (("fixed", 1), ("linear", LPC_ORDER)):
         residual, coefficients = _residuals(x, kind)
-        folded = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
+        folded = residual << 1 ^ residual >> 31
         folded[:, :order] = 0
-        cut = folded.reshape(n, n_parts, -1)
+        cut = folded.reshape(n, n_parts, -1).copy()
         counts = np.full(n_parts, cut.shape[2])
         counts[0] -= order
-        cost = np.stack([counts * (k + 1) + (cut >> k).sum(2) for k in range(10)])
+        cost = np.zeros((10, n, n_parts), np.int64)
+        for k in range(10):
+            # residuals of 8-bit samples have at most 13 bits, so that a part's sum has no more than 32
+            cost[k] = counts * (k + 1) + cut.sum(2, dtype=np.int32)
+            cut >>= 1
         options.append((order, residual, coefficients, folded, cost.argmin(0), cost.min(0).sum(1) + (order * 8 + (9 + order * LPC_BITS) * (kind == "linear"))))
     linear = options[1][5] < options[0][5]
     out: list[bytes | None] = [None] * n
@@ -154,9 +158,12 @@ def _encode_rows(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
         stop = (at + quotient)[code]
         bits[stop] = 1
         low, k_flat = folded[rows][code], k_of[code]
+        last = stop + k_flat
         for j in range(int(k_flat.max(initial=0))):
-            some = k_flat > j
-            bits[stop[some] + k_flat[some] - j] = low[some] >> j & 1
+            if j >= k_flat.min():
+                some = k_flat > j
+                last, low, k_flat = last[some], low[some], k_flat[some]
+            bits[last - j] = low >> j & 1
         packed, byte_base, byte_size = np.packbits(bits), base // 8, frame_bits // 8
         bodies = [h + packed[a : a + s].tobytes() for h, a, s in zip(heads, byte_base, byte_size, strict=True)]
         ends = np.cumsum([len(b) for b in bodies])

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one file of a table of short rows.
 SHORT_ROWS = 100_000
+#: Bytes of a page of a table that is stored with a level of its own.
+LARGE_PAGE = 4 << 20
 #: Paths of the tables that this session has stored and not released.
 _held: dict[str, list[str]] = {}
 
@@ -33,14 +35,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None, codec: str | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None, codec: str | None = None, level: int | None = None) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors.
 
     rows, an estimate, is for tables of short rows: these are dealt out to files of some SHORT_ROWS rows, however many
     tasks have made them, as every file costs its task several calls of the file system. codec is Parquet's, else the session's.
+    level is that of zstd, for columns that are packed already: it takes pages of LARGE_PAGE bytes, in which repeats are found from far.
     """
     path = fresh_path(df.sparkSession, tag)
-    (df if rows is None else df.repartition(rows // SHORT_ROWS + 2)).write.parquet(path, compression=codec)
+    writer = (df if rows is None else df.repartition(rows // SHORT_ROWS + 2)).write
+    if level is not None:
+        writer = writer.option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", LARGE_PAGE)
+    writer.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

@@ -1,13 +1,14 @@
 """The operators' own interfaces against plain, slow versions."""
 
 import itertools
+import pathlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.llm import common, cws, fit, flac, graph, mixing, packing, records, sharding, simhash, tokens, toxicity
+from strandwork.llm import common, cws, fit, flac, graph, mixing, packing, queries, records, sharding, simhash, tokens, toxicity
 from strandwork.llm.queries import tokenizer_path
 
 
@@ -189,6 +190,18 @@ def test_flac_decodes_what_the_encoder_does_not_write(kind):
     assert flac.decode([stream])[0].tolist() == x
 
 
+def test_stored_media_find_far_copies(spark):
+    # incompressible texts, each of them again 2.4 MB later, too many for a dictionary
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.randrange(32, 127)) for _ in range(3000)) for _ in range(800)]
+    rows = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").coalesce(1)
+    size = lambda df: sum(f.stat().st_size for f in pathlib.Path(df.stored_path.removeprefix("file://")).glob("*.parquet"))
+    media = flac.text_media(rows)
+    plain, packed = common.stored(media, "media", codec="zstd"), common.stored(media, "media", codec="zstd", level=queries.MEDIA_LEVEL)
+    assert size(packed) < 0.8 * size(plain)
+    assert packed.orderBy("doc_id").collect() == plain.orderBy("doc_id").collect()
+
+
 def test_pcm_blocks_seek(spark):
     rows = spark.createDataFrame([(1, "a" * 5000, 3), (2, None, 4)], "doc_id long, text string, block int")
     media = flac.text_media(rows)
