@@ -21,6 +21,8 @@ from strandwork.llm.queries import MIX_TARGETS, fold, tokenizer_path
 TOXIC = 0.3
 #: Confidence in the fused language below which no language is decided.
 DECIDED = 0.5
+#: Bytes of text that a task of a stage reads at once: less than the operators alone, as workers and executors hold more by then.
+BYTES_EACH = 1 << 19
 #: Share of texts that are expected to be in none of the corpus's languages.
 OTHER = 0.01
 
@@ -49,7 +51,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_arrow(spark)
     model = toxicity.fit_toxicity(docs.filter(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(4) != 2), corpus=docs)
     score = free_name(docs.columns, "toxicity")
-    return toxicity.scored_rows(docs, model, score_col=score).filter(F.col(score) < TOXIC).drop(score)
+    return toxicity.scored_rows(docs, model, score_col=score, bytes_each=2 * BYTES_EACH).filter(F.col(score) < TOXIC).drop(score)
 
 
 @stage
@@ -101,7 +103,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in best-fit sequences."""
     bounded_arrow(spark)
-    return packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), end_id=0, capacity=2048), "pieces"), 2048)
+    return packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), end_id=0, capacity=2048, bytes_each=BYTES_EACH), "pieces"), 2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("language", drop_undecided_language), ("near_duplicates", drop_near_duplicates), ("mixing", mix_languages), ("packing", pack_sequences)]

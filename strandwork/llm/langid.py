@@ -90,6 +90,7 @@ def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col:
     schema = rows.select(*rest).schema.add("n_trigrams", T.LongType()).add("loglik", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("languages")
         for batch in slices(batches, text_col):
             bins, counts = trigram_bins(texts_of(batch, text_col))
             sums = np.zeros((batch.num_rows, len(langs)))

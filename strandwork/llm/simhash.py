@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import graph
-from strandwork.llm.common import fraction, release, slices, stored, texts_of, tidy
+from strandwork.llm.common import forget, fraction, release, slices, stored, texts_of, tidy
 
 #: Nodes of one shard tree at most; a shard with more fingerprints gets several trees.
 TREE_NODES = 8192
@@ -327,6 +327,7 @@ def word_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh64_intdigest
 
+        forget("sets")
         for batch in slices(batches, "text"):
             out = []
             for text in texts_of(batch):

@@ -383,8 +383,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return scored_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), model).drop("text")
 
 
-def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The rows with a score column; one of that name is replaced."""
+def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", bytes_each: int = READ_BYTES) -> DataFrame:
+    """The rows with a score column; one of that name is replaced. Texts of some bytes_each are read together."""
     docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     names = [*docs.columns, score_col]
@@ -392,7 +392,7 @@ def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = model.get("values", {})
         reader, worth = _reader(model["language"]), {}
-        for batch in gathered(batches, text_col, READ_BYTES):
+        for batch in gathered(batches, text_col, bytes_each):
             if values:
                 owner, word, words = reader.read(batch.column(text_col))
                 found = []

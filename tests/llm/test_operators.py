@@ -5,10 +5,11 @@ import pathlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.llm import common, cws, fit, flac, graph, mixing, packing, queries, records, sharding, simhash, tokens, toxicity
+from strandwork.llm import common, cws, fit, flac, graph, langid, mixing, packing, queries, records, sharding, simhash, tokens, toxicity
 from strandwork.llm.queries import tokenizer_path
 
 
@@ -650,3 +651,17 @@ def test_workers_keep_what_one_operator_needs():
     assert common.kept(("one",), list) is first
     common.forget("two")
     assert common.kept(("one",), list) is not first
+
+
+def test_stages_drop_what_workers_keep_and_read_less_at_once(spark, docs, monkeypatch):
+    ran = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: ran.append(f) or self)
+    langid.likelihoods(docs, (["en"], np.zeros((langid.BINS, 1))))
+    simhash.word_prints(docs, 5)
+    for f in ran:
+        common.kept(("one",), list)
+        list(f(iter([])))
+        assert ("one",) not in common._kept
+    packing.token_pieces(docs, tokenizer_path(), 0, 64, bytes_each=2000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": ["the river " * 100] * 10})
+    assert len(list(ran[-1](iter([batch])))) == 5
