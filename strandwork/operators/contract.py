@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.operators import digraph
+from strandwork.operators import digraph, traverse
 from strandwork.shared import release, stored
 
 #: Called after each round with its number and how many rows are still on their way.
@@ -17,8 +17,10 @@ Progress = Callable[[int, int], None]
 def _double(state: DataFrame, keys: list[str], rounds: int, progress: Progress | None = None) -> DataFrame:
     """(v, parent, dist, low, least, there) after all rows are there, that is point at a head, or `rounds` doublings.
 
-    Rows that are there take no part in the join: the others' parents are all different, so no head is a hot key.
+    Rows that are there take no part in the join: the others' parents are all different, so no head is a hot key. A round
+    in which no row comes home leaves only such as go round in cycles, and once windows are as long as there are rows left they cover these.
     """
+    before = -1
     for number in range(rounds):
         up = state.select(*keys, F.col("v").alias("parent"), F.col("parent").alias("_up"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("least").alias("_least"), F.col("there").alias("_there"))
         moved = state.filter("not there").join(up, [*keys, "parent"]).select(*keys, "v", F.col("_up").alias("parent"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.least("least", "_least").alias("least"), F.col("_there").alias("there"))
@@ -27,8 +29,9 @@ def _double(state: DataFrame, keys: list[str], rounds: int, progress: Progress |
         release(old)
         if progress:
             progress(number, left)
-        if not left:
+        if not left or left == before and 2 ** (number + 1) >= left:
             break
+        before = left
     return state
 
 
@@ -152,10 +155,19 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 def strong_components(edges: DataFrame, max_rounds: int = 10_000, progress: Progress | None = None) -> DataFrame:
     """(group_key), id, component: strong components named by their least vertex.
 
-    Chains are contracted first, in rounds that grow with the logarithm of the longest: of a chain either all vertices are in
+    Groups of at most traverse.PIECE links are settled in one pass. Of the others, and of a graph without groups, chains are contracted first, in rounds that grow with the logarithm of the longest: of a chain either all vertices are in
     one component, if its node lies on a cycle, or each is one. The branches and heads that are left are parted by colours (`_parted`), whose
     ways double too. progress is called after each round of either.
     """
+    if "group_key" in edges.columns:
+        links = edges.select("group_key", "src", "dst").withColumn("multiplicity", F.lit(1).cast("long"))
+        found, left = traverse.settled(links, "id ID, component ID", lambda x: list(traverse.strong_components(x).items()))
+        return found if left.isEmpty() else found.unionByName(_components(left, max_rounds, progress))
+    return _components(edges, max_rounds, progress)
+
+
+def _components(edges: DataFrame, max_rounds: int, progress: Progress | None) -> DataFrame:
+    """strong_components by joins."""
     keys = ["group_key"] if "group_key" in edges.columns else []
     links = stored(edges.select(*keys, "src", "dst").distinct(), "links")
     every = links.select(*keys, F.explode(F.array("src", "dst")).alias("id")).distinct()

@@ -217,38 +217,61 @@ def chains_of(edges: Edges, must_match: bool = False) -> list[dict]:
     return out
 
 
+#: The columns of contracted chains.
+CHAIN = "head ID, tail ID, vertices array<ID>, multiplicity bigint, n_vertices int"
+
+
+def chain_rows(edges: Edges, must_match: bool = False) -> list[tuple]:
+    """chains_of as rows of CHAIN."""
+    return [(c["head"], c["tail"], c["vertices"], c["multiplicity"], len(c["vertices"])) for c in chains_of(edges, must_match)]
+
+
 #: Edges of a group that one worker takes at most; larger groups go by joins.
 WORKER_EDGES = 2_000_000
+#: Edges of a group that are settled in the pass that the joins begin with (`settled`); joins take what is left.
+PIECE = 1 << 16
 
 
 #: Rows of one batch of results, a group's more.
 RESULTS = 20_000
 
 
-def _groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """Key and columns of each group of rows that come group by group, a group's first with _number 1."""
+def _groups(batches: Iterable[pa.RecordBatch], names: list[str], most: int | None = None) -> Iterator[tuple]:
+    """Key and columns of each group of rows that come group by group, a group's first with _number 1, and whether the group is whole.
+
+    Groups of more than `most` rows come in parts of about as many, which are not whole: no more is held.
+    """
     held: list[pa.RecordBatch] = []
+    over = False
 
-    def whole() -> tuple:
+    def part() -> tuple:
         one = pa.Table.from_batches(held)
-        return one.column("group_key").slice(0, 1), [one.column(c).to_pylist() for c in names]
+        return one.column("group_key").slice(0, 1), [one.column(c).to_pylist() for c in names], not over and (most is None or one.num_rows <= most)
 
     for batch in batches:
         number = np.asarray(batch.column("_number"))
         starts = np.flatnonzero(number == 1).tolist()
-        if held and (not starts or starts[0]):
-            held.append(batch.slice(0, starts[0] if starts else batch.num_rows))
+        before = starts[0] if starts else batch.num_rows
+        if before:
+            held.append(batch.slice(0, before))
+        if held and (starts or most is not None and sum(x.num_rows for x in held) > most):
+            yield part()
+            held, over = [], not starts
         if not starts:
             continue
-        if held:
-            yield whole()
+        over = False
         # groups that are whole are cut from lists of the batch
         keys, columns = batch.column("group_key"), [batch.column(c).to_pylist() for c in names]
         for i, j in zip(starts, starts[1:], strict=False):
-            yield pa.chunked_array([keys.slice(i, 1)]), [c[i:j] for c in columns]
+            yield pa.chunked_array([keys.slice(i, 1)]), [c[i:j] for c in columns], most is None or j - i <= most
         held = [batch.slice(starts[-1])]
     if held:
-        yield whole()
+        yield part()
+
+
+def _marked(edges: DataFrame, read: list[str]) -> DataFrame:
+    """The edges with _number, 1 for the first of each group: the window deals and sorts rows by group (not at all where they are dealt so already)."""
+    return edges.select("group_key", *read, F.row_number().over(Window.partitionBy("group_key").orderBy("group_key")).alias("_number"))
 
 
 def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
@@ -284,7 +307,7 @@ def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> D
             key = pa.concat_arrays([c for k in keys for c in k.chunks]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             return pa.RecordBatch.from_arrays([key, *(pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-        for key, columns in _groups(batches, read):
+        for key, columns, _ in _groups(batches, read):
             more = found(columns)
             if more:
                 keys.append(key)
@@ -296,9 +319,54 @@ def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> D
         if rows:
             yield done()
 
-    # the window deals and sorts rows by group (not at all where they are dealt so already) and marks the first of each
-    number = F.row_number().over(Window.partitionBy("group_key").orderBy("group_key"))
-    return edges.select("group_key", *read, number.alias("_number")).mapInArrow(stream, whole)
+    return _marked(edges, read).mapInArrow(stream, whole)
+
+
+def settled(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]], most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of f for each group of at most `most` (PIECE) edges, and the edges of all other groups, from one stored pass.
+
+    What algorithms by joins begin with: their rounds cost a table each, and most groups need none. A task holds the edges of one such
+    group and a batch; larger groups pass in parts, as do those with null ends, which have no order.
+    """
+    most = PIECE if most is None else most
+    read = ["src", "dst", "multiplicity"]
+    own = T.StructType.fromDDL(schema.replace("ID", edges.schema["src"].dataType.simpleString()))
+    # both kinds of rows in one table
+    fields = [T.StructField(f"found_{x.name}", x.dataType) for x in own.fields] + [T.StructField(f"left_{c}", edges.schema[c].dataType) for c in read]
+    whole = T.StructType([edges.schema["group_key"], T.StructField("is_left", T.BooleanType()), *fields])
+    kinds, n_own = to_arrow_schema(T.StructType(fields)), len(own.fields)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, rows = [], [], []
+
+        def rows_of(key: pa.Array, columns: list, left: bool) -> pa.RecordBatch:
+            mine = iter(columns)
+            filled = [pa.array(next(mine), x.type) if (i >= n_own) == left else pa.nulls(len(key), x.type) for i, x in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([key, pa.array(np.full(len(key), left)), *filled], whole.fieldNames())
+
+        def done() -> pa.RecordBatch:
+            key = pa.concat_arrays([c for k in keys for c in k.chunks]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            return rows_of(key, list(zip(*rows, strict=True)), False)
+
+        for key, columns, is_whole in _groups(batches, read, most):
+            if not is_whole or None in columns[0] or None in columns[1]:
+                n = len(columns[0])
+                yield rows_of(pa.concat_arrays(key.chunks).take(pa.array(np.zeros(n, np.int64))), columns, True)
+                continue
+            more = f(_summed(*columns))
+            if more:
+                keys.append(key)
+                sizes.append(len(more))
+                rows += more
+            if len(rows) >= RESULTS:
+                yield done()
+                keys, sizes, rows = [], [], []
+        if rows:
+            yield done()
+
+    both = stored(_marked(edges, read).mapInArrow(stream, whole), "settled")
+    found = both.filter("NOT is_left").select("group_key", *(F.col(f"found_{x.name}").alias(x.name) for x in own.fields))
+    return found, both.filter("is_left").select("group_key", *(F.col(f"left_{c}").alias(c) for c in read))
 
 
 def by_size(edges: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], largest: int | None = None, most: int | None = None) -> DataFrame:
@@ -359,6 +427,5 @@ def euler_paths(edges: DataFrame, largest: int | None = None, most: int | None =
 
 def contract(edges: DataFrame, must_match: bool = False, largest: int | None = None, most: int | None = None) -> DataFrame:
     """(group_key), head, tail, vertices, multiplicity, n_vertices of each group's chains."""
-    schema = "head ID, tail ID, vertices array<ID>, multiplicity bigint, n_vertices int"
-    small = lambda e: per_group(e, schema, lambda x: [(c["head"], c["tail"], c["vertices"], c["multiplicity"], len(c["vertices"])) for c in chains_of(x, must_match)])
+    small = lambda e: per_group(e, CHAIN, lambda x: chain_rows(x, must_match))
     return by_size(edges, small, lambda e: joins.contract(e, must_match), largest, most)

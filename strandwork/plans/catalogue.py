@@ -427,7 +427,7 @@ def strong_components_k8(spark, sf_dir):
 
 @query(components_sql(8))
 def strong_components_k8_joins(spark, sf_dir):
-    """strong_components_k8 without a group in a task."""
+    """strong_components_k8 without a group of more than traverse.PIECE links in a task."""
     return contract.strong_components(edges(spark, sf_dir, 8))
 
 

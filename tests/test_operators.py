@@ -2,6 +2,7 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -443,6 +444,49 @@ def test_repeats_and_components_by_joins(spark, seed):
     assert {tuple(r) for r in assemble.rectified_by_joins(fixture, 3).collect()} == {("A", "B", 1), ("B", "C", 1), ("C", "D", 2), ("D", "E", 2), ("E", "F", 1), ("F", "C", 1), ("E", "G", 1)}
 
 
+def as_rows(spark, groups):
+    return spark.createDataFrame([(g, u, v, m) for g, e in groups.items() for (u, v), m in e.items()], "group_key long, src long, dst long, multiplicity long")
+
+
+@pytest.mark.parametrize("f", [contract.strong_components], ids=["components"])
+def test_groups_of_bounded_size_are_settled_before_the_joins(spark, monkeypatch, f):
+    # groups of 1 to 60 edges: all settled, some left for the joins, none settled
+    rows = as_rows(spark, graphs(8) | {10: random_edges(2, 30, 60)})
+    whole = sorted(map(tuple, f(rows).collect()))
+    for most in (8, 0):
+        monkeypatch.setattr(traverse, "PIECE", most)
+        assert sorted(map(tuple, f(rows).collect())) == whole
+
+
+def test_small_groups_take_no_rounds_and_cycles_few(spark):
+    rounds = []
+    contract.strong_components(as_rows(spark, graphs(2)), progress=lambda number, left: rounds.append(left)).collect()
+    assert not rounds
+    # one cycle among many chains of two: before, the doublings that so many rows allow
+    pairs = spark.range(20_000).selectExpr("3 * id AS src", "3 * id + 1 AS dst", "1L AS multiplicity")
+    ring = spark.createDataFrame([(-1, -2, 1), (-2, -3, 1), (-3, -1, 1)], "src long, dst long, multiplicity long")
+    found = contract.contract(pairs.unionByName(ring), progress=lambda number, left: rounds.append(left))
+    assert found.filter("head < 0").select("head", "tail", "vertices").collect() == [(-3, -3, [-3, -1, -2])] and len(rounds) < 8
+
+
+def test_groups_pass_in_parts_of_bounded_size():
+    numbers = [n for size in (3, 9, 1, 4, 5) for n in range(1, size + 1)]
+    keys = [g for g, size in enumerate((3, 9, 1, 4, 5)) for _ in range(size)]
+    for width in (1, 2, 5, 30):
+        batches = [pa.RecordBatch.from_pydict({"group_key": keys[i : i + width], "src": numbers[i : i + width], "_number": numbers[i : i + width]}) for i in range(0, len(keys), width)]
+        got = [(key.to_pylist()[0], columns[0], whole) for key, columns, whole in traverse._groups(batches, ["src"], 4)]
+        assert [(k, c) for k, c, whole in got if whole] == [(0, [1, 2, 3]), (2, [1]), (3, [1, 2, 3, 4])]
+        assert [x for k, c, whole in got if not whole for x in c] == [*range(1, 10), *range(1, 6)]
+        assert all(len(c) <= 4 + width for _, c, whole in got if not whole)
+        assert [(k.to_pylist()[0], len(c[0])) for k, c, _ in traverse._groups(batches, ["src"])] == [(0, 3), (1, 9), (2, 1), (3, 4), (4, 5)]
+
+
+def test_groups_with_null_ends_are_left_to_the_joins(spark):
+    rows = spark.createDataFrame([(1, 2, 3, 1), (1, 3, None, 1), (2, 5, 6, 1)], "group_key long, src long, dst long, multiplicity long")
+    found, left = traverse.settled(rows, "id ID, component ID", lambda x: list(traverse.strong_components(x).items()))
+    assert sorted(map(tuple, found.collect())) == [(2, 5, 5), (2, 6, 6)] and sorted(map(tuple, left.collect()), key=repr) == sorted([(1, 2, 3, 1), (1, 3, None, 1)], key=repr)
+
+
 def test_compat_contigs(spark):
     # X11 to X17 of FIXTURES.md
     cases = {1: (["TTGCACGA"], ["ACGAGCAC"]), 2: (["AAAAA"], ["AAAA"]), 3: (["ACGACGT"], ["ACG", "ACGACGA"]), 4: (["GATTACA", "TACAGG", "CATTAG"], ["", "", "TTAC", "", "ACAGTAGTT"]), 5: (["ACGT", "CGTA", "GTAC", "TACG"], ["ACGTACG"]), 6: (["ACG"], []), 7: (["ACGTTG", "GTTGCA"], ["ACGTTGCA"])}
