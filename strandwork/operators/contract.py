@@ -69,10 +69,19 @@ def members(edges: DataFrame, must_match: bool = False, progress: Progress | Non
 def contract(edges: DataFrame, must_match: bool = False, progress: Progress | None = None, merge: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """(group_key), head, tail, vertices, multiplicity, n_vertices: the chains that `traverse.contract` gives, for any size of group.
 
-    merge names further columns of the edges and the aggregate (F.sum, F.min, F.collect_list ...) that a chain's links and the edge
+    Without merge groups of at most traverse.PIECE edges are contracted in one pass; the others' pointers double. merge names further columns of the edges and the aggregate (F.sum, F.min, F.collect_list ...) that a chain's links and the edge
     out of it are merged by.
     """
     keys = ["group_key"] if "group_key" in edges.columns else []
+    if keys and not merge:
+        found, left = traverse.settled(edges, traverse.CHAIN, lambda x: traverse.chain_rows(x, must_match))
+        return found if left.isEmpty() else found.unionByName(_contracted(left, must_match, progress, None))
+    return _contracted(edges, must_match, progress, merge)
+
+
+def _contracted(edges: DataFrame, must_match: bool, progress: Progress | None, merge: dict[str, Callable[[Column], Column]] | None) -> DataFrame:
+    """contract by joins."""
+    keys = ["group_key"] if "group_key" in edges.columns else []
     links = members(edges, must_match, progress)
     order = F.sort_array(F.collect_list(F.struct("dist", "v")))
     last = F.max(F.struct("dist", "succ", "m_out", "least"))
