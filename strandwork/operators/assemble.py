@@ -152,13 +152,29 @@ def walks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(out.unionByName(own).join(ends, [*keys, "end"]), "walks"), inside
 
 
+def _rectified_group(e: Edges, coverage: int) -> list[tuple]:
+    """rectify from the least source, as rows; a group without a source stays."""
+    succ, pred = traverse.neighbours(e)
+    sources = [v for v in succ if succ[v] and not pred[v]]
+    return [(u, v, m) for (u, v), m in (rectify(e, coverage, min(sources)) if sources else e).items()]
+
+
 def rectified_by_joins(edges: DataFrame, coverage: int) -> DataFrame:
     """`rectified` as joins, for groups of any size and for one graph without groups.
 
-    Walks are contracted chains between branches with their least multiplicity. Whether both ends reach each other is told by the strong
-    components of the walks, whether the source reaches a walk by the steps between components, which have no cycles. Each walk then bounds its
-    edges: that out of the branch by its ends, those of its chain by the chain's head.
+    Groups of at most traverse.PIECE edges are settled in one pass. In the others walks are contracted chains between branches with their
+    least multiplicity. Whether both ends reach each other is told by the strong components of the walks, whether the source reaches
+    a walk by the steps between components, which have no cycles. Each walk then bounds its edges: that out of the branch by its ends,
+    those of its chain by the chain's head.
     """
+    if "group_key" in edges.columns:
+        found, left = traverse.settled(edges, "src ID, dst ID, multiplicity bigint", lambda x: _rectified_group(x, coverage))
+        return found if left.isEmpty() else found.unionByName(_rectified_large(left, coverage))
+    return _rectified_large(edges, coverage)
+
+
+def _rectified_large(edges: DataFrame, coverage: int) -> DataFrame:
+    """rectified_by_joins without the pass over small groups."""
     keys = ["group_key"] if "group_key" in edges.columns else []
     edges = stored(edges, "edges")
     found, inside = walks(edges)
@@ -179,12 +195,7 @@ def rectified_by_joins(edges: DataFrame, coverage: int) -> DataFrame:
 def rectified(edges: DataFrame, coverage: int, largest: int | None = None, most: int | None = None) -> DataFrame:
     """(group_key), src, dst, multiplicity after `rectify` from each group's least source; groups without a source stay. Groups that do not fit a worker go by joins."""
 
-    def run(e: Edges) -> list[tuple]:
-        succ, pred = traverse.neighbours(e)
-        sources = [v for v in succ if succ[v] and not pred[v]]
-        return sorted((u, v, m) for (u, v), m in (rectify(e, coverage, min(sources)) if sources else e).items())
-
-    small = lambda e: traverse.per_group(e, "src ID, dst ID, multiplicity bigint", run)
+    small = lambda e: traverse.per_group(e, "src ID, dst ID, multiplicity bigint", lambda x: _rectified_group(x, coverage))
     return traverse.by_size(edges, small, lambda e: rectified_by_joins(e, coverage), largest, most)
 
 

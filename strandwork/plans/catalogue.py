@@ -483,7 +483,7 @@ def rectify_single_docs(spark, sf_dir):
 
 @query(rectified_sql(8, 2))
 def rectify_by_joins(spark, sf_dir):
-    """rectify_single_docs without a group in a task."""
+    """rectify_single_docs without a group of more than traverse.PIECE edges in a task."""
     return assemble.rectified_by_joins(edges(spark, sf_dir, 8), 2)
 
 

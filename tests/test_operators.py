@@ -448,7 +448,7 @@ def as_rows(spark, groups):
     return spark.createDataFrame([(g, u, v, m) for g, e in groups.items() for (u, v), m in e.items()], "group_key long, src long, dst long, multiplicity long")
 
 
-@pytest.mark.parametrize("f", [contract.strong_components, lambda e: contract.contract(e, must_match=True)], ids=["components", "contract"])
+@pytest.mark.parametrize("f", [contract.strong_components, lambda e: contract.contract(e, must_match=True), lambda e: assemble.rectified_by_joins(e, 2)], ids=["components", "contract", "rectified"])
 def test_groups_of_bounded_size_are_settled_before_the_joins(spark, monkeypatch, f):
     # groups of 1 to 60 edges: all settled, some left for the joins, none settled
     rows = as_rows(spark, graphs(8) | {10: random_edges(2, 30, 60)})
