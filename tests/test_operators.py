@@ -418,6 +418,29 @@ def test_orbits_places_and_forests(spark, monkeypatch):
     assert {r["id"] for r in chosen.collect()} == kruskal and {r["id"]: r["root"] for r in roots.collect()} == {v: root(v) for v in parent}
 
 
+def test_short_lists_are_one_tasks_and_the_same_as_by_rounds(spark, monkeypatch):
+    rng, counts = random.Random(9), []
+    to = list(range(400))
+    rng.shuffle(to)
+    cycles = spark.createDataFrame([(7 * i, 7 * t, 1000 - i) for i, t in enumerate(to)], "id long, to long, low long")
+    order = rng.sample(range(500), 500)
+    chains = spark.createDataFrame([(v, order[i - 1] if i % 90 else None, i % 5) for i, v in enumerate(order)], "id long, before long, far long")
+    links = spark.createDataFrame([(500 - k, rng.randrange(-90, 90), rng.randrange(90)) for k in range(200)], "id long, a long, b long")
+    plain = lists.stored
+    monkeypatch.setattr(lists, "stored", lambda df, tag: counts.append(tag) or plain(df, tag))
+
+    def found():
+        counts.clear()
+        chosen, roots = lists.forest(links)
+        return [sorted(map(tuple, x.collect())) for x in (lists.orbits(cycles), lists.places(chains), chosen, roots)], len(counts)
+
+    short, few = found()
+    monkeypatch.setattr(lists, "SHORT", 30)
+    rounds, many = found()
+    # before, a table for each round
+    assert short == rounds and few <= 12 < many
+
+
 def test_components_of_deep_graphs_take_few_rounds(spark):
     rounds = []
     path = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst", "1L AS multiplicity")
