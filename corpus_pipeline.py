@@ -23,6 +23,8 @@ TOXIC = 0.3
 DECIDED = 0.5
 #: Bytes of text that a task of a stage reads at once: less than the operators alone, as workers and executors hold more by then.
 BYTES_EACH = 1 << 19
+#: Tokens that a worker of a stage keeps, for the same reason: later ones are read each time.
+ENTRIES = 50_000
 #: Share of texts that are expected to be in none of the corpus's languages.
 OTHER = 0.01
 
@@ -49,9 +51,9 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose restored text scores below TOXIC."""
     bounded_arrow(spark)
-    model = toxicity.fit_toxicity(docs.filter(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(4) != 2), corpus=docs)
+    model = toxicity.fit_toxicity(docs.filter(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(4) != 2), corpus=docs, bytes_each=BYTES_EACH, entries=ENTRIES)
     score = free_name(docs.columns, "toxicity")
-    return toxicity.scored_rows(docs, model, score_col=score, bytes_each=2 * BYTES_EACH).filter(F.col(score) < TOXIC).drop(score)
+    return toxicity.scored_rows(docs, model, score_col=score, bytes_each=BYTES_EACH, entries=ENTRIES).filter(F.col(score) < TOXIC).drop(score)
 
 
 @stage
@@ -103,7 +105,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in best-fit sequences."""
     bounded_arrow(spark)
-    return packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), end_id=0, capacity=2048, bytes_each=BYTES_EACH), "pieces"), 2048)
+    return packing.pack(stored(packing.token_pieces(docs, tokenizer_path(), end_id=0, capacity=2048, bytes_each=BYTES_EACH, entries=ENTRIES), "pieces"), 2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("language", drop_undecided_language), ("near_duplicates", drop_near_duplicates), ("mixing", mix_languages), ("packing", pack_sequences)]

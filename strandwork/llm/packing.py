@@ -15,23 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm.common import SLICE_BYTES, gathered, partitions, stored
-from strandwork.llm.tokens import encoder
+from strandwork.llm.tokens import ENTRIES, encoder
 
 #: Pieces that one task packs: some tens of MB, and about a second.
 PIECES_EACH = 200_000
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, bytes_each: int = 4 * SLICE_BYTES) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, bytes_each: int = 4 * SLICE_BYTES, entries: int = ENTRIES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): each text's ids with end_id, cut where longer than capacity.
 
     The first piece takes the remainder, all others are full. Null texts count as empty (one piece of
     one id); null ids and repeated rows pass through, each row with pieces of its own. Texts of some bytes_each are
-    encoded together: fewer take less memory and a little more time.
+    encoded together, and a worker keeps the ids of `entries` words: fewer take less memory and a little more time.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, entries)
         for batch in gathered(batches, "text", bytes_each):
             keys, out = batch.column("doc_id").to_pylist(), []
             flat, counts = encode.encode(batch.column("text"))

@@ -23,6 +23,10 @@ _GAP = re.compile("(?<=[!-~]) (?=[!-~])")
 MARKED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?]+)([ \n]|$)"
 
 
+#: Pieces whose ids a worker keeps.
+ENTRIES = 300_000
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, with a memo for each blank-delimited piece.
 
@@ -33,7 +37,7 @@ class PieceEncoder:
     end before a blank between visible characters. The memo stops to grow at `entries`; ids are the same with or without it.
     """
 
-    def __init__(self, path: str, entries: int = 300_000) -> None:
+    def __init__(self, path: str, entries: int = ENTRIES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -128,6 +132,6 @@ class PieceEncoder:
         return np.concatenate(rows), np.array(counts, np.int64)
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, entries: int = ENTRIES) -> PieceEncoder:
     """One encoder for each Python worker and file."""
-    return kept(("encoder", path), lambda: PieceEncoder(path))
+    return kept(("encoder", path, entries), lambda: PieceEncoder(path, entries))

@@ -20,6 +20,8 @@ from strandwork.llm.common import forget, fraction, gathered, kept, slices, stor
 SAMPLE = 20_000
 #: Bytes of text that a Python worker reads at once.
 READ_BYTES = 2 << 20
+#: Tokens, and runs of them, whose words a worker keeps.
+ENTRIES = 120_000
 #: Smoothed log odds that a feature needs: four times as frequent in toxic texts as in clean ones.
 LEAST_ODDS = math.log(4)
 #: Symbols of the language model: 0 the edge of a word, 1 to 26 a to z, 27 any other letter.
@@ -230,7 +232,7 @@ class Reader:
     distinct token is read once; the memo stops to grow at `entries`, words are the same with or without it.
     """
 
-    def __init__(self, model: list[float], entries: int = 120_000) -> None:
+    def __init__(self, model: list[float], entries: int = ENTRIES) -> None:
         self.model, self.edges, self.entries = model, np.frombuffer(open_edges(model), np.uint8).astype(bool), entries
         self.memo: dict[str, tuple] = {}
 
@@ -288,9 +290,9 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in range(5, min(7, len(word) + 1)))]
 
 
-def _reader(model: list[float]) -> Reader:
+def _reader(model: list[float], entries: int) -> Reader:
     """One reader for each Python worker and language model."""
-    return kept(("reader", hash(tuple(model))), lambda: Reader(model))
+    return kept(("reader", hash(tuple(model)), entries), lambda: Reader(model, entries))
 
 
 def shapes(n: int, owner: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -308,7 +310,7 @@ def shapes(n: int, owner: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bytes_each: int = READ_BYTES, entries: int = ENTRIES) -> dict:
     """A model from labelled documents and a character language model of all of the corpus.
 
     Of the labelled texts (copies once, `sample` of them at most) those of both labels that hold a word or
@@ -316,6 +318,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     more often than clean ones, score a text's words, each text of the fit without its own share in the counts; a logistic regression
     on the two largest, and on how many are large, gives probabilities. Null labels are left out, null texts
     count as empty, repeated label rows once (the largest label); with one label only every score is that label's share.
+    bytes_each and entries as in scored_rows: what is read at once, and what workers keep, changes no result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -330,8 +333,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     model = language_model(base if corpus is None else corpus.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model)
-        for batch in gathered(batches, "text", READ_BYTES):
+        reader = _reader(model, entries)
+        for batch in gathered(batches, "text", bytes_each):
             toxic = (np.asarray(batch.column("label")) > 0).astype(np.int64)
             owner, word, words = reader.read(batch.column("text"))
             numbers: dict[str, int] = {}
@@ -362,8 +365,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     held = {r["f"]: (r["clean"], r["toxic"]) for r in counts.filter("f <> ''").filter(clear >= LEAST_ODDS).collect()}
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model)
-        for batch in gathered(batches, "text", READ_BYTES):
+        reader = _reader(model, entries)
+        for batch in gathered(batches, "text", bytes_each):
             own = (np.asarray(batch.column("label")) > 0).astype(np.int64)
             owner, word, words = reader.read(batch.column("text"))
             # a word's value without a clean text that holds it, and without a toxic one
@@ -383,15 +386,15 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return scored_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), model).drop("text")
 
 
-def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", bytes_each: int = READ_BYTES) -> DataFrame:
-    """The rows with a score column; one of that name is replaced. Texts of some bytes_each are read together."""
+def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", bytes_each: int = READ_BYTES, entries: int = ENTRIES) -> DataFrame:
+    """The rows with a score column; one of that name is replaced. Texts of some bytes_each are read together, a worker keeps `entries` tokens."""
     docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     names = [*docs.columns, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = model.get("values", {})
-        reader, worth = _reader(model["language"]), {}
+        reader, worth = _reader(model["language"], entries), {}
         for batch in gathered(batches, text_col, bytes_each):
             if values:
                 owner, word, words = reader.read(batch.column(text_col))
@@ -400,7 +403,7 @@ def scored_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col:
                     v = worth.get(w)
                     if v is None:
                         v = max((values[f] for f in word_features(w) if f in values), default=0.0)
-                        if len(worth) < 100_000:
+                        if len(worth) < entries:
                             worth[w] = v
                     found.append(v)
                 x = shapes(batch.num_rows, owner, np.array(found, np.float64)[word])

@@ -665,3 +665,21 @@ def test_stages_drop_what_workers_keep_and_read_less_at_once(spark, docs, monkey
     packing.token_pieces(docs, tokenizer_path(), 0, 64, bytes_each=2000)
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": ["the river " * 100] * 10})
     assert len(list(ran[-1](iter([batch])))) == 5
+
+
+def test_what_workers_keep_is_bounded_by_the_caller(spark, docs, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    letters = toxicity.language_model(docs, "text")
+    texts = pa.array([f"word{i} f.o.o{i}" for i in range(200)])
+    few, many = toxicity._reader(letters, 5), toxicity.Reader(letters)
+    assert all(list(a) == list(b) for a, b in zip(few.read(texts), many.read(texts), strict=True)) and len(few.memo) <= 5 < len(many.memo)
+    spare = tokens.encoder(tokenizer_path(), 5)
+    assert all((a == b).all() for a, b in zip(spare.encode(texts), tokens.PieceEncoder(tokenizer_path()).encode(texts), strict=True))
+    # the pipeline's stages ask for less than the operators alone
+    asked = []
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *args, **given: asked.append(given) or {})
+    monkeypatch.setattr(toxicity, "scored_rows", lambda rows, model, **given: asked.append(given) or rows.withColumn(given["score_col"], F.lit(0.0)))
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert len(asked) == 2 and all(x["bytes_each"] < toxicity.READ_BYTES and x["entries"] < toxicity.ENTRIES for x in asked)
