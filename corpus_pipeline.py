@@ -22,13 +22,16 @@ TOXIC = 0.3
 #: Confidence in the fused language below which no language is decided.
 DECIDED = 0.5
 #: Bytes of text that a task of a stage reads at once: less than the operators alone, as workers and executors hold more by then.
-BYTES_EACH = 1 << 19
+BYTES_EACH = 1 << 18
 #: Tokens that a worker of a stage keeps, for the same reason: later ones are read each time.
-ENTRIES = 50_000
+ENTRIES = 20_000
+#: Rows of a Parquet file that a task decodes at once: with whole texts in them, Spark's 4096 take arrays of many MB of the executor's heap.
+READ_ROWS = 512
 #: Share of texts that are expected to be in none of the corpus's languages.
 OTHER = 0.01
 
 
+READER = "spark.sql.parquet.columnarReaderBatchSize"
 _last: dict[str, list[str]] = {}
 
 
@@ -39,6 +42,8 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         app = spark.sparkContext.applicationId
         drop_paths(spark, _last.pop(app, []))
+        if int(spark.conf.get(READER)) > READ_ROWS:
+            spark.conf.set(READER, str(READ_ROWS))
         with recorded(spark) as paths:
             out = f(spark, docs, sf_dir)
         _last[app] = paths
@@ -68,7 +73,7 @@ def drop_undecided_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     source = F.col("source")
     row = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
     evidence = docs.select(row, source.alias("host"), source.alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
-    found = langid.identify(evidence, langid.text_model(docs), keep_text=True)
+    found = langid.identify(evidence, langid.text_model(docs, bytes_each=BYTES_EACH), keep_text=True, bytes_each=BYTES_EACH)
     other = F.lit(math.log(OTHER)) - F.col("n_trigrams") * F.lit(langid.TEMPER * math.log(langid.BINS))
     decided = found.filter((F.col("n_trigrams") > 0) & (other <= F.array_max("loglik")) & (F.col("confidence") >= DECIDED))
     return decided.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

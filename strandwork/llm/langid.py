@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import forget, slices, stored, texts_of
+from strandwork.llm.common import SLICE_BYTES, forget, slices, stored, texts_of
 from strandwork.llm.reputation import SUFFIXES, with_domain
 
 #: Bins of letter trigrams.
@@ -43,12 +43,12 @@ def trigram_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bins[kept], np.bincount(owner[kept], minlength=len(texts))
 
 
-def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = LANGS) -> tuple[list[str], np.ndarray]:
+def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = LANGS, bytes_each: int = SLICE_BYTES) -> tuple[list[str], np.ndarray]:
     """Languages and log P(bin | language): smoothed counts over every text whose language is declared.
 
     Tasks add up their texts and hand on one row for each language and bin; rows with a null
     language or text add nothing. Of a corpus with more than `most` languages the most frequent ones (ties by name) are told by name and all others
-    are one, REST: so the model's size is bounded whatever the column holds, and no text is left out.
+    are one, REST: so the model's size is bounded whatever the column holds, and no text is left out. Texts of some bytes_each are read together.
     """
     base = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     found = [r["lang"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()] or ["und"]
@@ -61,7 +61,7 @@ def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("languages")
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", bytes_each):
             langs, texts = batch.column("lang").to_pylist(), texts_of(batch)
             for lang in known.intersection(langs):
                 bins, _ = trigram_bins([t for t, x in zip(texts, langs, strict=True) if x == lang])
@@ -78,7 +78,7 @@ def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return langs, np.log(counts / counts.sum(0))
 
 
-def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep_text: bool = False, bytes_each: int = SLICE_BYTES) -> DataFrame:
     """The rows with n_trigrams and loglik, the tempered log likelihood of the whole text by language, for the text column (or besides it).
 
     Columns that have the name of a new one are replaced; null texts count as empty.
@@ -91,7 +91,7 @@ def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("languages")
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, bytes_each):
             bins, counts = trigram_bins(texts_of(batch, text_col))
             sums = np.zeros((batch.num_rows, len(langs)))
             some = np.flatnonzero(counts)
@@ -157,6 +157,6 @@ def page_evidence(pages: DataFrame, suffixes: frozenset[str] = SUFFIXES) -> Data
     return with_domain(found, suffixes).select("page_id", "host", "domain", "suffix", "declared", "text")
 
 
-def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
+def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False, bytes_each: int = SLICE_BYTES) -> DataFrame:
     """Evidence rows with text to rows with lang_id, confidence and posterior; likelihoods are written to the shared folder."""
-    return fuse(stored(likelihoods(evidence, model, keep_text=keep_text), "likelihoods"), model[0])
+    return fuse(stored(likelihoods(evidence, model, keep_text=keep_text, bytes_each=bytes_each), "likelihoods"), model[0])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import SLICE_BYTES, gathered, partitions, stored
+from strandwork.llm.common import SLICE_BYTES, forget, gathered, partitions, stored, tidy
 from strandwork.llm.tokens import ENTRIES, encoder
 
 #: Pieces that one task packs: some tens of MB, and about a second.
@@ -119,6 +119,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
 
     def share(tag: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forget("packing")
             rows = pd.concat([*frames], ignore_index=True)
             if not len(rows):
                 return
@@ -133,6 +134,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", pieces_ea
             loose = fill < capacity - capacity // 50
             loose[np.argmin(fill)] |= fill.min() < capacity
             yield rows.assign(sequence_id=(tag << 48) + (TaskContext.get().partitionId() << 24) + bins, offset=places, loose=loose[bins], open=loose[bins] | (not certified))
+            del rows, sizes, bins, places
+            tidy()
 
         return run
 

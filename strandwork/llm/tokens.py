@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from strandwork.llm.common import kept
+from strandwork.llm.common import kept, tidy
 
 #: Marks a piece without a leading blank; texts that hold it are not cut into pieces.
 BARE = "\x01"
@@ -50,6 +50,8 @@ class PieceEncoder:
         self.whole = any(" " in t for t in added)
         self.entries = entries
         self.memo: dict[str, bytes] = {BARE: b"", "\n": self._library(["\n"])[0]}
+        # what the file and the vocabulary took to read
+        tidy()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -2,8 +2,9 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from strandwork.llm import simhash
+from strandwork.llm import langid, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,6 +79,30 @@ def test_mix_takes_documents_whole(spark, docs):
     assert out.exceptAll(docs.unionByName(docs)).count() == 0 and 0 < out.count() <= docs.count()
 
 
+def test_stages_decode_few_rows_at_once(spark, docs):
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(reader)
+    try:
+        spark.conf.set(reader, "4096")
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mix_languages):
+            stage(spark, docs, SF)
+            assert int(spark.conf.get(reader)) == corpus_pipeline.READ_ROWS <= 512
+        spark.conf.set(reader, "100")
+        corpus_pipeline.mix_languages(spark, docs, SF)
+        assert spark.conf.get(reader) == "100"
+    finally:
+        spark.conf.set(reader, before)
+
+
+def test_languages_are_the_same_whatever_is_read_at_once(spark, docs):
+    evidence = docs.select("doc_id", F.col("source").alias("host"), F.col("source").alias("domain"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
+    found = []
+    for most in (1 << 10, 1 << 19):
+        rows = langid.identify(evidence, langid.text_model(docs, bytes_each=most), bytes_each=most).select("doc_id", "n_trigrams", "lang_id", F.round("confidence", 6)).collect()
+        found.append(sorted(map(tuple, rows)))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 def test_run_ends_in_pieces(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "bound", "certified"} == set(out.columns) and out.count() > 0
