@@ -37,13 +37,13 @@ def only_bases(reads: DataFrame, strict: bool = False) -> DataFrame:
     return reads.filter(fits)
 
 
-def _pieces(reads: DataFrame, width: int, *cols: str) -> DataFrame:
+def in_pieces(reads: DataFrame, width: int, *cols: str) -> DataFrame:
     """cols, base (where it begins) and piece: the reads cut so that each window of `width` bases is in one piece, and no array holds a long read's."""
     cut = F.expr(f"transform(sequence(0, cast((length(seq) - {width}) div {PIECE} AS int)), c -> struct(c * {PIECE} AS base, substring(seq, c * {PIECE} + 1, {PIECE + width - 1}) AS piece))")
     return long_enough(reads, width).select(*cols, F.inline(cut))
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+def in_parts(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of some BLOCK letters each, a longer read alone."""
     ends, start = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64), 0
     while start < len(column):
@@ -78,7 +78,7 @@ def _listed(values: pa.Array, sizes: np.ndarray) -> pa.Array:
 
 
 def _in_blocks(f: Callable[[pa.Array], pa.Array], seq: pa.Array, kind: pa.DataType) -> pa.Array:
-    found = [f(seq.slice(a, b - a)) for a, b in _parts(seq)]
+    found = [f(seq.slice(a, b - a)) for a, b in in_parts(seq)]
     return pa.concat_arrays(found) if found else pa.array([], pa.list_(kind))
 
 
@@ -94,10 +94,25 @@ def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
         return _listed(_strings(np.lib.stride_tricks.sliding_window_view(letters, width)[ends[owner] + at]), n)
 
     found = F.arrow_udf(lambda seq: _in_blocks(block, seq, pa.string()), T.ArrayType(T.StringType()))
-    pieces = _pieces(reads, width, *cols).select(*cols, "base", found("piece").alias("mers"))
+    pieces = in_pieces(reads, width, *cols).select(*cols, "base", found("piece").alias("mers"))
     return pieces.select(*cols, "base", F.posexplode_outer("mers").alias("at", "mer")).filter("mer IS NOT NULL").select(*cols, (F.col("base") + F.col("at")).alias("pos"), "mer")
 
 
+def mer_numbers(seq: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of `width` bases of strings of bases as a number, two bits a base, with its string and its place there."""
+    letters, ends = _letters(seq)
+    digits = np.full(256, 4, np.int64)
+    digits[list(BASES.encode())] = range(4)
+    found = digits[letters]
+    if len(found) and found.max() > 3:
+        raise ValueError("not a sequence of bases")
+    code = np.zeros(max(len(found) - width + 1, 0), np.int64)
+    for i in range(width):
+        code = code << 2 | found[i : len(code) + i]
+    owner, at = _places(ends, width)
+    return code[ends[owner] + at], owner, at
+
+
 def counted(reads: DataFrame, width: int, keys: list[str], deal: bool = False) -> DataFrame:
     """keys, kmer and n: how often each window of `width` bases occurs in a piece of a read. deal: the counts of a piece go to its keys' task together."""
     kind = pa.struct([("kmer", pa.string()), ("n", pa.int64())])
@@ -125,7 +140,7 @@ def counted(reads: DataFrame, width: int, keys: list[str], deal: bool = False) -
         return _listed(rows, np.bincount(code >> 2 * width, minlength=len(seq)))
 
     counts = F.arrow_udf(lambda seq: _in_blocks(block, seq, kind), T.ArrayType(T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])))
-    found = _pieces(reads, width, *keys).select(*keys, counts("piece").alias("counts"))
+    found = in_pieces(reads, width, *keys).select(*keys, counts("piece").alias("counts"))
     # outer: the others filter by the size of the list first, for which it would be made twice
     return (found.repartition(*keys) if deal and keys else found).select(*keys, F.inline_outer("counts")).filter("kmer IS NOT NULL")
 

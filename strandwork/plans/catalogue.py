@@ -462,10 +462,9 @@ def euler_ends_k12(spark, sf_dir):
     UNION ALL SELECT 'end', id, NULL, out_deg - in_deg FROM d WHERE out_deg <> in_deg""")
 def euler_trails_whole(spark, sf_dir):
     """Trails of one graph of all documents, found by joins: all edges that they take, as often as they occur, and where more of them begin than end, as few as the degrees allow."""
-    trails = circuits.euler_trails(kmers.edges(spread_bases(spark, sf_dir), 12, grouped=False))
-    ahead = trails.select("path_id", (F.col("pos") - 1).alias("pos"), F.col("id").alias("b"))
-    edges = trails.join(ahead, ["path_id", "pos"]).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "a", "b", "n")
-    ends = trails.groupBy("path_id").agg(F.min_by("id", "pos").alias("s"), F.max_by("id", "pos").alias("e"))
+    trails = circuits.euler_walks(spread_bases(spark, sf_dir), 12)
+    edges = kmers.edges(trails.select("seq"), 12, grouped=False).select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("multiplicity").alias("n"))
+    ends = trails.groupBy("path_id").agg(F.min_by(F.left("seq", F.lit(12)), "pos").alias("s"), F.max_by(F.right("seq", F.lit(12)), "pos").alias("e"))
     each = ends.select(F.explode(F.array(F.struct(F.col("s").alias("a"), F.lit(1).alias("n")), F.struct(F.col("e").alias("a"), F.lit(-1).alias("n")))).alias("x")).groupBy("x.a").agg(F.sum("x.n").alias("n"))
     return edges.unionByName(each.filter("n <> 0").select(F.lit("end").alias("what"), "a", F.lit(None).cast("string").alias("b"), "n"))
 

@@ -368,6 +368,38 @@ def test_trails_by_joins_use_every_edge_in_as_few_trails(spark, monkeypatch, see
             assert v[0] == min(branches & {*v} or v), (g, v)
 
 
+@pytest.mark.parametrize("short", [1 << 20, 20])
+def test_trails_of_reads_go_over_a_row_a_read(spark, monkeypatch, short):
+    rng, rows = random.Random(short), []
+    monkeypatch.setattr(lists, "SHORT", short)
+    # a read of several pieces, circles, copies, reads without an edge, and letters that make parts of their own
+    monkeypatch.setattr(kmers, "PIECE", 40)
+    seqs = ["".join(rng.choices("ACG", k=rng.randrange(30))) for _ in range(40)] + ["T" * 50, "TTTTT", "ACG", "", "".join(rng.choices("ACGT", k=300))]
+    circle = "GATTAGATCCATGGATT"
+    given = reads(spark, [*seqs, circle + circle[:3], seqs[1], seqs[1]])
+    plain = circuits.stored
+    monkeypatch.setattr(circuits, "stored", lambda df, tag: rows.append(out := plain(df, tag)) or out)
+    sizes = []
+    monkeypatch.setattr(circuits, "drop_paths", lambda spark, paths: sizes.extend(spark.read.parquet(r.stored_path).count() for r in rows))
+    out = circuits.euler_walks(given, 3)
+    trails = {}
+    for r in sorted(out.collect()):
+        path = trails.setdefault(r["path_id"], r["seq"][:3] if r["pos"] == 0 else None)
+        # a piece begins where the one before ends
+        assert len(path) == r["pos"] + 3 and path[-3:] == r["seq"][:3] and len(r["seq"]) > 3
+        trails[r["path_id"]] = path + r["seq"][3:]
+    walked = Counter(t[i : i + 4] for t in trails.values() for i in range(len(t) - 3))
+    edges = kmers.edges(given, 3, grouped=False)
+    assert walked == Counter({r["src"] + r["dst"][-1]: r["multiplicity"] for r in edges.collect()})
+    fewest = {}
+    for r in traverse.euler_paths(edges).collect():
+        fewest.setdefault(r["path_id"], {})[r["pos"]] = r["id"]
+    ends = lambda found: (len(found), sorted(a for a, b in found if a != b), sorted(b for a, b in found if a != b))
+    assert ends([(t[:3], t[-3:]) for t in trails.values()]) == ends([(t[0], t[max(t)]) for t in fewest.values()])
+    # before, tables had a row for each edge as often as it occurs
+    assert max(sizes) < 300 < sum(walked.values())
+
+
 def test_copies_come_in_steps(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1024), ("d", 2500)], "k string, m long")
     out = circuits._copies(rows, "m").groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d"), F.max("copy").alias("x")).collect()
