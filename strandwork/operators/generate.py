@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwork.operators.kmers import in_parts
+
 # The linear congruential step that both this engine and plain SQL can compute in 64 bits.
 MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2147483648
 
@@ -47,6 +51,12 @@ def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: i
         raise ValueError("piece lengths take 1 <= low <= high")
     names = ["copy", "read_id", "start", "seq"]
 
+    def cut_all(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        # the copies take many times a sequence's bytes
+        for key, seq in batches:
+            for a, b in in_parts(seq):
+                yield cut(key.slice(a, b - a), seq.slice(a, b - a))
+
     def cut(key: pa.Array, seq: pa.Array) -> pa.Array:
         texts, parts, counts = seq.to_pylist(), [], []
         each = np.arange(copies, dtype=np.int64)[:, None]
@@ -69,7 +79,7 @@ def split_reads(sequences_: DataFrame, low: int, high: int, copies: int, seed: i
 
     kind = T.ArrayType(T.StructType([T.StructField("copy", T.IntegerType()), T.StructField("read_id", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("seq", T.StringType())]))
     whole = sequences_.filter((F.length("seq") > 0) & F.col("group_key").isNotNull())
-    pieces = whole.select("group_key", F.arrow_udf(cut, kind)(F.col("group_key").cast("long"), "seq").alias("pieces"))
+    pieces = whole.select("group_key", F.arrow_udf(cut_all, kind)(F.col("group_key").cast("long"), "seq").alias("pieces"))
     # outer: the others filter by the size of the list first, for which it would be made twice
     out = pieces.select("group_key", F.inline_outer("pieces"))
     return out if progress is None else observed_pieces(out, progress, copies)

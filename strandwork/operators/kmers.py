@@ -77,9 +77,15 @@ def _listed(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
-def _in_blocks(f: Callable[[pa.Array], pa.Array], seq: pa.Array, kind: pa.DataType) -> pa.Array:
-    found = [f(seq.slice(a, b - a)) for a, b in in_parts(seq)]
-    return pa.concat_arrays(found) if found else pa.array([], pa.list_(kind))
+def _in_blocks(f: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """f of some BLOCK letters at once: windows take many times a text's bytes, so that they leave a task in smaller batches than texts come."""
+
+    def blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for seq in batches:
+            for a, b in in_parts(seq):
+                yield f(seq.slice(a, b - a))
+
+    return blocks
 
 
 def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
@@ -93,7 +99,7 @@ def _windows(reads: DataFrame, width: int, *cols: str) -> DataFrame:
         owner, at = _places(ends, width)
         return _listed(_strings(np.lib.stride_tricks.sliding_window_view(letters, width)[ends[owner] + at]), n)
 
-    found = F.arrow_udf(lambda seq: _in_blocks(block, seq, pa.string()), T.ArrayType(T.StringType()))
+    found = F.arrow_udf(_in_blocks(block), T.ArrayType(T.StringType()))
     pieces = in_pieces(reads, width, *cols).select(*cols, "base", found("piece").alias("mers"))
     return pieces.select(*cols, "base", F.posexplode_outer("mers").alias("at", "mer")).filter("mer IS NOT NULL").select(*cols, (F.col("base") + F.col("at")).alias("pos"), "mer")
 
@@ -139,12 +145,21 @@ def counted(reads: DataFrame, width: int, keys: list[str], deal: bool = False) -
         rows = pa.StructArray.from_arrays([_strings(np.frombuffer(BASES.encode(), np.uint8)[mer]), pa.array(n.astype(np.int64))], fields=list(kind))
         return _listed(rows, np.bincount(code >> 2 * width, minlength=len(seq)))
 
-    counts = F.arrow_udf(lambda seq: _in_blocks(block, seq, kind), T.ArrayType(T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])))
+    counts = F.arrow_udf(_in_blocks(block), T.ArrayType(T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])))
     found = in_pieces(reads, width, *keys).select(*keys, counts("piece").alias("counts"))
     # outer: the others filter by the size of the list first, for which it would be made twice
     return (found.repartition(*keys) if deal and keys else found).select(*keys, F.inline_outer("counts")).filter("kmer IS NOT NULL")
 
 
+def group_edges(seqs: list[str | None], k1: int, multi: bool = True, least: int = 1) -> dict[tuple[str, str], int]:
+    """The edges of one group's reads as {(src, dst): multiplicity}, those that occur `least` times."""
+    counts: Counter = Counter()
+    for s in seqs:
+        if s:
+            counts.update(s[i : i + k1 + 1] for i in range(len(s) - k1))
+    return {(m[:-1], m[1:]): n if multi else 1 for m, n in counts.items() if (n if multi else 1) >= least}
+
+
 def mers(reads: DataFrame, length: int) -> DataFrame:
     """group_key, read_id, pos (from 0) and mer of every window of `length` bases."""
     return _windows(reads, length, "group_key", "read_id")
@@ -159,7 +174,7 @@ def edges(reads: DataFrame, k1: int, multi: bool = True, grouped: bool = True, d
     """Edges (group_key), src, dst, multiplicity between the consecutive k1-mers of the reads.
 
     Occurrences are counted by k-mer, by blocks of reads before the one shuffle, and split into their ends afterwards. deal is for groups that fit a
-    task: that shuffle is by group then, so that degrees, flags and graphs of groups need no further one. Without multi every
+    task: that shuffle is by group then, so that degrees, flags and graphs of groups need no further one (where no edge need leave its task, traverse.per_group and settled count them of the reads). Without multi every
     edge has multiplicity 1; without grouped all reads make one graph. payload names further columns of the reads and the aggregate (F.min,
     F.max, F.sum ...) that an edge's occurrences are merged by; contract.contract takes them on to chains, digraph.vertex_payload to vertices.
     """

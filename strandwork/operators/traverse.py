@@ -6,6 +6,7 @@ task's work. Groups that do not fit a worker go by the joins of `contract.py`.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandwork.operators import contract as joins
+from strandwork.operators import kmers
 from strandwork.shared import stored
 
 Edges = dict[tuple, int]
@@ -239,14 +241,16 @@ RESULTS = 20_000
 def _groups(batches: Iterable[pa.RecordBatch], names: list[str], most: int | None = None) -> Iterator[tuple]:
     """Key and columns of each group of rows that come group by group, a group's first with _number 1, and whether the group is whole.
 
-    Groups of more than `most` rows come in parts of about as many, which are not whole: no more is held.
+    Groups of more than `most` rows (bytes of reads, if they have a seq) come in parts of about as many, which are not whole: no more is held.
     """
     held: list[pa.RecordBatch] = []
     over = False
+    # reads count by their bases
+    size = lambda x: x.column("seq").nbytes if "seq" in names else x.num_rows
 
     def part() -> tuple:
         one = pa.Table.from_batches(held)
-        return one.column("group_key").slice(0, 1), [one.column(c).to_pylist() for c in names], not over and (most is None or one.num_rows <= most)
+        return one.column("group_key").slice(0, 1), [one.column(c).to_pylist() for c in names], not over and (most is None or sum(map(size, held)) <= most)
 
     for batch in batches:
         number = np.asarray(batch.column("_number"))
@@ -254,7 +258,7 @@ def _groups(batches: Iterable[pa.RecordBatch], names: list[str], most: int | Non
         before = starts[0] if starts else batch.num_rows
         if before:
             held.append(batch.slice(0, before))
-        if held and (starts or most is not None and sum(x.num_rows for x in held) > most):
+        if held and (starts or most is not None and sum(map(size, held)) > most):
             yield part()
             held, over = [], not starts
         if not starts:
@@ -263,7 +267,7 @@ def _groups(batches: Iterable[pa.RecordBatch], names: list[str], most: int | Non
         # groups that are whole are cut from lists of the batch
         keys, columns = batch.column("group_key"), [batch.column(c).to_pylist() for c in names]
         for i, j in zip(starts, starts[1:], strict=False):
-            yield pa.chunked_array([keys.slice(i, 1)]), [c[i:j] for c in columns], most is None or j - i <= most
+            yield pa.chunked_array([keys.slice(i, 1)]), [c[i:j] for c in columns], most is None or size(batch.slice(i, j - i)) <= most
         held = [batch.slice(starts[-1])]
     if held:
         yield part()
@@ -274,20 +278,25 @@ def _marked(edges: DataFrame, read: list[str]) -> DataFrame:
     return edges.select("group_key", *read, F.row_number().over(Window.partitionBy("group_key").orderBy("group_key")).alias("_number"))
 
 
-def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
+def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]], count: Callable[[list], Edges] | None = None) -> DataFrame:
     """Rows of f for each group's edges, each group one task's work; without group_key all edges are one group.
 
+    count makes a group's edges of its reads (group_key, seq), which are given in place of edges then: bases are shuffled and sorted, and no edge leaves its task.
+
     Edges with low and place (contract.reduced) give f besides what src stands for: {src: (low, place)}. A task takes its groups one behind
     the other from batches of rows sorted by group: most groups are small, and a call for each would cost more than its work.
     """
     grouped = "group_key" in edges.columns
-    kind = edges.schema["src"].dataType.simpleString()
+    kind = "string" if count else edges.schema["src"].dataType.simpleString()
     own = T.StructType.fromDDL(schema.replace("ID", kind))
     whole = T.StructType([*([edges.schema["group_key"]] if grouped else []), *own.fields])
     names = whole.fieldNames()
-    read = ["src", "dst", "multiplicity", *(["low", "place"] if "low" in edges.columns else [])]
+    read = ["seq"] if count else ["src", "dst", "multiplicity", *(["low", "place"] if "low" in edges.columns else [])]
 
     def found(columns: list[list]) -> list[tuple]:
+        if count:
+            own_edges = count(columns[0])
+            return f(own_edges) if own_edges else []
         src, _, _, *extra = columns
         return f(_summed(*columns[:3]), *([dict(zip(src, zip(*extra, strict=True), strict=True))] if extra else []))
 
@@ -322,15 +331,17 @@ def per_group(edges: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> D
     return _marked(edges, read).mapInArrow(stream, whole)
 
 
-def settled(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]], most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def settled(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]], most: int | None = None, count: Callable[[list], Edges] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of f for each group of at most `most` (PIECE) edges, and the edges of all other groups, from one stored pass.
 
+    count makes a group's edges of its reads, as in per_group; of groups of more than `most` bytes of bases the reads are left then.
+
     What algorithms by joins begin with: their rounds cost a table each, and most groups need none. A task holds the edges of one such
     group and a batch; larger groups pass in parts, as do those with null ends, which have no order.
     """
     most = PIECE if most is None else most
-    read = ["src", "dst", "multiplicity"]
-    own = T.StructType.fromDDL(schema.replace("ID", edges.schema["src"].dataType.simpleString()))
+    read = ["seq"] if count else ["src", "dst", "multiplicity"]
+    own = T.StructType.fromDDL(schema.replace("ID", "string" if count else edges.schema["src"].dataType.simpleString()))
     # both kinds of rows in one table
     fields = [T.StructField(f"found_{x.name}", x.dataType) for x in own.fields] + [T.StructField(f"left_{c}", edges.schema[c].dataType) for c in read]
     whole = T.StructType([edges.schema["group_key"], T.StructField("is_left", T.BooleanType()), *fields])
@@ -349,11 +360,12 @@ def settled(edges: DataFrame, schema: str, f: Callable[[Edges], list[tuple]], mo
             return rows_of(key, list(zip(*rows, strict=True)), False)
 
         for key, columns, is_whole in _groups(batches, read, most):
-            if not is_whole or None in columns[0] or None in columns[1]:
+            if not is_whole or not count and (None in columns[0] or None in columns[1]):
                 n = len(columns[0])
                 yield rows_of(pa.concat_arrays(key.chunks).take(pa.array(np.zeros(n, np.int64))), columns, True)
                 continue
-            more = f(_summed(*columns))
+            own_edges = count(columns[0]) if count else _summed(*columns)
+            more = f(own_edges) if own_edges else []
             if more:
                 keys.append(key)
                 sizes.append(len(more))
@@ -425,6 +437,26 @@ def euler_paths(edges: DataFrame, largest: int | None = None, most: int | None =
     return by_size(edges, walk, large, largest, most)
 
 
+def euler_paths_of_reads(reads: DataFrame, k1: int, largest: int, most: int | None = None) -> DataFrame:
+    """euler_paths of each group's reads: where groups fit a worker (largest, a bound of their edges, tells), their edges are counted in the task that walks them."""
+    if largest > (WORKER_EDGES if most is None else most):
+        return euler_paths(kmers.edges(reads, k1), largest, most)
+    return per_group(reads, "path_id int, pos int, id ID", lambda x: [(i, j, v) for i, t in enumerate(trails(x)) for j, v in enumerate(t)], lambda seqs: kmers.group_edges(seqs, k1))
+
+
+def walked_edges(reads: DataFrame, k1: int, largest: int, most: int | None = None) -> DataFrame:
+    """(group_key), src, dst, multiplicity: the edges that the trails of euler_paths_of_reads take, as often as they do, counted in the task that walks a group that fits a worker."""
+    if largest > (WORKER_EDGES if most is None else most):
+        path = Window.partitionBy("group_key", "path_id").orderBy("pos")
+        steps = euler_paths_of_reads(reads, k1, largest, most).select("group_key", F.col("id").alias("src"), F.lead("id").over(path).alias("dst")).filter("dst IS NOT NULL")
+        return steps.groupBy("group_key", "src", "dst").agg(F.count("*").alias("multiplicity"))
+
+    def steps_of(edges: Edges) -> list[tuple]:
+        return [(*e, n) for e, n in Counter(e for t in trails(edges) for e in zip(t, t[1:], strict=False)).items()]
+
+    return per_group(reads, "src ID, dst ID, multiplicity bigint", steps_of, lambda seqs: kmers.group_edges(seqs, k1))
+
+
 def contract(edges: DataFrame, must_match: bool = False, largest: int | None = None, most: int | None = None) -> DataFrame:
     """(group_key), head, tail, vertices, multiplicity, n_vertices of each group's chains."""
     small = lambda e: per_group(e, CHAIN, lambda x: chain_rows(x, must_match))

@@ -112,10 +112,14 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.normalise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
 
 
+#: Tasks among which texts are spread that the scan gives to fewer.
+SPREAD = 32
+
+
 def spread_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bases where each makes much work: texts that the scan gives to fewer tasks than the session's shuffles have are dealt out first."""
+    """bases where each makes much work: texts that the scan gives to fewer tasks than the session's shuffles have (SPREAD at most) are dealt out first."""
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return kmers.normalise(texts if texts.rdd.getNumPartitions() >= tasks else texts.repartition(tasks), "doc_id", "text")
 
 
@@ -126,7 +130,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     place: every later grouping has the document among its keys. The count of partitions is the session's, which
     AQE would else melt down to the bytes of the bases.
     """
-    return bases(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_key")
+    return spread_bases(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_key")
 
 
 def edges(spark: SparkSession, sf_dir: str, k1: int) -> DataFrame:
@@ -439,15 +443,13 @@ def euler_edge_counts_k12(spark, sf_dir):
 
 @query()
 def euler_paths_k12(spark, sf_dir):
-    return traverse.euler_paths(edges(spark, sf_dir, 12), largest=most_bases(spark, sf_dir))
+    return traverse.euler_paths_of_reads(reads(spark, sf_dir), 12, largest=most_bases(spark, sf_dir))
 
 
 @query(f"WITH {edges_sql(12)} SELECT * FROM e")
 def euler_edges_k12(spark, sf_dir):
     """The steps of all trails: every edge, as often as it occurs."""
-    path = Window.partitionBy("group_key", "path_id").orderBy("pos")
-    steps = euler_paths_k12(spark, sf_dir).select("group_key", F.col("id").alias("src"), F.lead("id").over(path).alias("dst"))
-    return digraph.from_pairs(steps.filter("dst IS NOT NULL"))
+    return traverse.walked_edges(reads(spark, sf_dir), 12, largest=most_bases(spark, sf_dir))
 
 
 @query(f"WITH {edges_sql(12)}, {degrees_sql('e')} SELECT group_key, id, greatest(out_deg - in_deg, 0) AS n_starts, greatest(in_deg - out_deg, 0) AS n_ends FROM d WHERE out_deg <> in_deg")

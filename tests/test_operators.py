@@ -760,3 +760,35 @@ def test_groups_are_whole_whatever_the_batches(spark):
             assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def grouped_reads(seed):
+    """Reads of groups: one of a repeat, one of several reads, long and short ones, one without an edge, nulls."""
+    rng = random.Random(seed)
+    seqs = [(g, "".join(rng.choices("ACGT" if g % 3 else "AC", k=rng.randrange(60)))) for g in range(25) for _ in range(rng.choice([1, 1, 4]))]
+    return [*seqs, (30, "ACGTTGCAACCA"), (31, "AC"), (32, None), (33, "GATTACA" * 9), (33, "CATTAG")]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_windows_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(kmers, "BLOCK", 100)
+    texts = ["ACGT" * 10] * 20 + ["A" * 300]
+    # before, a batch of texts was one batch of windows
+    sizes = [len(x) for x in kmers._in_blocks(lambda seq: seq)(iter([pa.array(texts), pa.array([], pa.string())]))]
+    assert sum(sizes) == 21 and max(sizes) == 2
+
+
+def test_walked_edges_are_counted_where_they_are_walked(spark):
+    data = grouped_reads(1)
+    given = spark.createDataFrame(data, "group_key long, seq string")
+    want = Counter((g, s[i : i + 3], s[i + 1 : i + 4]) for g, s in data if s for i in range(len(s) - 3))
+    for most in (None, 0):
+        assert {tuple(r)[:3]: r[3] for r in traverse.walked_edges(given, 3, 100, most).collect()} == want
+    # before, counts, trails and steps were shuffled
+    found = traverse.walked_edges(given, 3, 100)
+    assert shuffles(found) == 1 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    paths = [sorted(map(tuple, x.collect())) for x in (traverse.euler_paths_of_reads(given, 3, 100), traverse.euler_paths(kmers.edges(given, 3), 100))]
+    assert paths[0] == paths[1]
