@@ -112,17 +112,21 @@ def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = F
 def assemble_reads(reads: DataFrame, k1: int, coverage: int | None = None, multi: bool = True, gate: bool | None = None, largest: int | None = None, most: int | None = None, compat: bool = False) -> DataFrame:
     """contigs(group_key, contig_id, seq, status) of each group's reads.
 
-    Edges are counted and filtered by coverage over all groups at once; a group that fits a worker is then assembled in one task, a
-    larger one after its chains are contracted by joins (assemble_large). With coverage the graph must have one source and one sink and
-    repeats are rectified. Groups without an edge give no contig. largest is a bound of a group's edges, if the caller knows one. compat
+    Where all groups fit a worker (largest, a bound of a group's edges, tells), the edges of each are counted in the task that assembles it, and nothing but bases is shuffled (nor these, where the
+    reads are dealt by group already). Else edges are counted and filtered by coverage over all groups at once; a group that fits is then assembled in one task, a larger one after its chains are contracted by joins (assemble_large). With coverage the graph must have one source and one sink and
+    repeats are rectified. Groups without an edge give no contig. compat
     gives the contigs of the plain rule (assemble_compat) instead, each group in one task, whatever its size.
     """
     fits = largest is not None and largest <= (traverse.WORKER_EDGES if most is None else most)
-    edges = build.covered(kmers.edges(reads, k1, multi, deal=fits), coverage)
+    schema, gate = "contig_id int, seq string, status string", coverage is not None if gate is None else gate
+    one = assemble_compat if compat else lambda x: assemble_group(x, coverage, gate)
+    if fits and "group_key" in reads.columns:
+        least = 1 if coverage is None else build.least_multiplicity(coverage)
+        return traverse.per_group(reads, schema, one, lambda seqs: kmers.group_edges(seqs, k1, multi, least))
+    edges = build.covered(kmers.edges(reads, k1, multi), coverage)
     if compat:
-        return traverse.per_group(edges, "contig_id int, seq string, status string", assemble_compat)
-    gate = coverage is not None if gate is None else gate
-    small = lambda e: traverse.per_group(e, "contig_id int, seq string, status string", lambda x: assemble_group(x, coverage, gate))
+        return traverse.per_group(edges, schema, one)
+    small = lambda e: traverse.per_group(e, schema, one)
     return traverse.by_size(edges, small, lambda e: assemble_large(e, coverage, gate).select("group_key", "contig_id", "seq", "status"), largest, most)
 
 

@@ -792,3 +792,13 @@ def test_walked_edges_are_counted_where_they_are_walked(spark):
     assert shuffles(found) == 1 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
     paths = [sorted(map(tuple, x.collect())) for x in (traverse.euler_paths_of_reads(given, 3, 100), traverse.euler_paths(kmers.edges(given, 3), 100))]
     assert paths[0] == paths[1]
+
+
+def test_small_groups_are_assembled_where_their_bases_are(spark):
+    given = spark.createDataFrame(grouped_reads(2), "group_key long, seq string")
+    for coverage, multi in ((None, True), (None, False), (3, True)):
+        found = assemble.assemble_reads(given, 3, coverage, multi, largest=100)
+        rows = lambda x: sorted(map(tuple, x.select("group_key", "contig_id", "seq", "status").collect()), key=str)
+        assert rows(found) == rows(assemble.assemble_reads(given, 3, coverage, multi)) != []
+        # before, the counts of all windows were shuffled
+        assert shuffles(found) == 1 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
