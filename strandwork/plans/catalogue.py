@@ -547,8 +547,8 @@ def assemble_reads_cov(spark, sf_dir):
 @query(f"{COVERED} SELECT e.group_key, e.src, e.dst FROM e JOIN g USING (group_key) WHERE n_sources = 1 AND n_sinks = 1")
 def assemble_cov_edges(spark, sf_dir):
     """The edges that the contigs spell: all covered ones of the groups that pass the gate."""
-    contigs = assemble_reads_cov(spark, sf_dir).select("group_key", F.lit(0).alias("read_id"), "seq").filter("seq IS NOT NULL")
-    return kmers.edges(contigs, 12, multi=False).select("group_key", "src", "dst")
+    contigs = assemble_reads_cov(spark, sf_dir).select("group_key", "seq").filter("seq IS NOT NULL")
+    return traverse.per_group(contigs, "src ID, dst ID", list, lambda seqs: kmers.group_edges(seqs, 12, multi=False))
 
 
 @query(f"{COVERED} SELECT group_key, CASE WHEN n_sources > 1 THEN 'multi_source' WHEN n_sinks > 1 THEN 'multi_sink' ELSE 'no_end' END AS status FROM g WHERE n_sources <> 1 OR n_sinks <> 1")
