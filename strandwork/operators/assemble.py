@@ -84,14 +84,52 @@ def assemble_compat(edges: Edges) -> list[tuple[int, str, str]]:
     return [(i, spell_path(t) if t else "", "compat") for i, t in enumerate(cut)]
 
 
-def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = False) -> DataFrame:
+#: The columns of a contracted graph with the labels of its chains: a node's edge, if it has one, the least vertex that src stands for and its place, and a chain's label.
+LABELLED = "src ID, dst ID, multiplicity bigint, low ID, place int, label string"
+
+
+def _labelled_group(e: Edges) -> list[tuple]:
+    """A group's contracted graph as rows of LABELLED: one for each chain, and one for each edge out of a branch."""
+    chains = traverse.chains_of(e, must_match=True)
+    inside = {v for c in chains for v in c["vertices"]}
+    rows = [(u, v, m, u, 0, None) for (u, v), m in e.items() if u not in inside]
+    for c in chains:
+        last, low = (c["vertices"][-1], c["tail"]), min(c["vertices"])
+        rows.append((c["head"], c["tail"], e.get(last), low, c["vertices"].index(low), spell_path(c["vertices"])))
+    return rows
+
+
+def _labelled(edges: DataFrame, k1: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The contracted graph of the edges (contract.reduced with lows) and the labels of its chains, by head. Groups of at most traverse.PIECE edges are contracted in one stored pass, from which labels come and no lists of vertices.
+
+    With k1 reads are given in place of edges, which are counted in that pass.
+    """
+    keys = ["group_key"] if "group_key" in edges.columns else []
+
+    def by_joins(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = stored(kmers.edges(own, k1, grouped=bool(keys)) if k1 else own, "edges")
+        chains = stored(contract.spell_chains(contract.by_joins(own, must_match=True)), "chains")
+        return contract.reduced(own, chains, lows=True), chains.select(*keys, "head", "label")
+
+    if not keys:
+        return by_joins(edges)
+    found, left = traverse.settled(edges, LABELLED, _labelled_group, count=(lambda seqs: kmers.group_edges(seqs, k1)) if k1 else None)
+    graph, labels = found.filter("dst IS NOT NULL").drop("label"), found.filter("label IS NOT NULL").select(*keys, F.col("src").alias("head"), "label")
+    if left.isEmpty():
+        return graph, labels
+    more, more_labels = by_joins(left)
+    return graph.unionByName(more), labels.unionByName(more_labels)
+
+
+def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = False, k1: int | None = None) -> DataFrame:
     """assemble_group for groups that do not fit a worker, on their contracted graphs.
 
-    Chains of equal multiplicities are contracted by joins; gate, repeats and trails see the branches and heads that are left (a
-    contracted chain has one multiplicity and no branch, so that they decide alike); the labels of the chains are put in by a join.
+    Chains of equal multiplicities are contracted, by joins but for small groups (_labelled); gate, repeats and trails see the branches and heads that are left (a
+    contracted chain has one multiplicity and no branch, so that they decide alike); the labels of the chains are put in by a join. With k1
+    reads are given in place of edges.
     """
     keys = ["group_key"] if "group_key" in edges.columns else []
-    chains = stored(contract.spell_chains(contract.contract(edges, must_match=True)), "chains")
+    graph, labels = _labelled(edges, k1)
 
     def walk(e: Edges, inside: dict) -> list[tuple]:
         rows = []
@@ -99,8 +137,8 @@ def assemble_large(edges: DataFrame, coverage: int | None = None, gate: bool = F
             rows += [(number, *row, status) for row in traverse.pieces(path, inside)] if path else [(number, 0, None, 0, None, status)]
         return rows
 
-    found = traverse.per_group(contract.reduced(edges, chains, lows=True), "contig_id int, pos int, id ID, skip int, take int, status string", walk)
-    found = found.join(chains.select(*keys, F.col("head").alias("id"), "label"), [*keys, "id"], "left")
+    found = traverse.per_group(graph, "contig_id int, pos int, id ID, skip int, take int, status string", walk)
+    found = found.join(labels.withColumnRenamed("head", "id"), [*keys, "id"], "left")
     # what a node adds: the bases along its vertices on the trail, behind those that its first mer shares with the one before
     label = F.coalesce("label", "id")
     own = F.substring(label, F.col("skip") + 1, F.coalesce(F.col("take") - F.col("skip") - 1 + F.length("id"), F.length(label)))
@@ -203,7 +241,11 @@ def rectified(edges: DataFrame, coverage: int, largest: int | None = None, most:
     return traverse.by_size(edges, small, lambda e: rectified_by_joins(e, coverage), largest, most)
 
 
-def unique_spelling(reads: DataFrame, k1: int, deal: bool = False) -> DataFrame:
-    """Reads of more than k1 bases in which no mer occurs twice: they assemble to themselves. deal as in kmers.edges."""
-    counted = kmers.counted(reads, k1, ["group_key"], deal).groupBy("group_key", "kmer").agg(F.sum("n").alias("n")).groupBy("group_key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+def unique_spelling(reads: DataFrame, k1: int) -> DataFrame:
+    """Reads of more than k1 bases in which no mer occurs twice: they assemble to themselves. The mers of groups of at most traverse.PIECE bases are counted in the task that has them, those of others meet by a shuffle."""
+    # edges between shorter mers are the mers
+    counted, left = traverse.settled(reads, "n bigint, most bigint", lambda x: [(sum(x.values()), max(x.values()))], count=lambda seqs: kmers.group_edges(seqs, k1 - 1))
+    if not left.isEmpty():
+        more = kmers.counted(left, k1, ["group_key"]).groupBy("group_key", "kmer").agg(F.sum("n").alias("n")).groupBy("group_key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        counted = counted.unionByName(more)
     return reads.join(counted.filter("most = 1 AND n > 1").select("group_key"), "group_key", "left_semi")

@@ -75,12 +75,12 @@ def contract(edges: DataFrame, must_match: bool = False, progress: Progress | No
     keys = ["group_key"] if "group_key" in edges.columns else []
     if keys and not merge:
         found, left = traverse.settled(edges, traverse.CHAIN, lambda x: traverse.chain_rows(x, must_match))
-        return found if left.isEmpty() else found.unionByName(_contracted(left, must_match, progress, None))
-    return _contracted(edges, must_match, progress, merge)
+        return found if left.isEmpty() else found.unionByName(by_joins(left, must_match, progress, None))
+    return by_joins(edges, must_match, progress, merge)
 
 
-def _contracted(edges: DataFrame, must_match: bool, progress: Progress | None, merge: dict[str, Callable[[Column], Column]] | None) -> DataFrame:
-    """contract by joins."""
+def by_joins(edges: DataFrame, must_match: bool = False, progress: Progress | None = None, merge: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """contract without the pass over small groups."""
     keys = ["group_key"] if "group_key" in edges.columns else []
     links = members(edges, must_match, progress)
     order = F.sort_array(F.collect_list(F.struct("dist", "v")))

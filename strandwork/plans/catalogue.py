@@ -334,7 +334,7 @@ def vertex_files(spark, sf_dir):
 def contig_files(spark, sf_dir):
     """Contigs written as lines of text and read back as reads."""
     path = fresh_path(spark, "contigs")
-    files.write_contigs(assemble.assemble_reads(assemble.unique_spelling(spread_bases(spark, sf_dir), 12, deal=True), 12, largest=most_bases(spark, sf_dir)), path)
+    files.write_contigs(assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12, largest=most_bases(spark, sf_dir)), path)
     return files.read_lines(spark, path).select("seq")
 
 
@@ -504,7 +504,7 @@ def rectify_single_k3(spark, sf_dir):
 
 @query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
 def assemble_roundtrip_k12(spark, sf_dir):
-    return assemble.assemble_reads(assemble.unique_spelling(spread_bases(spark, sf_dir), 12, deal=True), 12, largest=most_bases(spark, sf_dir)).select("group_key", "seq", "status")
+    return assemble.assemble_reads(assemble.unique_spelling(reads(spark, sf_dir), 12), 12, largest=most_bases(spark, sf_dir)).select("group_key", "seq", "status")
 
 
 @query()
@@ -560,8 +560,7 @@ def assemble_cov_gate(spark, sf_dir):
 @query(f"WITH {READS}, m AS (SELECT group_key, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS mer FROM reads WHERE length(seq) > 12), u AS (SELECT group_key FROM m GROUP BY 1 HAVING count(*) = count(DISTINCT mer)) SELECT group_key, seq, 'ok' AS status FROM reads JOIN u USING (group_key)")
 def assemble_roundtrip_large(spark, sf_dir):
     """assemble_roundtrip_k12 on contracted chains, as for groups that do not fit a worker."""
-    edges = kmers.edges(assemble.unique_spelling(spread_bases(spark, sf_dir), 12, deal=True), 12, deal=True)
-    return assemble.assemble_large(edges).select("group_key", "seq", "status")
+    return assemble.assemble_large(assemble.unique_spelling(reads(spark, sf_dir), 12), k1=12).select("group_key", "seq", "status")
 
 
 @query(f"{split_sql(True)} SELECT * FROM pieces")

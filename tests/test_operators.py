@@ -802,3 +802,20 @@ def test_small_groups_are_assembled_where_their_bases_are(spark):
         assert rows(found) == rows(assemble.assemble_reads(given, 3, coverage, multi)) != []
         # before, the counts of all windows were shuffled
         assert shuffles(found) == 1 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_assemblies_of_reads_store_labels_and_no_vertices(spark, monkeypatch):
+    data = grouped_reads(3)
+    given, tables = spark.createDataFrame(data, "group_key long, read_id long, seq string".replace("read_id long, ", "")), []
+    want = sorted(map(tuple, assemble.assemble_reads(given, 3, largest=100).select("group_key", "contig_id", "seq", "status").collect()))
+    by_group = Counter((g, s[i : i + 3]) for g, s in data if s for i in range(len(s) - 2))
+    plain = traverse.stored
+    monkeypatch.setattr(traverse, "stored", lambda df, tag: tables.append(df.columns) or plain(df, tag))
+    for piece in (traverse.PIECE, 60, 0):
+        monkeypatch.setattr(traverse, "PIECE", piece)
+        found = assemble.assemble_large(given, k1=3).select("group_key", "contig_id", "seq", "status")
+        assert sorted(map(tuple, found.collect())) == want
+        single = {g for g, _ in by_group if max(n for (h, _), n in by_group.items() if h == g) == 1 < sum(n for (h, _), n in by_group.items() if h == g)}
+        assert {r["group_key"] for r in assemble.unique_spelling(given, 3).collect()} == single
+    # before, chains were stored with their vertices, and edges were counted anew for each step
+    assert tables and not any("found_vertices" in columns for columns in tables)
